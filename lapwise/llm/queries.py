@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from lapwise.llm.mixing import OP3_SQL, op3_mixing
+from lapwise.llm.quality_classifier import op8_quality_classifier
 from lapwise.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixing": OP3_SQL,
+}
