@@ -6,11 +6,13 @@ from lapwise.llm.byte_bpe import op1_byte_bpe
 from lapwise.llm.mixing import OP3_SQL, op3_mixing
 from lapwise.llm.quality_classifier import op8_quality_classifier
 from lapwise.llm.quality_rules import op7_quality_rules
+from lapwise.llm.simhash import op6_simhash
 from lapwise.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_mixing": op3_mixing,
+    "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_toxicity": op10_toxicity,
