@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lapwise.llm.byte_bpe import op1_byte_bpe
+from lapwise.llm.line_dedup import op9_line_dedup
 from lapwise.llm.mixing import OP3_SQL, op3_mixing
 from lapwise.llm.quality_classifier import op8_quality_classifier
 from lapwise.llm.quality_rules import op7_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
