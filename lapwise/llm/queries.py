@@ -8,10 +8,12 @@ from lapwise.llm.mixing import OP3_SQL, op3_mixing
 from lapwise.llm.quality_classifier import op8_quality_classifier
 from lapwise.llm.quality_rules import op7_quality_rules
 from lapwise.llm.simhash import op6_simhash
+from lapwise.llm.token_files import op2_token_files
 from lapwise.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
