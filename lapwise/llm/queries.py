@@ -10,11 +10,13 @@ from lapwise.llm.quality_rules import op7_quality_rules
 from lapwise.llm.simhash import op6_simhash
 from lapwise.llm.token_files import op2_token_files
 from lapwise.llm.toxicity import op10_toxicity
+from lapwise.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
@@ -24,4 +26,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_mixing": OP3_SQL,
+    "op4_warc": OP4_SQL,
 }

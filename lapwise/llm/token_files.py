@@ -55,7 +55,7 @@ class FileWriter:
     def __init__(self, uri: str, level: int = 3) -> None:
         fs, path = open_at(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out = fs.open_output_stream(path)
+        self.out = fs.open_output_stream(path, compression=None)
         self.pack = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.entries: list[tuple] = []
         self.at = 0
