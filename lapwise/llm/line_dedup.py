@@ -201,4 +201,6 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pipeline stage: every document with its later repeats deleted; one of which nothing is left goes."""
     own = docs.columns
     cleaned = remove_repeats(docs, out_words="lapwise_removed")
+    if "n_chars" in own:
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("lapwise_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cleaned.where("lapwise_removed = 0 OR length(text) > 0").select(*[F.col(f"`{c}`") for c in own])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from lapwise.llm.ann import op5_ann
 from lapwise.llm.byte_bpe import op1_byte_bpe
 from lapwise.llm.line_dedup import op9_line_dedup
 from lapwise.llm.mixing import OP3_SQL, op3_mixing
@@ -17,11 +19,13 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
+    "op5_ann": op5_ann,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
