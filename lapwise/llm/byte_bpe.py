@@ -2,9 +2,9 @@
 
 Encoding: texts are cut by the tokenizer's pattern. Of each block of rows, the words not met before become a table of
 token positions; a recursive query joins neighbouring tokens with the merge table and contracts each word's leftmost
-pair of minimum rank until no pair is left. Decoding: id runs between tokens that begin with white space are laid out as
-token positions, joined with the vocabulary and put together by an ordered aggregation. Both keep what they have met in
-dictionaries of a bounded size, so that a word costs DuckDB once in a while and a lookup otherwise.
+pair of minimum rank until no pair is left. Words met are kept in a dictionary of a bounded size, so that a word costs
+DuckDB once in a while and a lookup otherwise. Decoding: the ids of a block of rows are token positions too, joined with
+the vocabulary and put together by an ordered aggregation.
 
 The vocabulary comes from a rank file whose path is a parameter; the driver reads it and broadcasts the merge table,
 whose size is fixed by the vocabulary.
@@ -18,21 +18,21 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lapwise.llm import textblocks as tb
+
 BLOCK_BYTES = 4 << 20
-WORDS_KEPT, CHUNKS_KEPT = 600_000, 300_000
-#: White space as Unicode defines it; a run of it starts a new word in any byte-level pattern of this family.
-SPACE = " \t\n\x0b\x0c\r\x85\xa0  -     　"
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+WORDS_KEPT = 600_000
 
 ENCODE_SQL = """
 WITH RECURSIVE step(word, pos, token, following, done) AS (
@@ -52,8 +52,7 @@ WITH RECURSIVE step(word, pos, token, following, done) AS (
 SELECT word, token FROM step WHERE done ORDER BY word, pos"""
 
 DECODE_SQL = """
-SELECT run, string_agg(piece, '' ORDER BY pos) AS piece, count(*) AS n
-FROM runs JOIN vocabulary USING (token) GROUP BY run ORDER BY run"""
+SELECT row, string_agg(piece, '' ORDER BY pos) AS piece, count(*) AS n FROM tokens JOIN vocabulary USING (token) GROUP BY row"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -77,17 +76,37 @@ def _connect(**tables: pa.Table) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def _splitter(pattern: str):
+    """A function that cuts a text by the pattern.
+
+    Texts of the basic plane go to the standard library's matcher, with the character classes written out as ranges;
+    other texts, and patterns with other classes, to the regex module.
+    """
+    exact = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+    plane = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x10000))))
+    ranges = {}
+    for name, inside in ((r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}"), (r"\s", r"\p{White_Space}")):
+        ranges[name] = "".join(f"{chr(92)}u{ord(m[0]):04x}-{chr(92)}u{ord(m[-1]):04x}" for run in regex.findall(f"{inside}+", plane) for m in regex.findall(r"[\x00-\uD7FF]+|[\uE000-\uFFFF]+", run))
+    plain = re.sub(r"\[\^?(?:\\s|\\p\{[LN]\})+\]", lambda m: reduce(lambda found, c: found.replace(c, ranges[c]), ranges, m[0]), pattern)
+    for name, found in ranges.items():
+        plain = plain.replace(name, f"[{found}]")
+    plain = plain.replace(r"\S", f"[^{ranges[chr(92) + 's']}]")
+    if r"\p" in plain:
+        return exact
+    fast = re.compile(plain).findall
+    return lambda text: fast(text) if not text or max(text) <= "\uffff" else exact(text)
+
+
 class Encoder:
-    """Encodes texts in one task; keeps the words and chunks it has met, up to a bound."""
+    """Encodes texts in one task; keeps the words it has met, up to a bound."""
 
     def __init__(self, merges: pa.Table, byte_ids: np.ndarray, pattern: str) -> None:
         self.con = _connect(merges=merges)
         self.byte_ids = byte_ids
-        self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.split = _splitter(pattern)
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         parts = [w.encode() for w in words]
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         token = self.byte_ids[np.frombuffer(b"".join(parts), dtype=np.uint8)]
@@ -99,64 +118,39 @@ class Encoder:
         got = self.con.sql(ENCODE_SQL).to_arrow_table()
         self.con.unregister("seed")
         ids = got.column("token").to_numpy().astype(np.int32).tobytes()
-        cuts = 4 * np.searchsorted(got.column("word").to_numpy(), np.arange(len(parts) + 1))
-        self.words.update(zip(words, map(lambda a, b: ids[a:b], cuts[:-1].tolist(), cuts[1:].tolist()), strict=True))
-
-    def _learn_chunks(self, chunks: list[str]) -> None:
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        split = [self.find(c) for c in chunks]
-        if unknown := sorted(set(chain.from_iterable(split)).difference(self.words)):
-            self._learn_words(unknown)
-        get = self.words.__getitem__
-        self.chunks.update(zip(chunks, (b"".join(map(get, s)) for s in split), strict=True))
+        cuts = (4 * np.searchsorted(got.column("word").to_numpy(), np.arange(len(parts) + 1))).tolist()
+        self.words.update(zip(words, [ids[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native 32-bit integers."""
-        split = [CHUNK.findall(t) for t in texts]
+        split = [self.split(t) for t in texts]
         met = set(chain.from_iterable(split))
-        if not met <= self.chunks.keys():
-            if len(self.chunks) > CHUNKS_KEPT:
-                self.chunks.clear()
-            self._learn_chunks(list(met.difference(self.chunks)))
-        get = self.chunks.__getitem__
+        if unknown := met.difference(self.words):
+            if len(self.words) > WORDS_KEPT:
+                self.words.clear()
+                unknown = met
+            self._learn(list(unknown))
+        get = self.words.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
 class Decoder:
-    """Decodes id arrays in one task; keeps the runs it has met, up to a bound."""
+    """Decodes id arrays in one task."""
 
-    def __init__(self, vocabulary: pa.Table, opens: np.ndarray) -> None:
+    def __init__(self, vocabulary: pa.Table) -> None:
         self.con = _connect(vocabulary=vocabulary)
-        self.opens = opens
-        self.runs: dict[bytes, bytes] = {}
 
-    def _learn(self, runs: list[bytes]) -> None:
-        sizes = np.fromiter((len(r) // 4 for r in runs), dtype=np.int64, count=len(runs))
-        token = np.frombuffer(b"".join(runs), dtype=np.int32)
-        self.con.register("runs", pa.table({"run": pa.array(np.repeat(np.arange(len(runs), dtype=np.int32), sizes)), "pos": pa.array(np.arange(len(token))), "token": pa.array(token)}))
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of each row, given the ids of all rows and how many each has."""
+        self.con.register("tokens", pa.table({"row": pa.array(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)), "pos": pa.array(np.arange(len(ids), dtype=np.int32)), "token": pa.array(ids)}))
         got = self.con.sql(DECODE_SQL).to_arrow_table()
-        self.con.unregister("runs")
-        if got.num_rows != len(runs) or not np.array_equal(got.column("n").to_numpy(), sizes):
-            raise ValueError("ids that the vocabulary does not have")
-        self.runs.update(zip(runs, (p.encode("latin-1") for p in got.column("piece").to_pylist()), strict=True))
-
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """The bytes of each row of ids."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.opens)):
+        self.con.unregister("tokens")
+        if (pc.sum(got.column("n")).as_py() or 0) != len(ids):
             raise ValueError("ids that the vocabulary does not have")
-        starts = self.opens[ids] if len(ids) else np.zeros(0, dtype=bool)
-        starts[offsets[:-1][offsets[:-1] < len(ids)]] = True
-        at = np.flatnonzero(starts)
-        raw, cuts = ids.astype(np.int32).tobytes(), (4 * np.append(at, len(ids))).tolist()
-        runs = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        if len(self.runs) > WORDS_KEPT:
-            self.runs.clear()
-        if unknown := sorted(set(runs).difference(self.runs)):
-            self._learn(unknown)
-        found = list(map(self.runs.__getitem__, runs))
-        first = np.searchsorted(at, offsets).tolist()
-        return [b"".join(found[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        found = [b""] * len(sizes)
+        for row, piece in zip(got.column("row").to_pylist(), got.column("piece").to_pylist(), strict=True):
+            found[row] = piece.encode("latin-1")
+        return found
 
 
 _KEPT: dict[tuple, Encoder | Decoder] = {}
@@ -170,63 +164,52 @@ def _kept(kind: type, token: str, make) -> Encoder | Decoder:
     return _KEPT[kind, token]
 
 
-def _text_groups(values: list[str | None], limit: int = BLOCK_BYTES) -> Iterable[list[str]]:
-    group, size = [], 0
-    for v in values:
-        group.append(v or "")
-        size += len(group[-1])
-        if size >= limit:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with out: the token ids of each whole text, without special tokens."""
-    docs = docs.drop(out)
+def _vocabulary(ranks: dict[bytes, int]) -> pa.Table:
+    return pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in ranks]})
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with out: the token ids of each whole text, without special tokens; decoded: a column for what they decode to."""
+    docs = docs.drop(out, decoded or out)
     ranks = read_ranks(vocabulary)
     byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast((merge_table(ranks), byte_ids))
+    shared = docs.sparkSession.sparkContext.broadcast((merge_table(ranks), byte_ids, _vocabulary(ranks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _kept(Encoder, vocabulary + pattern, lambda: Encoder(*shared.value, pattern))
+        tool = _kept(Encoder, vocabulary + pattern, lambda: Encoder(*shared.value[:2], pattern))
+        back = _kept(Decoder, vocabulary, lambda: Decoder(shared.value[2])) if decoded else None
         for batch in batches:
-            at = 0
-            for group in _text_groups(batch.column(text).to_pylist()):
-                ids = tool.encode(group)
-                offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
-                yield _with_column(batch.slice(at, len(group)), out, pa.ListArray.from_arrays(pa.array(offsets), flat))
-                at += len(group)
+            for part, _, _ in tb.text_blocks([batch], text, BLOCK_BYTES):
+                ids = tool.encode([t or "" for t in part.column(text).to_pylist()])
+                sizes = np.fromiter((len(i) // 4 for i in ids), dtype=np.int64, count=len(ids))
+                flat = np.frombuffer(b"".join(ids), dtype=np.int32)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                part = _with_column(part, out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+                yield _with_column(part, decoded, pa.array(back.decode(flat, sizes), pa.binary())) if back else part
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def decode(docs: DataFrame, vocabulary: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with out: the bytes of each row's ids."""
     docs = docs.drop(out)
-    ranks = read_ranks(vocabulary)
-    table = pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in ranks]})
-    opens = np.zeros(max(ranks.values()) + 1, dtype=bool)
-    opens[[n for t, n in ranks.items() if t[:1] in b" \n\t\r"]] = True
-    shared = docs.sparkSession.sparkContext.broadcast((table, opens))
+    shared = docs.sparkSession.sparkContext.broadcast(_vocabulary(read_ranks(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _kept(Decoder, vocabulary, lambda: Decoder(*shared.value))
+        tool = _kept(Decoder, vocabulary, lambda: Decoder(shared.value))
         for batch in batches:
-            lists = batch.column(ids)
-            sizes = np.nan_to_num(np.asarray(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
-            flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+            sizes = pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy().astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
             at = 0
             while at < len(sizes):
                 to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_BYTES // 4, side="right")) - 1)
-                found = tool.decode(flat[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
-                yield _with_column(batch.slice(at, to - at), out, pa.array(found, pa.binary()))
+                part = batch.slice(at, to - at)
+                yield _with_column(part, out, pa.array(tool.decode(part.column(ids).flatten().to_numpy(), sizes[at:to]), pa.binary()))
                 at = to
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
@@ -236,14 +219,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN).drop("text")
-    decoded = decode(encoded, vocabulary)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN, decoded="decoded")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: doc_id, source, ids and their number."""
+    """Pipeline stage, the last: doc_id, source, ids, their number, and the SHA-256 of the bytes that they decode to."""
     import public_tokenizers
 
-    encoded = encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return encoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    encoded = encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded")
+    return encoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
