@@ -34,5 +34,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _module in ("basics", "joining", "windowing", "estimating", "surviving", "checking", "storing", "marts"):
+for _module in ("basics", "joining", "windowing", "estimating", "surviving", "checking", "storing", "marts", "learning", "validating", "asking"):
     import_module(f"lapwise.plans.{_module}")
