@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lapwise.functions import exprs as X
 from lapwise.operators import estimators as A, shaping as S, survival as V, windows as W
 from lapwise.plans.marts import DECOMPOSED, PARTS, counterfactual, decomposition
-from lapwise.plans.registry import query, table
+from lapwise.plans.registration import query, table
 from lapwise.plans.surviving import TABLE, durations
 from lapwise.plans.testbed import E, O, panel_e, panel_o
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lapwise.functions import exprs as X
 from lapwise.operators import shaping as S
 from lapwise.operators.windows import over, top_per_group
-from lapwise.plans.registry import query, table
+from lapwise.plans.registration import query, table
 from lapwise.plans.testbed import E, L, O, panel_e, panel_l, panel_o
 
 

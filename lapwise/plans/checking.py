@@ -8,7 +8,7 @@ from lapwise.functions import exprs as X
 from lapwise.operators import estimators as A, quality as Q
 from lapwise.operators.windows import early_baseline, ew_load, forward_targets, is_monotone
 from lapwise.plans.estimating import CELL, FE_FIT
-from lapwise.plans.registry import query, table
+from lapwise.plans.registration import query, table
 from lapwise.plans.testbed import E, O, panel_e, panel_o
 
 

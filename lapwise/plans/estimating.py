@@ -8,7 +8,7 @@ from lapwise.functions import exprs as X
 from lapwise.operators import estimators as A
 from lapwise.operators.joins import pairs
 from lapwise.operators.windows import over
-from lapwise.plans.registry import query, table
+from lapwise.plans.registration import query, table
 from lapwise.plans.testbed import E, O, panel_e, panel_o
 
 CELL = ["grp", "compound"]

@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from lapwise.operators import mlprep as M, windows as W
-from lapwise.plans.registry import query
+from lapwise.plans.registration import query
 from lapwise.plans.testbed import E, O, panel_e, panel_o
 
 FEATURES = ["pos", "load", "code", "grp"]

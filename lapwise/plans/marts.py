@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from lapwise.functions import exprs as X
 from lapwise.operators import estimators as A, joins as J, shaping as S, windows as W
 from lapwise.plans.estimating import CELL, CURVE, FE_FIT, pair_probabilities
-from lapwise.plans.registry import query
+from lapwise.plans.registration import query
 from lapwise.plans.testbed import E, O, panel_e, panel_o
 
 SEQUENCE = ["entity", "context"]

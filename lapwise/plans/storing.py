@@ -11,7 +11,7 @@ from lapwise.functions.exprs import ns_to_s
 from lapwise.operators.shaping import stage
 from lapwise.sources import store as S
 from lapwise.streaming import replay as R
-from lapwise.plans.registry import query, table
+from lapwise.plans.registration import query, table
 from lapwise.plans.testbed import O, panel_o
 
 

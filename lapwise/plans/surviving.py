@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapwise.operators import survival as V
-from lapwise.plans.registry import query
+from lapwise.plans.registration import query
 from lapwise.plans.testbed import E, O, panel_e, panel_o
 
 UNIT = ["unit_id"]

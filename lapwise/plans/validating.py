@@ -10,7 +10,7 @@ from lapwise.functions import exprs as X
 from lapwise.operators import estimators as A, joins as J
 from lapwise.operators.windows import over
 from lapwise.plans.estimating import PROBS, pair_probabilities
-from lapwise.plans.registry import query
+from lapwise.plans.registration import query
 from lapwise.plans.testbed import E, O, panel_e, panel_o
 
 

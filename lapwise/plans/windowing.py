@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapwise.operators import windows as W
-from lapwise.plans.registry import query, table
+from lapwise.plans.registration import query, table
 from lapwise.plans.testbed import E, O, panel_e, panel_o
 
 UNIT = ["unit_id"]
