@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -17,7 +18,7 @@ def connect():
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pandas.NA or value != value:
         return None
     if isinstance(value, bool):
         return value
