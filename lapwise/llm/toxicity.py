@@ -77,7 +77,7 @@ def ftrl(examples: list[tuple[int, np.ndarray]], bits: int, epochs: int, alpha:
     return weigh(z, n), -zb * alpha / (beta + math.sqrt(nb))
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 3000, bits: int = 22, min_documents: int = 3, epochs: int = 6, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0) -> ToxicityModel:
+def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 3000, bits: int = 22, min_documents: int = 3, epochs: int = 6, alpha: float = 0.3, beta: float = 1.0, l1: float = 4.5, l2: float = 1.0) -> ToxicityModel:
     """Fit on at most per_class labelled documents of each class, those first by hash of doc_id.
 
     The bound makes the training set fit one task; scores are put back to the class shares of all labels.
