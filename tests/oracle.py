@@ -6,7 +6,7 @@ import os
 import duckdb
 import pandas
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 def connect():
