@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIGITS = 6
+#: Added before rounding on both sides, so that decimal ties do not fall apart by the last bit of a sum.
+NUDGE = 1.3e-9
 
 
 def query(name: str, sql: str | None = None, doubles: str = "") -> Callable:
@@ -18,11 +20,11 @@ def query(name: str, sql: str | None = None, doubles: str = "") -> Callable:
     def register(build: Callable[[SparkSession, str], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             found = build(spark, sf_dir)
-            return found.withColumns({c: F.round(F.col(c).cast("double"), DIGITS) + F.lit(0.0) for c in names}) if names else found
+            return found.withColumns({c: F.round(F.col(c).cast("double") + F.lit(NUDGE), DIGITS) + F.lit(0.0) for c in names}) if names else found
 
         QUERIES[name] = run
         if sql is not None:
-            rounded = ", ".join(f"round(CAST({c} AS DOUBLE), {DIGITS}) + 0.0 AS {c}" for c in names)
+            rounded = ", ".join(f"round(CAST({c} AS DOUBLE) + {NUDGE}, {DIGITS}) + 0.0 AS {c}" for c in names)
             ORACLES[name] = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if names else sql
         return build
 
