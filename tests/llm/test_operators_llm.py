@@ -98,6 +98,19 @@ def test_token_files_round_trip(spark, docs, nothing):
     assert token_files.read_token_files(empty).count() == 0
 
 
+def test_pieces_equal_whole_texts():
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(JSON)
+    tool.encode_special_tokens = True
+    rng = np.random.default_rng(0)
+    letters = list("    \t\n\r\x1c\x1d\x85\u2003\u1680 aAbz'sT09²ñ文字!?.,;:-_=|é́😀") + ["'re", "<|endoftext|>", "the", " of"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(2000)]
+    found = token_files.PieceTokenizer(JSON).encode(texts)
+    for text, ids in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
+
+
 def test_token_file_reads_one_frame_and_checks_it(tmp_path):
     uri = f"file://{tmp_path}/a.lwtok"
     out = token_files.FileWriter(uri)
