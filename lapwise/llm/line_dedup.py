@@ -151,7 +151,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     firsts = marks.groupBy("hash").agg(F.min(F.struct("id", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = written(firsts.select("hash", F.col("f.id").alias("id"), F.col("f.pos").alias("pos")), "line-firsts")
     sides = written(contexts(docs, firsts, key=key, text=text), "line-contexts").groupBy("hash").agg(F.min("sides").alias("sides"))
-    heads = firsts.join(sides, "hash").select("hash", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"), "sides")
+    heads = written(firsts.join(sides, "hash").select("hash", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"), "sides"), "line-heads")  # as a table, Spark can split the join of a very common line
     later = marks.join(heads, "hash").where("id <> first_id OR pos <> first_pos")
     lists = later.groupBy(F.col("id").alias("repeat_id")).agg(F.collect_list(F.struct("hash", "pos", "sides")).alias("repeats"))  # at most a text's fingerprints
     own = docs.columns
