@@ -38,8 +38,9 @@ MAGIC = b"LWTOKS01"
 ENTRY = np.dtype([("number", "<u8"), ("offset", "<u8"), ("size", "<u4"), ("n", "<u4"), ("crc", "<u4")])
 FOOTER = struct.Struct("<QI8s")
 SHARD_BYTES = 32 << 20
-WORDS_KEPT = 400_000
+WORDS_KEPT = 1_500_000
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+STOPS = ".,;:!?"
 #: Between these pieces a byte-level pre-tokenizer always cuts: a run of white space begins a new word.
 PIECES = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
@@ -102,7 +103,12 @@ class FileReader:
 
 
 class PieceTokenizer:
-    """The tokenizers library on pieces between white space, each piece once in a while; equal to encoding whole texts."""
+    """The tokenizers library on pieces between white space, each piece once in a while; equal to encoding whole texts.
+
+    A stop after a letter is a pre-token of its own, so "word," takes the ids of "word" and of ",". New pieces that begin
+    with white space and end without are encoded many to a string, since the pre-tokenizer cuts between them; the ids of
+    each are found by the byte lengths of the tokens.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core
@@ -110,19 +116,43 @@ class PieceTokenizer:
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True
+        vocabulary = self.tool.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        self.lengths[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a character of a byte-level token is a byte
         self.met: dict[str, bytes] = {}
 
+    def _one_by_one(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 10_000):
+            part = pieces[at : at + 10_000]
+            found = self.tool.encode_batch_fast(part, add_special_tokens=False)
+            self.met.update(zip(part, [np.array(e.ids, dtype="<u4").tobytes() for e in found], strict=True))
+
+    def _together(self, pieces: list[str], count: int = 4000) -> None:
+        for at in range(0, len(pieces), count):
+            part = pieces[at : at + count]
+            ids = np.array(self.tool.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum(self.lengths[ids])
+            stops = np.cumsum(np.fromiter((len(p.encode()) for p in part), dtype=np.int64, count=len(part)))
+            cuts = np.searchsorted(ends, stops) + 1
+            if len(ends) == 0 or cuts[-1] != len(ends) or not np.array_equal(ends[cuts - 1], stops):
+                self._one_by_one(part)  # a tokenizer that changes its input
+                continue
+            raw, cuts = ids.tobytes(), (4 * np.concatenate([[0], cuts])).tolist()
+            self.met.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [PIECES.findall(t) for t in texts]
         met = set(chain.from_iterable(split))
-        if unknown := list(met.difference(self.met)):
+        if unknown := met.difference(self.met):
             if len(self.met) > WORDS_KEPT:
                 self.met.clear()
-                unknown = list(met)
-            for at in range(0, len(unknown), 10_000):
-                part = unknown[at : at + 10_000]
-                found = self.tool.encode_batch_fast(part, add_special_tokens=False)
-                self.met.update(zip(part, [np.array(e.ids, dtype="<u4").tobytes() for e in found], strict=True))
+                unknown = met
+            cut = {p: core for p in unknown if (core := p.rstrip(STOPS)) and core != p and core[-1].isalpha()}
+            wanted = {*unknown.difference(cut), *cut.values(), *(p[len(core) :] for p, core in cut.items())}.difference(self.met)
+            joined = {p for p in wanted if p[0] in SPACE and p[-1] not in SPACE}
+            self._together(list(joined))
+            self._one_by_one(list(wanted.difference(joined)))
+            self.met.update({p: self.met[core] + self.met[p[len(core) :]] for p, core in cut.items()})
         get = self.met.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
