@@ -4,7 +4,7 @@ Pages become ARC files (version 1 or 2), a shard each partition; the converter p
 each record's declared length, and synthesises the WARC equivalents: a record id (a name-based UUID of url, date and
 digest), the 14-digit date as an ISO timestamp, the record type, and base32 SHA-1 digests of payload and block. Of equal
 payloads of at least min_bytes the record with the smallest id is the response and the others refer to it; smaller
-payloads are all responses. Every WARC record is a gzip member of its own.
+payloads are all responses. Every ARC and WARC record is a gzip member of its own.
 
 ARC header lines (fixed values of the format): version 1 has URL, IP, date, content type and length; version 2 has URL,
 IP, date, content type, result code, checksum, location, offset, file name and length. The version block's third line
@@ -162,13 +162,13 @@ def write_arc(pages: DataFrame, folder: str, *, version: int = 1, key: str = "pa
     chosen = pages.select(F.col(key).cast("string").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), F.col(refers_to).cast("string").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, held = ShardWriter(folder, ".arc"), {}
+        files, held = ShardWriter(folder, ".arc.gz"), {}
         for part, _, _ in tb.text_blocks(batches, "html"):
             for i, u, h, r in zip(*(part.column(c).to_pylist() for c in ("id", "url", "html", "refers_to")), strict=True):
                 name = files.room()
                 if not files.at:
-                    files.write(arc_version_block(version, name))
-                files.write(arc_record(version, _page_url(u), HTTP_HEAD + (h or "").encode(), name, files.at))
+                    files.write(gzip.compress(arc_version_block(version, name), compresslevel=1, mtime=0))
+                files.write(gzip.compress(arc_record(version, _page_url(u), HTTP_HEAD + (h or "").encode(), name, files.at), compresslevel=1, mtime=0))
                 held.setdefault(files.uris[-1], []).append((i, r))
         files.close()
         for uri, rows in held.items():
@@ -186,7 +186,7 @@ def convert_arc(arcs: DataFrame, folder: str) -> DataFrame:
                 files = ShardWriter(folder, ".warc.gz")
                 fs, path = open_at(batch.column("uri")[i].as_py())
                 ids, refers = batch.column("ids")[i].as_py(), batch.column("refers_to")[i].as_py()
-                with io.BufferedReader(fs.open_input_file(path), 1 << 20) as source:
+                with gzip.open(io.BufferedReader(fs.open_input_file(path), 1 << 20)) as source:
                     for page, target, (head, block) in zip(ids, refers, read_arc(source), strict=True):
                         payload = block.partition(b"\r\n\r\n")[2]
                         kept = block if target is None else block[: len(block) - len(payload)]
