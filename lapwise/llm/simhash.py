@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lapwise.llm import textblocks as tb
 from lapwise.llm.components import components, forest
 from lapwise.llm.scratch import written
+from lapwise.llm.similar_sets import shingle_spans, similar_groups
 
 SEED = 42
 TILE = 4096
@@ -35,14 +36,6 @@ ROWS_AT_ONCE = 128
 QUARTERS_FROM = 1_000_000
 
 
-def shingle_spans(first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each shingle of every row, and the index of each row's first shingle (one more at the end)."""
-    counts = np.diff(first)
-    shingles = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
-    offsets = np.concatenate([[0], np.cumsum(shingles)])
-    return np.repeat(first[:-1] - offsets[:-1], shingles) + np.arange(offsets[-1]), offsets
-
-
 def _compact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The words' bytes, each word followed by one space, and the new starts and ends."""
     sizes = ends - starts
@@ -207,8 +200,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies (five words, similarity 0.8), the document with the smallest id stays.
 
-    A fingerprint distance of 9 of 64 bits corresponds to that similarity; links are then checked on the shingle sets.
+    Every pair of that similarity links, found by an exact join on the shingle sets (similar_sets), since no fingerprint
+    distance of use bounds it. A row counts by its text, also where its id is null (last in order) or repeated: one row of
+    each group stays.
     """
-    groups = group_near_duplicates(docs, words=5, radius=9, check=lambda found: similar(docs, found))
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    rows = written(docs.withColumn("lapwise_row", F.monotonically_increasing_id()), "near-rows")
+    groups = written(similar_groups(rows.select(F.col("lapwise_row").alias("row"), "text"), words=5), "near-groups")
+    ranked = rows.select("lapwise_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "lapwise_row").alias("turn")).join(groups, F.col("lapwise_row") == F.col("row"))
+    kept = ranked.groupBy("component").agg(F.min("turn").alias("first")).select(F.col("first.lapwise_row").alias("kept_row"))
+    return rows.join(kept, F.col("lapwise_row") == F.col("kept_row"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import io
+import itertools
 import re
 import zlib
 
@@ -380,3 +381,46 @@ def test_crc_of_ids_matches(spark):
     for r in token_files.op2_token_files(spark, SF).limit(5).collect():
         assert r["n_tokens"] >= 1 and 0 <= r["ids_crc32"] < 1 << 32
     assert zlib.crc32(b"") == 0
+
+
+def brute_near(rows, words=5):
+    """Ids that stay: the smallest of each component of Jaccard similarity 0.8; the similarities of all such pairs."""
+    grams = lambda w: frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) if w else frozenset()
+    sets = {i: grams((t or "").split()) for i, t in rows}
+    root, found = {i: i for i in sets}, {}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, a), (j, b) in itertools.combinations(sorted(sets.items()), 2):
+        both = len(a & b)
+        if 5 * both >= 4 * (len(a) + len(b) - both):
+            found[i, j] = both / (len(a) + len(b) - both) if a or b else 1.0
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    return {find(i) for i in root}, found
+
+
+def edited(rng, words, edits, tag):
+    out = list(words)
+    for k in rng.choice(len(out), edits, replace=False):
+        out[k] = f"{tag}e{k}"
+    return " ".join(out)
+
+
+def test_near_dedup_finds_pairs_of_every_similarity(spark):
+    """Pairs of 0.80 to 1 in a table where a third of the rows shares a passage, against brute force."""
+    rng, rows = np.random.default_rng(3), []
+    shared = " ".join(f"common{k}" for k in range(12))
+    for n in range(150):
+        words = [f"t{n}w{k}" for k in range(200)]
+        tail = f" {shared}" if n % 3 == 0 else ""
+        rows += [(2 * n, " ".join(words) + tail), (2 * n + 1, edited(rng, words, 1 + n % 6, n) + tail)]
+    kept, pairs = brute_near(rows)
+    bands = collections.Counter(min(int(20 * j), 18) for j in pairs.values())
+    assert bands[16] >= 20 and bands[17] >= 20 and bands[18] >= 20
+    found = {r["doc_id"] for r in simhash.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    missed = collections.Counter(min(int(20 * j), 18) for (_, b), j in pairs.items() if b in found)
+    assert not missed and found == kept
