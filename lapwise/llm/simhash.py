@@ -153,46 +153,17 @@ def links(prints: DataFrame, *, radius: int, parts: int | None = None) -> DataFr
     return tile_pairs(prints, radius, parts).mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def group_near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text", check=None) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach. check may thin the links."""
+def group_near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
     prints = written(fingerprints(docs, words=words, key=key, text=text), "fingerprints")
     distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
     found = links(distinct.where("id IS NOT NULL"), radius=radius)
-    if check is not None:
-        found = check(found)
     groups = components(found)
     known = distinct.join(groups, F.col("id") == F.col("node"), "left").select(F.col("fingerprint").alias("f"), F.coalesce("component", "id").alias("component_id"))
     joined = prints.join(known, F.col("fingerprint") == F.col("f"))
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, found: DataFrame, *, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The links whose texts' sets of shingles have a Jaccard similarity of at least similarity (two empty sets: 1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in tb.text_blocks(batches, "text"):
-            data = tb.LOWER[data]
-            starts, ends, first = tb.word_spans(data, offsets)
-            hashes = tb.word_hashes(data, starts, ends)
-            at, cuts = shingle_spans(first, words)
-            row_end = np.repeat(first[1:], np.diff(cuts))
-            total = np.zeros(len(at), dtype=np.uint64)
-            for k in range(words):
-                inside = at + k < row_end
-                total[inside] = tb.mix(total[inside] + hashes[at[inside] + k])
-            total = total.view(np.int64)
-            sets = [np.unique(total[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "shingles": pa.array(sets, pa.list_(pa.int64()))})
-
-    found = written(found, "candidate-links")
-    wanted = found.select(F.col("a").alias("w")).unionByName(found.select(F.col("b").alias("w"))).distinct()
-    chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, F.col("id") == F.col("w"), "left_semi")
-    sets = written(chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, shingles array<long>"), "shingle-sets")
-    pairs = found.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), words=3, radius=3)
 

@@ -424,3 +424,14 @@ def test_near_dedup_finds_pairs_of_every_similarity(spark):
     found = {r["doc_id"] for r in simhash.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
     missed = collections.Counter(min(int(20 * j), 18) for (_, b), j in pairs.items() if b in found)
     assert not missed and found == kept
+
+
+def test_near_dedup_verifies_before_it_thins(spark):
+    """Families of edited copies near the similarity: a pair counts even where closer fingerprints link both to a third."""
+    rng, rows = np.random.default_rng(5), []
+    for n in range(30):
+        words = [f"f{n}w{k}" for k in range(200)]
+        rows += [(8 * n + k, edited(rng, words, int(rng.integers(1, 4)), f"{n}x{k}")) for k in range(8)]
+    kept, pairs = brute_near(rows)
+    found = {r["doc_id"] for r in simhash.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert len(pairs) > 200 and found == kept
