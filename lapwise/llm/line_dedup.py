@@ -5,16 +5,19 @@ consecutive words, wherever its text breaks. The hash of every rolling line is t
 hashes the minimum (the rightmost on ties) is a fingerprint. WINDOW is RUN - LINE + 1, so two texts that share a run of
 RUN words share a fingerprint inside it.
 
-Fingerprints that occur more than once are joined with their first occurrence (smallest doc_id, then position). That
-occurrence sends along short hashes of the RUN - LINE words on either side. Every other occurrence extends its line both
-ways as far as these agree with its own words, and deletes the match if it has RUN words or more; overlapping deletions
-merge, so longer runs go whole. Nothing else is changed: a text without such a run keeps its bytes, and only the white
-space before a deleted run goes with it.
+So each run of RUN words has one fingerprint, its own window's, and equal runs have equal ones. The runs of a fingerprint
+are neighbours, and its span are the words that they cover.
+
+A run that has an earlier occurrence (smallest doc_id, then position) is deleted, whatever the first text that shares its
+fingerprint holds. Of equal spans all but the first lose all their runs. Where a fingerprint occurs with several spans
+(at the ends of passages), the first of each is resolved run by run: equal runs are in spans of one fingerprint, so the
+first occurrence of a run is in the first occurrence of some span. Overlapping deletions merge, so longer runs go whole.
+Nothing else is changed: a text without such a run keeps its bytes, and only the white space before a deleted run goes
+with it.
 
 Defined cases: null texts stay null and empty texts empty; rows with a null id take no part and keep their text; rows
-that repeat an id and a text count as one text; runs repeated inside a text lose their
-later occurrences; an occurrence is compared with the first occurrence of its fingerprint, so a run that begins with
-a shorter line known from an earlier text is found by its other fingerprints; other columns pass through.
+that repeat an id and a text count as one text; runs repeated inside a text lose their later occurrences; other columns
+pass through.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ from lapwise.llm.scratch import written
 
 RUN, LINE = 50, 25
 WINDOW = RUN - LINE + 1
-SIDE = RUN - LINE
 STEP = np.uint64(0xD6E8FEB86659FD93)
 STEP_INVERSE = np.uint64(pow(int(STEP), -1, 1 << 64))
 
@@ -45,8 +47,8 @@ def line_hashes(words: np.ndarray, line: int = LINE) -> np.ndarray:
     return tb.mix((sums[line:] - sums[:n]) * tb.powers(STEP_INVERSE, n))
 
 
-def winnow(words: np.ndarray, first: np.ndarray, line: int = LINE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Word index and hash of the window minima of each row's line hashes; a row of fewer lines than a window has none."""
+def window_minima(words: np.ndarray, first: np.ndarray, line: int = LINE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of each window of each row, the word index of its minimum, and the line hashes."""
     hashes = line_hashes(words, line)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(hashes)]
     whole = first[1:][row] - np.arange(len(hashes)) >= line if len(hashes) else np.zeros(0, dtype=bool)
@@ -60,7 +62,6 @@ def winnow(words: np.ndarray, first: np.ndarray, line: int = LINE, window: int =
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     minima = np.minimum(low[: len(padded) - window + 1], low[window - span : window - span + len(padded) - window + 1]) if window > span else low
-    chosen = np.zeros(len(padded), dtype=bool)
     at = np.arange(len(minima))
     lines = np.maximum(np.diff(first) - line + 1, 0)
     inside = np.zeros(len(padded), dtype=bool)
@@ -70,11 +71,18 @@ def winnow(words: np.ndarray, first: np.ndarray, line: int = LINE, window: int =
         inside[: len(keys)] &= np.arange(len(keys)) - begin + window <= lines[row]
     full = at[inside[: len(minima)]]
     view = np.lib.stride_tricks.sliding_window_view(padded, window)
+    lowest = np.zeros(len(full), dtype=np.int64)
     for block in range(0, len(full), 1 << 16):
         part = full[block : block + (1 << 16)]
         same = view[part] == minima[part, None]
-        chosen[part + window - 1 - np.argmax(same[:, ::-1], axis=1)] = True
-    found = np.flatnonzero(chosen[: len(keys)])
+        lowest[block : block + (1 << 16)] = part + window - 1 - np.argmax(same[:, ::-1], axis=1)
+    return full, lowest, hashes
+
+
+def winnow(words: np.ndarray, first: np.ndarray, line: int = LINE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Word index and hash of the window minima of each row's line hashes; a row of fewer lines than a window has none."""
+    _, lowest, hashes = window_minima(words, first, line, window)
+    found = np.unique(lowest)
     return found, hashes[found]
 
 
@@ -83,80 +91,83 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, first, tb.word_hashes(data, starts, ends)
 
 
-def _short(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(40)).astype(np.uint16)
+def marks_of(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word index, line hash and span hash of the fingerprints of every row; first word and fingerprint of every run."""
+    full, lowest, hashes = window_minima(words, first)
+    at, begin, which, count = np.unique(lowest, return_index=True, return_inverse=True, return_counts=True)
+    start, end = full[begin], full[begin] + count - 1 + RUN  # a fingerprint's runs are neighbours
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * tb.powers(STEP, len(words)), out=sums[1:])
+    down = tb.powers(STEP_INVERSE, len(words))
+    place = ((at - start) * (2 * RUN) + count).astype(np.uint64)
+    return at, hashes[at], tb.mix(tb.mix((sums[end] - sums[start]) * down[start]) + place), full, which
 
 
 def fingerprints(docs: DataFrame, *, key: str, text: str) -> DataFrame:
-    """hash, id and pos (word index) of the fingerprints of every text."""
+    """hash, id, pos (word index) and span of the fingerprints of every text."""
     chosen = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.text_blocks(batches, "text"):
             _, _, first, hashes = _words(data, offsets)
-            at, found = winnow(hashes, first)
+            at, found, spans, _, _ = marks_of(hashes, first)
             row = np.searchsorted(first, at, side="right") - 1
             ids = part.column("id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict({"hash": pa.array(found.view(np.int64)), "id": pa.array(ids[row].astype(np.int64)), "pos": pa.array((at - first[row]).astype(np.int32))})
-
-    return chosen.mapInArrow(run, "hash long, id long, pos int")
-
+            yield pa.RecordBatch.from_pydict({"hash": pa.array(found.view(np.int64)), "id": pa.array(ids[row].astype(np.int64)), "pos": pa.array((at - first[row]).astype(np.int32)), "span": pa.array(spans.view(np.int64))})
 
-def _sides(hashes: np.ndarray, lo: int, hi: int, pos: np.ndarray) -> np.ndarray:
-    """Short hashes of the SIDE words before (nearest first) and after the lines at pos of the row lo..hi; 0 outside."""
-    short = np.maximum(_short(hashes[lo:hi]), 1)
-    steps = np.arange(SIDE)
-    at = np.concatenate([pos[:, None] - 1 - steps, pos[:, None] + LINE + steps], axis=1)
-    ok = (at >= 0) & (at < hi - lo)
-    return np.where(ok, short[np.clip(at, 0, max(hi - lo - 1, 0))], 0).astype(np.uint16)
+    return chosen.mapInArrow(run, "hash long, id long, pos int, span long")
 
 
-def _present(words: np.ndarray, pos: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """True where the text's line at pos has this hash (rows that repeat an id may have other texts)."""
-    own = line_hashes(words).view(np.int64)
-    ok = pos < len(own)
-    ok[ok] = own[pos[ok]] == hashes[ok]
-    return ok
+def _chosen(mine: np.ndarray, hashes: np.ndarray, wanted: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which of a row's places (ascending, with hashes) are among pos with the wanted hash: rows that repeat an id may have other texts."""
+    out = np.zeros(len(mine), dtype=bool)
+    if len(mine):
+        at = np.minimum(np.searchsorted(mine, pos), len(mine) - 1)
+        out[at[(mine[at] == pos) & (hashes[at] == wanted)]] = True
+    return out
 
 
-def contexts(docs: DataFrame, firsts: DataFrame, *, key: str, text: str) -> DataFrame:
-    """hash and sides of each first occurrence (hash, id, pos): short hashes of the words around it."""
-    wanted = firsts.groupBy(F.col("id").alias("w")).agg(F.collect_list(F.struct("hash", "pos")).alias("at"))  # at most a text's fingerprints
-    chosen = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, F.col("id") == F.col("w")).select("text", F.col("at.hash").alias("hash"), F.col("at.pos").alias("pos"))
+def runs_of(docs: DataFrame, marks: DataFrame, *, key: str, text: str) -> DataFrame:
+    """hash, id and pos of every run of RUN words of the marks (id, pos, span)."""
+    wanted = marks.groupBy(F.col("id").alias("w")).agg(F.collect_set(F.struct("span", "pos")).alias("at"))  # at most a text's fingerprints
+    chosen = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, F.col("id") == F.col("w")).select("id", "text", F.col("at.span").alias("span"), F.col("at.pos").alias("pos"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.text_blocks(batches, "text"):
             _, _, first, hashes = _words(data, offsets)
-            keys, sides = [], []
-            for r, (h, p) in enumerate(zip(part.column("hash"), part.column("pos"), strict=True)):
-                pos = np.asarray(p.values)
-                ok = _present(hashes[first[r] : first[r + 1]], pos, np.asarray(h.values))
-                keys.append(np.asarray(h.values)[ok])
-                sides.append(_sides(hashes, first[r], first[r + 1], pos[ok]))
-            yield pa.RecordBatch.from_pydict({"hash": pa.array(np.concatenate(keys)), "sides": pa.array([s.tobytes() for s in np.concatenate(sides)], pa.binary())})
+            at, _, spans, full, which = marks_of(hashes, first)
+            cuts = np.searchsorted(at, first)
+            marked = [_chosen(at[a:b] - first[r], spans[a:b].view(np.int64), np.asarray(h.values), np.asarray(p.values)) for r, (a, b, h, p) in enumerate(zip(cuts[:-1], cuts[1:], part.column("span"), part.column("pos"), strict=True))]
+            begin = full[np.concatenate(marked)[which]]
+            row = np.searchsorted(first, begin, side="right") - 1
+            found = line_hashes(hashes, RUN)[begin] if len(begin) else np.zeros(0, dtype=np.uint64)
+            ids = part.column("id").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pydict({"hash": pa.array(found.view(np.int64)), "id": pa.array(ids[row].astype(np.int64)), "pos": pa.array((begin - first[row]).astype(np.int32))})
 
-    return chosen.mapInArrow(run, "hash long, sides binary")
+    return chosen.mapInArrow(run, "hash long, id long, pos int")
 
 
-def agreement(own: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words that agree before and after each line."""
-    same = (own == theirs) & (own != 0)
-    run = lambda x: np.where(x.all(axis=1), x.shape[1], np.argmin(x, axis=1))
-    return run(same[:, :SIDE]), run(same[:, SIDE:])
+def later_of(marks: DataFrame, name: str) -> DataFrame:
+    """Those of marks (hash, id, pos) that are not the first occurrence of their hash."""
+    firsts = marks.groupBy("hash").agg(F.min(F.struct("id", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = written(firsts.select("hash", F.col("f.id").alias("first_id"), F.col("f.pos").alias("first_pos")), name)  # as a table, Spark can split the join of a very common line
+    return marks.join(firsts, "hash").where("id <> first_id OR pos <> first_pos").select("hash", "id", "pos")
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", out_words: str | None = None) -> DataFrame:
     """docs without the later repeats; out_words: a column for the number of words deleted."""
     marks = written(fingerprints(docs, key=key, text=text), "line-fingerprints")
-    firsts = marks.groupBy("hash").agg(F.min(F.struct("id", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = written(firsts.select("hash", F.col("f.id").alias("id"), F.col("f.pos").alias("pos")), "line-firsts")
-    sides = written(contexts(docs, firsts, key=key, text=text), "line-contexts").groupBy("hash").agg(F.min("sides").alias("sides"))
-    heads = written(firsts.join(sides, "hash").select("hash", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"), "sides"), "line-heads")  # as a table, Spark can split the join of a very common line
-    later = marks.join(heads, "hash").where("id <> first_id OR pos <> first_pos")
-    lists = later.groupBy(F.col("id").alias("repeat_id")).agg(F.collect_list(F.struct("hash", "pos", "sides")).alias("repeats"))  # at most a text's fingerprints
+    shared = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).where("n > 1")
+    shared = written(shared.select("hash", (F.col("low") != F.col("high")).alias("mixed")), "line-shared")  # as a table, Spark can split the join of a very common line
+    marks = written(marks.join(shared, "hash").select(F.col("span").alias("hash"), "id", "pos", "mixed"), "line-spans")
+    mixed = marks.where("mixed").groupBy("hash").agg(F.min(F.struct("id", "pos")).alias("f")).select(F.col("hash").alias("span"), "f.id", "f.pos")
+    runs = written(runs_of(docs, mixed, key=key, text=text), "line-runs")
+    whole = later_of(marks, "span-firsts").withColumn("whole", F.lit(True))
+    later = whole.unionByName(later_of(runs, "run-firsts").withColumn("whole", F.lit(False)))
+    lists = later.groupBy(F.col("id").alias("repeat_id")).agg(F.collect_set(F.struct("hash", "pos", "whole")).alias("repeats"))  # at most a text's words
     own = docs.columns
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if c != text] or [F.lit(True).alias("none")]).alias("row"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    joined = carried.join(lists, F.col("id") == F.col("repeat_id"), "left").select("row", "text", F.col("repeats.hash").alias("hash"), F.col("repeats.pos").alias("pos"), F.col("repeats.sides").alias("sides"))
+    joined = carried.join(lists, F.col("id") == F.col("repeat_id"), "left").select("row", "text", F.col("repeats.hash").alias("hash"), F.col("repeats.pos").alias("pos"), F.col("repeats.whole").alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.text_blocks(batches, "text"):
@@ -164,23 +175,23 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             marked = [r for r, p in enumerate(part.column("pos")) if p.is_valid]
             if marked:
                 starts, ends, first, hashes = _words(data, offsets)
+                at, _, spans, full, which = marks_of(hashes, first)
+                runs, cuts, of = line_hashes(hashes, RUN), np.searchsorted(at, first), np.searchsorted(full, first)
                 for r in marked:
-                    pos = np.asarray(part.column("pos")[r].values)
-                    theirs = np.frombuffer(b"".join(part.column("sides")[r].as_py()), dtype=np.uint16).reshape(len(pos), 2 * SIDE)
-                    ok = _present(hashes[first[r] : first[r + 1]], pos, np.asarray(part.column("hash")[r].values))
-                    pos, theirs = pos[ok], theirs[ok]
-                    before, after = agreement(_sides(hashes, first[r], first[r + 1], pos), theirs)
-                    long = before + LINE + after >= RUN
-                    n = first[r + 1] - first[r]
-                    edge = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(edge, (pos - before)[long], 1)
-                    np.add.at(edge, np.minimum((pos + LINE + after)[long], n), -1)
+                    wanted, pos, whole = (np.asarray(part.column(c)[r].values.to_numpy(zero_copy_only=False)) for c in ("hash", "pos", "whole"))
+                    a, b, begin = cuts[r], cuts[r + 1], full[of[r] : of[r + 1]]
+                    gone_marks = _chosen(at[a:b] - first[r], spans[a:b].view(np.int64), wanted[whole], pos[whole])
+                    gone_runs = _chosen(begin - first[r], runs[begin].view(np.int64), wanted[~whole], pos[~whole])
+                    pos = begin[gone_marks[which[of[r] : of[r + 1]] - a] | gone_runs] - first[r]
+                    edge = np.zeros(first[r + 1] - first[r] + 1, dtype=np.int64)
+                    np.add.at(edge, pos, 1)
+                    np.add.at(edge, pos + RUN, -1)
                     dead = np.cumsum(edge[:-1]) > 0
                     if dead.any():
                         s, e = starts[first[r] : first[r + 1]], ends[first[r] : first[r + 1]]
                         keep = np.ones(offsets[r + 1] - offsets[r], dtype=bool)
-                        runs = np.flatnonzero(np.diff(np.concatenate([[0], dead.astype(np.int8), [0]])))
-                        for a, b in zip(runs[::2].tolist(), runs[1::2].tolist(), strict=True):
+                        turns = np.flatnonzero(np.diff(np.concatenate([[0], dead.astype(np.int8), [0]])))
+                        for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
                             keep[(e[a - 1] if a else offsets[r]) - offsets[r] : e[b - 1] - offsets[r]] = False
                         texts[r] = data[offsets[r] : offsets[r + 1]][keep].tobytes().decode()
                         gone[r] = int(dead.sum())

@@ -435,3 +435,21 @@ def test_near_dedup_verifies_before_it_thins(spark):
     kept, pairs = brute_near(rows)
     found = {r["doc_id"] for r in simhash.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
     assert len(pairs) > 200 and found == kept
+
+
+def test_line_dedup_equals_brute_force(spark):
+    """Runs whose fingerprint occurs first in a text that holds less than the run; then a whole table, exactly."""
+    rng = np.random.default_rng(4)
+    rows, at = [], 0
+    for n in range(12):
+        passage = [f"p{n}w{k}" for k in range(50 + n)]
+        cut = int(rng.integers(0, len(passage) - 40))
+        for part in (passage[cut : cut + 40], passage, passage, passage + passage):
+            rows.append((at, " ".join([f"b{at}x{k}" for k in range(30)] + part + [f"a{at}x{k}" for k in range(30)])))
+            at += 1
+    rows.append((at, "again " * 120))
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for made in (spark.createDataFrame(rows, "doc_id long, text string"), table):
+        want = brute_removed([(r["doc_id"], r["text"]) for r in made.collect()])
+        found = {r["doc_id"]: WORD.findall(r["text"] or "") for r in line_dedup.remove_repeats(made).collect()}
+        assert found == want
