@@ -79,3 +79,31 @@ def b10(spark, d):
 SELECT t, product(1 - events / at_risk) OVER (ORDER BY t) AS survival FROM r""", "survival")
 def b05_curve(spark, d):
     return V.km_curve(durations(spark, d).where("compound = 'SOFT'"), ["compound"], "duration", "observed").select("t", "survival")
+
+
+@query("b01_component_averages_whole", f"WITH a AS (SELECT context, entity, avg(fuel) AS fuel, avg(wear) AS wear, avg(trend) AS trend, avg(effect) AS effect FROM {DECOMPOSED} GROUP BY context, entity) SELECT context, entity, 'fuel' AS component, 1 AS place, 0.0 AS start, fuel AS finish FROM a UNION ALL SELECT context, entity, 'wear', 2, fuel, fuel + wear FROM a UNION ALL SELECT context, entity, 'trend', 3, fuel + wear, fuel + wear + trend FROM a UNION ALL SELECT context, entity, 'effect', 4, fuel + wear + trend, fuel + wear + trend + effect FROM a", "start finish")
+def b01_whole(spark, d):
+    means = decomposition(panel_e(spark, d)).groupBy("context", "entity").agg(*[F.avg(c).alias(c) for c in PARTS])
+    return S.waterfall(means, ["context", "entity"], PARTS)
+
+
+@query("b04_gantt_whole", f"""WITH s AS (SELECT context, entity, step AS e FROM {E} WHERE event_type = 'signup' UNION ALL SELECT DISTINCT context, entity, NULL FROM {E}), n AS (SELECT context, entity, count(*) AS total FROM {E} GROUP BY ALL)
+SELECT context, entity, row_number() OVER w AS span, coalesce(lag(e) OVER w + 1, 1) AS start, coalesce(e, total) AS finish FROM s JOIN n USING (context, entity) WINDOW w AS (PARTITION BY context, entity ORDER BY e NULLS LAST)""")
+def b04_whole(spark, d):
+    panel, by = panel_e(spark, d), ["context", "entity"]
+    ends = panel.where("event_type = 'signup'").select(*by, F.col("step").alias("end")).unionByName(panel.select(*by).distinct().withColumn("end", F.lit(None).cast("long")))
+    rows = W.spans(ends.join(panel.groupBy(*by).agg(F.count(F.lit(1)).alias("total")), by), by, "end", "total")
+    return rows.select(*by, F.col("span").cast("long").alias("span"), "start", "finish")
+
+
+@query("b05_survival_curve_whole", f"""WITH t AS {TABLE}, k AS (SELECT compound, duration AS t, count(*) FILTER (WHERE observed) AS events, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY compound ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS at_risk FROM k)
+SELECT compound, t, product(1 - events / at_risk) OVER (PARTITION BY compound ORDER BY t) AS survival FROM r""", "survival")
+def b05_curve_whole(spark, d):
+    return V.km_curve(durations(spark, d), ["compound"], "duration", "observed").select("compound", "t", "survival")
+
+
+@query("b06_scenario_standings_whole", f"""WITH g AS (SELECT context, grp, median(value) - avg(median(value)) OVER (PARTITION BY context) AS effect FROM {E} GROUP BY context, grp), s AS (SELECT e.context, h.grp AS host, e.entity, avg(e.value - o.effect + h.effect) AS pace FROM {E} e JOIN g o ON o.context = e.context AND o.grp = e.grp JOIN g h ON h.context = e.context GROUP BY ALL)
+SELECT context, host, entity, pace, CAST(rank() OVER (PARTITION BY context, host ORDER BY round(pace, 9)) AS BIGINT) AS place FROM s""", "pace")
+def b06_whole(spark, d):
+    rows = counterfactual(panel_e(spark, d)).groupBy("context", "host", "entity").agg(F.avg("swapped").alias("pace"))
+    return rows.withColumn("place", F.rank().over(W.over(["context", "host"]).orderBy(F.round("pace", 9))).cast("long")).select("context", "host", "entity", "pace", "place")

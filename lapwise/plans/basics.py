@@ -257,6 +257,12 @@ def o03(spark, d):
     return S.top_k(rows, [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], 50).select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), "l_extendedprice")
 
 
+@query("o03_top_k_whole", "SELECT l_returnflag, l_orderkey, CAST(l_linenumber AS BIGINT) AS line, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 50")
+def o03_whole(spark, d):
+    rows = top_per_group(table(spark, d, "lineitem"), ["l_returnflag"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 50)
+    return rows.select("l_returnflag", "l_orderkey", F.col("l_linenumber").cast("long").alias("line"), "l_extendedprice")
+
+
 TOP = f"(SELECT period, entity, sum(value) AS a, count(*) AS b FROM {O} GROUP BY period, entity)"
 
 

@@ -105,6 +105,16 @@ def st01(spark, d) -> DataFrame:
     return spark.read.parquet(f"{path}/out")
 
 
+@query("st01_event_payloads_whole", """SELECT CAST(user_id AS VARCHAR) AS key, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS value FROM events""")
+def st01_whole(spark, d) -> DataFrame:
+    path = scratch(spark)
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    events.write.parquet(f"{path}/in")
+    stream = R.step_stream(spark, f"{path}/in", events.schema)
+    R.replay(stream, f"{path}/out", f"{path}/checkpoint", stage=lambda s: R.event_payloads(s, "user_id", ["event_id", "event_type"]))
+    return spark.read.parquet(f"{path}/out")
+
+
 @query("st02_staged_stream", "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS entity, event_id * 1000000 / 1e9 AS seconds FROM events", "seconds")
 def st02(spark, d) -> DataFrame:
     path = scratch(spark)
