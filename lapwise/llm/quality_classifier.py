@@ -67,6 +67,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta
 
 
+def one_text(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, y and text of the chosen (doc_id, y), a row each: of the texts that repeat an id, the first by hash."""
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", per_class: int = 2000, dictionary_bytes: int = 112 << 10) -> CompressionModel:
     """Fit on at most per_class labelled documents of each class, those first by hash of doc_id, in one task."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -76,7 +82,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", per_
         return CompressionModel(prior)
     order = F.xxhash64("doc_id")
     chosen = marked.where("y = 0").orderBy(order, "doc_id").limit(per_class).unionByName(marked.where("y = 1").orderBy(order, "doc_id").limit(per_class))
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", order.alias("turn"), "text")  # 2 * per_class rows at most
+    sample = one_text(documents, chosen).select("y", order.alias("turn"), "text")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((t, y, (s or "").encode()) for b in batches for y, t, s in zip(*(b.column(c).to_pylist() for c in ("y", "turn", "text")), strict=True))
@@ -92,7 +98,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", per_
             model.weights = tuple(_logistic(x, y, weight)) if 0 < y.sum() < len(y) else ()
         yield pa.RecordBatch.from_pydict({"good": pa.array([model.good], pa.binary()), "bad": pa.array([model.bad], pa.binary()), "weights": pa.array([list(model.weights)], pa.list_(pa.float64()))})
 
-    got = sample.coalesce(1).mapInArrow(train, "good binary, bad binary, weights array<double>").collect()
+    got = sample.repartition(1).mapInArrow(train, "good binary, bad binary, weights array<double>").collect()
     return CompressionModel(prior, bytes(got[0]["good"]), bytes(got[0]["bad"]), tuple(got[0]["weights"])) if got else CompressionModel(prior)
 
 

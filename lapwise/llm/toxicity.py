@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lapwise.llm import textblocks as tb
+from lapwise.llm.quality_classifier import one_text
 
 TOKEN_BYTES = np.full(256, 0x20, dtype=np.uint8)
 for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
@@ -89,7 +90,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", per_cl
         return ToxicityModel(bits, math.log((share + 1e-6) / (1 - share + 1e-6)), np.zeros(0, dtype=np.int64), np.zeros(0))
     order = F.xxhash64("doc_id")
     chosen = marked.where("y = 0").orderBy(order, "doc_id").limit(per_class).unionByName(marked.where("y = 1").orderBy(order, "doc_id").limit(per_class))
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows at most
+    sample = one_text(documents, chosen)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.text_blocks(batches, "text"):
@@ -113,8 +114,10 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", per_cl
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(part, -1) if not k else part, pa.int64()), "weight": pa.array(np.append(dense[part], bias) if not k else dense[part], pa.float64())})
 
     kept = {k: min(n, per_class) for k, n in counts.items()}
-    got = sample.mapInArrow(extract, "doc_id long, y int, buckets binary").coalesce(1).mapInArrow(train, "bucket long, weight double").toArrow()
+    got = sample.mapInArrow(extract, "doc_id long, y int, buckets binary").repartition(1).mapInArrow(train, "bucket long, weight double").toArrow()
     bucket, weight = got.column("bucket").to_numpy(), got.column("weight").to_numpy()
+    if not len(weight):  # no labelled document is there
+        bucket, weight = np.array([-1]), np.zeros(1)
     shift = math.log(counts[1] / counts[0]) - math.log(kept[1] / kept[0])
     order_by = np.argsort(bucket, kind="stable")
     bucket, weight = bucket[order_by], weight[order_by]

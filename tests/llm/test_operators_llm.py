@@ -453,3 +453,15 @@ def test_line_dedup_equals_brute_force(spark):
         want = brute_removed([(r["doc_id"], r["text"]) for r in made.collect()])
         found = {r["doc_id"]: WORD.findall(r["text"] or "") for r in line_dedup.remove_repeats(made).collect()}
         assert found == want
+
+
+@pytest.mark.parametrize("module", [quality_classifier, toxicity])
+def test_classifiers_take_one_text_of_a_repeated_id(spark, module, monkeypatch):
+    """One labelled id that holds most rows gives one training row."""
+    rows = [(i, f"good prose number {i} with calm words", 1) for i in range(8)] + [(i, f"JUNK!! idiot {i} $$$ ###", 0) for i in range(8, 16)]
+    texts = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, f"copy {k} of an id") for k in range(500)], "doc_id long, text string")
+    name, seen = "quality" if module is quality_classifier else "toxic", []
+    original = module.one_text
+    monkeypatch.setattr(module, "one_text", lambda *a: seen.append(original(*a)) or seen[-1])
+    module.fit(texts, spark.createDataFrame([(i, y) for i, _, y in rows], f"doc_id long, {name} int"))
+    assert sorted(r["doc_id"] for r in seen[0].collect()) == list(range(16))
