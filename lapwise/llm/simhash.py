@@ -157,9 +157,10 @@ def group_near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 3, k
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
     prints = written(fingerprints(docs, words=words, key=key, text=text), "fingerprints")
     distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
-    found = links(distinct.where("id IS NOT NULL"), radius=radius)
-    groups = components(found)
-    known = distinct.join(groups, F.col("id") == F.col("node"), "left").select(F.col("fingerprint").alias("f"), F.coalesce("component", "id").alias("component_id"))
+    groups = components(links(distinct.select("fingerprint", F.col("fingerprint").alias("id")), radius=radius))
+    placed = written(distinct.join(groups, F.col("fingerprint") == F.col("node"), "left").select(F.col("fingerprint").alias("f"), "id", F.coalesce("component", "fingerprint").alias("c")), "placed-fingerprints")
+    least = placed.groupBy("c").agg(F.min("id").alias("component_id"))
+    known = placed.select("f", "c").join(least, "c").select("f", "component_id")
     joined = prints.join(known, F.col("fingerprint") == F.col("f"))
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 

@@ -465,3 +465,19 @@ def test_classifiers_take_one_text_of_a_repeated_id(spark, module, monkeypatch):
     monkeypatch.setattr(module, "one_text", lambda *a: seen.append(original(*a)) or seen[-1])
     module.fit(texts, spark.createDataFrame([(i, y) for i, _, y in rows], f"doc_id long, {name} int"))
     assert sorted(r["doc_id"] for r in seen[0].collect()) == list(range(16))
+
+
+def test_null_and_repeated_ids_take_part_by_their_text(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "other words of a third kind here"
+    rows = [(None, a), (None, a), (4, a), (3, b), (3, b), (3, c), (None, "alone in the world of null ids")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.near_dedup_stage(spark, table, SF).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept) == {(4, a): 1, (3, b): 1, (3, c): 1, (None, rows[-1][1]): 1}
+
+
+def test_simhash_null_ids_bridge(spark, monkeypatch):
+    """Fingerprints 0, 3 bits, 6 bits apart: the middle one is held by null ids alone and joins the outer two."""
+    rows = spark.createDataFrame([(1, 0), (None, 7), (2, 63), (None, 1 << 40 | 0xFF00), (5, -1)], "doc_id long, fingerprint long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, **_: docs)
+    found = {(r["doc_id"], int(r["fingerprint"], 16)): r["component_id"] for r in simhash.group_near_duplicates(rows).collect()}
+    assert found == {(1, 0): 1, (None, 7): 1, (2, 63): 1, (None, 1 << 40 | 0xFF00): None, (5, (1 << 64) - 1): 5}
