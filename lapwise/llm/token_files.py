@@ -12,13 +12,13 @@ its own per attempt to the shared folder, and only the files that the manifest (
 executors and repeated attempts leave nothing wrong behind. Starts are prefix sums over the shards' totals.
 
 Defined cases: null texts count as empty and give the end id alone; rows that repeat an id are documents of their own,
-ordered by text; null ids come first; an empty table gives no file and an empty result.
+ordered by text; null ids come first; an empty table gives no file and an empty result; an added token's string in a text
+is that token, as the library has it; columns beside the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -32,17 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lapwise.llm import textblocks as tb
+from lapwise.llm.pieces import SPACES, PieceTable, gather
 from lapwise.llm.scratch import fresh_path, written
 
 MAGIC = b"LWTOKS01"
 ENTRY = np.dtype([("number", "<u8"), ("offset", "<u8"), ("size", "<u4"), ("n", "<u4"), ("crc", "<u4")])
 FOOTER = struct.Struct("<QI8s")
 SHARD_BYTES = 32 << 20
-WORDS_KEPT = 1_500_000
-SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-STOPS = ".,;:!?"
-#: Between these pieces a byte-level pre-tokenizer always cuts: a run of white space begins a new word.
-PIECES = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+WORDS_KEPT = 1_000_000
+BLOCK_BYTES = 6 << 20
 
 
 def open_at(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -103,11 +101,10 @@ class FileReader:
 
 
 class PieceTokenizer:
-    """The tokenizers library on pieces between white space, each piece once in a while; equal to encoding whole texts.
+    """The tokenizers library on pieces of texts, each piece once in a while; equal to encoding whole texts.
 
-    A stop after a letter is a pre-token of its own, so "word," takes the ids of "word" and of ",". New pieces that begin
-    with white space and end without are encoded many to a string, since the pre-tokenizer cuts between them; the ids of
-    each are found by the byte lengths of the tokens.
+    New pieces that begin with white space are encoded many to a string, since the pre-tokenizer cuts between them; the ids
+    of each are found by the byte lengths of the tokens. A text that holds an added token's string goes to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -115,46 +112,52 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
         vocabulary = self.tool.get_vocab(with_added_tokens=False)
         self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         self.lengths[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a character of a byte-level token is a byte
-        self.met: dict[str, bytes] = {}
-
-    def _one_by_one(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 10_000):
-            part = pieces[at : at + 10_000]
-            found = self.tool.encode_batch_fast(part, add_special_tokens=False)
-            self.met.update(zip(part, [np.array(e.ids, dtype="<u4").tobytes() for e in found], strict=True))
-
-    def _together(self, pieces: list[str], count: int = 4000) -> None:
-        for at in range(0, len(pieces), count):
-            part = pieces[at : at + count]
-            ids = np.array(self.tool.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum(self.lengths[ids])
-            stops = np.cumsum(np.fromiter((len(p.encode()) for p in part), dtype=np.int64, count=len(part)))
-            cuts = np.searchsorted(ends, stops) + 1
-            if len(ends) == 0 or cuts[-1] != len(ends) or not np.array_equal(ends[cuts - 1], stops):
-                self._one_by_one(part)  # a tokenizer that changes its input
-                continue
-            raw, cuts = ids.tobytes(), (4 * np.concatenate([[0], cuts])).tolist()
-            self.met.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [PIECES.findall(t) for t in texts]
-        met = set(chain.from_iterable(split))
-        if unknown := met.difference(self.met):
-            if len(self.met) > WORDS_KEPT:
-                self.met.clear()
-                unknown = met
-            cut = {p: core for p in unknown if (core := p.rstrip(STOPS)) and core != p and core[-1].isalpha()}
-            wanted = {*unknown.difference(cut), *cut.values(), *(p[len(core) :] for p, core in cut.items())}.difference(self.met)
-            joined = {p for p in wanted if p[0] in SPACE and p[-1] not in SPACE}
-            self._together(list(joined))
-            self._one_by_one(list(wanted.difference(joined)))
-            self.met.update({p: self.met[core] + self.met[p[len(core) :]] for p, core in cut.items()})
-        get = self.met.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        self.added = [t.content.encode() for t in self.tool.get_added_tokens_decoder().values()]
+        self.table = PieceTable(self._learn, WORDS_KEPT)
+
+    def _one_by_one(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tool.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), dtype=np.int32), np.array(list(map(len, found)), dtype=np.int64)
+
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tool.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, dtype=np.int32)
+        known = ids < len(self.lengths)
+        ends = np.cumsum(np.where(known, self.lengths[np.where(known, ids, 0)], 0))
+        stops = np.cumsum(list(map(len, pieces)))
+        cuts = np.searchsorted(ends, stops) + 1
+        if not len(ends) or cuts[-1] != len(ends) or not np.array_equal(ends[cuts - 1], stops):
+            return self._one_by_one(pieces)  # a tokenizer that changes its input
+        return ids, np.diff(cuts, prepend=0)
+
+    def _learn(self, pieces: list[bytes], count: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and how many each has."""
+        apart = [k for k, p in enumerate(pieces) if not tb.WHITE[p[0]] or tb.WHITE[p[-1]] or p[-1] >= 0x80 and p.decode()[-1] in SPACES]
+        joined = np.delete(np.arange(len(pieces)), apart).tolist()
+        found = [encode([pieces[k] for k in places[at : at + count]]) for places, encode in ((joined, self._together), (apart, self._one_by_one)) for at in range(0, len(places), count)]
+        flat, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        place = np.argsort(np.array(joined + apart))
+        return gather(flat, (np.cumsum(sizes) - sizes)[place], sizes[place]), sizes[place]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8 bytes and row offsets) one after another, and where each row's begin."""
+        ids, cuts = self.table.encode(data, offsets)
+        raw, whole = data.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, side="right")) - 1
+                if at + len(token) <= offsets[row + 1]:
+                    whole.add(row)
+                at = raw.find(token, at + 1)
+        if not whole:
+            return ids, cuts
+        rows = np.split(ids, cuts[1:-1])
+        for row in whole:
+            rows[row] = self._one_by_one([raw[offsets[row] : offsets[row + 1]]])[0]
+        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
 
 _TOOLS: dict[str, PieceTokenizer] = {}
@@ -179,16 +182,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
             return {"part": part_no, "shard": shard, "uri": uri, "documents": len(ids_of), "tokens": tokens, "ids": list(ids_of)}
 
         part_no = 0
-        for part, _, _ in tb.text_blocks(batches, "text"):
+        for part, data, offsets in tb.text_blocks(batches, "text", BLOCK_BYTES):
             part_no = part.column("part")[0].as_py()
-            encoded = tool.encode([t or "" for t in part.column("text").to_pylist()])
-            for doc, ids in zip(part.column("id").to_pylist(), encoded, strict=True):
+            flat, cuts = tool.encode(data, offsets)
+            raw, cuts = flat.astype("<u4").tobytes(), (4 * cuts).tolist()
+            for doc, begin, stop in zip(part.column("id").to_pylist(), cuts[:-1], cuts[1:], strict=True):
                 if out is None:
                     uri = f"{folder}/part-{part_no:06d}-{shard:05d}-{attempt}.lwtok"
                     out, tokens, ids_of = FileWriter(uri), 0, []
-                out.add(number, ids + end)
+                out.add(number, raw[begin:stop] + end)
                 number += 1
-                tokens += len(ids) // 4 + 1
+                tokens += (stop - begin) // 4 + 1
                 ids_of.append(doc)
                 if out.at >= shard_bytes:
                     rows.append(closed())
@@ -221,7 +225,7 @@ def read_token_files(manifest: DataFrame, *, key: str = "doc_id") -> DataFrame:
                     start += int(sizes.sum())
                     yield pa.RecordBatch.from_arrays([docs.slice(at, len(frames)), pa.array(starts), pa.array(frames, pa.binary())], names=[key, "start", "ids"])
 
-    spread = shards.repartition(F.col("uri"))
+    spread = shards.repartition(max(1, manifest.count()), "uri")  # a number is kept: as many tasks as shards
     return spread.mapInArrow(run, f"{key} {kind}, start long, ids binary")
 
 

@@ -54,6 +54,12 @@ def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def arrow_text(texts):
+    """UTF-8 bytes and row offsets of texts."""
+    parts = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(parts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
 def tiktoken_encoding():
     import tiktoken
 
@@ -87,7 +93,6 @@ def test_token_files_round_trip(spark, docs, nothing):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(JSON)
-    tool.encode_special_tokens = True
     manifest = written(token_files.write_token_files(docs, fresh_path(spark, "t"), JSON, end_id=2, shard_bytes=200), "m")
     found = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r["start"])
     start = 0
@@ -103,13 +108,12 @@ def test_pieces_equal_whole_texts():
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(JSON)
-    tool.encode_special_tokens = True
     rng = np.random.default_rng(0)
-    letters = list("    \t\n\r\x1c\x1d\x85\u2003\u1680 aAbz'sT09²ñ文字!?.,;:-_=|é́😀") + ["'re", "<|endoftext|>", "the", " of"]
-    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(2000)]
-    found = token_files.PieceTokenizer(JSON).encode(texts)
-    for text, ids in zip(texts, found, strict=True):
-        assert np.frombuffer(ids, dtype="<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
+    letters = list("    \t\n\r\x1c\x1d\x85\xa0\u2003\u1680\u3000 aAbz'sT09²ñ文字!?.,;:-_=|é×÷é́😀") + ["'re", "<|endoftext|>", "the", " of"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(4000)] + ["word " * 200_000]
+    ids, cuts = token_files.PieceTokenizer(JSON).encode(*arrow_text(texts))
+    for text, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True):
+        assert ids[a:b].tolist() == tool.encode(text, add_special_tokens=False).ids
 
 
 def test_token_file_reads_one_frame_and_checks_it(tmp_path):
@@ -378,9 +382,15 @@ def test_winnowing_guarantee():
 
 
 def test_crc_of_ids_matches(spark):
-    for r in token_files.op2_token_files(spark, SF).limit(5).collect():
-        assert r["n_tokens"] >= 1 and 0 <= r["ids_crc32"] < 1 << 32
-    assert zlib.crc32(b"") == 0
+    from tokenizers import Tokenizer
+
+    tool, start = Tokenizer.from_file(JSON), 0
+    found = {r["doc_id"]: r for r in token_files.op2_token_files(spark, SF).collect()}
+    for doc in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        ids = np.array([*tool.encode(doc["text"] or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        r = found[doc["doc_id"]]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
 
 
 def brute_near(rows, words=5):
