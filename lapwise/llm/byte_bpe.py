@@ -1,10 +1,16 @@
 """Byte-level BPE encoding and decoding with DuckDB queries inside tasks.
 
-Encoding: texts are cut by the tokenizer's pattern. Of each block of rows, the words not met before become a table of
-token positions; a recursive query joins neighbouring tokens with the merge table and contracts each word's leftmost
-pair of minimum rank until no pair is left. Words met are kept in a dictionary of a bounded size, so that a word costs
-DuckDB once in a while and a lookup otherwise. Decoding: the ids of a block of rows are token positions too, joined with
-the vocabulary and put together by an ordered aggregation.
+Encoding: texts are cut into pieces, and new pieces by the tokenizer's pattern into words. The words of a block of rows
+become a table of token positions; a recursive query joins neighbouring tokens with the merge table and contracts each
+word's leftmost pair of minimum rank until no pair is left. Pieces met are kept in a table of a bounded size, so that a
+piece costs DuckDB once in a while and a lookup otherwise. Decoding: the ids of a block of rows are token positions too,
+joined with the vocabulary and put together by an ordered aggregation.
+
+Words of over LONG_WORD bytes contract many pairs a round, those that the one-by-one order must contract as they stand: a
+pair whose rank is the least within reach of it on both sides, reach being more bytes than any token has that can occur in
+the word. A pair of lower rank beyond reach cannot come near before, since a token that grew that far would be longer. Of
+pairs of equal rank within reach all count if the merged token makes no pair of lower rank with any token of the
+vocabulary ("calm"), else the leftmost; of overlapping ones every other, from the left.
 
 The vocabulary comes from a rank file whose path is a parameter; the driver reads it and broadcasts the merge table,
 whose size is fixed by the vocabulary.
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import re
+import tempfile
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
@@ -30,27 +37,50 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lapwise.llm import textblocks as tb
+from lapwise.llm.pieces import PieceTable, gather
 
 BLOCK_BYTES = 4 << 20
-WORDS_KEPT = 600_000
+PIECES_KEPT = 1_000_000
+LONG_WORD = 200
+BYTES_AT_ONCE = 300_000
+GRAM = 6
 
+#: A merged pair is the row of its right token; the row of its left token goes.
 ENCODE_SQL = """
 WITH RECURSIVE step(word, pos, token, following, done) AS (
     SELECT word, pos, token, following, false FROM seed
     UNION ALL
-    SELECT word, pos, CASE WHEN key = best THEN merged ELSE token END,
-        CASE WHEN key = best THEN after_next WHEN next_key = best THEN next_merged ELSE following END, best IS NULL
+    SELECT s.word, CASE WHEN s.pos > b.at THEN s.pos - 1 ELSE s.pos END, CASE WHEN s.pos = b.at + 1 THEN b.merged ELSE s.token END,
+        CASE WHEN s.pos = b.at - 1 THEN b.merged ELSE s.following END, b.at IS NULL
+    FROM step s LEFT JOIN (
+        SELECT word, (min(key) % 1048576)::INTEGER AS at, (min(key) // 1048576)::INTEGER AS merged
+        FROM (SELECT word, merged::BIGINT * 1048576 + pos AS key FROM step JOIN merges ON l = token AND r = following WHERE NOT done) GROUP BY word) b ON b.word = s.word
+    WHERE NOT s.done AND (b.at IS NULL OR s.pos <> b.at))
+SELECT word, token FROM step WHERE done ORDER BY word, pos"""
+
+LONG_SQL = """
+WITH RECURSIVE step(word, pos, token, following, reach, done) AS (
+    SELECT word, pos, token, following, reach, false FROM seed
+    UNION ALL
+    SELECT word, pos, CASE WHEN chosen THEN merged ELSE token END,
+        CASE WHEN chosen AND coalesce(lead(chosen, 2) OVER w, false) THEN lead(merged, 2) OVER w WHEN chosen THEN lead(following) OVER w
+            WHEN coalesce(lead(chosen) OVER w, false) THEN lead(merged) OVER w ELSE following END, reach, quiet
     FROM (
-        SELECT word, pos, token, following, merged, key, lag(key) OVER w AS previous_key, lead(key) OVER w AS next_key,
-            lead(merged) OVER w AS next_merged, lead(token, 2) OVER w AS after_next, min(key) OVER (PARTITION BY word) AS best
+        SELECT *, clear AND last_value(CASE WHEN head THEN clear END IGNORE NULLS) OVER before AND (n - last_value(CASE WHEN head THEN n END IGNORE NULLS) OVER before) % 2 = 0 AS chosen
         FROM (
-            SELECT s.word, s.pos, s.token, s.following, m.merged, m.merged::BIGINT * 1073741824 + s.pos AS key
-            FROM step s LEFT JOIN merges m ON m.l = s.token AND m.r = s.following
-            WHERE NOT s.done)
-        WINDOW w AS (PARTITION BY word ORDER BY pos))
-    WHERE previous_key IS NULL OR best IS NULL OR previous_key <> best)
+            SELECT *, row_number() OVER w AS n, min(merged) OVER (PARTITION BY word) IS NULL AS quiet, merged IS DISTINCT FROM lag(merged) OVER w AS head,
+                coalesce(merged = min(merged) OVER (w ROWS BETWEEN reach PRECEDING AND reach FOLLOWING)
+                    AND (calm OR coalesce(merged < min(merged) OVER (w ROWS BETWEEN reach PRECEDING AND 1 PRECEDING), true)), false) AS clear
+            FROM (SELECT s.*, m.merged, m.calm FROM step s LEFT JOIN merges m ON m.l = s.token AND m.r = s.following WHERE NOT s.done)
+            WINDOW w AS (PARTITION BY word ORDER BY pos))
+        WINDOW before AS (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING))
+    WINDOW w AS (PARTITION BY word ORDER BY pos)
+    QUALIFY NOT coalesce(lag(chosen) OVER w, false))
 SELECT word, token FROM step WHERE done ORDER BY word, pos"""
 
+MERGES_SQL = """
+SELECT *, merged NOT IN (SELECT l FROM given WHERE merged < l UNION ALL SELECT r FROM given WHERE merged < r) AS calm FROM given"""
+
 DECODE_SQL = """
 SELECT row, string_agg(piece, '' ORDER BY pos) AS piece, count(*) AS n FROM tokens JOIN vocabulary USING (token) GROUP BY row"""
 
@@ -68,14 +98,37 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
 
 
 def _connect(**tables: pa.Table) -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-")})  # spills stay on the executor
     for name, table in tables.items():
         con.register("given", table)
-        con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+        con.execute(f"CREATE TABLE {name} AS {MERGES_SQL if name == 'merges' else 'SELECT * FROM given'}")
         con.unregister("given")
     return con
 
 
+def grams(data: np.ndarray) -> np.ndarray:
+    """The runs of GRAM bytes as integers."""
+    n = max(len(data) - GRAM + 1, 0)
+    return sum((data[k : k + n].astype(np.int64) << 8 * k for k in range(GRAM)), np.zeros(n, dtype=np.int64))
+
+
+class Reach:
+    """Over how many tokens a merge can depend on another one: one more than the bytes of the longest token that can occur."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        tokens = [t for t in tokens if len(t) >= GRAM]
+        self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes - GRAM + 1)])[:-1]
+        self.grams = np.concatenate([grams(np.frombuffer(t, dtype=np.uint8)) for t in tokens]) if tokens else np.zeros(0, dtype=np.int64)
+
+    def of(self, word: bytes) -> int:
+        """A token whose runs of GRAM bytes all lie in the word may occur in it; so may any shorter token."""
+        if not len(self.sizes):
+            return GRAM + 2
+        whole = np.logical_and.reduceat(np.isin(self.grams, grams(np.frombuffer(word, dtype=np.uint8))), self.begin)
+        return int(self.sizes[whole].max(initial=GRAM)) + 2
+
+
 def _splitter(pattern: str):
     """A function that cuts a text by the pattern.
 
@@ -97,41 +150,66 @@ def _splitter(pattern: str):
     return lambda text: fast(text) if not text or max(text) <= "\uffff" else exact(text)
 
 
+def _one_word(piece: str) -> bool:
+    """True for letters with one space before them or none, which no pattern for such vocabularies cuts; Latin letters only."""
+    return piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) and max(piece) <= "\u024f"
+
+
 class Encoder:
-    """Encodes texts in one task; keeps the words it has met, up to a bound."""
+    """Encodes texts in one task; keeps the pieces it has met, up to a bound. cut_first: the pattern never joins pieces (module pieces)."""
 
-    def __init__(self, merges: pa.Table, byte_ids: np.ndarray, pattern: str) -> None:
+    def __init__(self, merges: pa.Table, byte_ids: np.ndarray, tokens: list[bytes], pattern: str, cut_first: bool) -> None:
         self.con = _connect(merges=merges)
         self.byte_ids = byte_ids
         self.split = _splitter(pattern)
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        parts = [w.encode() for w in words]
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        token = self.byte_ids[np.frombuffer(b"".join(parts), dtype=np.uint8)]
+        self.reach = Reach(tokens)
+        self.cut_first = cut_first
+        self.table = PieceTable(self._learn, PIECES_KEPT)
+
+    def _contract(self, words: list[bytes], sql: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        sizes = np.array(list(map(len, words)), dtype=np.int64)
+        token = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
         ends = np.cumsum(sizes)
         last = np.zeros(len(token), dtype=bool)
         last[ends - 1] = True
-        seed = {"word": pa.array(np.repeat(np.arange(len(parts), dtype=np.int32), sizes)), "pos": pa.array((np.arange(len(token)) - np.repeat(ends - sizes, sizes)).astype(np.int32)), "token": pa.array(token), "following": pa.array(np.append(token[1:], 0).astype(np.int32), mask=last)}
+        seed = {"word": pa.array(np.repeat(np.arange(len(words), dtype=np.int32), sizes)), "pos": pa.array((np.arange(len(token)) - np.repeat(ends - sizes, sizes)).astype(np.int32)), "token": pa.array(token), "following": pa.array(np.append(token[1:], 0).astype(np.int32), mask=last)}
+        if sql == LONG_SQL:
+            seed["reach"] = pa.array(np.repeat(np.array([self.reach.of(w) for w in words], dtype=np.int32), sizes))
         self.con.register("seed", pa.table(seed))
-        got = self.con.sql(ENCODE_SQL).to_arrow_table()
+        got = self.con.sql(sql).to_arrow_table()
         self.con.unregister("seed")
-        ids = got.column("token").to_numpy().astype(np.int32).tobytes()
-        cuts = (4 * np.searchsorted(got.column("word").to_numpy(), np.arange(len(parts) + 1))).tolist()
-        self.words.update(zip(words, [ids[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as native 32-bit integers."""
-        split = [self.split(t) for t in texts]
-        met = set(chain.from_iterable(split))
-        if unknown := met.difference(self.words):
-            if len(self.words) > WORDS_KEPT:
-                self.words.clear()
-                unknown = met
-            self._learn(list(unknown))
-        get = self.words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        return got.column("token").to_numpy().astype(np.int32), np.bincount(got.column("word").to_numpy(), minlength=len(words))
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has; a bounded number at a time."""
+        sizes = np.array(list(map(len, words)), dtype=np.int64)
+        short, long = np.flatnonzero(sizes <= LONG_WORD), np.flatnonzero(sizes > LONG_WORD)
+        groups = [(g, sql) for part, sql in ((short, ENCODE_SQL), (long, LONG_SQL)) if len(part) for g in np.split(part, np.flatnonzero(np.diff(np.cumsum(sizes[part]) // BYTES_AT_ONCE)) + 1)]
+        flat, counts = (np.concatenate(x) for x in zip(*(self._contract([words[k] for k in g], sql) for g, sql in groups), strict=True))
+        place = np.argsort(np.concatenate([g for g, _ in groups]))
+        return gather(flat, (np.cumsum(counts) - counts)[place], counts[place]), counts[place]
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words: dict[str, int] = {}
+        number, cuts = [], [0]
+        for text in map(bytes.decode, pieces):
+            number.extend([words.setdefault(w, len(words)) for w in ((text,) if self.cut_first and _one_word(text) else self.split(text))])
+            cuts.append(len(number))
+        if not words:
+            return np.zeros(0, dtype=np.int32), np.zeros(len(pieces), dtype=np.int64)
+        flat, counts = self.encode_words([w.encode() for w in words])
+        sizes = counts[number]
+        total = np.concatenate([[0], np.cumsum(sizes)])[cuts]
+        return gather(flat, (np.cumsum(counts) - counts)[number], sizes), np.diff(total)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8 bytes and row offsets) one after another, and where each row's begin."""
+        if self.cut_first:
+            return self.table.encode(data, offsets)
+        raw = data.tobytes()
+        ids, sizes = self._learn([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+        return ids, np.concatenate([[0], np.cumsum(sizes)])
 
 
 class Decoder:
@@ -172,24 +250,24 @@ def _vocabulary(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in ranks]})
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
-    """docs with out: the token ids of each whole text, without special tokens; decoded: a column for what they decode to."""
+def encode(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text", out: str = "ids", decoded: str | None = None, cut_first: bool = True) -> DataFrame:
+    """docs with out: the token ids of each whole text, without special tokens; decoded: a column for what they decode to.
+
+    cut_first: texts are cut into pieces before the pattern is applied; set it to False for a pattern that matches across
+    the beginning of white space, or across a letter and a stop.
+    """
     docs = docs.drop(out, decoded or out)
     ranks = read_ranks(vocabulary)
     byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast((merge_table(ranks), byte_ids, _vocabulary(ranks)))
+    shared = docs.sparkSession.sparkContext.broadcast((merge_table(ranks), byte_ids, list(ranks), _vocabulary(ranks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _kept(Encoder, vocabulary + pattern, lambda: Encoder(*shared.value[:2], pattern))
-        back = _kept(Decoder, vocabulary, lambda: Decoder(shared.value[2])) if decoded else None
-        for batch in batches:
-            for part, _, _ in tb.text_blocks([batch], text, BLOCK_BYTES):
-                ids = tool.encode([t or "" for t in part.column(text).to_pylist()])
-                sizes = np.fromiter((len(i) // 4 for i in ids), dtype=np.int64, count=len(ids))
-                flat = np.frombuffer(b"".join(ids), dtype=np.int32)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                part = _with_column(part, out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
-                yield _with_column(part, decoded, pa.array(back.decode(flat, sizes), pa.binary())) if back else part
+        tool = _kept(Encoder, f"{vocabulary} {pattern} {cut_first}", lambda: Encoder(*shared.value[:3], pattern, cut_first))
+        back = _kept(Decoder, vocabulary, lambda: Decoder(shared.value[3])) if decoded else None
+        for part, data, offsets in tb.text_blocks(batches, text, BLOCK_BYTES):
+            flat, cuts = tool.encode(data, offsets)
+            part = _with_column(part, out, pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat)))
+            yield _with_column(part, decoded, pa.array(back.decode(flat, np.diff(cuts)), pa.binary())) if back else part
 
     fields = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))

@@ -75,6 +75,20 @@ def test_bpe_equals_the_library_and_decodes(spark, docs, nothing):
     assert byte_bpe.encode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_long_words_equals_the_library():
+    """Words of up to 100,000 letters, also of parts whose merges make pairs of lower rank; with cuts before the pattern and without."""
+    tool, ranks, rng = tiktoken_encoding(), byte_bpe.read_ranks(RANKS), np.random.default_rng(0)
+    lower = [t.decode() for t in ranks if len(t) > 1 and t.isalpha() and t.isascii()]
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = ["".join(rng.choice(letters, 100_000)), "a" * 5001, "ab" * 3000, "=" * 3000, "".join(rng.choice(list("=-*#_"), 4000)), "".join(rng.choice(list("ACGT"), 5000)), "Ã" * 900]
+    words += ["".join(rng.choice(lower, 40)) for _ in range(100)] + ["".join(rng.choice(list("aeshint"), rng.integers(150, 300))) for _ in range(100)]
+    table = byte_bpe.merge_table(ranks), np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32), list(ranks), public_tokenizers.PATTERN
+    for cut_first in (True, False):
+        ids, cuts = byte_bpe.Encoder(*table, cut_first).encode(*arrow_text(words))
+        for word, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
+            assert ids[a:b].tolist() == tool.encode_ordinary(word)
+
+
 def test_bpe_rejects_unknown_ids(spark):
     with pytest.raises(Exception, match="vocabulary"):
         byte_bpe.decode(spark.createDataFrame([([1, 50256],)], "ids array<int>"), RANKS).collect()
