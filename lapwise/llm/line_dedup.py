@@ -1,76 +1,115 @@
-"""Line dedup by winnowing: repeated runs of at least RUN words are found across all texts and the later ones deleted.
+"""Line dedup by winnowing: repeated runs of lines are found across all texts, and the later ones deleted.
 
-A passage pasted inside other text rarely begins or ends at a line break, so a line here is a rolling line of LINE
-consecutive words, wherever its text breaks. The hash of every rolling line is taken; of each WINDOW of consecutive
-hashes the minimum (the rightmost on ties) is a fingerprint. WINDOW is RUN - LINE + 1, so two texts that share a run of
-RUN words share a fingerprint inside it.
+Two kinds of line are winnowed. Text lines end at a line break; they are compared word by word, whatever the white space,
+and lines of under min_line_words words (a brace, a heading's number) are left alone. A passage pasted into other text
+rarely begins or ends at a break, so there are rolling lines too: half of min_words consecutive words, wherever they begin.
+A repeated run is min_lines text lines (one by default) or min_words words.
 
-So each run of RUN words has one fingerprint, its own window's, and equal runs have equal ones. The runs of a fingerprint
-are neighbours, and its span are the words that they cover.
+The hash of every line is taken; of each window of consecutive hashes the minimum (the rightmost on ties) is a
+fingerprint. A run holds exactly one window, so each run has one fingerprint, and equal runs have equal ones. The runs of
+a fingerprint are neighbours, and its span are the lines that they cover.
 
-A run that has an earlier occurrence (smallest doc_id, then position) is deleted, whatever the first text that shares its
+A run that has an earlier occurrence (smallest id, then position) is deleted, whatever the first text that shares its
 fingerprint holds. Of equal spans all but the first lose all their runs. Where a fingerprint occurs with several spans
 (at the ends of passages), the first of each is resolved run by run: equal runs are in spans of one fingerprint, so the
 first occurrence of a run is in the first occurrence of some span. Overlapping deletions merge, so longer runs go whole.
-Nothing else is changed: a text without such a run keeps its bytes, and only the white space before a deleted run goes
-with it.
+Fingerprint and span are two 64-bit hashes, and only what agrees in both is deleted. Nothing else is changed: a text
+without such a run keeps its bytes, and only the white space before a deleted run (after it, at the beginning) goes too.
 
 Defined cases: null texts stay null and empty texts empty; rows with a null id take no part and keep their text; rows
-that repeat an id and a text count as one text; runs repeated inside a text lose their later occurrences; other columns
-pass through.
+that repeat an id and a text count as one text, other rows of one id come in the order of their texts' hashes; runs
+repeated inside a text lose their later occurrences; ids are of any type that can be ordered; other columns pass through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lapwise.llm import textblocks as tb
 from lapwise.llm.scratch import written
 
-RUN, LINE = 50, 25
-WINDOW = RUN - LINE + 1
-STEP = np.uint64(0xD6E8FEB86659FD93)
-STEP_INVERSE = np.uint64(pow(int(STEP), -1, 1 << 64))
-
-
-def line_hashes(words: np.ndarray, line: int = LINE) -> np.ndarray:
-    """Hash of every run of line words: words[i : i + line] at i."""
-    if len(words) < line:
-        return np.zeros(0, dtype=np.uint64)
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * tb.powers(STEP, len(words)), out=sums[1:])
-    n = len(words) - line + 1
-    return tb.mix((sums[line:] - sums[:n]) * tb.powers(STEP_INVERSE, n))
-
-
-def window_minima(words: np.ndarray, first: np.ndarray, line: int = LINE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word of each window of each row, the word index of its minimum, and the line hashes."""
-    hashes = line_hashes(words, line)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(hashes)]
-    whole = first[1:][row] - np.arange(len(hashes)) >= line if len(hashes) else np.zeros(0, dtype=bool)
-    keys = np.where(whole, hashes, np.uint64(0xFFFFFFFFFFFFFFFF))
-    if len(keys) < window:
-        padded = np.concatenate([keys, np.full(window - len(keys), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)])
-    else:
-        padded = keys
-    low, span = padded.copy(), 1
+STEP, OTHER_STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Least lengths of a repeated run: text lines (0: none are looked for), words of a text line, words."""
+
+    min_lines: int = 1
+    min_line_words: int = 2
+    min_words: int = 50
+
+
+@dataclass
+class Level:
+    """Consecutive elements (words or text lines) of the rows of a block.
+
+    seq and check are two hashes of each element, first the index of each row's first element (one more at the end), run and
+    line the elements of a run and of a line; begin and end are the words that an element covers.
+    """
+
+    seq: np.ndarray
+    check: np.ndarray
+    first: np.ndarray
+    run: int
+    begin: np.ndarray
+    end: np.ndarray
+
+    @property
+    def line(self) -> int:
+        return (self.run + 1) // 2
+
+
+def stretches(values: np.ndarray, begin: np.ndarray, end: np.ndarray, step: np.uint64 = STEP) -> np.ndarray:
+    """Hash of values[begin : end] of every begin and end: a polynomial taken from prefix sums, then mixed."""
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * tb.powers(step, len(values)), out=sums[1:])
+    down = tb.powers(np.uint64(pow(int(step), -1, 1 << 64)), len(values))
+    return tb.mix((sums[end] - sums[begin]) * down[begin]) if len(begin) else np.zeros(0, dtype=np.uint64)
+
+
+def levels_of(data: np.ndarray, offsets: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Level]]:
+    """Start and end byte of each word, the first word of each row, and the levels of lines."""
+    starts, ends, first = tb.word_spans(data, offsets)
+    words = tb.word_hashes(data, starts, ends)
+    every = np.arange(len(words))
+    found = [Level(words, words, first, sizes.min_words, every, every + 1)]
+    if sizes.min_lines:
+        breaks = np.flatnonzero(data == 0x0A)
+        opens = np.zeros(len(words) + 1, dtype=bool)
+        opens[1:-1] = np.diff(np.searchsorted(breaks, starts)) > 0
+        opens[first] = True
+        begin = np.flatnonzero(opens[:-1])
+        end = np.append(begin[1:], len(words))[: len(begin)]
+        full = end - begin >= sizes.min_line_words
+        begin, end = begin[full], end[full]
+        seq = tb.mix(stretches(words, begin, end) + (end - begin).astype(np.uint64) + np.uint64(1))
+        found.append(Level(seq, stretches(words, begin, end, OTHER_STEP), np.searchsorted(begin, first), sizes.min_lines, begin, end))
+    return starts, ends, first, found
+
+
+def window_minima(level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First element of each run, the element at which its window's least line begins, and the line hashes."""
+    count, window = len(level.seq) - level.line + 1, level.run - level.line + 1
+    if count < window:
+        empty = np.zeros(0, dtype=np.int64)
+        return empty, empty, np.zeros(0, dtype=np.uint64)
+    at = np.arange(count)
+    hashes = stretches(level.seq, at, at + level.line)
+    low, span = hashes.copy(), 1
     while 2 * span <= window:  # sliding minimum by doubling
         low = np.minimum(low[:-span], low[span:])
         span *= 2
-    minima = np.minimum(low[: len(padded) - window + 1], low[window - span : window - span + len(padded) - window + 1]) if window > span else low
-    at = np.arange(len(minima))
-    lines = np.maximum(np.diff(first) - line + 1, 0)
-    inside = np.zeros(len(padded), dtype=bool)
-    if len(keys):
-        inside[: len(keys)] = whole
-        begin = first[:-1][row]
-        inside[: len(keys)] &= np.arange(len(keys)) - begin + window <= lines[row]
-    full = at[inside[: len(minima)]]
-    view = np.lib.stride_tricks.sliding_window_view(padded, window)
+    minima = np.minimum(low[: count - window + 1], low[window - span : window - span + count - window + 1])
+    row_end = np.repeat(level.first[1:], np.diff(level.first))
+    full = np.flatnonzero(np.arange(count - window + 1) + level.run <= row_end[: count - window + 1])
+    view = np.lib.stride_tricks.sliding_window_view(hashes, window)
     lowest = np.zeros(len(full), dtype=np.int64)
     for block in range(0, len(full), 1 << 16):
         part = full[block : block + (1 << 16)]
@@ -79,123 +118,170 @@ def window_minima(words: np.ndarray, first: np.ndarray, line: int = LINE, window
     return full, lowest, hashes
 
 
-def winnow(words: np.ndarray, first: np.ndarray, line: int = LINE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Word index and hash of the window minima of each row's line hashes; a row of fewer lines than a window has none."""
-    _, lowest, hashes = window_minima(words, first, line, window)
-    found = np.unique(lowest)
-    return found, hashes[found]
-
+@dataclass
+class Marks:
+    """The fingerprints of a level: element, hash and span hash; of every run its first element and fingerprint."""
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends, first = tb.word_spans(data, offsets)
-    return starts, ends, first, tb.word_hashes(data, starts, ends)
+    at: np.ndarray
+    hash: np.ndarray
+    span: np.ndarray
+    full: np.ndarray
+    which: np.ndarray
 
 
-def marks_of(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word index, line hash and span hash of the fingerprints of every row; first word and fingerprint of every run."""
-    full, lowest, hashes = window_minima(words, first)
+def marks_of(level: Level) -> Marks:
+    full, lowest, hashes = window_minima(level)
     at, begin, which, count = np.unique(lowest, return_index=True, return_inverse=True, return_counts=True)
-    start, end = full[begin], full[begin] + count - 1 + RUN  # a fingerprint's runs are neighbours
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * tb.powers(STEP, len(words)), out=sums[1:])
-    down = tb.powers(STEP_INVERSE, len(words))
-    place = ((at - start) * (2 * RUN) + count).astype(np.uint64)
-    return at, hashes[at], tb.mix(tb.mix((sums[end] - sums[start]) * down[start]) + place), full, which
+    start = full[begin]  # a fingerprint's runs are neighbours
+    place = ((at - start) * (2 * level.run) + count).astype(np.uint64)
+    return Marks(at, hashes[at], tb.mix(stretches(level.check, start, start + count - 1 + level.run, OTHER_STEP) + place), full, which)
+
 
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
 
-def fingerprints(docs: DataFrame, *, key: str, text: str) -> DataFrame:
-    """hash, id, pos (word index) and span of the fingerprints of every text."""
-    chosen = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
+
+def _occurrences(part: pa.RecordBatch, level: Level, at: np.ndarray, found: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
+    row = np.searchsorted(level.first, at, side="right") - 1
+    kept = part.select(["id", "digest"]).take(pa.array(row))
+    return pa.RecordBatch.from_arrays([_signed(found), _signed(span), *kept.columns, pa.array((at - level.first[row]).astype(np.int32))], names=["hash", "span", "id", "digest", "pos"])
+
+
+def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, digest and text of the rows that take part; (id, digest) names a text."""
+    chosen = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    return chosen.where("id IS NOT NULL").withColumn("digest", F.xxhash64("text"))
+
+
+def _schema(docs: DataFrame, key: str) -> str:
+    return f"hash long, span long, id {docs.schema[key].dataType.simpleString()}, digest long, pos int"
+
+
+def fingerprints(docs: DataFrame, sizes: Sizes, *, key: str, text: str) -> DataFrame:
+    """hash, span, id, digest and pos (element of its row) of the fingerprints of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.text_blocks(batches, "text"):
-            _, _, first, hashes = _words(data, offsets)
-            at, found, spans, _, _ = marks_of(hashes, first)
-            row = np.searchsorted(first, at, side="right") - 1
-            ids = part.column("id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict({"hash": pa.array(found.view(np.int64)), "id": pa.array(ids[row].astype(np.int64)), "pos": pa.array((at - first[row]).astype(np.int32)), "span": pa.array(spans.view(np.int64))})
+            for level in levels_of(data, offsets, sizes)[3]:
+                marks = marks_of(level)
+                yield _occurrences(part, level, marks.at, marks.hash, marks.span)
+
+    return _identified(docs, key, text).mapInArrow(run, _schema(docs, key))
 
-    return chosen.mapInArrow(run, "hash long, id long, pos int, span long")
 
+class Wanted:
+    """Occurrences that a block's rows are asked for: lists of hash, span and pos."""
 
-def _chosen(mine: np.ndarray, hashes: np.ndarray, wanted: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Which of a row's places (ascending, with hashes) are among pos with the wanted hash: rows that repeat an id may have other texts."""
-    out = np.zeros(len(mine), dtype=bool)
-    if len(mine):
-        at = np.minimum(np.searchsorted(mine, pos), len(mine) - 1)
-        out[at[(mine[at] == pos) & (hashes[at] == wanted)]] = True
-    return out
+    def __init__(self, part: pa.RecordBatch, column: str) -> None:
+        lists = part.column(column)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        values = lists.flatten()
+        self.row = np.repeat(np.arange(part.num_rows), sizes)
+        self.hash, self.span, self.pos = (values.field(n).to_numpy(zero_copy_only=False) for n in ("hash", "span", "pos"))
 
+    def among(self, level: Level, at: np.ndarray, found: np.ndarray, span: np.ndarray) -> np.ndarray:
+        """Which of the occurrences (ascending) are wanted."""
+        out = np.zeros(len(at), dtype=bool)
+        if len(at) and len(self.row):
+            element = level.first[self.row] + self.pos
+            k = np.minimum(np.searchsorted(at, element), len(at) - 1)
+            out[k[(at[k] == element) & (element < level.first[self.row + 1]) & (found[k].view(np.int64) == self.hash) & (span[k].view(np.int64) == self.span)]] = True
+        return out
 
-def runs_of(docs: DataFrame, marks: DataFrame, *, key: str, text: str) -> DataFrame:
-    """hash, id and pos of every run of RUN words of the marks (id, pos, span)."""
-    wanted = marks.groupBy(F.col("id").alias("w")).agg(F.collect_set(F.struct("span", "pos")).alias("at"))  # at most a text's fingerprints
-    chosen = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, F.col("id") == F.col("w")).select("id", "text", F.col("at.span").alias("span"), F.col("at.pos").alias("pos"))
+
+def _runs(level: Level, marks: Marks, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First element and two hashes of the runs of the chosen fingerprints."""
+    begin = marks.full[chosen[marks.which]] if len(marks.which) else marks.full
+    return begin, stretches(level.seq, begin, begin + level.run), stretches(level.check, begin, begin + level.run, OTHER_STEP)
+
+
+def _lists(marks: DataFrame, name: str) -> DataFrame:
+    """The occurrences of each text; at most as many as it has words."""
+    return marks.groupBy(F.col("id").alias("w_id"), F.col("digest").alias("w_digest")).agg(F.collect_set(F.struct("hash", "span", "pos")).alias(name))
+
+
+def runs_of(docs: DataFrame, marks: DataFrame, sizes: Sizes, *, key: str, text: str) -> DataFrame:
+    """hash, span (a second hash), id, digest and pos of every run of the marks."""
+    chosen = _identified(docs, key, text).join(_lists(marks, "at"), F.expr("id = w_id AND digest = w_digest")).select("id", "digest", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.text_blocks(batches, "text"):
-            _, _, first, hashes = _words(data, offsets)
-            at, _, spans, full, which = marks_of(hashes, first)
-            cuts = np.searchsorted(at, first)
-            marked = [_chosen(at[a:b] - first[r], spans[a:b].view(np.int64), np.asarray(h.values), np.asarray(p.values)) for r, (a, b, h, p) in enumerate(zip(cuts[:-1], cuts[1:], part.column("span"), part.column("pos"), strict=True))]
-            begin = full[np.concatenate(marked)[which]]
-            row = np.searchsorted(first, begin, side="right") - 1
-            found = line_hashes(hashes, RUN)[begin] if len(begin) else np.zeros(0, dtype=np.uint64)
-            ids = part.column("id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict({"hash": pa.array(found.view(np.int64)), "id": pa.array(ids[row].astype(np.int64)), "pos": pa.array((begin - first[row]).astype(np.int32))})
+            wanted = Wanted(part, "at")
+            for level in levels_of(data, offsets, sizes)[3]:
+                marks = marks_of(level)
+                yield _occurrences(part, level, *_runs(level, marks, wanted.among(level, marks.at, marks.hash, marks.span)))
 
-    return chosen.mapInArrow(run, "hash long, id long, pos int")
+    return chosen.mapInArrow(run, _schema(docs, key))
 
 
 def later_of(marks: DataFrame, name: str) -> DataFrame:
-    """Those of marks (hash, id, pos) that are not the first occurrence of their hash."""
-    firsts = marks.groupBy("hash").agg(F.min(F.struct("id", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = written(firsts.select("hash", F.col("f.id").alias("first_id"), F.col("f.pos").alias("first_pos")), name)  # as a table, Spark can split the join of a very common line
-    return marks.join(firsts, "hash").where("id <> first_id OR pos <> first_pos").select("hash", "id", "pos")
-
-
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", out_words: str | None = None) -> DataFrame:
+    """Those of marks (hash, span, id, digest, pos) that are not the first occurrence of their hashes."""
+    firsts = marks.groupBy("hash", "span").agg(F.min(F.struct("id", "digest", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = written(firsts.select("hash", "span", "f"), name)  # as a table, Spark can split the join of a very common line
+    return marks.join(firsts, ["hash", "span"]).where("struct(id, digest, pos) <> f").select("hash", "span", "id", "digest", "pos")
+
+
+def covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n places lie in a stretch from begin to end."""
+    edge = np.zeros(n + 1, dtype=np.int32)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def without(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, dead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' bytes and offsets without the dead words and the white space before each run of them (after it, at the beginning)."""
+    opening = np.zeros(len(dead) + 1, dtype=bool)
+    opening[first] = True
+    begin = np.flatnonzero(dead & (opening[:-1] | ~np.append(False, dead[:-1])))
+    end = np.flatnonzero(dead & (opening[1:] | ~np.append(dead[1:], False))) + 1
+    row = np.searchsorted(first, begin, side="right") - 1
+    head, tail = begin == first[row], end == first[row + 1]
+    left = np.where(head, offsets[row], ends[begin - 1])
+    right = np.where(head, np.where(tail, offsets[row + 1], np.append(starts, 0)[end]), ends[end - 1])
+    keep = ~covered(len(data), left, right)
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+
+
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sizes: Sizes = Sizes(), out_words: str | None = None) -> DataFrame:
     """docs without the later repeats; out_words: a column for the number of words deleted."""
-    marks = written(fingerprints(docs, key=key, text=text), "line-fingerprints")
+    marks = written(fingerprints(docs, sizes, key=key, text=text), "line-fingerprints")
     shared = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).where("n > 1")
     shared = written(shared.select("hash", (F.col("low") != F.col("high")).alias("mixed")), "line-shared")  # as a table, Spark can split the join of a very common line
-    marks = written(marks.join(shared, "hash").select(F.col("span").alias("hash"), "id", "pos", "mixed"), "line-spans")
-    mixed = marks.where("mixed").groupBy("hash").agg(F.min(F.struct("id", "pos")).alias("f")).select(F.col("hash").alias("span"), "f.id", "f.pos")
-    runs = written(runs_of(docs, mixed, key=key, text=text), "line-runs")
-    whole = later_of(marks, "span-firsts").withColumn("whole", F.lit(True))
-    later = whole.unionByName(later_of(runs, "run-firsts").withColumn("whole", F.lit(False)))
-    lists = later.groupBy(F.col("id").alias("repeat_id")).agg(F.collect_set(F.struct("hash", "pos", "whole")).alias("repeats"))  # at most a text's words
+    marks = written(marks.join(shared, "hash"), "line-spans")
+    mixed = marks.where("mixed").groupBy("hash", "span").agg(F.min(F.struct("id", "digest", "pos")).alias("f")).select("hash", "span", "f.*")
+    runs = written(runs_of(docs, mixed, sizes, key=key, text=text), "line-runs")
+    whole, single = later_of(marks, "span-firsts").withColumn("whole", F.lit(True)), later_of(runs, "run-firsts").withColumn("whole", F.lit(False))
+    item = F.struct("hash", "span", "pos")
+    lists = whole.unionByName(single).groupBy(F.col("id").alias("w_id"), F.col("digest").alias("w_digest")).agg(F.collect_set(F.when(F.col("whole"), item)).alias("spans"), F.collect_set(F.when(~F.col("whole"), item)).alias("runs"))  # at most a text's words
     own = docs.columns
-    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if c != text] or [F.lit(True).alias("none")]).alias("row"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    joined = carried.join(lists, F.col("id") == F.col("repeat_id"), "left").select("row", "text", F.col("repeats.hash").alias("hash"), F.col("repeats.pos").alias("pos"), F.col("repeats.whole").alias("whole"))
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if c != text] or [F.lit(True).alias("none")]).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    joined = carried.join(lists, (F.col("id") == F.col("w_id")) & (digest == F.col("w_digest")), "left").select("row", "text", "spans", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.text_blocks(batches, "text"):
-            texts, gone = part.column("text").to_pylist(), np.zeros(part.num_rows, dtype=np.int64)
-            marked = [r for r, p in enumerate(part.column("pos")) if p.is_valid]
-            if marked:
-                starts, ends, first, hashes = _words(data, offsets)
-                at, _, spans, full, which = marks_of(hashes, first)
-                runs, cuts, of = line_hashes(hashes, RUN), np.searchsorted(at, first), np.searchsorted(full, first)
-                for r in marked:
-                    wanted, pos, whole = (np.asarray(part.column(c)[r].values.to_numpy(zero_copy_only=False)) for c in ("hash", "pos", "whole"))
-                    a, b, begin = cuts[r], cuts[r + 1], full[of[r] : of[r + 1]]
-                    gone_marks = _chosen(at[a:b] - first[r], spans[a:b].view(np.int64), wanted[whole], pos[whole])
-                    gone_runs = _chosen(begin - first[r], runs[begin].view(np.int64), wanted[~whole], pos[~whole])
-                    pos = begin[gone_marks[which[of[r] : of[r + 1]] - a] | gone_runs] - first[r]
-                    edge = np.zeros(first[r + 1] - first[r] + 1, dtype=np.int64)
-                    np.add.at(edge, pos, 1)
-                    np.add.at(edge, pos + RUN, -1)
-                    dead = np.cumsum(edge[:-1]) > 0
-                    if dead.any():
-                        s, e = starts[first[r] : first[r + 1]], ends[first[r] : first[r + 1]]
-                        keep = np.ones(offsets[r + 1] - offsets[r], dtype=bool)
-                        turns = np.flatnonzero(np.diff(np.concatenate([[0], dead.astype(np.int8), [0]])))
-                        for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
-                            keep[(e[a - 1] if a else offsets[r]) - offsets[r] : e[b - 1] - offsets[r]] = False
-                        texts[r] = data[offsets[r] : offsets[r + 1]][keep].tobytes().decode()
-                        gone[r] = int(dead.sum())
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()), pa.array(gone)], names=["row", "text", "gone"])
+            spans, runs = Wanted(part, "spans"), Wanted(part, "runs")
+            gone, texts = np.zeros(part.num_rows, dtype=np.int64), part.column("text")
+            if len(spans.row) or len(runs.row):
+                starts, ends, first, levels = levels_of(data, offsets, sizes)
+                edge = np.zeros(len(starts) + 1, dtype=np.int32)
+                for level in levels:
+                    marks = marks_of(level)
+                    begin, dead = marks.full, np.zeros(len(marks.full), dtype=bool)
+                    if len(begin):
+                        dead = spans.among(level, marks.at, marks.hash, marks.span)[marks.which]
+                    if len(runs.row):
+                        dead |= runs.among(level, *_runs(level, marks, np.ones(len(marks.at), dtype=bool)))
+                    elements = covered(len(level.seq), begin[dead], begin[dead] + level.run)
+                    np.add.at(edge, level.begin[elements], 1)
+                    np.add.at(edge, level.end[elements], -1)
+                dead = np.cumsum(edge[:-1]) > 0
+                gone = np.diff(np.concatenate([[0], np.cumsum(dead)])[first])
+                data, offsets = without(data, offsets, starts, ends, first, dead)
+                whole = pa.Array.from_buffers(pa.large_string(), part.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+                texts = pc.if_else(pc.is_valid(texts), whole.cast(pa.string()), None)
+            yield pa.RecordBatch.from_arrays([part.column("row"), texts.cast(pa.string()), pa.array(gone)], names=["row", "text", "gone"])
 
     schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("gone", T.LongType())])
     done = joined.mapInArrow(run, schema)

@@ -354,45 +354,71 @@ def test_classifiers_awkward_rows(spark, docs, nothing, module):
         assert all(0 <= r["score"] <= 1 for r in module.score(docs, module.fit(texts, labels)).collect())
 
 
-def brute_removed(rows):
-    """Words in a run of 50 that occurs earlier, by doc_id and position."""
-    seen, out = set(), {}
-    for i, text in sorted(rows):
-        w = WORD.findall(text or "")
-        dead = set()
-        for k in range(len(w) - 49):
-            g = tuple(w[k : k + 50])
+def brute_removed(rows, min_lines=1, min_line_words=2, min_words=50):
+    """Words left where runs of lines, and of words, that occur earlier go; rows: id and text, in order."""
+    seen, out = set(), []
+    for _, text in rows:
+        lines = [WORD.findall(line) for line in (text or "").split("\n")]
+        words, dead = [w for line in lines for w in line], set()
+        for k in range(len(words) - min_words + 1):
+            g = tuple(words[k : k + min_words])
             if g in seen:
-                dead.update(range(k, k + 50))
+                dead.update(range(k, k + min_words))
             seen.add(g)
-        out[i] = [x for k, x in enumerate(w) if k not in dead]
+        ends = np.cumsum([len(line) for line in lines]).tolist()
+        long = [(e - len(line), e, tuple(line)) for line, e in zip(lines, ends, strict=True) if len(line) >= min_line_words]
+        for k in range(len(long) - min_lines + 1):
+            g = ("lines", *(line for _, _, line in long[k : k + min_lines]))
+            if g in seen:
+                dead.update(i for begin, end, _ in long[k : k + min_lines] for i in range(begin, end))
+            seen.add(g)
+        out.append([w for i, w in enumerate(words) if i not in dead])
     return out
 
 
-def test_line_dedup_against_brute_force(spark):
-    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    want = brute_removed([(r["doc_id"], r["text"]) for r in table.collect()])
-    found = {r["doc_id"]: WORD.findall(r["text"] or "") for r in line_dedup.remove_repeats(table).collect()}
-    differing = sum(found[i] != want[i] for i in want)
-    assert differing <= 0.02 * len(want)  # runs that continue a shorter line known from an earlier text
+@pytest.mark.parametrize("min_lines", [1, 3, 0])
+def test_line_dedup_of_lines_against_brute_force(spark, min_lines):
+    """Few different lines, so that runs of all lengths repeat; short lines, white space, words that go on over a break."""
+    rng, rows = np.random.default_rng(min_lines), []
+    for n in range(120):
+        lines = rng.choice(["a b c", "a  b\tc", "d e", "x", "f g h i", "", f"own {n} line"], rng.integers(0, 12))
+        rows.append((n, "\n".join(lines) + "\n" * int(rng.integers(0, 2))))
+    found = line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), sizes=line_dedup.Sizes(min_lines=min_lines, min_words=12), out_words="gone").collect()
+    want = dict(zip([n for n, _ in rows], brute_removed(rows, min_lines, min_words=12), strict=True))
+    assert {r["doc_id"]: WORD.findall(r["text"]) for r in found} == want
+    assert all(r["gone"] == len(WORD.findall(rows[r["doc_id"]][1])) - len(want[r["doc_id"]]) for r in found)
 
 
 def test_line_dedup_awkward_rows(spark, docs, nothing):
     found = line_dedup.remove_repeats(docs, out_words="gone").collect()
     assert len(found) == len(ROWS) and all(r["row"] == "own" and r["hash"] == "own" for r in found)
-    before = collections.Counter((i, t) for i, t, *_ in ROWS if i != 9)
-    assert collections.Counter((r["doc_id"], r["text"]) for r in found if r["doc_id"] != 9) == before
-    nine = next(r for r in found if r["doc_id"] == 9)
-    assert nine["text"] == "other start\nand another tail" and nine["gone"] == 60
+    left = {7: "", 9: "other start\nand another tail"}
+    assert collections.Counter((r["doc_id"], r["text"]) for r in found) == collections.Counter((i, left.get(i, t)) for i, t, *_ in ROWS)
+    assert next(r["gone"] for r in found if r["doc_id"] == 9) == 60
     assert line_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_line_dedup_of_other_ids_and_long_texts(spark):
+    """Ids are strings, and one id holds most rows; a text of a megabyte; the first line goes without the white space after it."""
+    long = " ".join(f"m{k}" for k in range(150_000))
+    rows = [("a", "one two\nthree four"), ("b", "one two\n\n  new line"), ("c", long), ("d", f"start {long} end")] + [("x", f"text {k} of one id\nshared by all") for k in range(40)]
+    found = line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    texts = collections.defaultdict(list)
+    for r in found:
+        texts[r["doc_id"]].append(r["text"])
+    assert texts["a"] == [rows[0][1]] and texts["b"] == ["new line"] and texts["c"] == [long] and texts["d"] == ["start end"]
+    assert sorted(t.partition("\n")[0] for t in texts["x"]) == sorted(f"text {k} of one id" for k in range(40)) and sum("shared" in t for t in texts["x"]) == 1
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(1)
-    shared = rng.integers(0, 1 << 60, line_dedup.RUN).astype(np.uint64)
-    a, b = (np.concatenate([rng.integers(0, 1 << 60, n).astype(np.uint64), shared, rng.integers(0, 1 << 60, 40).astype(np.uint64)]) for n in (33, 71))
-    prints = [set(line_dedup.winnow(x, np.array([0, len(x)]))[1].tolist()) for x in (a, b)]
-    assert prints[0] & prints[1]
+    shared = rng.integers(0, 1 << 60, 50).astype(np.uint64)
+    prints = []
+    for n, m in ((33, 40), (71, 40)):
+        x = np.concatenate([rng.integers(0, 1 << 60, n).astype(np.uint64), shared, rng.integers(0, 1 << 60, m).astype(np.uint64)])
+        at = np.arange(len(x))
+        prints.append(set(line_dedup.marks_of(line_dedup.Level(x, x, np.array([0, len(x)]), 50, at, at + 1)).hash.tolist()))
+    assert prints[0] & prints[1] and len(prints[0]) < 12
 
 
 def test_crc_of_ids_matches(spark):
@@ -474,9 +500,11 @@ def test_line_dedup_equals_brute_force(spark):
     rows.append((at, "again " * 120))
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     for made in (spark.createDataFrame(rows, "doc_id long, text string"), table):
-        want = brute_removed([(r["doc_id"], r["text"]) for r in made.collect()])
-        found = {r["doc_id"]: WORD.findall(r["text"] or "") for r in line_dedup.remove_repeats(made).collect()}
-        assert found == want
+        given = sorted((r["doc_id"], r["text"]) for r in made.collect())
+        for options in ({}, {"min_lines": 0}):
+            want = dict(zip([i for i, _ in given], brute_removed(given, **options), strict=True))
+            found = {r["doc_id"]: WORD.findall(r["text"] or "") for r in line_dedup.remove_repeats(made, sizes=line_dedup.Sizes(**options)).collect()}
+            assert found == want
 
 
 @pytest.mark.parametrize("module", [quality_classifier, toxicity])
