@@ -2,7 +2,7 @@
 
 Two kinds of line are winnowed. Text lines end at a line break; they are compared word by word, whatever the white space,
 and lines of under min_line_words words (a brace, a heading's number) are left alone. A passage pasted into other text
-rarely begins or ends at a break, so there are rolling lines too: half of min_words consecutive words, wherever they begin.
+rarely begins or ends at a break, so there are rolling lines too: a quarter of min_words consecutive words, wherever they begin.
 A repeated run is min_lines text lines (one by default) or min_words words.
 
 The hash of every line is taken; of each window of consecutive hashes the minimum (the rightmost on ties) is a
@@ -29,11 +29,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lapwise.llm import textblocks as tb
 from lapwise.llm.scratch import written
 
+#: A place in a text: the low bits of a hash of the text above the bits of the element's number.
+DIGEST_BITS, POS_BITS = 35, 28
 STEP, OTHER_STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -63,7 +65,7 @@ class Level:
 
     @property
     def line(self) -> int:
-        return (self.run + 1) // 2
+        return max(1, self.run // 4)
 
 
 def stretches(values: np.ndarray, begin: np.ndarray, end: np.ndarray, step: np.uint64 = STEP) -> np.ndarray:
@@ -143,22 +145,26 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 def _occurrences(part: pa.RecordBatch, level: Level, at: np.ndarray, found: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
     row = np.searchsorted(level.first, at, side="right") - 1
-    kept = part.select(["id", "digest"]).take(pa.array(row))
-    return pa.RecordBatch.from_arrays([_signed(found), _signed(span), *kept.columns, pa.array((at - level.first[row]).astype(np.int32))], names=["hash", "span", "id", "digest", "pos"])
+    digest = part.column("digest").to_numpy()[row]
+    return pa.RecordBatch.from_arrays([_signed(found), _signed(span), part.column("id").take(pa.array(row)), pa.array(digest << POS_BITS | at - level.first[row])], names=["hash", "span", "id", "place"])
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     """id, digest and text of the rows that take part; (id, digest) names a text."""
     chosen = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return chosen.where("id IS NOT NULL").withColumn("digest", F.xxhash64("text"))
+    return chosen.where("id IS NOT NULL").withColumn("digest", _digest(F.col("text")))
+
+
+def _digest(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << DIGEST_BITS) - 1))
 
 
 def _schema(docs: DataFrame, key: str) -> str:
-    return f"hash long, span long, id {docs.schema[key].dataType.simpleString()}, digest long, pos int"
+    return f"hash long, span long, id {docs.schema[key].dataType.simpleString()}, place long"
 
 
 def fingerprints(docs: DataFrame, sizes: Sizes, *, key: str, text: str) -> DataFrame:
-    """hash, span, id, digest and pos (element of its row) of the fingerprints of every text."""
+    """hash, span, id and place of the fingerprints of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.text_blocks(batches, "text"):
@@ -170,14 +176,15 @@ def fingerprints(docs: DataFrame, sizes: Sizes, *, key: str, text: str) -> DataF
 
 
 class Wanted:
-    """Occurrences that a block's rows are asked for: lists of hash, span and pos."""
+    """Occurrences that a block's rows are asked for: lists of hash, span and place."""
 
     def __init__(self, part: pa.RecordBatch, column: str) -> None:
         lists = part.column(column)
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         values = lists.flatten()
         self.row = np.repeat(np.arange(part.num_rows), sizes)
-        self.hash, self.span, self.pos = (values.field(n).to_numpy(zero_copy_only=False) for n in ("hash", "span", "pos"))
+        self.hash, self.span, place = (values.field(n).to_numpy(zero_copy_only=False) for n in ("hash", "span", "place"))
+        self.pos = place & ((1 << POS_BITS) - 1)
 
     def among(self, level: Level, at: np.ndarray, found: np.ndarray, span: np.ndarray) -> np.ndarray:
         """Which of the occurrences (ascending) are wanted."""
@@ -195,14 +202,14 @@ def _runs(level: Level, marks: Marks, chosen: np.ndarray) -> tuple[np.ndarray, n
     return begin, stretches(level.seq, begin, begin + level.run), stretches(level.check, begin, begin + level.run, OTHER_STEP)
 
 
-def _lists(marks: DataFrame, name: str) -> DataFrame:
-    """The occurrences of each text; at most as many as it has words."""
-    return marks.groupBy(F.col("id").alias("w_id"), F.col("digest").alias("w_digest")).agg(F.collect_set(F.struct("hash", "span", "pos")).alias(name))
+def _by_text() -> list[Column]:
+    return [F.col("id").alias("w_id"), F.shiftright("place", POS_BITS).alias("w_digest")]
 
 
 def runs_of(docs: DataFrame, marks: DataFrame, sizes: Sizes, *, key: str, text: str) -> DataFrame:
-    """hash, span (a second hash), id, digest and pos of every run of the marks."""
-    chosen = _identified(docs, key, text).join(_lists(marks, "at"), F.expr("id = w_id AND digest = w_digest")).select("id", "digest", "text", "at")
+    """hash, span (a second hash), id and place of every run of the marks."""
+    lists = marks.groupBy(*_by_text()).agg(F.collect_set(F.struct("hash", "span", "place")).alias("at"))  # at most a text's fingerprints
+    chosen = _identified(docs, key, text).join(lists, F.expr("id = w_id AND digest = w_digest")).select("id", "digest", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.text_blocks(batches, "text"):
@@ -215,10 +222,10 @@ def runs_of(docs: DataFrame, marks: DataFrame, sizes: Sizes, *, key: str, text:
 
 
 def later_of(marks: DataFrame, name: str) -> DataFrame:
-    """Those of marks (hash, span, id, digest, pos) that are not the first occurrence of their hashes."""
-    firsts = marks.groupBy("hash", "span").agg(F.min(F.struct("id", "digest", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = written(firsts.select("hash", "span", "f"), name)  # as a table, Spark can split the join of a very common line
-    return marks.join(firsts, ["hash", "span"]).where("struct(id, digest, pos) <> f").select("hash", "span", "id", "digest", "pos")
+    """Those of marks (hash, span, id, place) that are not the first occurrence of their hashes."""
+    firsts = marks.groupBy("hash", "span").agg(F.min(F.struct("id", "place")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = written(firsts.select("hash", "span", F.col("f.id").alias("first_id"), F.col("f.place").alias("first_place")), name)  # as a table, Spark can split the join of a very common line
+    return marks.join(firsts, ["hash", "span"]).where("id <> first_id OR place <> first_place").select("hash", "span", "id", "place")
 
 
 def covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -249,15 +256,15 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     shared = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).where("n > 1")
     shared = written(shared.select("hash", (F.col("low") != F.col("high")).alias("mixed")), "line-shared")  # as a table, Spark can split the join of a very common line
     marks = written(marks.join(shared, "hash"), "line-spans")
-    mixed = marks.where("mixed").groupBy("hash", "span").agg(F.min(F.struct("id", "digest", "pos")).alias("f")).select("hash", "span", "f.*")
+    mixed = marks.where("mixed").groupBy("hash", "span").agg(F.min(F.struct("id", "place")).alias("f")).select("hash", "span", "f.*")
     runs = written(runs_of(docs, mixed, sizes, key=key, text=text), "line-runs")
     whole, single = later_of(marks, "span-firsts").withColumn("whole", F.lit(True)), later_of(runs, "run-firsts").withColumn("whole", F.lit(False))
-    item = F.struct("hash", "span", "pos")
-    lists = whole.unionByName(single).groupBy(F.col("id").alias("w_id"), F.col("digest").alias("w_digest")).agg(F.collect_set(F.when(F.col("whole"), item)).alias("spans"), F.collect_set(F.when(~F.col("whole"), item)).alias("runs"))  # at most a text's words
+    item = F.struct("hash", "span", "place")
+    lists = whole.unionByName(single).groupBy(*_by_text()).agg(F.collect_set(F.when(F.col("whole"), item)).alias("spans"), F.collect_set(F.when(~F.col("whole"), item)).alias("runs"))  # at most a text's words
     own = docs.columns
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if c != text] or [F.lit(True).alias("none")]).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    digest = F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = carried.join(lists, (F.col("id") == F.col("w_id")) & (digest == F.col("w_digest")), "left").select("row", "text", "spans", "runs")
+    own_digest = _digest(F.coalesce("text", F.lit("")))
+    joined = carried.join(lists, (F.col("id") == F.col("w_id")) & (own_digest == F.col("w_digest")), "left").select("row", "text", "spans", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.text_blocks(batches, "text"):
