@@ -3,8 +3,8 @@
 Pages become ARC files (version 1 or 2), a shard each partition; the converter parses the version's header lines, takes
 each record's declared length, and synthesises the WARC equivalents: a record id (a name-based UUID of url, date and
 digest), the 14-digit date as an ISO timestamp, the record type, and base32 SHA-1 digests of payload and block. Of equal
-payloads of at least min_bytes the record with the smallest id is the response and the others refer to it; smaller
-payloads are all responses. Every ARC and WARC record is a gzip member of its own.
+payloads of at least min_bytes the record with the smallest id is the response and the others are revisits that refer to
+its record id; smaller payloads are all responses. Every ARC and WARC record is a gzip member of its own.
 
 ARC header lines (fixed values of the format): version 1 has URL, IP, date, content type and length; version 2 has URL,
 IP, date, content type, result code, checksum, location, offset, file name and length. The version block's third line
@@ -15,8 +15,10 @@ the response comes from a grouping on digest and length, with the minimum taken
 Spark may split where a payload is very common.
 
 Defined cases: null html is an empty payload; a null url is the empty url, and white space in a url is percent-encoded;
-a null id is never referred to unless all of its group are null; rows that repeat an id are records of their own; an
-empty table gives no file and an empty result.
+a null id is never referred to unless all of its group are null; rows that repeat an id are records of their own, one of
+them the response (the first as Spark reads them, so the pages must come in the same order when they are read again, as
+files do); an empty id stays empty; columns beside id, url and html are not archived; an empty table gives no file and an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import hashlib
 import io
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -97,14 +99,22 @@ def warc_record(fields: dict[str, str], block: bytes) -> bytes:
     return gzip.compress(head.encode() + block + b"\r\n\r\n", compresslevel=3, mtime=0)
 
 
-def warc_fields(head: dict[str, str], payload: bytes, block: bytes, page: str, refers_to: str | None) -> dict[str, str]:
-    """The WARC equivalents of an ARC header."""
-    d, own = head["Archive-date"], digest(payload)
-    kind = "response" if refers_to is None else "revisit"
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{SPACE_FOR}{page}|{head['URL']}|{d}|{own}")
-    fields = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", "WARC-Target-URI": head["URL"], "WARC-IP-Address": head["IP-address"], "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{own}", "WARC-Block-Digest": f"sha1:{digest(block)}", "X-Page-ID": page, "X-Payload-Length": str(len(payload))}
-    if refers_to is not None:
-        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-ID": refers_to}
+def record_id(page: str | None, url: str, date: str, payload_digest: str, tag: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{SPACE_FOR}{page}|{url}|{date}|{payload_digest}|{tag}')}>"
+
+
+def warc_fields(head: dict[str, str], payload: bytes, block: bytes, page: dict) -> dict[str, str]:
+    """The WARC equivalents of an ARC header. page: id, tag, revisit and original (id, tag, url), as with_revisits has them."""
+    d, own, original = head["Archive-date"], digest(payload), page["original"]
+    date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+    fields = {"WARC-Type": "response" if original is None else "revisit", "WARC-Record-ID": record_id(page["id"], head["URL"], d, own, page["tag"]), "WARC-Date": date, "WARC-Target-URI": head["URL"], "WARC-IP-Address": head["IP-address"], "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{own}", "WARC-Block-Digest": f"sha1:{digest(block)}", "X-Payload-Length": str(len(payload))}
+    if page["id"] is not None:
+        fields["X-Page-ID"] = quote(page["id"])
+    if original is not None:
+        url = _page_url(original["url"])
+        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(original["id"], url, d, own, original["tag"]), "WARC-Refers-To-Target-URI": url, "WARC-Refers-To-Date": date}
+        if original["id"] is not None:
+            fields["X-Refers-To-Page-ID"] = quote(original["id"])
     return fields
 
 
@@ -157,86 +167,104 @@ def _page_url(url: str | None) -> str:
     return quote(url or "", safe="/:?#[]@!$&'()*+,;=%~") or "-"
 
 
-def write_arc(pages: DataFrame, folder: str, *, version: int = 1, key: str = "page_id", url: str = "url", html: str = "html", refers_to: str = "refers_to") -> DataFrame:
-    """ARC files of the pages; the table of their URIs, with the pages' ids and refers_to in file order."""
-    chosen = pages.select(F.col(key).cast("string").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), F.col(refers_to).cast("string").alias("refers_to"))
+ORIGINAL = pa.struct([("id", pa.string()), ("tag", pa.int64()), ("url", pa.string())])
+PAGE = pa.struct([("id", pa.string()), ("tag", pa.int64()), ("original", ORIGINAL)])
+ARCS = pa.schema([("uri", pa.string()), ("pages", pa.list_(PAGE))])
+ARCS_DDL = "uri string, pages array<struct<id: string, tag: long, original: struct<id: string, tag: long, url: string>>>"
+
+
+def write_arc(pages: DataFrame, folder: str, *, version: int = 1) -> DataFrame:
+    """ARC files of the pages (as with_revisits gives them); the table of their URIs, with what ARC has no field for in file order."""
+    text = lambda c: F.col(c).cast("string").alias(c.rpartition(".")[2])
+    original = F.when(F.col("original").isNotNull(), F.struct(text("original.id"), "original.tag", "original.url"))
+    chosen = pages.select("url", "html", F.struct(text("id"), "tag", original.alias("original")).alias("page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, held = ShardWriter(folder, ".arc.gz"), {}
         for part, _, _ in tb.text_blocks(batches, "html"):
-            for i, u, h, r in zip(*(part.column(c).to_pylist() for c in ("id", "url", "html", "refers_to")), strict=True):
+            for u, h, page in zip(*(part.column(c).to_pylist() for c in ("url", "html", "page")), strict=True):
                 name = files.room()
                 if not files.at:
                     files.write(gzip.compress(arc_version_block(version, name), compresslevel=1, mtime=0))
                 files.write(gzip.compress(arc_record(version, _page_url(u), HTTP_HEAD + (h or "").encode(), name, files.at), compresslevel=1, mtime=0))
-                held.setdefault(files.uris[-1], []).append((i, r))
+                held.setdefault(files.uris[-1], []).append(page)
         files.close()
         for uri, rows in held.items():
-            yield pa.RecordBatch.from_pydict({"uri": [uri], "ids": pa.array([[i for i, _ in rows]], pa.list_(pa.string())), "refers_to": pa.array([[r for _, r in rows]], pa.list_(pa.string()))})
+            yield pa.RecordBatch.from_pylist([{"uri": uri, "pages": rows}], schema=ARCS)
 
-    return chosen.mapInArrow(run, "uri string, ids array<string>, refers_to array<string>")
+    return chosen.mapInArrow(run, ARCS_DDL)
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """A task a file: Spark keeps a number of partitions that it is given."""
+    return files.repartition(max(1, files.count()), "uri")
 
 
 def convert_arc(arcs: DataFrame, folder: str) -> DataFrame:
-    """WARC files from ARC files (uri, ids, refers_to); the table of their URIs. A file is streamed record by record."""
+    """WARC files from ARC files (uri, pages); the table of their URIs. A file is streamed record by record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 files = ShardWriter(folder, ".warc.gz")
                 fs, path = open_at(batch.column("uri")[i].as_py())
-                ids, refers = batch.column("ids")[i].as_py(), batch.column("refers_to")[i].as_py()
                 with gzip.open(io.BufferedReader(fs.open_input_file(path), 1 << 20)) as source:
-                    for page, target, (head, block) in zip(ids, refers, read_arc(source), strict=True):
+                    for page, (head, block) in zip(batch.column("pages")[i].as_py(), read_arc(source), strict=True):
                         payload = block.partition(b"\r\n\r\n")[2]
-                        kept = block if target is None else block[: len(block) - len(payload)]
+                        kept = block if page["original"] is None else block[: len(block) - len(payload)]
                         files.room()
-                        files.write(warc_record(warc_fields(head, payload, kept, "" if page is None else page, target), kept))
+                        files.write(warc_record(warc_fields(head, payload, kept, page), kept))
                 files.close()
                 yield pa.RecordBatch.from_pydict({"uri": files.uris})
 
-    return arcs.repartition("uri").mapInArrow(run, "uri string")
+    return _dealt(arcs).mapInArrow(run, "uri string")
 
 
 def read_warcs(files: DataFrame) -> DataFrame:
     """A row per record of the WARC files."""
 
+    def row(f: dict[str, str], block: bytes) -> dict:
+        page, target = f.get("X-Page-ID"), f.get("X-Refers-To-Page-ID")
+        return {"page_id": None if page is None else unquote(page), "payload_bytes": int(f["X-Payload-Length"]), "payload_digest": f["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": f["WARC-Type"], "refers_to": None if target is None else unquote(target), "record_id": f["WARC-Record-ID"], "refers_to_record": f.get("WARC-Refers-To"), "block_bytes": len(block)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column("uri").to_pylist():
                 fs, path = open_at(uri)
-                with gzip.open(fs.open_input_file(path)) as source:
+                with gzip.open(io.BufferedReader(fs.open_input_file(path), 1 << 20)) as source:
                     rows = []
                     for f, block in read_warc(source):
-                        rows.append({"page_id": f["X-Page-ID"], "payload_bytes": int(f["X-Payload-Length"]), "payload_digest": f["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": f["WARC-Type"], "refers_to": f.get("X-Refers-To-Page-ID"), "record_id": f["WARC-Record-ID"], "block_bytes": len(block)})
+                        rows.append(row(f, block))
                         if len(rows) == 2000:
-                            yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+                            yield pa.RecordBatch.from_pylist(rows, schema=RECORDS)
                             rows = []
                     if rows:
-                        yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+                        yield pa.RecordBatch.from_pylist(rows, schema=RECORDS)
 
-    return files.repartition("uri").mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string, block_bytes long")
+    return _dealt(files).mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string, refers_to_record string, block_bytes long")
 
 
-SCHEMA = pa.schema([("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("record_id", pa.string()), ("block_bytes", pa.int64())])
+RECORDS = pa.schema([("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("record_id", pa.string()), ("refers_to_record", pa.string()), ("block_bytes", pa.int64())])
 
 
-def with_revisits(pages: DataFrame, *, min_bytes: int = 0, key: str = "page_id", html: str = "html") -> DataFrame:
-    """pages with refers_to: the smallest id of an equal payload (same SHA-256 and length), null for that one."""
-    body = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    named = pages.withColumns({"_digest": F.sha2(body, 256), "_bytes": F.length(body)})
-    first = named.where(F.col("_bytes") >= min_bytes).groupBy("_digest", "_bytes").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    joined = named.join(first, ["_digest", "_bytes"], "left")
-    return joined.withColumn("refers_to", F.when(~F.col("_first").eqNullSafe(F.col(key)), F.col("_first"))).drop("_digest", "_bytes", "_first", "_n")
+def with_revisits(pages: DataFrame, *, min_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """id, url, html, tag (a number of the row) and original: id, tag and url of the first record of an equal payload (same SHA-256 and length), null for that one."""
+    named = pages.select(F.col(f"`{key}`").alias("id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"), F.monotonically_increasing_id().alias("tag"))
+    body = F.coalesce("html", F.lit("")).cast("binary")
+    named = named.withColumns({"sha": F.sha2(body, 256), "bytes": F.length(body)})
+    turn = F.struct(F.col("id").isNull().alias("none"), "id", "tag", "url")
+    first = named.where(F.col("bytes") >= min_bytes).groupBy("sha", "bytes").agg(F.min(turn).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    joined = named.join(first, ["sha", "bytes"], "left")
+    original = F.when(F.col("first.tag") != F.col("tag"), F.struct("first.id", "first.tag", "first.url"))
+    return joined.select("id", "url", "html", "tag", original.alias("original"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = with_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     arcs = written(write_arc(pages, fresh_path(spark, "arc"), version=2), "arc-files")
     warcs = written(convert_arc(arcs, fresh_path(spark, "warc")), "warc-files")
-    kind = pages.schema["page_id"].dataType
-    page = F.when(F.col("page_id") != "", F.col("page_id")).cast(kind)
-    return read_warcs(warcs).select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    kind = pages.schema["id"].dataType
+    return read_warcs(warcs).select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 OP4_SQL = """

@@ -174,19 +174,26 @@ def test_warc_against_sql(spark):
 @pytest.mark.parametrize("version", [1, 2])
 def test_warc_awkward_rows(spark, version):
     rows = [(1, "http://a/b c", "<p>x</p>"), (2, None, None), (3, "http://é/", ""), (4, "http://a", "<p>x</p>"), (4, "http://a", "<p>x</p>"), (None, "u", "y\r\n\r\nz\nWARC/1.1"), (5, "u", "é" * 4000)]
-    pages = warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record_type", F.lit("own")))
+    pages = warc.with_revisits(spark.createDataFrame([(None if i is None else str(i), u, h) for i, u, h in rows] + [("", "e", "own\n"), ("a\r\nb", "f", "<p>x</p>")], "page_id string, url string, html string").withColumns({c: F.lit("own") for c in ("record_type", "tag", "sha", "first", "id")}))
     files = written(warc.convert_arc(written(warc.write_arc(pages, fresh_path(spark, "a"), version=version), "a"), fresh_path(spark, "w")), "w")
     found = warc.read_warcs(files).collect()
-    assert len(found) == len(rows)
+    assert len(found) == len(rows) + 2
     kinds = collections.Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in found)
-    assert kinds == {("1", "response", None): 1, ("2", "response", None): 1, ("3", "revisit", "2"): 1, ("4", "revisit", "1"): 2, ("", "response", None): 1, ("5", "response", None): 1}
+    assert kinds == {("1", "response", None): 1, ("2", "response", None): 1, ("3", "revisit", "2"): 1, ("4", "revisit", "1"): 2, (None, "response", None): 1, ("5", "response", None): 1, ("", "response", None): 1, ("a\r\nb", "revisit", "1"): 1}
     sizes = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in found}
     assert sizes["5"] == (8000, base64.b32encode(hashlib.sha1(("é" * 4000).encode()).digest()).decode())
-
-
-def test_revisits_keep_to_the_least_size(spark):
-    pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
-    assert {r["page_id"]: r["refers_to"] for r in warc.with_revisits(pages, min_bytes=3).collect()} == {1: None, 2: None, 3: None, 4: 3}
+    records = {r["record_id"]: r["page_id"] for r in found}
+    assert len(records) == len(found) and all(records[r["refers_to_record"]] == r["refers_to"] for r in found if r["record_type"] == "revisit")
+
+
+def test_revisits_keep_to_the_least_size_and_have_one_response(spark):
+    pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (3, "u", "abc"), (4, "u", "abc"), (None, "u", "z"), (None, "u", "z")], "page_id long, url string, html string")
+    found = warc.with_revisits(pages, min_bytes=3).collect()
+    assert sorted((r["id"], r["original"] and r["original"]["id"]) for r in found if r["original"]) == [(3, 3), (4, 3)]
+    assert sum(r["id"] == 3 and r["original"] is None for r in found) == 1
+    found = warc.with_revisits(pages.where("page_id IS NULL")).collect()
+    assert sorted(r["original"] is None for r in found) == [False, True]
+    assert warc.with_revisits(pages.limit(0)).count() == 0
 
 
 def test_arc_reader_takes_declared_lengths():
