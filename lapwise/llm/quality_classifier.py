@@ -1,8 +1,9 @@
 """Quality classifier by compression: zstandard dictionaries of good and bad text, and a calibrated score.
 
-A text that resembles good text compresses better under the dictionary built from good text. The size difference over
-the sum of both sizes, and the compressed share of the text, go through a logistic calibration that is fitted on other
-labelled rows than the dictionaries.
+A text that resembles good text compresses better under the dictionary built from good text. The difference of the two
+compressed sizes over the size of the text goes through a logistic calibration that is fitted on other labelled rows than
+the dictionaries. Scored texts are compressed whole; the dictionaries are trained on the first snippet_bytes of their
+texts, since the trainer wants many short samples (where it finds too few, the samples themselves are the dictionary).
 
 Defined cases: null texts count as empty; an empty text, and every text when one class has no labelled row, gets the
 share of class 1 among the labels (0.5 without labels); a document labelled twice takes the larger label; columns of
@@ -35,7 +36,7 @@ class CompressionModel:
 def _compressors(model: CompressionModel) -> list:
     found = []
     for content in (model.good, model.bad):
-        table = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        table = zstandard.ZstdCompressionDict(content)
         table.precompute_compress(level=LEVEL)
         found.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=table))
     return found
@@ -43,14 +44,14 @@ def _compressors(model: CompressionModel) -> list:
 
 def _measures(text: bytes, compressors: list) -> tuple[float, ...]:
     good, bad = (len(c.compress(text)) for c in compressors)
-    share = np.log(min(good, bad) / len(text))
-    return (1.0, (good - bad) / (good + bad), share, share * share)
+    return (1.0, (good - bad) / len(text))
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """Pieces of the texts in turn until size is reached; the format of zstandard's raw-content dictionaries."""
-    piece = max(64, size // max(1, len(texts)))
-    return b"".join(t[len(t) // 3 : len(t) // 3 + piece] for t in texts)[-size:]
+def _dictionary(samples: list[bytes], size: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -73,7 +74,7 @@ def one_text(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", per_class: int = 2000, dictionary_bytes: int = 112 << 10) -> CompressionModel:
+def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", per_class: int = 2000, dictionary_bytes: int = 112 << 10, snippet_bytes: int = 1000) -> CompressionModel:
     """Fit on at most per_class labelled documents of each class, those first by hash of doc_id, in one task."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -88,11 +89,11 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", per_
         rows = sorted((t, y, (s or "").encode()) for b in batches for y, t, s in zip(*(b.column(c).to_pylist() for c in ("y", "turn", "text")), strict=True))
         rows = [r for r in rows if r[2]]
         first = rows[::2]
-        model = CompressionModel(prior, *(_dictionary([s for _, y, s in first if y == k], dictionary_bytes) for k in (1, 0)))
+        model = CompressionModel(prior, *(_dictionary([s[:snippet_bytes] for _, y, s in first if y == k], dictionary_bytes) for k in (1, 0)))
         if model.good and model.bad:
             tools = _compressors(model)
             rest = rows[1::2]
-            x, y = np.array([_measures(s, tools) for _, _, s in rest]).reshape(-1, 4), np.array([y for _, y, _ in rest], dtype=float)
+            x, y = np.array([_measures(s, tools) for _, _, s in rest]).reshape(-1, 2), np.array([y for _, y, _ in rest], dtype=float)
             ones = max(1.0, y.sum())
             weight = np.where(y == 1, prior / ones, (1 - prior) / max(1.0, len(y) - ones)) * len(y)
             model.weights = tuple(_logistic(x, y, weight)) if 0 < y.sum() < len(y) else ()

@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Tokens are runs of letters, digits and non-ASCII bytes, ASCII-lower-cased. Features are the distinct unigrams (and their
-first bytes, so that inflected forms share weight), bigrams and one-gap skip-grams of a text, hashed to 2**bits buckets. L1 keeps the weight vector sparse: only its non-zero
+Tokens are runs of letters, digits and non-ASCII bytes, ASCII-lower-cased. Features are the distinct unigrams, bigrams and
+one-gap skip-grams of a text, and the first prefix_bytes bytes of longer words, so that inflected and compound forms share
+weight (prefix_bytes=() leaves these out), hashed to 2**bits buckets. L1 keeps the weight vector sparse: only its non-zero
 weights travel to the tasks (at most one per feature of the bounded training sample).
 
 Defined cases: a null or empty text has no feature and gets the score of the bias alone; rows of labels whose label is
@@ -12,6 +13,7 @@ share of class 1 (0.5 without labels); columns of the input named like an output
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,27 +28,25 @@ TOKEN_BYTES = np.full(256, 0x20, dtype=np.uint8)
 for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     TOKEN_BYTES[_low:_high] = tb.LOWER[_low:_high]
 
-PREFIX_BYTES = (4, 5)
-
-
 @dataclass
 class ToxicityModel:
-    """Sparse weights by ascending bucket, and the bias."""
+    """Sparse weights by ascending bucket, and the bias; the features' number of bits and prefixes."""
 
     bits: int
+    prefix_bytes: tuple[int, ...]
     bias: float
     buckets: np.ndarray = field(repr=False)
     weights: np.ndarray = field(repr=False)
 
 
-def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def features(data: np.ndarray, offsets: np.ndarray, bits: int, prefix_bytes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Row and bucket of every unigram, prefix, bigram and skip-gram, repeats included."""
     data = TOKEN_BYTES[data]
     starts, ends, first = tb.word_spans(data, offsets)
     hashes = tb.word_hashes(data, starts, ends)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     rows, keys = [row], [hashes]
-    for length in PREFIX_BYTES:
+    for length in prefix_bytes:
         long = ends - starts > length
         rows.append(row[long])
         keys.append(tb.mix(tb.word_hashes(data, starts[long], starts[long] + length) + np.uint64(length)))
@@ -78,7 +78,7 @@ def ftrl(examples: list[tuple[int, np.ndarray]], bits: int, epochs: int, alpha:
     return weigh(z, n), -zb * alpha / (beta + math.sqrt(nb))
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 3000, bits: int = 22, min_documents: int = 3, epochs: int = 6, alpha: float = 0.3, beta: float = 1.0, l1: float = 4.5, l2: float = 1.0) -> ToxicityModel:
+def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 3000, bits: int = 22, min_documents: int = 3, epochs: int = 6, alpha: float = 0.3, beta: float = 1.0, l1: float = 9.0, l2: float = 1.0, prefix_bytes: tuple[int, ...] = (4, 5)) -> ToxicityModel:
     """Fit on at most per_class labelled documents of each class, those first by hash of doc_id.
 
     The bound makes the training set fit one task; scores are put back to the class shares of all labels.
@@ -87,23 +87,23 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", per_cl
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-        return ToxicityModel(bits, math.log((share + 1e-6) / (1 - share + 1e-6)), np.zeros(0, dtype=np.int64), np.zeros(0))
+        return ToxicityModel(bits, prefix_bytes, math.log((share + 1e-6) / (1 - share + 1e-6)), np.zeros(0, dtype=np.int64), np.zeros(0))
     order = F.xxhash64("doc_id")
     chosen = marked.where("y = 0").orderBy(order, "doc_id").limit(per_class).unionByName(marked.where("y = 1").orderBy(order, "doc_id").limit(per_class))
     sample = one_text(documents, chosen)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.text_blocks(batches, "text"):
-            row, bucket = features(data, offsets, bits)
+            row, bucket = features(data, offsets, bits, prefix_bytes)
             found = np.unique((row << bits) | bucket)
             cuts = np.searchsorted(found, np.arange(part.num_rows + 1) << bits)
             found = (found & ((1 << bits) - 1)).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "y": part.column("y"), "buckets": [found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [(int(tb.mix(np.array([d], dtype=np.int64).view(np.uint64))[0]), y, b) for batch in batches for d, y, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "buckets")), strict=True)]
+        seen = [(zlib.crc32(str(d).encode()), str(d), y, b) for batch in batches for d, y, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "buckets")), strict=True)]
         seen.sort()  # the same order in every run
-        examples = [(y, np.frombuffer(b, dtype=np.int32)) for _, y, b in seen]
+        examples = [(y, np.frombuffer(b, dtype=np.int32)) for *_, y, b in seen]
         often = np.zeros(1 << bits, dtype=np.int32)
         for _, at in examples:
             often[at] += 1
@@ -114,14 +114,14 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", per_cl
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(part, -1) if not k else part, pa.int64()), "weight": pa.array(np.append(dense[part], bias) if not k else dense[part], pa.float64())})
 
     kept = {k: min(n, per_class) for k, n in counts.items()}
-    got = sample.mapInArrow(extract, "doc_id long, y int, buckets binary").repartition(1).mapInArrow(train, "bucket long, weight double").toArrow()
+    got = sample.mapInArrow(extract, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, y int, buckets binary").repartition(1).mapInArrow(train, "bucket long, weight double").toArrow()
     bucket, weight = got.column("bucket").to_numpy(), got.column("weight").to_numpy()
     if not len(weight):  # no labelled document is there
         bucket, weight = np.array([-1]), np.zeros(1)
     shift = math.log(counts[1] / counts[0]) - math.log(kept[1] / kept[0])
     order_by = np.argsort(bucket, kind="stable")
     bucket, weight = bucket[order_by], weight[order_by]
-    return ToxicityModel(bits, float(weight[0]) + shift, bucket[1:].astype(np.int64), weight[1:])
+    return ToxicityModel(bits, prefix_bytes, float(weight[0]) + shift, bucket[1:].astype(np.int64), weight[1:])
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", out: str = "score") -> DataFrame:
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", out: str
         dense = np.zeros(1 << m.bits, dtype=np.float32)
         dense[m.buckets] = m.weights
         for part, data, offsets in tb.text_blocks(batches, text):
-            row, bucket = features(data, offsets, m.bits)
+            row, bucket = features(data, offsets, m.bits, m.prefix_bytes)
             live = dense[bucket] != 0
             found = np.unique((row[live] << m.bits) | bucket[live])
             total = np.bincount(found >> m.bits, weights=dense[found & ((1 << m.bits) - 1)].astype(np.float64), minlength=part.num_rows)

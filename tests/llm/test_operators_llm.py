@@ -347,6 +347,51 @@ def test_toxicity_held_out(spark):
     assert accuracy(toxicity.op10_toxicity(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), "toxic") >= 0.9
 
 
+def test_ftrl_against_a_dense_loop():
+    """Every coordinate by the published update, one by one."""
+    rng, bits = np.random.default_rng(2), 5
+    examples = [(int(y), np.unique(rng.integers(0, 32, 6))) for y in rng.integers(0, 2, 60)]
+    alpha, beta, l1, l2 = 0.4, 1.0, 0.3, 0.7
+    z, n, zb, nb = [0.0] * 32, [0.0] * 32, 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else (np.sign(z[i]) * l1 - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+    for _ in range(3):
+        for y, at in examples:
+            w, bias = {i: weight(i) for i in at}, -zb * alpha / (beta + nb**0.5)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + bias))) - y
+            for i in at:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * bias
+            nb += g * g
+    found, bias = toxicity.ftrl(examples, bits, 3, alpha, beta, l1, l2)
+    assert found == pytest.approx([weight(i) for i in range(32)]) and bias == pytest.approx(-zb * alpha / (beta + nb**0.5))
+
+
+def test_toxicity_features_against_brute_force():
+    texts = ["You, you IDIOT-like thing", "", "one", "a b c d"]
+    rows, buckets = toxicity.features(*arrow_text(texts), 40, (3,))
+    for r, text in enumerate(texts):
+        w = re.findall(r"[a-z0-9]+", text.lower())
+        grams = [("1", x) for x in w] + [("p", x[:3]) for x in w if len(x) > 3] + [("2", *x) for x in zip(w, w[1:])] + [("s", *x) for x in zip(w, w[2:])]
+        assert (rows == r).sum() == len(grams) and len(set(buckets[rows == r].tolist())) == len(set(grams))
+
+
+def test_quality_scores_against_direct_compression(spark):
+    import zstandard
+
+    rng = np.random.default_rng(1)
+    word = lambda kind: f"{kind}{rng.integers(0, 400)}"
+    rows = [(i, " ".join(word("calm" if i % 2 else "JUNK!") for _ in range(200)), i % 2) for i in range(400)] + [(500, "calm7 " * 180_000, None), (501, "", None), (502, None, None)]
+    texts = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = quality_classifier.fit(texts, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    tools = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d)) for d in (model.good, model.bad)]
+    for r in quality_classifier.score(texts, model).collect():
+        s = (r["text"] or "").encode()
+        good, bad = (len(t.compress(s)) for t in tools)
+        want = 1 / (1 + np.exp(-(model.weights[0] + model.weights[1] * (good - bad) / len(s)))) if s else 0.5
+        assert r["score"] == pytest.approx(want, abs=1e-6) and (r["doc_id"] >= 500 or (r["score"] > 0.5) == r["doc_id"] % 2)
+
+
 @pytest.mark.parametrize("module", [quality_classifier, toxicity])
 def test_classifiers_awkward_rows(spark, docs, nothing, module):
     rows = [(i, f"good prose number {i} with calm words " * 5, 1) for i in range(20, 30)] + [(i, f"JUNK!! idiot {i} $$$ ### " * 6, 0) for i in range(30, 40)]
