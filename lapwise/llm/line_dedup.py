@@ -2,7 +2,7 @@
 
 Two kinds of line are winnowed. Text lines end at a line break; they are compared word by word, whatever the white space,
 and lines of under min_line_words words (a brace, a heading's number) are left alone. A passage pasted into other text
-rarely begins or ends at a break, so there are rolling lines too: a quarter of min_words consecutive words, wherever they begin.
+rarely begins or ends at a break, so there are rolling lines too: a third of min_words consecutive words, wherever they begin.
 A repeated run is min_lines text lines (one by default) or min_words words.
 
 The hash of every line is taken; of each window of consecutive hashes the minimum (the rightmost on ties) is a
@@ -65,7 +65,7 @@ class Level:
 
     @property
     def line(self) -> int:
-        return max(1, self.run // 4)
+        return max(1, self.run // 3)
 
 
 def stretches(values: np.ndarray, begin: np.ndarray, end: np.ndarray, step: np.uint64 = STEP) -> np.ndarray:
@@ -202,14 +202,17 @@ def _runs(level: Level, marks: Marks, chosen: np.ndarray) -> tuple[np.ndarray, n
     return begin, stretches(level.seq, begin, begin + level.run), stretches(level.check, begin, begin + level.run, OTHER_STEP)
 
 
+BY_TEXT = "id = w_id AND digest = w_digest"
+
+
 def _by_text() -> list[Column]:
     return [F.col("id").alias("w_id"), F.shiftright("place", POS_BITS).alias("w_digest")]
 
 
-def runs_of(docs: DataFrame, marks: DataFrame, sizes: Sizes, *, key: str, text: str) -> DataFrame:
-    """hash, span (a second hash), id and place of every run of the marks."""
+def runs_of(carried: DataFrame, marks: DataFrame, sizes: Sizes) -> DataFrame:
+    """hash, span (a second hash), id and place of every run of the marks; carried: row, id, text and digest."""
     lists = marks.groupBy(*_by_text()).agg(F.collect_set(F.struct("hash", "span", "place")).alias("at"))  # at most a text's fingerprints
-    chosen = _identified(docs, key, text).join(lists, F.expr("id = w_id AND digest = w_digest")).select("id", "digest", "text", "at")
+    chosen = carried.join(lists, F.expr(BY_TEXT), "left").select("row", "id", "text", "digest", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.text_blocks(batches, "text"):
@@ -218,13 +221,13 @@ def runs_of(docs: DataFrame, marks: DataFrame, sizes: Sizes, *, key: str, text:
                 marks = marks_of(level)
                 yield _occurrences(part, level, *_runs(level, marks, wanted.among(level, marks.at, marks.hash, marks.span)))
 
-    return chosen.mapInArrow(run, _schema(docs, key))
+    return chosen.mapInArrow(run, _schema(carried, "id"))
 
 
-def later_of(marks: DataFrame, name: str) -> DataFrame:
+def later_of(marks: DataFrame) -> DataFrame:
     """Those of marks (hash, span, id, place) that are not the first occurrence of their hashes."""
     firsts = marks.groupBy("hash", "span").agg(F.min(F.struct("id", "place")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = written(firsts.select("hash", "span", F.col("f.id").alias("first_id"), F.col("f.place").alias("first_place")), name)  # as a table, Spark can split the join of a very common line
+    firsts = firsts.select("hash", "span", F.col("f.id").alias("first_id"), F.col("f.place").alias("first_place")).hint("rebalance")  # dealt anew, so that Spark can split the join of a very common line
     return marks.join(firsts, ["hash", "span"]).where("id <> first_id OR place <> first_place").select("hash", "span", "id", "place")
 
 
@@ -253,18 +256,18 @@ def without(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sizes: Sizes = Sizes(), out_words: str | None = None) -> DataFrame:
     """docs without the later repeats; out_words: a column for the number of words deleted."""
     marks = written(fingerprints(docs, sizes, key=key, text=text), "line-fingerprints")
-    shared = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).where("n > 1")
-    shared = written(shared.select("hash", (F.col("low") != F.col("high")).alias("mixed")), "line-shared")  # as a table, Spark can split the join of a very common line
+    shared = written(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "line-shared")  # as a table, Spark can split the join of a very common line
     marks = written(marks.join(shared, "hash"), "line-spans")
-    mixed = marks.where("mixed").groupBy("hash", "span").agg(F.min(F.struct("id", "place")).alias("f")).select("hash", "span", "f.*")
-    runs = written(runs_of(docs, mixed, sizes, key=key, text=text), "line-runs")
-    whole, single = later_of(marks, "span-firsts").withColumn("whole", F.lit(True)), later_of(runs, "run-firsts").withColumn("whole", F.lit(False))
-    item = F.struct("hash", "span", "place")
-    lists = whole.unionByName(single).groupBy(*_by_text()).agg(F.collect_set(F.when(F.col("whole"), item)).alias("spans"), F.collect_set(F.when(~F.col("whole"), item)).alias("runs"))  # at most a text's words
+    spans = marks.groupBy("hash", "span").agg(F.min(F.struct("id", "place")).alias("f"))
+    mixed = spans.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    mixed = written(spans.join(mixed, "hash").select("hash", "span", "f.*"), "line-mixed")
     own = docs.columns
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if c != text] or [F.lit(True).alias("none")]).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    own_digest = _digest(F.coalesce("text", F.lit("")))
-    joined = carried.join(lists, (F.col("id") == F.col("w_id")) & (own_digest == F.col("w_digest")), "left").select("row", "text", "spans", "runs")
+    carried = carried.withColumn("digest", _digest(F.coalesce("text", F.lit(""))))  # both joins below read one shuffle of it
+    single = later_of(runs_of(carried, mixed, sizes)).withColumn("whole", F.lit(False))
+    item = F.struct("hash", "span", "place")
+    lists = later_of(marks).withColumn("whole", F.lit(True)).unionByName(single).groupBy(*_by_text()).agg(F.collect_set(F.when(F.col("whole"), item)).alias("spans"), F.collect_set(F.when(~F.col("whole"), item)).alias("runs"))  # at most a text's words
+    joined = carried.join(lists, F.expr(BY_TEXT), "left").select("row", "text", "spans", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.text_blocks(batches, "text"):
