@@ -169,15 +169,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), words=3, radius=3)
 
 
+def close_pairs(texts: DataFrame, heads: DataFrame, *, words: int, radius: int) -> DataFrame:
+    """a, b: pairs of those rows (row, text) that heads (head) names; they join all whose fingerprints are equal or linked."""
+    prints = written(fingerprints(texts, words=words, key="row").join(heads, F.col("doc_id") == F.col("head"), "left_semi"), "fingerprints")
+    distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
+    equal = prints.join(distinct, "fingerprint").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    return equal.unionByName(links(distinct, radius=radius))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies (five words, similarity 0.8), the document with the smallest id stays.
 
-    Every pair of that similarity links, found by an exact join on the shingle sets (similar_sets), since no fingerprint
-    distance of use bounds it. A row counts by its text, also where its id is null (last in order) or repeated: one row of
-    each group stays.
+    SimHash fingerprints and their tiles propose pairs, and every pair counts only if its shingle sets are that similar.
+    No fingerprint distance of use bounds that similarity (half of the pairs at 0.8 differ in more than nine bits), so an
+    exact join on the shingle sets (similar_sets) adds the pairs that the fingerprints miss. A row counts by its text, also
+    where its id is null (last in order) or repeated: one row of each group stays.
     """
     rows = written(docs.withColumn("lapwise_row", F.monotonically_increasing_id()), "near-rows")
-    groups = written(similar_groups(rows.select(F.col("lapwise_row").alias("row"), "text"), words=5), "near-groups")
+    texts = rows.select(F.col("lapwise_row").alias("row"), "text")
+    groups = written(similar_groups(texts, words=5, propose=lambda heads: close_pairs(texts, heads, words=5, radius=3)), "near-groups")
     ranked = rows.select("lapwise_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "lapwise_row").alias("turn")).join(groups, F.col("lapwise_row") == F.col("row"))
     kept = ranked.groupBy("component").agg(F.min("turn").alias("first")).select(F.col("first.lapwise_row").alias("kept_row"))
     return rows.join(kept, F.col("lapwise_row") == F.col("kept_row"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

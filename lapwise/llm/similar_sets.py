@@ -7,9 +7,10 @@ whatever the order is. The order puts shingles that are common in a sample of th
 prefix; the sample decides the work only, not the result.
 
 Rows of equal sets (a digest of 128 bits) have one representative. Candidates are verified on whole sets; only verified
-pairs link. First each row meets the smallest row of each of its prefix shingles, and the components of those links are
-formed; then every pair of candidates that lies in two components is verified. A pair inside one component cannot change
-the components, so the thinning loses nothing.
+pairs link. Before the sets are joined, a sketch (how many shingles fall into each of 256 buckets) bounds the overlap from
+above and drops the pairs that cannot reach it. First each row meets the smallest row of each of its prefix shingles, and
+the pairs that the caller proposes, and the components of those links are formed; then every pair of candidates that lies
+in two components is verified. A pair inside one component cannot change the components, so the thinning loses nothing.
 
 Defined cases: rows of less words than a shingle are one shingle, rows without words (null, empty, white space) are equal.
 """
@@ -17,10 +18,11 @@ Defined cases: rows of less words than a shingle are one shingle, rows without w
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwise.llm import textblocks as tb
@@ -29,6 +31,7 @@ from lapwise.llm.scratch import written
 
 NUM, DEN = 4, 5  # the similarity, 0.8, as whole numbers: no rounding at the border
 SAMPLED, COMMON, MOST_COMMON = 16, 16, 1_000_000
+BUCKETS = 256
 
 
 def shingle_spans(first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +80,7 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
 
 def prefixes(texts: DataFrame, words: int) -> DataFrame:
-    """row, digest and size of the shingle set of every row, and its prefix."""
+    """row, digest, size and sketch of the shingle set of every row, and its prefix."""
     shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,9 +100,29 @@ def prefixes(texts: DataFrame, words: int) -> DataFrame:
             cuts = np.concatenate([[0], np.cumsum([len(k) for k in kept])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64), pa.int64()))
             sizes = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(digests, pa.binary()), sizes, lists], names=["row", "digest", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(digests, pa.binary()), sizes, pa.array(map(sketch, sets), pa.binary()), lists], names=["row", "digest", "size", "sketch", "prefix"])
 
-    return texts.select("row", "text").mapInArrow(run, "row long, digest binary, size int, prefix array<long>")
+    return texts.select("row", "text").mapInArrow(run, "row long, digest binary, size int, sketch binary, prefix array<long>")
+
+
+def sketch(shingles: np.ndarray) -> bytes | None:
+    """The number of shingles in each bucket, a byte each; null where a byte is too small."""
+    counts = np.bincount(shingles & (BUCKETS - 1), minlength=BUCKETS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def within_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs a, b whose sketches leave room for the overlap that the similarity demands."""
+    side = lambda c: sketches.select(F.col("row").alias(c), F.col("sketch").alias(f"s{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [np.frombuffer(b"".join(x or bytes(BUCKETS) for x in batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS) for c in ("sa", "sb")]
+            room, both = np.minimum(*sides).sum(axis=1, dtype=np.int64), sum(x.sum(axis=1, dtype=np.int64) for x in sides)
+            unknown = pc.or_(batch.column("sa").is_null(), batch.column("sb").is_null())
+            yield batch.select(["a", "b"]).filter(pc.or_(unknown, pa.array((NUM + DEN) * room >= NUM * both)))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def possible(size: Column, pos: Column, other_size: Column, other_pos: Column) -> Column:
@@ -108,8 +131,9 @@ def possible(size: Column, pos: Column, other_size: Column, other_pos: Column) -
     return (DEN * F.least(size, other_size) >= NUM * F.greatest(size, other_size)) & ((NUM + DEN) * room >= NUM * (size + other_size))
 
 
-def similar(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+def similar(texts: DataFrame, pairs: DataFrame, sketches: DataFrame, words: int) -> DataFrame:
     """The pairs a, b of rows whose sets are similar enough."""
+    pairs = written(within_sketch(pairs, sketches), "close-pairs")
     wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
     sets = written(sets_of(texts.join(wanted, F.col("row") == F.col("w"), "left_semi"), words), "shingle-sets")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -117,22 +141,28 @@ def similar(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     return joined.where(DEN * both >= NUM * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def similar_groups(texts: DataFrame, *, words: int = 5) -> DataFrame:
-    """row and component (a row of the same component) of every row (unique) and text."""
+def similar_groups(texts: DataFrame, *, words: int = 5, propose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """row and component (a row of the same component) of every row (unique) and text.
+
+    propose: more candidate pairs a, b, given head, a row of each set.
+    """
     found = written(prefixes(texts, words), "prefixes")
+    sketches = found.select("row", "sketch")
     heads = written(found.groupBy("digest").agg(F.min("row").alias("head")), "equal-sets")
     marks = found.join(heads, F.col("row") == F.col("head"), "left_semi").select("row", "size", F.posexplode("prefix").alias("pos", "h"))
     firsts = written(marks.groupBy("h").agg(F.min(F.struct("row", "size", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "f"), "prefix-firsts")
     marks = written(marks.join(firsts, "h"), "prefix-marks")
-    stars = marks.where(F.col("row") != F.col("f.row")).where(possible(F.col("size"), F.col("pos"), F.col("f.size"), F.col("f.pos")))
-    stars = written(stars.select(F.col("f.row").alias("a"), F.col("row").alias("b")).distinct(), "star-pairs")
-    linked = written(similar(texts, stars, words), "star-links")
+    stars = marks.where(F.col("row") != F.col("f.row")).where(possible(F.col("size"), F.col("pos"), F.col("f.size"), F.col("f.pos"))).select(F.col("f.row").alias("a"), F.col("row").alias("b"))
+    if propose:
+        stars = stars.unionByName(propose(heads.select("head")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b"))
+    stars = written(stars.distinct(), "star-pairs")
+    linked = written(similar(texts, stars, sketches, words), "star-links")
     groups = written(components(linked), "star-components")
     placed = marks.drop("f").join(groups, F.col("row") == F.col("node"), "left").select("h", "row", "size", "pos", F.coalesce("component", "row").alias("c"))
     other = placed.select("h", *[F.col(c).alias(f"other_{c}") for c in ("row", "size", "pos", "c")])
     apart = placed.join(other, "h").where("row < other_row AND c <> other_c").where(possible(F.col("size"), F.col("pos"), F.col("other_size"), F.col("other_pos")))
     apart = apart.select(F.col("row").alias("a"), F.col("other_row").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    linked = linked.unionByName(similar(texts, written(apart, "other-pairs"), words))
+    linked = linked.unionByName(similar(texts, written(apart, "other-pairs"), sketches, words))
     groups = components(linked)
     known = heads.join(groups, F.col("head") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "head").alias("component"))
-    return found.join(known, F.col("digest") == F.col("d")).select("row", "component")
+    return found.select("row", "digest").join(known, F.col("digest") == F.col("d")).select("row", "component")
