@@ -98,7 +98,7 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
 
 
 def _connect(**tables: pa.Table) -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-")})  # spills stay on the executor
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "100MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-")})  # spills stay on the executor
     for name, table in tables.items():
         con.register("given", table)
         con.execute(f"CREATE TABLE {name} AS {MERGES_SQL if name == 'merges' else 'SELECT * FROM given'}")
