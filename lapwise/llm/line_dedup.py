@@ -2,7 +2,7 @@
 
 Two kinds of line are winnowed. Text lines end at a line break; they are compared word by word, whatever the white space,
 and lines of under min_line_words words (a brace, a heading's number) are left alone. A passage pasted into other text
-rarely begins or ends at a break, so there are rolling lines too: a third of min_words consecutive words, wherever they begin.
+rarely begins or ends at a break, so there are rolling lines too: half of min_words consecutive words, wherever they begin.
 A repeated run is min_lines text lines (one by default) or min_words words.
 
 The hash of every line is taken; of each window of consecutive hashes the minimum (the rightmost on ties) is a
@@ -29,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lapwise.llm import textblocks as tb
@@ -65,7 +66,7 @@ class Level:
 
     @property
     def line(self) -> int:
-        return max(1, self.run // 3)
+        return max(1, self.run // 2)
 
 
 def stretches(values: np.ndarray, begin: np.ndarray, end: np.ndarray, step: np.uint64 = STEP) -> np.ndarray:
@@ -149,12 +150,6 @@ def _occurrences(part: pa.RecordBatch, level: Level, at: np.ndarray, found: np.n
     return pa.RecordBatch.from_arrays([_signed(found), _signed(span), part.column("id").take(pa.array(row)), pa.array(digest << POS_BITS | at - level.first[row])], names=["hash", "span", "id", "place"])
 
 
-def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, digest and text of the rows that take part; (id, digest) names a text."""
-    chosen = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return chosen.where("id IS NOT NULL").withColumn("digest", _digest(F.col("text")))
-
-
 def _digest(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit((1 << DIGEST_BITS) - 1))
 
@@ -172,7 +167,35 @@ def fingerprints(docs: DataFrame, sizes: Sizes, *, key: str, text: str) -> DataF
                 marks = marks_of(level)
                 yield _occurrences(part, level, marks.at, marks.hash, marks.span)
 
-    return _identified(docs, key, text).mapInArrow(run, _schema(docs, key))
+    chosen = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("id IS NOT NULL")
+    return chosen.withColumn("digest", _digest(F.col("text"))).mapInArrow(run, _schema(docs, key))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """rows with their text as zstandard bytes, half of what Spark's own shuffle compression makes of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [None if t is None else pack(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield part.drop_columns(["text"]).append_column("packed", pa.array(texts, pa.binary()))
+
+    return rows.mapInArrow(run, T.StructType([*(f for f in rows.schema.fields if f.name != "text"), T.StructField("packed", T.BinaryType())]))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of whole rows of about BLOCK_BYTES of text (a longer text stands alone), with their UTF-8 bytes and row offsets."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        begin, size, texts = 0, 0, []
+        for i, value in enumerate(batch.column("packed")):
+            texts.append(unpack(value.as_py()) if value.is_valid else b"")
+            size += len(texts[-1])
+            if size >= tb.BLOCK_BYTES or i == batch.num_rows - 1:
+                yield batch.slice(begin, i + 1 - begin), np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum(list(map(len, texts)))]).astype(np.int64)
+                begin, size, texts = i + 1, 0, []
 
 
 class Wanted:
@@ -209,25 +232,25 @@ def _by_text() -> list[Column]:
     return [F.col("id").alias("w_id"), F.shiftright("place", POS_BITS).alias("w_digest")]
 
 
-def runs_of(carried: DataFrame, marks: DataFrame, sizes: Sizes) -> DataFrame:
-    """hash, span (a second hash), id and place of every run of the marks; carried: row, id, text and digest."""
+def runs_of(rows: DataFrame, marks: DataFrame, sizes: Sizes) -> DataFrame:
+    """hash, span (a second hash), id and place of every run of the marks; rows: id, text and digest."""
     lists = marks.groupBy(*_by_text()).agg(F.collect_set(F.struct("hash", "span", "place")).alias("at"))  # at most a text's fingerprints
-    chosen = carried.join(lists, F.expr(BY_TEXT), "left").select("row", "id", "text", "digest", "at")
+    chosen = packed(rows.where("id IS NOT NULL")).join(lists, F.expr(BY_TEXT)).select("id", "digest", "packed", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in tb.text_blocks(batches, "text"):
+        for part, data, offsets in unpacked(batches):
             wanted = Wanted(part, "at")
             for level in levels_of(data, offsets, sizes)[3]:
                 marks = marks_of(level)
                 yield _occurrences(part, level, *_runs(level, marks, wanted.among(level, marks.at, marks.hash, marks.span)))
 
-    return chosen.mapInArrow(run, _schema(carried, "id"))
+    return chosen.mapInArrow(run, _schema(rows, "id"))
 
 
-def later_of(marks: DataFrame) -> DataFrame:
+def later_of(marks: DataFrame, name: str) -> DataFrame:
     """Those of marks (hash, span, id, place) that are not the first occurrence of their hashes."""
     firsts = marks.groupBy("hash", "span").agg(F.min(F.struct("id", "place")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = firsts.select("hash", "span", F.col("f.id").alias("first_id"), F.col("f.place").alias("first_place")).hint("rebalance")  # dealt anew, so that Spark can split the join of a very common line
+    firsts = written(firsts.select("hash", "span", F.col("f.id").alias("first_id"), F.col("f.place").alias("first_place")), name)  # as a table, Spark can split the join of a very common line
     return marks.join(firsts, ["hash", "span"]).where("id <> first_id OR place <> first_place").select("hash", "span", "id", "place")
 
 
@@ -263,16 +286,17 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     mixed = written(spans.join(mixed, "hash").select("hash", "span", "f.*"), "line-mixed")
     own = docs.columns
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if c != text] or [F.lit(True).alias("none")]).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    carried = carried.withColumn("digest", _digest(F.coalesce("text", F.lit(""))))  # both joins below read one shuffle of it
-    single = later_of(runs_of(carried, mixed, sizes)).withColumn("whole", F.lit(False))
+    carried = carried.withColumn("digest", _digest(F.coalesce("text", F.lit(""))))
+    runs = written(runs_of(carried.select("id", "text", "digest"), mixed, sizes), "line-runs")
     item = F.struct("hash", "span", "place")
-    lists = later_of(marks).withColumn("whole", F.lit(True)).unionByName(single).groupBy(*_by_text()).agg(F.collect_set(F.when(F.col("whole"), item)).alias("spans"), F.collect_set(F.when(~F.col("whole"), item)).alias("runs"))  # at most a text's words
-    joined = carried.join(lists, F.expr(BY_TEXT), "left").select("row", "text", "spans", "runs")
+    later = later_of(marks, "span-firsts").withColumn("whole", F.lit(True)).unionByName(later_of(runs, "run-firsts").withColumn("whole", F.lit(False)))
+    lists = later.groupBy(*_by_text()).agg(F.collect_set(F.when(F.col("whole"), item)).alias("spans"), F.collect_set(F.when(~F.col("whole"), item)).alias("runs"))  # at most a text's words
+    joined = packed(carried).join(lists, F.expr(BY_TEXT), "left").select("row", "packed", "spans", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in tb.text_blocks(batches, "text"):
+        for part, data, offsets in unpacked(batches):
             spans, runs = Wanted(part, "spans"), Wanted(part, "runs")
-            gone, texts = np.zeros(part.num_rows, dtype=np.int64), part.column("text")
+            gone = np.zeros(part.num_rows, dtype=np.int64)
             if len(spans.row) or len(runs.row):
                 starts, ends, first, levels = levels_of(data, offsets, sizes)
                 edge = np.zeros(len(starts) + 1, dtype=np.int32)
@@ -289,9 +313,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 dead = np.cumsum(edge[:-1]) > 0
                 gone = np.diff(np.concatenate([[0], np.cumsum(dead)])[first])
                 data, offsets = without(data, offsets, starts, ends, first, dead)
-                whole = pa.Array.from_buffers(pa.large_string(), part.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-                texts = pc.if_else(pc.is_valid(texts), whole.cast(pa.string()), None)
-            yield pa.RecordBatch.from_arrays([part.column("row"), texts.cast(pa.string()), pa.array(gone)], names=["row", "text", "gone"])
+            texts = pa.Array.from_buffers(pa.large_string(), part.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("row"), pc.if_else(part.column("packed").is_valid(), texts, None), pa.array(gone)], names=["row", "text", "gone"])
 
     schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("gone", T.LongType())])
     done = joined.mapInArrow(run, schema)
