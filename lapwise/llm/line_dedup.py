@@ -105,20 +105,19 @@ def window_minima(level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return empty, empty, np.zeros(0, dtype=np.uint64)
     at = np.arange(count)
     hashes = stretches(level.seq, at, at + level.line)
-    low, span = hashes.copy(), 1
+    low, place, span = hashes, at, 1
+
+    def joined(shift: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        right = low[shift : shift + size] <= low[:size]  # the rightmost on ties
+        return np.where(right, low[shift : shift + size], low[:size]), np.where(right, place[shift : shift + size], place[:size])
+
     while 2 * span <= window:  # sliding minimum by doubling
-        low = np.minimum(low[:-span], low[span:])
+        low, place = joined(span, len(low) - span)
         span *= 2
-    minima = np.minimum(low[: count - window + 1], low[window - span : window - span + count - window + 1])
+    low, place = joined(window - span, count - window + 1)
     row_end = np.repeat(level.first[1:], np.diff(level.first))
-    full = np.flatnonzero(np.arange(count - window + 1) + level.run <= row_end[: count - window + 1])
-    view = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    lowest = np.zeros(len(full), dtype=np.int64)
-    for block in range(0, len(full), 1 << 16):
-        part = full[block : block + (1 << 16)]
-        same = view[part] == minima[part, None]
-        lowest[block : block + (1 << 16)] = part + window - 1 - np.argmax(same[:, ::-1], axis=1)
-    return full, lowest, hashes
+    full = np.flatnonzero(at[: count - window + 1] + level.run <= row_end[: count - window + 1])
+    return full, place[full], hashes
 
 
 @dataclass

@@ -32,11 +32,19 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int
             at = to
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base**0 .. base**(n-1) modulo 2**64; those that a usual block needs are kept."""
+    kept = _POWERS.get(int(base))
+    if kept is None or len(kept) < n:
+        kept = np.full(max(n, 1), base, dtype=np.uint64)
+        kept[0] = 1
+        np.multiply.accumulate(kept, out=kept)
+        if n <= BLOCK_BYTES + (1 << 16):
+            _POWERS[int(base)] = kept
+    return kept[: max(n, 1)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
