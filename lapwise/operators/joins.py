@@ -29,8 +29,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     both = rows.unionByName(samples, allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy("_t", "_side", "_tie")
     before = F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("_hit", F.coalesce(before, after) if fallback == "first" else before).where("_side = 1")
+    earliest = F.first("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # one frame a key
+    found = both.withColumn("_hit", F.coalesce(before, earliest) if fallback == "first" else before).where("_side = 1")
     return found.select("_left.*", *[F.col(f"_hit.{c}").alias(c) for c in columns])
 
 

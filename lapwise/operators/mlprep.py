@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from lapwise.operators.estimators import ratio
+from lapwise.operators.estimators import exact_quantile, ratio
 from lapwise.operators.windows import over
 
 
@@ -107,6 +107,24 @@ def cohort_metrics(df: DataFrame, cohort: str, y: str, p: str, *, least: int = 3
     return found.crossJoin(F.broadcast(whole)).withColumn("under", F.col("rmse") > F.col("_all")).drop("_all")
 
 
+def permuted(df: DataFrame, column: str, key: str, *, seed: int = 5, bin_rows: int = 5000) -> DataFrame:
+    """df with the values of the column dealt anew among its rows, by hash inside bins of about bin_rows rows."""
+    bins = max(1, df.count() // bin_rows)
+    binned = df.withColumn("_bin", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(bins)))
+    left = binned.drop(column).withColumn("_k", F.row_number().over(over(["_bin"], [key])))
+    right = binned.select("_bin", F.col(column), F.row_number().over(Window.partitionBy("_bin").orderBy(F.xxhash64(key, F.lit(seed)), key)).alias("_k"))
+    return left.join(right, ["_bin", "_k"]).drop("_bin", "_k")
+
+
+def envelope(df: DataFrame, train: DataFrame, features: Sequence[str], out: str = "in_envelope") -> DataFrame:
+    """out: whether every feature lies within its range in the training rows (a null feature does not)."""
+    ranges = train.agg(*[agg(f).alias(f"_{name}_{f}") for f in features for name, agg in (("lo", F.min), ("hi", F.max))])  # one row
+    inside = F.lit(True)
+    for f in features:
+        inside &= F.coalesce(F.col(f).between(F.col(f"_lo_{f}"), F.col(f"_hi_{f}")), F.lit(False))
+    return df.crossJoin(F.broadcast(ranges)).withColumn(out, inside).drop(*[f"_{name}_{f}" for f in features for name in ("lo", "hi")])
+
+
 def half(*keys: str) -> Column:
     """True for about half of the rows, by hash of the keys."""
     return F.pmod(F.xxhash64(*keys), F.lit(2)) == 0
@@ -118,8 +136,8 @@ def conformal(df: DataFrame, y: str, lo: str, hi: str, key: str, level: float =
     calibration = marked.where("_cal")
     n = calibration.agg(F.count("_s")).first()[0]
     place = min(-(-(n + 1) * level // 1), n)
-    q = calibration.agg(F.percentile("_s", (place - 1) / (n - 1) if n > 1 else 0.0).alias("widen"))  # the order statistic at place
-    test = marked.where(~F.col("_cal")).crossJoin(F.broadcast(q))
+    widen = exact_quantile(calibration, "_s", (place - 1) / (n - 1) if n > 1 else 0.0)  # the order statistic at place
+    test = marked.where(~F.col("_cal")).withColumn("widen", F.lit(widen).cast("double"))
     return test.agg(F.avg(F.col(y).between(F.col(lo), F.col(hi)).cast("double")).alias("raw"), F.avg(F.col(y).between(F.col(lo) - F.col("widen"), F.col(hi) + F.col("widen")).cast("double")).alias("calibrated"), F.first("widen").alias("widen"), F.count(F.lit(1)).alias("n"))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lapwise.operators.estimators import exact_quantile
 from lapwise.operators.windows import top_per_group
 
 
@@ -85,9 +86,8 @@ def symmetric_difference(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Dat
 
 def quadrant(df: DataFrame, x: str, y: str) -> DataFrame:
     """quadrant by the population medians of x and y."""
-    middle = df.agg(F.median(x).alias("_mx"), F.median(y).alias("_my"))  # one row
-    label = F.concat(F.when(F.col(y) >= F.col("_my"), "high").otherwise("low"), F.lit("_"), F.when(F.col(x) >= F.col("_mx"), "right").otherwise("left"))
-    return df.crossJoin(F.broadcast(middle)).withColumn("quadrant", label).drop("_mx", "_my")
+    mx, my = (F.lit(exact_quantile(df, c, 0.5)).cast("double") for c in (x, y))
+    return df.withColumn("quadrant", F.concat(F.when(F.col(y) >= my, "high").otherwise("low"), F.lit("_"), F.when(F.col(x) >= mx, "right").otherwise("left")))
 
 
 def span_cohort(df: DataFrame, entity: str, period: str) -> DataFrame:

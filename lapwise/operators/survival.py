@@ -14,7 +14,8 @@ def km_curve(df: DataFrame, by: Sequence[str], duration: str, event: str) -> Dat
     """survival after each duration: products over durations of 1 - events / at risk, by sums of logarithms."""
     times = df.groupBy(*by, F.col(duration).alias("t")).agg(F.count_if(event).alias("events"), F.count(F.lit(1)).alias("n"))
     w = over(by, ["t"])
-    risk = times.withColumn("at_risk", F.sum("n").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    earlier = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    risk = times.withColumn("at_risk", F.sum("n").over(over(by)) - earlier)
     log = F.when(F.col("events") < F.col("at_risk"), F.ln(1 - F.col("events") / F.col("at_risk"))).otherwise(0.0)
     dead = F.max((F.col("events") >= F.col("at_risk")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return risk.withColumn("survival", F.when(dead == 1, 0.0).otherwise(F.exp(F.sum(log).over(w.rowsBetween(Window.unboundedPreceding, 0)))))

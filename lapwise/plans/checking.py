@@ -72,6 +72,23 @@ def q10(spark, d):
     return Q.assert_between(cells.withColumn("shrunk", X.bayes_shrink(F.col("n"), F.col("m"), F.col("prior"), 10)), "shrunk", "m", "prior").select("entity", "priority")
 
 
+@query("q10_planted_bounds", f"SELECT entity, priority FROM (SELECT *, shrunk + CASE WHEN entity % 7 = 0 THEN 1000.0 WHEN entity % 7 = 1 THEN -1000.0 ELSE 0.0 END AS moved FROM {CELLS}) WHERE moved < least(m, prior) - 1e-9 OR moved > greatest(m, prior) + 1e-9")
+def q10_planted(spark, d):
+    """The bounds with violations planted on both sides."""
+    panel = panel_o(spark, d)
+    cells = panel.groupBy("entity", "priority").agg(F.avg("value").alias("m"), F.count("value").alias("n")).join(panel.groupBy("entity").agg(F.avg("value").alias("prior")), "entity")
+    shift = F.when(F.col("entity") % 7 == 0, 1000.0).when(F.col("entity") % 7 == 1, -1000.0).otherwise(0.0)
+    return Q.assert_between(cells.withColumn("moved", X.bayes_shrink(F.col("n"), F.col("m"), F.col("prior"), 10) + shift), "moved", "m", "prior").select("entity", "priority")
+
+
+@query("q11_planted_centring", f"WITH c AS (SELECT *, slope - sum(slope / (se*se)) OVER (PARTITION BY compound) / sum(1 / (se*se)) OVER (PARTITION BY compound) + CASE compound WHEN 'SOFT' THEN 0.5 WHEN 'HARD' THEN -0.25 ELSE 0.0 END AS dev FROM {FE_FIT}) SELECT compound, sum(dev / (se*se)) / sum(1 / (se*se)) AS centre FROM c GROUP BY compound HAVING abs(sum(dev / (se*se)) / sum(1 / (se*se))) > 1e-6", "centre")
+def q11_planted(spark, d):
+    """Two groups whose deviations are shifted, with their centres."""
+    fits = A.precision_center(A.fe_slope(panel_e(spark, d), ["unit_id"], CELL, "pos", "value"), ["compound"], "slope", "se")
+    shift = F.when(F.col("compound") == "SOFT", 0.5).when(F.col("compound") == "HARD", -0.25).otherwise(0.0)
+    return Q.assert_centred(fits.withColumn("dev", F.col("dev") + shift), ["compound"], "dev", "se").select("compound", "centre")
+
+
 @query("q11_centring", f"WITH c AS (SELECT *, slope - sum(slope / (se*se)) OVER (PARTITION BY compound) / sum(1 / (se*se)) OVER (PARTITION BY compound) AS dev FROM {FE_FIT}) SELECT compound FROM c GROUP BY compound HAVING abs(sum(dev / (se*se)) / sum(1 / (se*se))) > 1e-6")
 def q11(spark, d):
     fits = A.precision_center(A.fe_slope(panel_e(spark, d), ["unit_id"], CELL, "pos", "value"), ["compound"], "slope", "se")
@@ -88,6 +105,12 @@ def q13_burn(spark, d):
     return is_monotone(panel_e(spark, d), ["entity", "context"], ["step"], "step")
 
 
+@query("q13_monotone_values", f"SELECT entity, context, coalesce(sum(CASE WHEN value < before THEN 1 ELSE 0 END), 0) = 0 AS monotone FROM (SELECT *, lag(value) OVER (PARTITION BY entity, context ORDER BY step) AS before FROM {E} WHERE step <= 3) GROUP BY ALL")
+def q13_values(spark, d):
+    """Whether the values of each sequence's first three steps never fall: true for some and false for others."""
+    return is_monotone(panel_e(spark, d).where("step <= 3"), ["entity", "context"], ["step"], "value")
+
+
 @query("q14_plausible_curve", f"WITH c AS (SELECT context, step, avg(value) AS m FROM {E} GROUP BY ALL), b AS (SELECT context, min(m) AS best FROM c GROUP BY 1) SELECT context, step FROM c JOIN b USING (context) WHERE m > 40 * best AND step NOT IN (1, 2)")
 def q14(spark, d):
     curve = panel_e(spark, d).groupBy("context", "step").agg(F.avg("value").alias("m"))

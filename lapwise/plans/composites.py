@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from lapwise.functions import exprs as X
 from lapwise.operators import estimators as A, joins as J, shaping as S, survival as V, windows as W
 from lapwise.plans.registration import query, table
+from lapwise.plans.storing import scratch
 from lapwise.plans.testbed import E, O, panel_e, panel_o
+from lapwise.sources import store as T
 
 
 @query("m01_m03_staged_stops", "SELECT concat_ws('_', user_id, event_id) AS stop_id, CASE WHEN upper(event_type) NOT IN ('VIEW') THEN upper(event_type) END AS kind, coalesce(lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) - event_id, 0) / 1e9 AS duration_s FROM events WHERE event_type IS NOT NULL", "duration_s")
@@ -92,3 +94,34 @@ def m18(spark, d):
     effect = A.group_effect(panel, ["context"], "grp", "value", min_n=1).select("context", "grp", "effect")
     inter = A.interaction(panel, "grp", "context", "period", "value").select("context", "grp", "interaction")
     return effect.join(inter, ["context", "grp"])
+
+
+@query("m07_events", """SELECT p_partkey AS event_id, upper(p_type) AS kind, regexp_matches(p_type, '^(PROMO|ECONOMY)') AS is_performance, NULL::VARCHAR AS allocation FROM (SELECT p_partkey, trim(p_type) AS p_type FROM part)""")
+def m07(spark, d):
+    """An event lookup staged from CSV with declared types, with flags, and joined to the typed placeholder of allocations that has no rows yet."""
+    path = scratch(spark)
+    part = table(spark, d, "part").select("p_partkey", F.trim("p_type").alias("p_type"))
+    part.write.option("header", True).csv(path)
+    staged = T.read_seed(spark, path, part.schema)
+    nothing = T.empty_table(spark, f"p_partkey {part.schema['p_partkey'].dataType.simpleString()}, allocation string")
+    return staged.join(nothing, "p_partkey", "left").select(F.col("p_partkey").alias("event_id"), F.upper("p_type").alias("kind"), F.col("p_type").rlike("^(PROMO|ECONOMY)").alias("is_performance"), "allocation")
+
+
+@query("m10_unit_geometry", f"""SELECT event_id, pos AS given, row_number() OVER u AS place, count(*) OVER (PARTITION BY unit_id) AS unit_rows, row_number() OVER u = 1 AS is_first, lead(event_id) OVER u IS NULL AS is_last,
+(row_number() OVER u) / (count(*) OVER (PARTITION BY unit_id)) AS share, lag(compound) OVER s IS DISTINCT FROM compound AS new_compound FROM {E} WINDOW u AS (PARTITION BY unit_id ORDER BY step), s AS (PARTITION BY entity, context ORDER BY step)""", "share")
+def m10(spark, d):
+    """Place, length and ends of each row's unit, and whether the category changes with it."""
+    rows = W.position(panel_e(spark, d).withColumnRenamed("pos", "given"), ["unit_id"], ["step"], "place").withColumn("place", F.col("place").cast("long"))
+    unit, sequence = W.over(["unit_id"], ["step"]), W.over(["entity", "context"], ["step"])
+    rows = rows.withColumns({"unit_rows": F.count(F.lit(1)).over(W.over(["unit_id"])), "is_first": F.col("place") == 1, "is_last": F.lead("event_id").over(unit).isNull(), "new_compound": ~F.lag("compound").over(sequence).eqNullSafe(F.col("compound"))})
+    return rows.select("event_id", "given", "place", "unit_rows", "is_first", "is_last", (F.col("place") / F.col("unit_rows")).alias("share"), "new_compound")
+
+
+@query("m40_segment_deltas", f"""WITH g AS (SELECT grp, context, entity, unit, CAST(floor((pos - 1) / 5) AS BIGINT) AS segment, avg(value) AS v, min(value) AS low, count(*) AS n FROM {E} GROUP BY ALL)
+SELECT a.context, a.unit, a.segment, a.entity AS a_entity, b.entity AS b_entity, a.v - b.v AS delta, a.low - b.low AS low_delta, least(a.n, b.n) AS n FROM g a JOIN g b ON a.grp = b.grp AND a.context = b.context AND a.unit = b.unit AND a.segment = b.segment AND a.entity < b.entity""", "delta low_delta")
+def m40(spark, d):
+    """Differences of two entities of a group in each segment of the same unit."""
+    rows = panel_e(spark, d).withColumn("segment", F.floor((F.col("pos") - 1) / 5).cast("long"))
+    metrics = rows.groupBy("grp", "context", "entity", "unit", "segment").agg(F.avg("value").alias("v"), F.min("value").alias("low"), F.count(F.lit(1)).alias("n"))
+    both = J.pairs(metrics, ["grp", "context", "unit", "segment"], "entity", ["v", "low", "n"], ordered=False)
+    return both.select("context", "unit", "segment", "a_entity", "b_entity", (F.col("a_v") - F.col("b_v")).alias("delta"), (F.col("a_low") - F.col("b_low")).alias("low_delta"), F.least("a_n", "b_n").alias("n"))

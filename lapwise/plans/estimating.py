@@ -160,19 +160,27 @@ def a33(spark, d):
     return units.groupBy("entity", "context").agg(F.max("top").alias("top"), F.sum("total").alias("total"), F.min("low").alias("low"), F.count(F.lit(1)).alias("units"))
 
 
-PROBS = f"""(WITH m AS (SELECT context, entity, avg(value) AS mu, stddev_samp(value) / sqrt(count(*)) AS se FROM {E} GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY context ORDER BY mu) AS place FROM m),
-x AS (SELECT a.context, a.entity, a.place, b.place AS other, (b.mu - a.mu) / sqrt(a.se*a.se + b.se*b.se) AS x FROM r a JOIN r b ON a.context = b.context AND a.entity <> b.entity), t AS (SELECT *, 1 / (1 + 0.2316419 * abs(x)) AS t FROM x)
-SELECT context, entity, place, other, CASE WHEN x >= 0 THEN 1 - 0.3989422804014327 * exp(-x * x / 2) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-ELSE 0.3989422804014327 * exp(-x * x / 2) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) END AS p FROM t WHERE x IS NOT NULL)"""
+#: Fixed values of the approximation of the normal distribution function.
+UPPER = "0.3989422804014327 * exp(-x * x / 2) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))"
 
 
-def pair_probabilities(panel):
-    """Probability that each entity of a context has a smaller mean than each other one."""
+def probs_sql(inflations: str = "1.0") -> str:
+    """Pair probabilities as SQL, for each factor on the standard errors."""
+    return f"""(WITH m AS (SELECT context, entity, avg(value) AS mu, stddev_samp(value) / sqrt(count(*)) AS se FROM {E} GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY context ORDER BY mu) AS place FROM m),
+x AS (SELECT a.context, a.entity, a.place, b.place AS other, k, (b.mu - a.mu) / (k * sqrt(a.se*a.se + b.se*b.se)) AS x FROM r a JOIN r b ON a.context = b.context AND a.entity <> b.entity, (SELECT unnest([{inflations}])::DOUBLE AS k)), t AS (SELECT *, 1 / (1 + 0.2316419 * abs(x)) AS t FROM x)
+SELECT context, entity, place, other, k, CASE WHEN x >= 0 THEN 1 - {UPPER} ELSE {UPPER} END AS p FROM t WHERE x IS NOT NULL)"""
+
+
+PROBS = probs_sql()
+
+
+def pair_probabilities(panel, inflations=(1.0,)):
+    """Probability that each entity of a context has a smaller mean than each other one, for each factor k on the standard errors."""
     means = panel.groupBy("context", "entity").agg(F.avg("value").alias("mu"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("se"))
     ranked = means.withColumn("place", F.rank().over(over(["context"], ["mu"])))
-    both = pairs(ranked, ["context"], "entity", ["mu", "se", "place"])
-    gap = A.ratio(F.col("b_mu") - F.col("a_mu"), F.sqrt(F.col("a_se") ** 2 + F.col("b_se") ** 2))
-    return both.withColumn("p", X.normal_cdf(gap)).where("p IS NOT NULL").select("context", F.col("a_entity").alias("entity"), F.col("a_place").alias("place"), F.col("b_place").alias("other"), "p")
+    both = pairs(ranked, ["context"], "entity", ["mu", "se", "place"]).withColumn("k", F.explode(F.array(*map(F.lit, inflations))))
+    gap = A.ratio(F.col("b_mu") - F.col("a_mu"), F.col("k") * F.sqrt(F.col("a_se") ** 2 + F.col("b_se") ** 2))
+    return both.withColumn("p", X.normal_cdf(gap)).where("p IS NOT NULL").select("context", F.col("a_entity").alias("entity"), F.col("a_place").alias("place"), F.col("b_place").alias("other"), "k", "p")
 
 
 @query("a34_a35_order_uncertainty", f"SELECT context, entity, sqrt(sum(p * (1 - p))) AS rank_sd, max(CASE WHEN other = place + 1 THEN p END) AS p_beats_next FROM {PROBS} GROUP BY ALL", "rank_sd p_beats_next")

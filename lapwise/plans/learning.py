@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from lapwise.operators import mlprep as M, windows as W
+from lapwise.operators import estimators as A, mlprep as M, windows as W
 from lapwise.plans.registration import query
 from lapwise.plans.testbed import E, O, panel_e, panel_o
 
@@ -104,7 +104,8 @@ def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
 @query("ml13_m43_predictions")
 def ml13(spark, d):
     """Remaining life by boosted trees, the bucket by a forest, an interval from residual quantiles, on the pinned schema."""
-    rows = assembled(frame(panel_e(spark, d)), SPEC.features(frame(panel_e(spark, d)), "remaining"))
+    built = frame(panel_e(spark, d))
+    rows = assembled(built, SPEC.features(built, "remaining"))
     train = rows.where("split = 'train' AND next_jump IS NOT NULL AND bucket IS NOT NULL")
     life = GBTRegressor(labelCol="remaining", maxIter=8, maxDepth=3, seed=1).fit(train)
     jump = GBTRegressor(labelCol="next_jump", predictionCol="p50", lossType="absolute", maxIter=8, maxDepth=3, seed=1).fit(train)
@@ -120,35 +121,68 @@ def ml13(spark, d):
     return M.enforce_schema(out)
 
 
+def jump_error(train: DataFrame, test: DataFrame, features: list[str], variant: str, **options) -> tuple[DataFrame, object]:
+    """Holdout metrics of a small boosted-tree model of the next jump, and the model."""
+    model = GBTRegressor(labelCol="next_jump", seed=1, **{"maxIter": 4, "maxDepth": 3, **options}).fit(assembled(train, features))
+    return M.regression_metrics(model.transform(assembled(test, features)), "next_jump", "prediction").withColumn("variant", F.lit(variant)), model
+
+
+def jump_rows(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Training and holdout rows with a next jump, read by several fits."""
+    rows = frame(panel_e(spark, d)).where("next_jump IS NOT NULL").select("event_id", "split", "next_jump", *FEATURES)
+    return rows.where("split = 'train'"), rows.where("split = 'holdout'")
+
+
 @query("ml17_ml18_ablation")
 def ml17(spark, d):
-    """Holdout error with all features, without each group, and with each feature permuted by a hashed pairing."""
-    rows = frame(panel_e(spark, d)).where("next_jump IS NOT NULL").select("event_id", "split", "next_jump", *FEATURES)
-    train, test = rows.where("split = 'train'"), rows.where("split = 'holdout'")
-    found = []
-    for name, features in {"all": FEATURES, **{f"without_{g}": [f for f in FEATURES if f not in cols] for g, cols in SPEC.groups.items()}}.items():
-        model = GBTRegressor(labelCol="next_jump", maxIter=4, maxDepth=3, seed=1).fit(assembled(train, features))
-        found.append(M.regression_metrics(model.transform(assembled(test, features)), "next_jump", "prediction").withColumn("variant", F.lit(name)))
-        if name == "all":
-            whole = model
+    """Holdout error with all features, without each group, and with each feature permuted inside hashed bins."""
+    train, test = jump_rows(spark, d)
+    out, whole = jump_error(train, test, FEATURES, "all")
+    for group, columns in SPEC.groups.items():
+        out = out.unionByName(jump_error(train, test, [f for f in FEATURES if f not in columns], f"without_{group}")[0])
     for f in FEATURES:
-        w = W.over(["split"], ["event_id"])
-        order = W.over(["split"]).orderBy(F.xxhash64("event_id", F.lit(5)))
-        left = test.drop(f).withColumn("_k", F.row_number().over(w))
-        right = test.select("split", "event_id", f).withColumn("_k", F.row_number().over(order)).select("_k", f)
-        found.append(M.regression_metrics(whole.transform(assembled(left.join(right, "_k"), FEATURES)), "next_jump", "prediction").withColumn("variant", F.lit(f"permuted_{f}")))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
+        found = whole.transform(assembled(M.permuted(test, f, "event_id"), FEATURES))
+        out = out.unionByName(M.regression_metrics(found, "next_jump", "prediction").withColumn("variant", F.lit(f"permuted_{f}")))
     return out
 
 
+@query("ml17_learning_curve")
+def ml17_curve(spark, d):
+    """Holdout error by the share of training rows, drawn by hash so that larger shares hold the smaller ones."""
+    train, test = jump_rows(spark, d)
+    place, out = F.pmod(F.xxhash64("event_id", F.lit(3)), F.lit(100)), None
+    for share in (10, 25, 50, 100):
+        found = jump_error(train.where(place < share), test, FEATURES, f"share_{share:03d}")[0]
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("ml15_flags", f"WITH t AS (SELECT *, context = (SELECT max(context) FROM {E}) AS is_holdout FROM {E}) SELECT event_id, is_holdout, coalesce(value BETWEEN (SELECT min(value) FROM t WHERE NOT is_holdout) AND (SELECT max(value) FROM t WHERE NOT is_holdout) AND step BETWEEN (SELECT min(step) FROM t WHERE NOT is_holdout) AND (SELECT max(step) FROM t WHERE NOT is_holdout), false) AS in_envelope FROM t")
+def ml15(spark, d):
+    rows = M.period_split(panel_e(spark, d), "context")
+    flagged = M.envelope(rows, rows.where("split = 'train'"), ["value", "step"])
+    return flagged.select("event_id", (F.col("split") == "holdout").alias("is_holdout"), "in_envelope")
+
+
 @query("ml19_leakage_probe", f"SELECT context, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM {E} GROUP BY context", "share")
 def ml19(spark, d):
     """Shares of the periods: the majority share that a probe of the period must beat to show a leak."""
     return M.shares(panel_e(spark, d), ["context"])
 
 
+@query("ml19_leakage_model")
+def ml19_model(spark, d):
+    """One row: the share of held-out rows whose period a forest finds from the features, and the majority share it must not beat by much."""
+    rows = assembled(frame(panel_e(spark, d)).where("next_jump IS NOT NULL").drop("split"), FEATURES)
+    classes = M.fit_encoder(rows, "context")
+    marked = M.encode(rows, classes, "context", "label").withColumn("test", M.half("event_id"))
+    forest = RandomForestClassifier(labelCol="label", numTrees=10, maxDepth=4, seed=1).fit(marked.where("NOT test"))
+    found = forest.transform(marked.where("test")).select("label", (F.col("prediction") == F.col("label")).cast("double").alias("hit"))
+    by_class = found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
+    total = by_class.agg(F.sum("n").alias("rows"), (F.sum("hits") / F.sum("n")).alias("accuracy"), (F.max("n") / F.sum("n")).alias("majority"))
+    return total.withColumn("leaks", F.col("accuracy") > F.col("majority") + 0.1)
+
+
 @query("ml20_response_sweep", f"WITH m AS (SELECT median(value) AS v FROM {E}) SELECT CAST(pos AS BIGINT) AS pos, 0.05 * pos + v / 100 AS response, coalesce(0.05 * pos + v / 100 >= lag(0.05 * pos + v / 100) OVER (ORDER BY pos), true) AS rising FROM m, range(1, 21) t(pos)", "response")
 def ml20(spark, d):
     base = panel_e(spark, d).agg(F.median("value").alias("v"))
@@ -156,22 +190,36 @@ def ml20(spark, d):
     return grid.select(F.col("pos").cast("long").alias("pos"), "response", F.coalesce(F.col("response") >= F.lag("response").over(W.over(["v"], ["pos"])), F.lit(True)).alias("rising"))
 
 
+@query("ml20_fitted_response")
+def ml20_fitted(spark, d):
+    """The fitted model's answer along pos, the other features at their medians over the training rows; rising: not below the one before."""
+    train, test = jump_rows(spark, d)
+    model = jump_error(train, test, FEATURES, "all")[1]
+    others = {f: A.exact_quantile(train, f, 0.5) for f in FEATURES if f != "pos"}
+    grid = spark.range(1, 21).select(F.col("id").alias("pos")).withColumns({f: F.lit(v).cast("double") for f, v in others.items()})
+    found = model.transform(assembled(grid, FEATURES)).select("pos", F.col("prediction").alias("response"))
+    return found.withColumn("rising", F.coalesce(F.col("response") >= F.lag("response").over(W.over([], ["pos"])), F.lit(True)))  # twenty rows
+
+
 @query("ml21_biggest_misses", f"SELECT o_orderkey, abs(value - p) AS miss FROM {SCORED} WHERE abs(value - p) > 100 ORDER BY miss DESC, o_orderkey LIMIT 100", "miss")
 def ml21(spark, d):
     rows = panel_o(spark, d).withColumn("p", F.avg("value").over(W.over(["entity"]))).withColumn("miss", F.abs(F.col("value") - F.col("p")))
     return rows.where("miss > 100").orderBy(F.desc("miss"), "o_orderkey").limit(100).select("o_orderkey", "miss")
 
 
+#: The grid of the search, on the parameters that the boosted trees have.
+GRID = [{"maxDepth": depth, "stepSize": rate, "maxIter": trees, "subsamplingRate": part, "minInstancesPerNode": least} for depth, rate, trees, part, least in ((2, 0.1, 4, 1.0, 1), (4, 0.1, 4, 1.0, 1), (3, 0.3, 4, 0.8, 1), (3, 0.1, 8, 0.8, 10), (4, 0.3, 8, 0.6, 10))]
+
+
 @query("ml22_grid_search")
 def ml22(spark, d):
-    """Holdout error by tree depth over the last two weekly folds."""
-    rows = assembled(frame(panel_e(spark, d)).where("next_jump IS NOT NULL").drop("split"), FEATURES)
-    folds = M.period_folds(rows, "context", 2)
-    out = None
-    for depth in (2, 4):
+    """Mean error of each parameter set over the last two weekly folds; best: the set of the least."""
+    rows = frame(panel_e(spark, d)).where("next_jump IS NOT NULL").drop("split")
+    folds, out = M.period_folds(rows.select("event_id", "context", "next_jump", *FEATURES), "context", 2), None
+    for options in GRID:
         for fold in (1, 2):
             part = folds.where(F.col("fold") == fold)
-            model = GBTRegressor(labelCol="next_jump", maxIter=4, maxDepth=depth, seed=1).fit(part.where("role = 'train'"))
-            found = M.regression_metrics(model.transform(part.where("role = 'valid'")), "next_jump", "prediction").withColumns({"depth": F.lit(depth), "fold": F.lit(fold)})
+            found = jump_error(part.where("role = 'train'"), part.where("role = 'valid'"), FEATURES, "", **options)[0].drop("variant").withColumns({k: F.lit(v) for k, v in options.items()})
             out = found if out is None else out.unionByName(found)
-    return out
+    means = out.groupBy(*GRID[0]).agg(F.avg("rmse").alias("rmse"), F.count(F.lit(1)).alias("folds"))
+    return means.withColumn("best", F.rank().over(W.over([], ["rmse"])) == 1)  # a row per parameter set

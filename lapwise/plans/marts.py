@@ -192,6 +192,13 @@ def q12(spark, d):
     return counterfactual(panel_e(spark, d)).where((F.col("host") == F.col("grp")) & (F.abs(F.col("swapped") - F.col("value")) > 1e-9)).select("event_id")
 
 
+@query("q12_planted_consistency", f"SELECT event_id FROM {E} WHERE value IS NOT NULL AND entity = 3")
+def q12_planted(spark, d):
+    """The self-consistency check where the predictions of one entity are moved by one."""
+    moved = counterfactual(panel_e(spark, d)).withColumn("swapped", F.col("swapped") + F.when(F.col("entity") == 3, 1.0).otherwise(0.0))
+    return moved.where((F.col("host") == F.col("grp")) & (F.abs(F.col("swapped") - F.col("value")) > 1e-9)).select("event_id")
+
+
 @query("m39_q16_finish_order", f"""WITH m AS (SELECT context, entity, avg(value) AS mu, stddev_samp(value) / sqrt(count(*)) AS se FROM {E} GROUP BY ALL), r AS (SELECT *, CAST(rank() OVER (PARTITION BY context ORDER BY mu) AS BIGINT) AS place FROM m) SELECT context, entity, place FROM r WHERE se IS NOT NULL""")
 def m39(spark, d):
     probs = pair_probabilities(panel_e(spark, d))

@@ -30,6 +30,17 @@ def s01(spark, d):
     return back.groupBy(F.col("season").cast("long").alias("season"), "session").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
 
 
+@query("s06_file_layout", "SELECT CAST(year(o_orderdate) AS BIGINT) AS season, o_orderstatus AS session, 'zstd' AS codec, count(*) AS n FROM orders GROUP BY ALL")
+def s06(spark, d):
+    """The partition folders and the codec as the files' own names have them, with the rows of each."""
+    path = scratch(spark)
+    S.write_partitioned(table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("season"), F.col("o_orderstatus").alias("session")), path, ["season", "session"])
+    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), "o_orderkey")
+    part = lambda name: F.regexp_extract("file", rf"/{name}=([^/]+)/", 1)
+    codec = F.regexp_extract("file", r"[.]([a-z0-9]+)[.]parquet$", 1)
+    return files.groupBy(part("season").cast("long").alias("season"), part("session").alias("session"), codec.alias("codec")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s03_seed", "SELECT n_nationkey, n_name FROM nation")
 def s03(spark, d):
     path = scratch(spark)

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwise.functions import exprs as X
-from lapwise.operators import estimators as A, joins as J
+from lapwise.operators import estimators as A, joins as J, shaping as S
 from lapwise.operators.windows import over
-from lapwise.plans.estimating import PROBS, pair_probabilities
+from lapwise.plans.estimating import PROBS, pair_probabilities, probs_sql
 from lapwise.plans.registration import query
 from lapwise.plans.testbed import E, O, panel_e, panel_o
 
@@ -26,10 +26,27 @@ def normal(seed: int, *keys: Column | str) -> Column:
 
 def rank_distribution(df: DataFrame, scenario: Sequence[str], entity: str, mu: str, se: str, draws: int, *, seed: int = 7) -> DataFrame:
     """P(position) of each entity: draws of its value, ranked within each draw; counts, so rows stay entities x positions."""
+    placed = finishes(df, scenario, entity, mu, se, draws, seed)
+    return placed.groupBy(*scenario, entity, "position").agg((F.count(F.lit(1)) / draws).alias("p"))
+
+
+def finishes(df: DataFrame, scenario: Sequence[str], entity: str, mu: str, se: str, draws: int, seed: int) -> DataFrame:
+    """position of each entity in each draw."""
     drawn = df.select(*scenario, entity, mu, se, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
     value = F.col(mu) + F.coalesce(F.col(se), F.lit(0.0)) * normal(seed, *scenario, entity, "_draw")
-    placed = drawn.withColumn("_v", value).withColumn("position", F.row_number().over(over([*scenario, "_draw"], ["_v", entity])))
-    return placed.groupBy(*scenario, entity, "position").agg((F.count(F.lit(1)) / draws).alias("p"))
+    return drawn.withColumn("_v", value).withColumn("position", F.row_number().over(over([*scenario, "_draw"], ["_v", entity])))
+
+
+def finish_summary(df: DataFrame, scenario: Sequence[str], entity: str, mu: str, se: str, draws: int, *, seed: int = 7) -> DataFrame:
+    """Expected position, its sd, P(win), P(podium) and P(beats next) of each entity; next: the entity after it by mu, null for the last."""
+    order = over(scenario, [mu, entity])
+    ranked = df.withColumn("_next", F.lead(entity).over(order))
+    placed = finishes(df, scenario, entity, mu, se, draws, seed).select(*scenario, entity, "_draw", "position")
+    whole = placed.groupBy(*scenario, entity).agg(F.avg("position").alias("expected"), F.stddev_pop("position").alias("sd"), F.avg((F.col("position") == 1).cast("double")).alias("p_win"), F.avg((F.col("position") <= 3).cast("double")).alias("p_podium"))
+    rival = placed.select(*scenario, F.col(entity).alias("_next"), "_draw", F.col("position").alias("_rival"))
+    pairs = placed.join(ranked.select(*scenario, entity, "_next").where("_next IS NOT NULL"), [*scenario, entity]).join(rival, [*scenario, "_next", "_draw"])
+    beats = pairs.groupBy(*scenario, entity).agg(F.avg((F.col("position") < F.col("_rival")).cast("double")).alias("p_beats_next"))
+    return whole.join(beats, [*scenario, entity], "left")
 
 
 def bootstrap_mean_gap(df: DataFrame, unit: str, flag: str, error: str, draws: int, *, seed: int = 11) -> DataFrame:
@@ -94,8 +111,30 @@ r AS (SELECT *, rank() OVER (PARTITION BY context ORDER BY a) + (count(*) OVER (
 t AS (SELECT x.context, sum(sign(x.a - y.a) * sign(x.b - y.b)) / sqrt(sum(abs(sign(x.a - y.a))) * sum(abs(sign(x.b - y.b)))) AS tau FROM r x JOIN r y ON x.context = y.context AND x.entity < y.entity GROUP BY 1)
 SELECT context, corr(ra, rb) AS rho, count(*) AS n, any_value(tau) AS tau FROM r JOIN t USING (context) GROUP BY context""", "rho tau")
 def v03(spark, d):
-    scored = panel_e(spark, d).groupBy("context", "entity").agg(F.avg("value").alias("b"))
-    return rank_agreement(A.loo_mean(scored, ["entity"], "b", out="a").where("a IS NOT NULL"), ["context"], "entity", "a", "b")
+    return rank_agreement(loo_scores(panel_e(spark, d)), ["context"], "entity", "a", "b")
+
+
+def loo_scores(panel: DataFrame) -> DataFrame:
+    """b, each entity's mean in a context, and a, its mean over its other contexts."""
+    scored = panel.groupBy("context", "entity").agg(F.avg("value").alias("b"))
+    return A.loo_mean(scored, ["entity"], "b", out="a").where("a IS NOT NULL")
+
+
+@query("v03_top_three", f"""WITH m AS (SELECT context, entity, avg(value) AS b, (sum(avg(value)) OVER w - avg(value)) / nullif(count(*) OVER w - 1, 0) AS a FROM {E} GROUP BY context, entity WINDOW w AS (PARTITION BY entity)),
+r AS (SELECT *, count(*) OVER (PARTITION BY context) AS n, row_number() OVER (PARTITION BY context ORDER BY a DESC, entity) AS ra, row_number() OVER (PARTITION BY context ORDER BY b DESC, entity) AS rb FROM m WHERE a IS NOT NULL)
+SELECT context, sum(CASE WHEN ra <= 3 AND rb <= 3 THEN 1 ELSE 0 END) / 3.0 AS hit, any_value(n) AS n FROM r WHERE n >= 6 GROUP BY context""", "hit")
+def v03_top(spark, d):
+    scored = loo_scores(panel_e(spark, d))
+    sizes = scored.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where("n >= 6")
+    return S.topk_overlap(scored, ["context"], "entity", "a", "b", 3).withColumnRenamed("overlap", "hit").join(sizes, "context")
+
+
+@query("v03_gap_bootstrap")
+def v03_gap(spark, d):
+    """One row: by how much the leave-one-out order agrees better than the order of entity numbers, with a bootstrap interval over contexts."""
+    scored = loo_scores(panel_e(spark, d)).withColumn("plain", F.col("entity").cast("double"))
+    rho = [rank_agreement(scored, ["context"], "entity", c, "b").where("n >= 6").select("context", F.lit(c == "a").alias("structural"), "rho") for c in ("a", "plain")]
+    return bootstrap_mean_gap(rho[0].unionByName(rho[1]), "context", "structural", "rho", 2000)
 
 
 @query("v04_calibration", f"""WITH p AS (SELECT p, CASE WHEN place < other THEN 1.0 ELSE 0.0 END AS won FROM {PROBS}) SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n, avg(p) AS predicted, avg(won) AS observed, avg((p - won) ** 2) AS brier FROM p GROUP BY 1""", "predicted observed brier")
@@ -110,11 +149,27 @@ def v04_slope(spark, d):
     return rows.agg(F.regr_slope("won", "p").alias("slope"), F.regr_intercept("won", "p").alias("intercept"), F.avg((F.col("p") - F.col("won")) ** 2).alias("brier"))
 
 
+INFLATIONS = (0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0)
+
+
+@query("v04_inflation_grid", f"WITH b AS (SELECT k, avg((p - CASE WHEN place < other THEN 1.0 ELSE 0.0 END) ** 2) AS brier, count(*) AS n FROM {probs_sql(', '.join(map(str, INFLATIONS)))} GROUP BY k) SELECT *, k = (SELECT arg_min(k, brier) FROM b) AS best FROM b", "brier")
+def v04_grid(spark, d):
+    """Brier score of the pair probabilities for each factor on the standard errors; best: the factor of the least."""
+    rows = pair_probabilities(panel_e(spark, d), INFLATIONS).withColumn("won", (F.col("place") < F.col("other")).cast("double"))
+    scores = rows.groupBy("k").agg(F.avg((F.col("p") - F.col("won")) ** 2).alias("brier"), F.count(F.lit(1)).alias("n"))
+    return scores.withColumn("best", F.col("k") == F.min_by("k", "brier").over(over([])))  # a row per factor
+
+
 @query("v05_rank_distribution")
 def v05(spark, d):
     return rank_distribution(means(panel_e(spark, d)), ["context"], "entity", "mu", "se", 200)
 
 
+@query("v05_finish_summary")
+def v05_summary(spark, d):
+    return finish_summary(means(panel_e(spark, d)), ["context"], "entity", "mu", "se", 5000)
+
+
 @query("v06_case_study", f"SELECT context, sum(CASE WHEN entity = 3 THEN value END) AS a_total, sum(CASE WHEN entity = 7 THEN value END) AS b_total, count(*) FILTER (WHERE entity = 3) AS a_n, count(*) FILTER (WHERE entity = 7) AS b_n FROM {E} WHERE entity IN (3, 7) AND step BETWEEN 1 AND 30 GROUP BY context", "a_total b_total")
 def v06(spark, d):
     rows = panel_e(spark, d).where(F.col("entity").isin(3, 7) & F.col("step").between(1, 30))

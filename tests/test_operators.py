@@ -108,3 +108,78 @@ def test_the_rest_does_not_import_the_optional_subpackage():
         for name in names:
             if name.endswith(".py"):
                 assert "lapwise.llm" not in open(os.path.join(folder, name)).read()
+
+
+def test_asof_of_one_long_key_is_linear(spark):
+    """Fifty thousand rows of one key: a frame that is built anew for every row would not end."""
+    left, right = spark.range(50_000).selectExpr("1 AS k", "id * 2 AS t"), spark.range(100, 50_000).selectExpr("1 AS k", "id * 2 - 1 AS s", "id AS v")
+    found = J.asof_join(left, right, ["k"], "t", "s", ["v"])
+    assert found.where("v <> greatest(t / 2, 100)").count() == 0 and found.count() == 50_000
+
+
+@pytest.mark.parametrize("p", [0.0, 0.1, 0.5, 0.9995, 1.0])
+def test_exact_quantile(spark, p):
+    import numpy as np
+
+    for values in ([3.0], [1.0, 2.0], [5.0] * 1000 + [1.0, 9.0], list(np.random.default_rng(0).normal(size=30_001))):
+        found = A.exact_quantile(spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double"), "v", p)
+        assert found == pytest.approx(np.quantile(values, p))
+    assert A.exact_quantile(spark.createDataFrame([], "v double"), "v", p) is None
+
+
+def test_permuted_keeps_values_and_moves_them(spark):
+    df = spark.range(3000).selectExpr("id", "id * 10 AS v")
+    found = M.permuted(df, "v", "id", bin_rows=500)
+    assert sorted(r["v"] for r in found.collect()) == [10 * i for i in range(3000)] and found.where("v = id * 10").count() < 100
+    assert rows(found, "id", "v") == rows(M.permuted(df.repartition(7), "v", "id", bin_rows=500), "id", "v")
+
+
+def test_features_that_leak_are_refused():
+    import types
+
+    spec = M.FeatureSpec({"state": ["pos", "load"], "who": ["code", "next_jump"]}, leaky=frozenset({"next_jump"}), masks={"remaining": ["pos"]})
+    with pytest.raises(ValueError, match="next_jump"):
+        spec.features(types.SimpleNamespace(columns=["pos", "load", "code", "next_jump"]), "remaining")
+    assert spec.features(types.SimpleNamespace(columns=["pos", "load", "code"]), "remaining") == ["load", "code"]
+
+
+def test_fingerprint_ignores_order_and_sees_changes(spark):
+    df = spark.range(100).selectExpr("id", "id % 7 AS v")
+    base = M.fingerprint(df).first()
+    assert base == M.fingerprint(df.orderBy("v").select("v", "id")).first() != M.fingerprint(df.withColumn("v", F.when(F.col("id") == 5, 9).otherwise(F.col("v")))).first()
+
+
+def test_conformal_widens_by_the_order_statistic(spark):
+    data = [(i, float(i % 50)) for i in range(400)]
+    found = M.conformal(spark.createDataFrame(data, "id long, y double").withColumns({"lo": F.lit(20.0), "hi": F.lit(30.0)}), "y", "lo", "hi", "id").first()
+    marked = spark.createDataFrame(data, "id long, y double").withColumn("cal", M.half("id")).collect()
+    scores = sorted(max(20.0 - r["y"], r["y"] - 30.0) for r in marked if r["cal"])
+    widen = scores[min(math.ceil((len(scores) + 1) * 0.8), len(scores)) - 1]
+    test = [r["y"] for r in marked if not r["cal"]]
+    assert found["widen"] == pytest.approx(widen) and found["raw"] == pytest.approx(sum(20 <= y <= 30 for y in test) / len(test))
+    assert found["calibrated"] == pytest.approx(sum(20 - widen <= y <= 30 + widen for y in test) / len(test))
+
+
+def test_finish_summary_adds_up(spark):
+    from lapwise.plans.validating import finish_summary
+
+    df = spark.createDataFrame([("r", e, float(e), 2.0 if e else None) for e in range(6)], "race string, e int, mu double, se double")
+    found = sorted(finish_summary(df, ["race"], "e", "mu", "se", 3000).collect(), key=lambda r: r["e"])
+    assert sum(r["expected"] for r in found) == pytest.approx(21) and sum(r["p_win"] for r in found) == pytest.approx(1) and sum(r["p_podium"] for r in found) == pytest.approx(3)
+    assert found[5]["p_beats_next"] is None and all(0.5 < r["p_beats_next"] <= 1 for r in found[:5])
+    places = rank_distribution(df, ["race"], "e", "mu", "se", 3000).groupBy("e").agg(F.sum(F.col("position") * F.col("p")).alias("x")).collect()
+    assert {r["e"]: r["x"] for r in places} == pytest.approx({r["e"]: r["expected"] for r in found})
+
+
+def test_bootstrap_interval_holds_the_gap(spark):
+    from lapwise.plans.validating import bootstrap_mean_gap
+
+    df = spark.createDataFrame([(i, i % 2 == 0, float(i % 5) + (3.0 if i % 2 == 0 else 0.0)) for i in range(300)], "u int, flag boolean, e double")
+    found = bootstrap_mean_gap(df, "u", "flag", "e", 400).first()
+    assert found["gap"] == pytest.approx(3.0, abs=0.1) and found["lo"] < found["gap"] < found["hi"] and found["hi"] - found["lo"] == pytest.approx(4 * (2 / 150 + 2 / 150) ** 0.5, rel=0.25)
+
+
+def test_envelope_takes_the_training_range(spark):
+    train = spark.createDataFrame([(1.0, 5), (3.0, 9)], "a double, b int")
+    df = spark.createDataFrame([(1, 1.0, 9), (2, 0.5, 6), (3, 2.0, 10), (4, None, 6)], "id int, a double, b int")
+    assert rows(M.envelope(df, train, ["a", "b"]), "id", "in_envelope") == [(1, True), (2, False), (3, False), (4, False)]
