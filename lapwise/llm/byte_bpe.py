@@ -38,8 +38,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lapwise.llm import textblocks as tb
 from lapwise.llm.pieces import PieceTable, gather
+from lapwise.llm.workers import held
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PIECES_KEPT = 1_000_000
 LONG_WORD = 200
 BYTES_AT_ONCE = 300_000
@@ -158,14 +159,19 @@ def _one_word(piece: str) -> bool:
 class Encoder:
     """Encodes texts in one task; keeps the pieces it has met, up to a bound. cut_first: the pattern never joins pieces (module pieces)."""
 
-    def __init__(self, merges: pa.Table, byte_ids: np.ndarray, tokens: list[bytes], pattern: str, cut_first: bool) -> None:
+    def __init__(self, merges: pa.Table, byte_ids: np.ndarray, vocabulary: pa.Table, pattern: str, cut_first: bool) -> None:
         self.con = _connect(merges=merges)
+        self.decoder = Decoder(vocabulary)
         self.byte_ids = byte_ids
         self.split = _splitter(pattern)
-        self.reach = Reach(tokens)
+        self.reach = Reach([t.encode("latin-1") for t in vocabulary.column("piece").to_pylist()])
         self.cut_first = cut_first
         self.table = PieceTable(self._learn, PIECES_KEPT)
 
+    def close(self) -> None:
+        self.con.close()
+        self.decoder.close()
+
     def _contract(self, words: list[bytes], sql: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and how many each has."""
         sizes = np.array(list(map(len, words)), dtype=np.int64)
@@ -218,6 +224,9 @@ class Decoder:
     def __init__(self, vocabulary: pa.Table) -> None:
         self.con = _connect(vocabulary=vocabulary)
 
+    def close(self) -> None:
+        self.con.close()
+
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The bytes of each row, given the ids of all rows and how many each has."""
         self.con.register("tokens", pa.table({"row": pa.array(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)), "pos": pa.array(np.arange(len(ids), dtype=np.int32)), "token": pa.array(ids)}))
@@ -231,17 +240,6 @@ class Decoder:
         return found
 
 
-_KEPT: dict[tuple, Encoder | Decoder] = {}
-
-
-def _kept(kind: type, token: str, make) -> Encoder | Decoder:
-    """One encoder or decoder per Python worker and vocabulary, so that its dictionaries outlive a task."""
-    if (kind, token) not in _KEPT:
-        _KEPT.clear() if len(_KEPT) > 4 else None
-        _KEPT[kind, token] = make()
-    return _KEPT[kind, token]
-
-
 def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
@@ -259,11 +257,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text"
     docs = docs.drop(out, decoded or out)
     ranks = read_ranks(vocabulary)
     byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast((merge_table(ranks), byte_ids, list(ranks), _vocabulary(ranks)))
+    shared = docs.sparkSession.sparkContext.broadcast((merge_table(ranks), byte_ids, _vocabulary(ranks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _kept(Encoder, f"{vocabulary} {pattern} {cut_first}", lambda: Encoder(*shared.value[:3], pattern, cut_first))
-        back = _kept(Decoder, vocabulary, lambda: Decoder(shared.value[3])) if decoded else None
+        tool = held(f"bpe {vocabulary} {pattern} {cut_first}", lambda: Encoder(*shared.value, pattern, cut_first))
+        back = tool.decoder if decoded else None
         for part, data, offsets in tb.text_blocks(batches, text, BLOCK_BYTES):
             flat, cuts = tool.encode(data, offsets)
             part = _with_column(part, out, pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat)))
@@ -279,7 +277,7 @@ def decode(docs: DataFrame, vocabulary: str, *, ids: str = "ids", out: str = "de
     shared = docs.sparkSession.sparkContext.broadcast(_vocabulary(read_ranks(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _kept(Decoder, vocabulary, lambda: Decoder(shared.value))
+        tool = held(f"bpe-decoder {vocabulary}", lambda: Decoder(shared.value))
         for batch in batches:
             sizes = pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy().astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lapwise.llm import textblocks as tb
 from lapwise.llm.pieces import SPACES, PieceTable, gather
 from lapwise.llm.scratch import fresh_path, written
+from lapwise.llm.workers import held
 
 MAGIC = b"LWTOKS01"
 ENTRY = np.dtype([("number", "<u8"), ("offset", "<u8"), ("size", "<u4"), ("n", "<u4"), ("crc", "<u4")])
@@ -118,6 +119,9 @@ class PieceTokenizer:
         self.added = [t.content.encode() for t in self.tool.get_added_tokens_decoder().values()]
         self.table = PieceTable(self._learn, WORDS_KEPT)
 
+    def close(self) -> None:
+        self.table.clear()
+
     def _one_by_one(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tool.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(found), dtype=np.int32), np.array(list(map(len, found)), dtype=np.int64)
@@ -160,9 +164,6 @@ class PieceTokenizer:
         return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
 
-_TOOLS: dict[str, PieceTokenizer] = {}
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes docs, in ascending order of key, and returns the manifest: part, shard, uri, documents, tokens.
 
@@ -173,7 +174,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _TOOLS.get(tokenizer) or _TOOLS.setdefault(tokenizer, PieceTokenizer(tokenizer))
+        tool = held(f"tokenizer {tokenizer}", lambda: PieceTokenizer(tokenizer))
         attempt, shard, number = uuid.uuid4().hex, 0, 0
         out, uri, tokens, ids_of, rows = None, "", 0, [], []
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lapwise.llm import textblocks as tb
 from lapwise.llm.quality_classifier import one_text
+from lapwise.llm.workers import release
 
 TOKEN_BYTES = np.full(256, 0x20, dtype=np.uint8)
 for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
@@ -93,6 +94,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", per_cl
     sample = one_text(documents, chosen)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part, data, offsets in tb.text_blocks(batches, "text"):
             row, bucket = features(data, offsets, bits, prefix_bytes)
             found = np.unique((row << bits) | bucket)
@@ -101,6 +103,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", per_cl
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "y": part.column("y"), "buckets": [found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen = [(zlib.crc32(str(d).encode()), str(d), y, b) for batch in batches for d, y, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "buckets")), strict=True)]
         seen.sort()  # the same order in every run
         examples = [(y, np.frombuffer(b, dtype=np.int32)) for *_, y, b in seen]
@@ -130,6 +133,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", out: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = shared.value
         dense = np.zeros(1 << m.bits, dtype=np.float32)
         dense[m.buckets] = m.weights

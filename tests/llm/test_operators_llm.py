@@ -82,7 +82,7 @@ def test_bpe_of_long_words_equals_the_library():
     letters = list("abcdefghijklmnopqrstuvwxyz")
     words = ["".join(rng.choice(letters, 100_000)), "a" * 5001, "ab" * 3000, "=" * 3000, "".join(rng.choice(list("=-*#_"), 4000)), "".join(rng.choice(list("ACGT"), 5000)), "Ã" * 900]
     words += ["".join(rng.choice(lower, 40)) for _ in range(100)] + ["".join(rng.choice(list("aeshint"), rng.integers(150, 300))) for _ in range(100)]
-    table = byte_bpe.merge_table(ranks), np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32), list(ranks), public_tokenizers.PATTERN
+    table = byte_bpe.merge_table(ranks), np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32), byte_bpe._vocabulary(ranks), public_tokenizers.PATTERN
     for cut_first in (True, False):
         ids, cuts = byte_bpe.Encoder(*table, cut_first).encode(*arrow_text(words))
         for word, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
