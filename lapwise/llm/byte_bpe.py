@@ -40,10 +40,10 @@ from lapwise.llm import textblocks as tb
 from lapwise.llm.pieces import PieceTable, gather
 from lapwise.llm.workers import held
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 PIECES_KEPT = 1_000_000
 LONG_WORD = 200
-BYTES_AT_ONCE = 300_000
+BYTES_AT_ONCE = 150_000
 GRAM = 6
 
 #: A merged pair is the row of its right token; the row of its left token goes.

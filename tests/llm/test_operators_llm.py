@@ -234,6 +234,57 @@ def test_ann_awkward_rows(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def exact_nearest(vectors, query, k):
+    """(id, score) of the k largest inner products in double precision; vectors: id and array."""
+    best = {}
+    for i, v in vectors:
+        if i != query[0]:
+            best[i] = max(best.get(i, -np.inf), float(v @ query[1]))
+    return sorted(best.items(), key=lambda t: (-t[1], t[0]))[:k]
+
+
+def test_ann_keeps_doubles_repeated_ids_and_long_vectors(spark):
+    """Doubles that floats round together, ids on several vectors, and a few vectors of a great norm, over several shards and groups."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6)) for i in range(400)] + [(500 + i, np.array([1.0, 0, 0, 0, 0, 1e-12 * i])) for i in range(40)]
+    rows += [(600 + i, rng.normal(size=6) * 1e9) for i in range(4)] + [(40, rng.normal(size=6)), (7, rng.normal(size=6) * 3)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    original = ann.search.__kwdefaults__
+    ann.search.__kwdefaults__ = {**original, "block_rows": 7, "group_shards": 2}
+    try:
+        found = ann.nearest(df, k=5, shard_rows=60).collect()
+    finally:
+        ann.search.__kwdefaults__ = original
+    by = collections.defaultdict(list)
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        by[r["query_id"]].append((r["vec_id"], r["score"]))
+    arrays = collections.defaultdict(list)
+    for i, v in rows:
+        arrays[i].append(v)
+    for q, got in by.items():
+        if len(arrays[q]) == 1:
+            want = exact_nearest(rows, (q, arrays[q][0]), 5)
+            assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
+        assert q not in [i for i, _ in got] and len({i for i, _ in got}) == 5
+    assert set(by) == {i for i in arrays if i % 20 == 0}
+
+
+def test_ann_beam_grows_on_hard_vectors():
+    """Isotropic vectors and a few very long ones beside unit vectors: the shard's own measure keeps the recall."""
+    rng, k = np.random.default_rng(0), 20
+    hard = rng.normal(size=(3000, 48)).astype(np.float32)
+    unit = hard / np.linalg.norm(hard, axis=1, keepdims=True)
+    unit[:3] *= 1e4
+    for vectors in (hard, unit):
+        points = ann.Points.of(vectors)
+        graph, entries = ann.build_graph(points)
+        shard = {"vec": vectors, "graph": graph, "entries": entries, "ids": np.arange(len(vectors))[:, None]}
+        queries = vectors[::30]
+        _, ids = ann.search_shard(shard, points, ann.wanted_beam(points, graph, entries, k), queries, k)
+        exact = np.argsort(-(queries.astype(np.float64) @ vectors.T.astype(np.float64)), axis=1)[:, :k]
+        assert np.mean([len(set(a) & set(b)) / k for a, b in zip(ids.tolist(), exact.tolist(), strict=True)]) >= 0.9
+
+
 def brute_fingerprint(text, words):
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(low))
