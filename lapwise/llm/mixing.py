@@ -101,8 +101,10 @@ def plan_mix(docs: DataFrame, *, weights: tuple[Column, Column] | None = None, m
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The training order: a row per copy with the columns of docs, range-sorted by position."""
-    own = [c for c in docs.columns if c != "mix"]
-    copies = plan_mix(docs, **options).select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.explode("mix.positions").alias("position"))
+    own = docs.columns
+    held = "mix" + "_" * max(map(len, own))  # longer than any name; an input column called mix is kept under it
+    copies = plan_mix(docs.withColumnRenamed("mix", held), **options)
+    copies = copies.select(F.struct(*[F.col(f"`{held if c == 'mix' else c}`").alias(c) for c in own]).alias("row"), F.explode("mix.positions").alias("position"))
     return copies.sort("position", F.xxhash64("row")).select(*[F.col("row").getField(c).alias(c) for c in own])
 
 

@@ -6,8 +6,8 @@ weight (prefix_bytes=() leaves these out), hashed to 2**bits buckets. L1 keeps t
 weights travel to the tasks (at most one per feature of the bounded training sample).
 
 Defined cases: a null or empty text has no feature and gets the score of the bias alone; rows of labels whose label is
-null count as unlabelled; a document labelled twice takes the larger label; with no label of one class the score is the
-share of class 1 (0.5 without labels); columns of the input named like an output are replaced.
+null count as unlabelled; a document labelled twice takes the larger label; with no label of one class, or no document of one,
+the score is the share of class 1 among the labels (0.5 without labels); columns of the input named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -107,6 +107,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", per_cl
         seen = [(zlib.crc32(str(d).encode()), str(d), y, b) for batch in batches for d, y, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "buckets")), strict=True)]
         seen.sort()  # the same order in every run
         examples = [(y, np.frombuffer(b, dtype=np.int32)) for *_, y, b in seen]
+        if len({y for y, _ in examples}) < 2:
+            return
         often = np.zeros(1 << bits, dtype=np.int32)
         for _, at in examples:
             often[at] += 1
@@ -119,8 +121,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", per_cl
     kept = {k: min(n, per_class) for k, n in counts.items()}
     got = sample.mapInArrow(extract, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, y int, buckets binary").repartition(1).mapInArrow(train, "bucket long, weight double").toArrow()
     bucket, weight = got.column("bucket").to_numpy(), got.column("weight").to_numpy()
-    if not len(weight):  # no labelled document is there
-        bucket, weight = np.array([-1]), np.zeros(1)
+    if not len(weight):  # labelled documents of both classes are not there
+        return ToxicityModel(bits, prefix_bytes, math.log(counts[1] / counts[0]), np.zeros(0, dtype=np.int64), np.zeros(0))
     shift = math.log(counts[1] / counts[0]) - math.log(kept[1] / kept[0])
     order_by = np.argsort(bucket, kind="stable")
     bucket, weight = bucket[order_by], weight[order_by]

@@ -636,3 +636,58 @@ def test_simhash_null_ids_bridge(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, **_: docs)
     found = {(r["doc_id"], int(r["fingerprint"], 16)): r["component_id"] for r in simhash.group_near_duplicates(rows).collect()}
     assert found == {(1, 0): 1, (None, 7): 1, (2, 63): 1, (None, 1 << 40 | 0xFF00): None, (5, (1 << 64) - 1): 5}
+
+
+def numpy_kept(rows):
+    """doc_id -> kept, by histograms and Jensen-Shannon distances in plain Python; rows: id, text, language."""
+    import regex
+
+    patterns = [r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:'\"()\-]", r"[!?#*$%&|<>@_=+/\\~^\[\]{}]"]
+    measured = {}
+    for i, text, language in rows:
+        words, body = WORD.findall(text or ""), text or ""
+        chars, n = sum(map(len, words)), len(words)
+        classes = [len(regex.findall(p, body)) for p in patterns]
+        listed = quality_rules.COMMON.get(language, quality_rules.ANY)
+        counts = [sum(w.lower() == c for w in words) for c in listed]
+        hist = lambda found, whole: np.array([*found, max(whole - sum(found), 0)]) / whole if whole else np.zeros(len(found) + 1)
+        again = brute_counts(text)[4]
+        measured[i] = (language, hist(classes, chars), hist(counts, n), n < 10 or 100 * again > 20 * n, chars, n)
+
+    def distance(p, q):
+        m = (p + q) / 2
+        half = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0) / 2
+        return np.sqrt(max(half(p) + half(q), 0))
+
+    def mean(use):
+        return {lang: [np.mean([measured[i][k] for i in use if measured[i][0] == lang], axis=0) for k in (1, 2)] for lang in {measured[i][0] for i in use}}
+
+    rough = mean([i for i, m in measured.items() if not m[3]])
+    known = mean([i for i, m in measured.items() if not m[3] and m[0] in rough and distance(m[1], rough[m[0]][0]) <= 0.25])
+    out = {}
+    for i, (language, char, word, failed, chars, n) in measured.items():
+        c, w = (distance(x, r) for x, r in zip((char, word), known[language], strict=True)) if language in known else (0.0, 0.0)
+        out[i] = not failed and not (chars >= 150 and c > 0.3 or n >= 40 and (w > 0.45 or c > 0.16 and w > 0.23))
+    return out
+
+
+def test_quality_verdicts_against_numpy(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    long = spark.createDataFrame([(10_000_001, "the quick Fox of 12 and " * 50_000, "en"), (10_000_002, "Zq9# " * 200_000, "fr")], table.schema)
+    both = table.unionByName(long)
+    want = numpy_kept([tuple(r) for r in both.collect()])
+    found = {r["doc_id"]: r["kept"] for r in quality_rules.judge(both).collect()}
+    assert found == want and any(want.values()) and not all(want.values())
+
+
+def test_a_megabyte_in_every_operator(spark):
+    """One text of over a megabyte beside short ones: fingerprints, scores, sizes and ids are those of the whole text."""
+    long = "Plain words about a river, " * 45_000 + "idiot scum. " + " ".join(f"last{k}" for k in range(20_000))
+    docs = spark.createDataFrame([(1, long, "en", "a"), (2, "short text of the other kind", "en", "b")], SCHEMA)
+    prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in simhash.group_near_duplicates(docs).collect()}
+    assert prints[1] == brute_fingerprint(long, 3)
+    assert {r["doc_id"]: r["mix"]["size"] for r in mixing.plan_mix(docs).collect()}[1] == len(WORD.findall(long))
+    encoded = {r["doc_id"]: (r["n"], bytes(r["back"])) for r in byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded="back").select("doc_id", F.size("ids").alias("n"), "back").collect()}
+    assert encoded[1] == (len(tiktoken_encoding().encode_ordinary(long)), long.encode())
+    model = toxicity.ToxicityModel(22, (), -3.0, *(np.array(x) for x in zip(*sorted({int(b): 4.0 for b in toxicity.features(*arrow_text(["scum"]), 22, ())[1]}.items()), strict=True)))
+    assert {r["doc_id"]: r["score"] > 0.5 for r in toxicity.score(docs, model).collect()} == {1: True, 2: False}
