@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lapwise.llm import textblocks as tb
-from lapwise.llm.scratch import written
+from lapwise.llm.scratch import temporary, written
 
 #: A place in a text: the low bits of a hash of the text above the bits of the element's number.
 DIGEST_BITS, POS_BITS = 35, 28
@@ -277,16 +277,18 @@ def without(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sizes: Sizes = Sizes(), out_words: str | None = None) -> DataFrame:
     """docs without the later repeats; out_words: a column for the number of words deleted."""
-    marks = written(fingerprints(docs, sizes, key=key, text=text), "line-fingerprints")
-    shared = written(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "line-shared")  # as a table, Spark can split the join of a very common line
-    marks = written(marks.join(shared, "hash"), "line-spans")
+    with temporary(docs.sparkSession):
+        marks = written(fingerprints(docs, sizes, key=key, text=text), "line-fingerprints")
+        shared = written(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "line-shared")  # as a table, Spark can split the join of a very common line
+        marks = written(marks.join(shared, "hash"), "line-spans", lasting=True)
     spans = marks.groupBy("hash", "span").agg(F.min(F.struct("id", "place")).alias("f"))
     mixed = spans.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    mixed = written(spans.join(mixed, "hash").select("hash", "span", "f.*"), "line-mixed")
     own = docs.columns
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if c != text] or [F.lit(True).alias("none")]).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     carried = carried.withColumn("digest", _digest(F.coalesce("text", F.lit(""))))
-    runs = written(runs_of(carried.select("id", "text", "digest"), mixed, sizes), "line-runs")
+    with temporary(docs.sparkSession):
+        mixed = written(spans.join(mixed, "hash").select("hash", "span", "f.*"), "line-mixed")
+        runs = written(runs_of(carried.select("id", "text", "digest"), mixed, sizes), "line-runs", lasting=True)
     item = F.struct("hash", "span", "place")
     later = later_of(marks, "span-firsts").withColumn("whole", F.lit(True)).unionByName(later_of(runs, "run-firsts").withColumn("whole", F.lit(False)))
     lists = later.groupBy(*_by_text()).agg(F.collect_set(F.when(F.col("whole"), item)).alias("spans"), F.collect_set(F.when(~F.col("whole"), item)).alias("runs"))  # at most a text's words

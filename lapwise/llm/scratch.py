@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OPEN = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own."""
@@ -22,8 +27,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lapwise-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder and read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, *, lasting: bool = False) -> DataFrame:
+    """df as a table written to the shared folder and read again: cuts lineage, survives lost executors.
+
+    Inside temporary() the table goes at its end, unless it is lasting.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if not lasting and getattr(_OPEN, "paths", None) is not None:
+        _OPEN.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that this thread writes inside, when what is built from them has been written as lasting."""
+    before, _OPEN.paths = getattr(_OPEN, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _OPEN.paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _OPEN.paths = before

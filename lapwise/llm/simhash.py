@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapwise.llm import textblocks as tb
 from lapwise.llm.components import components, forest
-from lapwise.llm.scratch import written
+from lapwise.llm.scratch import temporary, written
 from lapwise.llm.similar_sets import shingle_spans, similar_groups
 
 SEED = 42
@@ -156,9 +156,10 @@ def links(prints: DataFrame, *, radius: int, parts: int | None = None) -> DataFr
 def group_near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
     prints = written(fingerprints(docs, words=words, key=key, text=text), "fingerprints")
-    distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
-    groups = components(links(distinct.select("fingerprint", F.col("fingerprint").alias("id")), radius=radius))
-    placed = written(distinct.join(groups, F.col("fingerprint") == F.col("node"), "left").select(F.col("fingerprint").alias("f"), "id", F.coalesce("component", "fingerprint").alias("c")), "placed-fingerprints")
+    with temporary(docs.sparkSession):
+        distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
+        groups = components(links(distinct.select("fingerprint", F.col("fingerprint").alias("id")), radius=radius))
+        placed = written(distinct.join(groups, F.col("fingerprint") == F.col("node"), "left").select(F.col("fingerprint").alias("f"), "id", F.coalesce("component", "fingerprint").alias("c")), "placed-fingerprints", lasting=True)
     least = placed.groupBy("c").agg(F.min("id").alias("component_id"))
     known = placed.select("f", "c").join(least, "c").select("f", "component_id")
     joined = prints.join(known, F.col("fingerprint") == F.col("f"))
@@ -187,7 +188,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows = written(docs.withColumn("lapwise_row", F.monotonically_increasing_id()), "near-rows")
     texts = rows.select(F.col("lapwise_row").alias("row"), "text")
-    groups = written(similar_groups(texts, words=5, propose=lambda heads: close_pairs(texts, heads, words=5, radius=3)), "near-groups")
+    with temporary(spark):
+        groups = written(similar_groups(texts, words=5, propose=lambda heads: close_pairs(texts, heads, words=5, radius=3)), "near-groups", lasting=True)
     ranked = rows.select("lapwise_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "lapwise_row").alias("turn")).join(groups, F.col("lapwise_row") == F.col("row"))
     kept = ranked.groupBy("component").agg(F.min("turn").alias("first")).select(F.col("first.lapwise_row").alias("kept_row"))
     return rows.join(kept, F.col("lapwise_row") == F.col("kept_row"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
