@@ -160,8 +160,8 @@ class Encoder:
     """Encodes texts in one task; keeps the pieces it has met, up to a bound. cut_first: the pattern never joins pieces (module pieces)."""
 
     def __init__(self, merges: pa.Table, byte_ids: np.ndarray, vocabulary: pa.Table, pattern: str, cut_first: bool) -> None:
-        self.con = _connect(merges=merges)
-        self.decoder = Decoder(vocabulary)
+        self.con = _connect(merges=merges, vocabulary=vocabulary)
+        self.decoder = Decoder(self.con)
         self.byte_ids = byte_ids
         self.split = _splitter(pattern)
         self.reach = Reach([t.encode("latin-1") for t in vocabulary.column("piece").to_pylist()])
@@ -170,7 +170,6 @@ class Encoder:
 
     def close(self) -> None:
         self.con.close()
-        self.decoder.close()
 
     def _contract(self, words: list[bytes], sql: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and how many each has."""
@@ -221,8 +220,8 @@ class Encoder:
 class Decoder:
     """Decodes id arrays in one task."""
 
-    def __init__(self, vocabulary: pa.Table) -> None:
-        self.con = _connect(vocabulary=vocabulary)
+    def __init__(self, con: duckdb.DuckDBPyConnection) -> None:
+        self.con = con
 
     def close(self) -> None:
         self.con.close()
@@ -277,7 +276,7 @@ def decode(docs: DataFrame, vocabulary: str, *, ids: str = "ids", out: str = "de
     shared = docs.sparkSession.sparkContext.broadcast(_vocabulary(read_ranks(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = held(f"bpe-decoder {vocabulary}", lambda: Decoder(shared.value))
+        tool = held(f"bpe-decoder {vocabulary}", lambda: Decoder(_connect(vocabulary=shared.value)))
         for batch in batches:
             sizes = pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy().astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])

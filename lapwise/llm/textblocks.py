@@ -47,6 +47,10 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return kept[: max(n, 1)]
 
 
+def forget_powers() -> None:
+    _POWERS.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: spreads every input bit over the word."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
 
+from lapwise.llm import textblocks as tb
+
 _HELD: dict[str, Any] = {}
 
 
@@ -20,10 +23,12 @@ def held(name: str, make: Callable[[], Any]) -> Any:
 
 
 def release() -> None:
-    """Lets go of the tool that the worker holds."""
-    if _HELD:
-        for tool in _HELD.values():
-            tool.close()
-        _HELD.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+    """Lets go of the tool that the worker holds, and of memory that earlier tasks have freed."""
+    for tool in _HELD.values():
+        tool.close()
+    _HELD.clear()
+    tb.forget_powers()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library keeps what is freed otherwise
+        trim(0)
