@@ -13,6 +13,7 @@ from lapwise.llm.simhash import op6_simhash
 from lapwise.llm.token_files import op2_token_files
 from lapwise.llm.toxicity import op10_toxicity
 from lapwise.llm.warc import OP4_SQL, op4_warc
+from lapwise.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
