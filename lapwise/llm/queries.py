@@ -6,6 +6,7 @@ import corpus_pipeline
 from lapwise.llm.ann import op5_ann
 from lapwise.llm.byte_bpe import op1_byte_bpe
 from lapwise.llm.line_dedup import op9_line_dedup
+from lapwise.llm.minhash import op12_minhash
 from lapwise.llm.mixing import OP3_SQL, op3_mixing
 from lapwise.llm.quality_classifier import op8_quality_classifier
 from lapwise.llm.quality_rules import op7_quality_rules
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op12_minhash": op12_minhash,
     "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
