@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from lapwise.llm.alignment import op11_alignment
 from lapwise.llm.ann import op5_ann
 from lapwise.llm.byte_bpe import op1_byte_bpe
 from lapwise.llm.line_dedup import op9_line_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
     "op12_minhash": op12_minhash,
     "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
