@@ -52,7 +52,8 @@ def usable(vectors: DataFrame, key: str, column: str) -> tuple[DataFrame, int]:
     whole = vectors.select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull() & finite)
     dims = whole.agg(F.max(F.size("vec"))).first()[0] or 0
     entry = lambda c: F.when(F.abs(c) < 2.0**47, F.floor(c * SCALE) + SHIFT).otherwise(F.raise_error(F.lit("an entry is too large to whiten")))
-    return whole.where(F.size("vec") == dims).select("id", F.transform("vec", entry).alias("x")), dims
+    x = F.when(finite & (F.size("vec") == dims), F.transform("vec", entry))  # the condition also guards the entries where Spark moves filters
+    return whole.select("id", x.alias("x")).where("x IS NOT NULL"), dims
 
 
 def blocks_of(rows: DataFrame, dims: int, n: int, sums: np.ndarray, block_rows: int) -> DataFrame:
