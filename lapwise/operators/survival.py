@@ -23,7 +23,7 @@ def km_curve(df: DataFrame, by: Sequence[str], duration: str, event: str) -> Dat
 
 def km_median(df: DataFrame, by: Sequence[str], duration: str, event: str) -> DataFrame:
     """median: the first duration at which half or fewer survive, else the 75th percentile of observed events."""
-    curve = km_curve(df, by, duration, event).groupBy(*by).agg(F.min(F.when(F.col("survival") <= 0.5, F.col("t"))).alias("_half"))
+    curve = km_curve(df, by, duration, event).groupBy(*by).agg(F.min(F.when(F.col("survival") <= 0.5 + 1e-9, F.col("t"))).alias("_half"))
     late = df.groupBy(*by).agg(F.percentile(F.when(F.col(event), F.col(duration)), 0.75).alias("_p75"))
     return late.join(curve, list(by), "left").select(*by, F.coalesce(F.col("_half").cast("double"), "_p75").alias("median"), F.col("_half").isNull().alias("fallback"))
 
