@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwise.functions import exprs as X
+from lapwise.operators.quantiles import grouped_median
 from lapwise.operators.windows import demean, over
 
 
@@ -126,7 +127,8 @@ def variance_components(df: DataFrame, group: Sequence[str], value: str) -> Data
 
 def group_effect(df: DataFrame, period: Sequence[str], group: str, value: str, *, min_n: int = 5) -> DataFrame:
     """effect: median of each group in a period, re-centred on the period's mean; se and a 95 % interval."""
-    medians = df.groupBy(*period, group).agg(F.median(value).alias("mid"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n")).where(F.col("n") >= min_n)
+    stats = df.groupBy(*period, group).agg(F.stddev_samp(value).alias("sd"), F.count(value).alias("n")).where(F.col("n") >= min_n)
+    medians = stats.join(grouped_median(df, [*period, group], value, "mid"), [*period, group])
     centred = medians.withColumn("effect", F.col("mid") - F.avg("mid").over(over(period))).withColumn("se", F.col("sd") / F.sqrt("n"))
     lo, hi = X.interval(F.col("effect"), F.col("se"))
     return centred.select(*period, group, "n", "effect", "se", lo.alias("lo"), hi.alias("hi"))

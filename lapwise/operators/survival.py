@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapwise.operators.estimators import ols, ratio
+from lapwise.operators.quantiles import grouped_median, grouped_quantiles
 from lapwise.operators.windows import over
 
 
@@ -24,8 +25,8 @@ def km_curve(df: DataFrame, by: Sequence[str], duration: str, event: str) -> Dat
 def km_median(df: DataFrame, by: Sequence[str], duration: str, event: str) -> DataFrame:
     """median: the first duration at which half or fewer survive, else the 75th percentile of observed events."""
     curve = km_curve(df, by, duration, event).groupBy(*by).agg(F.min(F.when(F.col("survival") <= 0.5 + 1e-9, F.col("t"))).alias("_half"))
-    late = df.groupBy(*by).agg(F.percentile(F.when(F.col(event), F.col(duration)), 0.75).alias("_p75"))
-    return late.join(curve, list(by), "left").select(*by, F.coalesce(F.col("_half").cast("double"), "_p75").alias("median"), F.col("_half").isNull().alias("fallback"))
+    late = grouped_quantiles(df.where(F.col(event)), by, duration, {"_p75": 0.75})
+    return curve.join(late, list(by), "left").select(*by, F.coalesce(F.col("_half").cast("double"), "_p75").alias("median"), F.col("_half").isNull().alias("fallback"))
 
 
 def detect_cliff(df: DataFrame, unit: Sequence[str], order: str, value: str, *, rise: float = 0.5, window: int = 5, least: int = 3, streak: int = 2) -> DataFrame:
@@ -48,7 +49,7 @@ def survival_table(df: DataFrame, unit: Sequence[str], keep: Sequence[str], orde
 
 def trimmed_mean(df: DataFrame, by: Sequence[str], value: str, lo: float = 0.1, hi: float = 0.9, out: str = "trimmed") -> DataFrame:
     """Mean of the values between the group's lo and hi percentiles."""
-    bounds = df.groupBy(*by).agg(F.percentile(value, lo).alias("_lo"), F.percentile(value, hi).alias("_hi"))
+    bounds = grouped_quantiles(df, by, value, {"_lo": lo, "_hi": hi})
     inside = df.join(bounds, list(by)).where(F.col(value).between(F.col("_lo") - 1e-9, F.col("_hi") + 1e-9))  # the bounds carry rounding
     return inside.groupBy(*by).agg(F.avg(value).alias(out), F.count(value).alias("n"))
 
@@ -71,8 +72,9 @@ def wear_gradient(df: DataFrame, unit: Sequence[str], by: Sequence[str], order:
 
 def fit_cells(df: DataFrame, cell: Sequence[str], pool: Sequence[str], kind: str, value: str, *, min_n: int, defaults: Mapping[str, float], bounds: tuple[float, float]) -> DataFrame:
     """fitted: the cell's median, else the pool's, else the kind's default, within bounds; and where it came from."""
-    cells = df.groupBy(*dict.fromkeys([*cell, *pool, kind])).agg(F.median(value).alias("_c"), F.count(value).alias("n"))
-    pools = df.groupBy(*pool).agg(F.median(value).alias("_p"), F.count(value).alias("_pn"))
+    grain = list(dict.fromkeys([*cell, *pool, kind]))
+    cells = df.groupBy(*grain).agg(F.count(value).alias("n")).join(grouped_median(df, grain, value, "_c"), grain, "left")
+    pools = df.groupBy(*pool).agg(F.count(value).alias("_pn")).join(grouped_median(df, pool, value, "_p"), list(pool), "left")
     known = F.create_map(*[F.lit(x) for item in defaults.items() for x in item])
     own, pooled = F.when(F.col("n") >= min_n, F.col("_c")), F.when(F.col("_pn") >= min_n, F.col("_p"))
     fitted = F.coalesce(own, pooled, F.try_element_at(known, F.col(kind)))
@@ -82,7 +84,7 @@ def fit_cells(df: DataFrame, cell: Sequence[str], pool: Sequence[str], kind: str
 
 def calibrate(df: DataFrame, by: Sequence[str], x: str, y: str, prior: float, *, tolerance: float = 0.5, min_n: int = 10) -> DataFrame:
     """Slope of y on x over rows within the 5th to 95th percentile of y; used where it is near enough to the prior."""
-    bounds = df.groupBy(*by).agg(F.percentile(y, 0.05).alias("_lo"), F.percentile(y, 0.95).alias("_hi"))
+    bounds = grouped_quantiles(df, by, y, {"_lo": 0.05, "_hi": 0.95})
     inside = df.join(bounds, list(by)).where(F.col(y).between(F.col("_lo"), F.col("_hi")))
     fits = inside.groupBy(*by).agg(ols(x, y).alias("measured"), F.count(y).alias("n"))
     near = (F.col("n") >= min_n) & (F.abs(ratio(F.col("measured") - prior, F.lit(float(prior)))) <= tolerance)
