@@ -16,22 +16,54 @@ def enrich(fact: DataFrame, lookups: Sequence[tuple[DataFrame, Sequence[str]]])
     return fact
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, columns: Sequence[str], *, tie: str | None = None, fallback: str | None = "first") -> DataFrame:
+SLICES, SLICE_ROWS = 128, 1_000_000
+
+
+def same_keys(keys: Sequence[str], prefix: str) -> Column:
+    """Equality of keys and prefixed keys, where null equals null."""
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return match
+
+
+def time_slices(rows: DataFrame, by: Sequence[str], t: str, *, slice_rows: int, slices: int = SLICES) -> DataFrame:
+    """rows with _slice: 0, or for keys of over slice_rows rows the number of the key's cut times before t.
+
+    The cuts are approximate quantiles of the key's times, so that its slices are about alike; rows of equal time share one.
+    Only keys of so many rows get cuts; there are few of them.
+    """
+    named = [F.col(k).alias(f"_k_{k}") for k in by]
+    large = rows.groupBy(*named).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slice_rows).drop("_n")
+    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    cuts = rows.join(large, same_keys(by, "_k_"), "left_semi").groupBy(*named).agg(F.array_distinct(F.percentile_approx(t, shares, 1000)).alias("_cuts"))
+    cut = rows.join(cuts, same_keys(by, "_k_"), "left").drop(*[f"_k_{k}" for k in by])
+    before = F.size(F.filter("_cuts", lambda c: c < F.col(t)))
+    return cut.withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(before)).drop("_cuts")
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, columns: Sequence[str], *, tie: str | None = None, fallback: str | None = "first", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """left with the columns of the last right row at or before left_on, or of the first one where none precedes.
 
-    Both sides go through one shuffle by key; at equal times the right side sorts first. Of right rows at one time the
-    largest tie counts as last.
+    Both sides go through one shuffle by key and time slice; at equal times the right side sorts first. Of right rows at one
+    time the largest tie counts as last. A key of over slice_rows rows is cut into slices, so that it is many tasks; the last
+    sample of the slices before is carried into each by a prefix over the key's slices, a row each. Null keys match each other.
     """
     picked = F.struct(F.col(right_on).alias("_at"), *[F.col(c) for c in columns])
     keyed = [F.col(b) for b in by]
     rows = left.select(*keyed, F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType if tie else "int").alias("_tie"), F.struct(*[F.col(c) for c in left.columns]).alias("_left"))
     samples = right.select(*keyed, F.col(right_on).alias("_t"), F.lit(0).alias("_side"), (F.col(tie) if tie else F.lit(None).cast("int")).alias("_tie"), picked.alias("_right"))
-    both = rows.unionByName(samples, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_tie")
-    before = F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    earliest = F.first("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # one frame a key
-    found = both.withColumn("_hit", F.coalesce(before, earliest) if fallback == "first" else before).where("_side = 1")
-    return found.select("_left.*", *[F.col(f"_hit.{c}").alias(c) for c in columns])
+    both = time_slices(rows.unionByName(samples, allowMissingColumns=True), by, "_t", slice_rows=slice_rows)
+    order = F.when(F.col("_side") == 0, F.struct("_t", "_tie"))
+    ends = both.groupBy(*by, "_slice").agg(F.max_by("_right", order).alias("_last"), F.min_by("_right", order).alias("_first"))
+    slices = Window.partitionBy(*by).orderBy("_slice")
+    carried = F.last("_last", ignorenulls=True).over(slices.rowsBetween(Window.unboundedPreceding, -1))
+    earliest = F.first("_first", ignorenulls=True).over(slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    outside = ends.select(*[F.col(k).alias(f"_s_{k}") for k in [*by, "_slice"]], F.coalesce(carried, earliest).alias("_outside") if fallback == "first" else carried.alias("_outside"))
+    inside = F.last("_right", ignorenulls=True).over(Window.partitionBy(*by, "_slice").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_inside", inside).where("_side = 1").join(outside, same_keys([*by, "_slice"], "_s_"), "left")
+    hit = F.coalesce("_inside", "_outside")
+    return found.select("_left", hit.alias("_hit")).select("_left.*", *[F.col(f"_hit.{c}").alias(c) for c in columns])
 
 
 def anti_before(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str) -> DataFrame:
@@ -40,9 +72,43 @@ def anti_before(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: s
     return left.join(first, list(by), "left").where(F.col("_first").isNull() | (F.col("_first") > F.col(left_on))).drop("_first")
 
 
-def segment_join(points: DataFrame, segments: DataFrame, by: Sequence[str], point: str, start: str, end: str) -> DataFrame:
-    """Points with the segments of their key that hold them, ends included."""
-    return points.join(segments, list(by)).where(F.col(point).between(F.col(start), F.col(end)))
+SPREAD, TOP = 4, 30
+
+
+def span_candidates(points: DataFrame, spans: DataFrame, by: Sequence[str], point: str, start: str, end: str, *, width: float | None = None) -> DataFrame:
+    """points with the spans of their key in whose bins they lie: the pairs that span_join tests.
+
+    A span lies in the bins it touches at the first level whose bins are as wide as it is long, two at most; bins of a level
+    are SPREAD times as wide as those of the level below. A point looks into one bin of each level that holds spans. So a
+    point meets the spans near it that are about as long as a bin, not all spans of its key, and a key is dealt by its bins.
+    width: of the narrowest bins, by default the median length of the spans. Spans that end before they start hold nothing;
+    null keys match nothing.
+    """
+    real = lambda c: F.col(c).cast("double")
+    length = real(end) - real(start)
+    whole = spans.where(F.col(end) >= F.col(start))
+    width = width or whole.agg(F.percentile_approx(length, 0.5)).first()[0] or 1.0
+    level = F.when(length <= width, 0).otherwise(F.least(F.lit(TOP), F.ceil(F.log(float(SPREAD), length / width)).cast("int")))
+    leveled = whole.withColumn("_level", level)
+    used = [r[0] for r in leveled.select("_level").distinct().collect()]  # TOP + 1 numbers at most
+    if not used:
+        return points.limit(0).join(spans, list(by))
+    bin_of = lambda x, level: F.floor(x / (F.lit(float(width)) * F.pow(F.lit(float(SPREAD)), level)))
+    placed = leveled.withColumn("_bin", F.explode(F.sequence(bin_of(real(start), F.col("_level")), bin_of(real(end), F.col("_level")))))
+    probes = points.withColumn("_level", F.explode(F.array(*map(F.lit, sorted(used))))).withColumn("_bin", bin_of(real(point), F.col("_level")))
+    return probes.join(placed, [*by, "_level", "_bin"]).drop("_level", "_bin")
+
+
+def span_join(points: DataFrame, spans: DataFrame, by: Sequence[str], point: str, start: str, end: str, *, width: float | None = None) -> DataFrame:
+    """points with the spans of their key that hold them, ends included, by an index of bins (span_candidates)."""
+    return span_candidates(points, spans, by, point, start, end, width=width).where(F.col(point).between(F.col(start), F.col(end)))
+
+
+def segment_join(points: DataFrame, segments: DataFrame, by: Sequence[str], point: str, start: str, end: str, *, lookup: bool = False) -> DataFrame:
+    """Points with the segments of their key that hold them, ends included; lookup: segments are a table of a few rows a key."""
+    if lookup:
+        return points.join(segments, list(by)).where(F.col(point).between(F.col(start), F.col(end)))
+    return span_join(points, segments, by, point, start, end)
 
 
 def band_median(df: DataFrame, by: Sequence[str], order: str, value: str, k: int, out: str = "band_median") -> DataFrame:
@@ -117,7 +183,8 @@ def exists_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], out: str)
 
 def interval_join(spans: DataFrame, events: DataFrame, keys: Sequence[str], step: str, start: str, finish: str, slack: int = 1) -> DataFrame:
     """Events within a span of their keys, or at most slack after it."""
-    return spans.join(events, list(keys)).where(F.col(step).between(F.col(start), F.col(finish) + slack))
+    wide = spans.withColumn("_to", F.col(finish) + slack)
+    return span_join(events, wide, keys, step, start, "_to").drop("_to")
 
 
 def next_period(df: DataFrame, entity: Sequence[str], period: str, value: str) -> DataFrame:

@@ -63,7 +63,7 @@ CORNERS = "(VALUES ('A', 'c1', 0, 15), ('A', 'c2', 30, 50), ('R', 'c1', 10, 40),
 @query("m05_m25_segment_metrics", f"SELECT l_suppkey, l_returnflag, corner, min(l_extendedprice) AS apex, max(l_extendedprice) FILTER (WHERE l_linestatus = 'F') AS entry, arg_min(l_extendedprice, (l_quantity, l_orderkey, l_linenumber)) AS first_price, count(*) AS n FROM lineitem JOIN {CORNERS} USING (l_returnflag) WHERE l_quantity BETWEEN lo AND hi AND l_quantity > 1 AND l_quantity < 49 GROUP BY ALL", "apex entry first_price")
 def m25(spark, d):
     corners = spark.createDataFrame([("A", "c1", 0, 15), ("A", "c2", 30, 50), ("R", "c1", 10, 40), ("N", "c1", 5, 25)], "l_returnflag string, corner string, lo int, hi int")
-    inside = J.segment_join(S.in_range(table(spark, d, "lineitem"), "l_quantity", 1, 49), F.broadcast(corners), ["l_returnflag"], "l_quantity", "lo", "hi")  # four literal rows
+    inside = J.segment_join(S.in_range(table(spark, d, "lineitem"), "l_quantity", 1, 49), F.broadcast(corners), ["l_returnflag"], "l_quantity", "lo", "hi", lookup=True)  # four literal rows
     price = F.col("l_extendedprice")
     return inside.groupBy("l_suppkey", "l_returnflag", "corner").agg(F.min(price).alias("apex"), F.max(F.when(F.col("l_linestatus") == "F", price)).alias("entry"), F.min_by(price, F.struct("l_quantity", "l_orderkey", "l_linenumber")).alias("first_price"), F.count(F.lit(1)).alias("n"))
 

@@ -48,7 +48,7 @@ SEGMENTS = "(VALUES ('A', 'low', 0, 10), ('A', 'high', 40, 50), ('R', 'mid', 20,
 @query("j05_s04_range_join", f"SELECT s.l_returnflag, segment, count(*) AS n, avg(l_extendedprice) AS mean FROM lineitem l JOIN {SEGMENTS} ON l.l_returnflag = s.l_returnflag AND l_quantity BETWEEN lo AND hi GROUP BY 1, 2", "mean")
 def j05(spark, d):
     segments = spark.createDataFrame([("A", "low", 0, 10), ("A", "high", 40, 50), ("R", "mid", 20, 30), ("N", "mid", 15, 35)], "l_returnflag string, segment string, lo int, hi int")
-    found = J.segment_join(table(spark, d, "lineitem"), F.broadcast(segments), ["l_returnflag"], "l_quantity", "lo", "hi")  # four literal rows
+    found = J.segment_join(table(spark, d, "lineitem"), F.broadcast(segments), ["l_returnflag"], "l_quantity", "lo", "hi", lookup=True)  # four literal rows
     return found.groupBy("l_returnflag", "segment").agg(F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("mean"))
 
 
