@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapwise.functions.exprs import ns_to_s
 from lapwise.operators.shaping import stage
-from lapwise.sources import store as S
-from lapwise.streaming import replay as R
+from lapwise.sources import publish as B, store as S
+from lapwise.sources.scratch import shared_dir
+from lapwise.streaming import ordered, replay as R
 from lapwise.plans.registration import query, table
 from lapwise.plans.testbed import O, panel_o
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir, or under a temporary folder where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
 
 
 @query("s01_s02_partitioned_roundtrip", "SELECT CAST(year(o_orderdate) AS BIGINT) AS season, o_orderstatus AS session, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1997 GROUP BY ALL", "total")
@@ -91,6 +90,20 @@ def s11(spark, d):
     return S.load_incremental(panel, spark.read.parquet(path), ["period"]).groupBy("period").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s11_s12_publish", f"SELECT period, count(*) AS n, sum(value) AS total, CASE WHEN period <= 1994 THEN 1 WHEN period = 1996 THEN 3 ELSE 2 END AS version FROM {O} GROUP BY period", "total")
+def s11_publish(spark, d):
+    """Two runs publish, the second only what is new; one partition is forced; a run without news writes nothing."""
+    path = scratch(spark)
+    panel = panel_o(spark, d).select("o_orderkey", "value", "period")
+    B.publish(panel.where("period <= 1994"), path, ["period"])
+    B.publish(panel, path, ["period"])
+    B.publish(panel.where("period = 1996"), path, ["period"], force=True)
+    B.publish(panel, path, ["period"])
+    read = B.read_published(spark, path, panel.schema).groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    versions = B.visible(spark, path).select(F.get_json_object("key", "$.period").cast("long").alias("period"), F.col("version").cast("int").alias("version"))
+    return read.join(versions, "period").select(F.col("period").cast("long").alias("period"), "n", "total", "version")
+
+
 @query("s13_schema_fingerprint", "SELECT t AS name, substr(sha1(cols), 1, 12) AS fingerprint, n FROM (SELECT 'region' AS t, (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE region)) AS cols, (SELECT count(*) FROM region) AS n)")
 def s13(spark, d):
     region = table(spark, d, "region")
@@ -126,6 +139,19 @@ def st01_whole(spark, d) -> DataFrame:
     return spark.read.parquet(f"{path}/out")
 
 
+@query("st01_ordered_stream", """SELECT CAST(user_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n, event_id AS step, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS value FROM events""")
+def st01_ordered(spark, d) -> DataFrame:
+    """All events as shuffled files, out as numbered payloads in order of time, and a second run that adds nothing."""
+    path = scratch(spark)
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    typed = events.withColumn("user_id", F.col("user_id").cast("string"))
+    typed.repartition(4, "event_id").write.parquet(f"{path}/in")
+    ordered.closing_file(spark, f"{path}/in", typed.schema, "user_id", "ts")
+    for _ in range(2):
+        ordered.replay_in_order(R.step_stream(spark, f"{path}/in", typed.schema, files_per_trigger=5), f"{path}/out", f"{path}/checkpoint", "user_id", "ts", "event_id", ["event_id", "event_type"], late="3650 days")
+    return spark.read.schema(ordered.OUT).parquet(f"{path}/out").select("key", "n", "step", "value")
+
+
 @query("st02_staged_stream", "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS entity, event_id * 1000000 / 1e9 AS seconds FROM events", "seconds")
 def st02(spark, d) -> DataFrame:
     path = scratch(spark)

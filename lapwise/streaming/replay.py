@@ -23,8 +23,3 @@ def replay(stream: DataFrame, out: str, checkpoint: str, *, stage: Callable[[Dat
     """Runs the stream over all files there are, into Parquet, and stops; a second run adds only new files."""
     staged = stream if stage is None else stage(stream)
     staged.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-
-
-def windowed_counts(stream: DataFrame, time: str, keys: list[str], *, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Counts and sums per time window; rows later than the watermark are left out of closed windows."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
