@@ -107,3 +107,26 @@ def freshness(df: DataFrame, column: str, today: Column, max_days: int) -> DataF
 def gaps(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Rows whose step is not one after the previous row's."""
     return df.withColumn("_p", F.lag(order).over(over(keys, [order]))).where(F.col("_p").isNotNull() & (F.col(order) != F.col("_p") + 1)).drop("_p")
+
+
+def recomputed(df: DataFrame, unit: Sequence[str], order: str, source: str, weights: Mapping[int, float], *, floor: float | None = None, mean: bool = False) -> DataFrame:
+    """unit, order and expected: a weighted sum (or mean) of the source at fixed offsets of the same unit, without a window.
+
+    Every row sends its value to the steps it counts for (offset 1: the row one step before), and what arrives at a step is
+    summed; so it shares no code with the window it is held against. Values below floor count as floor, null ones not at all.
+    """
+    value = F.col(source).cast("double") if floor is None else F.greatest(F.col(source).cast("double"), F.lit(floor))
+    sent = df.where(F.col(source).isNotNull()).select(*unit, F.explode(F.array(*[F.struct((F.col(order) + k).alias("to"), (value * w).alias("part"), F.lit(w).alias("w")) for k, w in weights.items()])).alias("s"))
+    arrived = sent.groupBy(*unit, F.col("s.to").alias(order)).agg(F.sum("s.part").alias("_sum"), F.sum("s.w").alias("_w"))
+    expected = F.try_divide(F.col("_sum"), F.col("_w")) if mean else F.coalesce(F.col("_sum"), F.lit(0.0))
+    return df.select(*unit, order).join(arrived, [*unit, order], "left").select(*unit, order, expected.alias("expected"))
+
+
+def assert_windows(df: DataFrame, unit: Sequence[str], order: str, checks: Mapping[str, tuple[str, DataFrame]], *, tolerance: float = 1e-4) -> DataFrame:
+    """check, unit, order, actual, expected of the rows whose column is not what recomputed gives: {check: (column, expected)}."""
+    found = []
+    for name, (column, expected) in checks.items():
+        both = df.select(*unit, order, F.col(column).cast("double").alias("actual")).join(expected, [*unit, order])
+        off = F.col("actual").isNull() != F.col("expected").isNull()
+        found.append(both.where(off | (F.abs(F.col("actual") - F.col("expected")) > tolerance)).select(F.lit(name).alias("check"), *unit, order, "actual", "expected"))
+    return reduce(DataFrame.unionByName, found)

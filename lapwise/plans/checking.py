@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from lapwise.functions import exprs as X
 from lapwise.operators import estimators as A, quality as Q
-from lapwise.operators.windows import early_baseline, ew_load, forward_targets, is_monotone
+from lapwise.operators.windows import early_baseline, ew_load, forward_targets, is_monotone, rolling
 from lapwise.plans.estimating import CELL, FE_FIT
 from lapwise.plans.registration import query, table
 from lapwise.plans.testbed import E, O, panel_e, panel_o
@@ -100,6 +102,49 @@ def q13(spark, d):
     return Q.gaps(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("falls"))
 
 
+#: Weights of a fast and a slow load at lags 1, 2, ...; the row itself counts whole.
+SURFACE, BULK = ([math.exp(-k / decay) for k in range(1, n + 1)] for decay, n in ((3, 4), (5, 7)))
+
+
+def loads(panel, keys=("unit_id",), order="step"):
+    """The panel with two loads of positive deviations and a centred mean, by windows over keys."""
+    dev = lambda w: F.greatest("deviation", F.lit(0.0)) + ew_load(F.col("deviation"), list(keys), [order], w, positive=True)
+    return panel.withColumns({"surface": dev(SURFACE), "bulk": dev(BULK), "smooth": rolling(F.avg, "value", list(keys), [order], -2, 2)})
+
+
+def windows_off(rows):
+    """Q-13: per check, the rows whose window form is not what offsets within the unit give."""
+    lags = lambda weights: {0: 1.0} | dict(enumerate(weights, 1))
+    expected = {name: (name, Q.recomputed(rows, ["unit_id"], "pos", "deviation", lags(w), floor=0.0)) for name, w in (("surface", SURFACE), ("bulk", BULK))}
+    expected["smooth"] = ("smooth", Q.recomputed(rows, ["unit_id"], "pos", "value", dict.fromkeys(range(-2, 3), 1.0), mean=True))
+    off = Q.assert_windows(rows, ["unit_id"], "pos", expected).groupBy("check").agg(F.count(F.lit(1)).alias("n_off"))
+    names = rows.sparkSession.createDataFrame([(n,) for n in expected], "check string")
+    return names.join(off, "check", "left").select("check", F.coalesce("n_off", F.lit(0)).alias("n_off"))
+
+
+@query("q13_recomputed_windows", f"SELECT c AS check, CAST(count(*) FILTER (WHERE step < 0) AS BIGINT) AS n_off FROM {E}, (SELECT unnest(['surface', 'bulk', 'smooth']) AS c) GROUP BY c")
+def q13_recomputed(spark, d):
+    return windows_off(loads(early_baseline(panel_e(spark, d), ["unit_id"], "pos", "value")))
+
+
+def load_sql(weights, step, over):
+    return "greatest(dev, 0) + " + " + ".join(f"{w} * greatest(coalesce({step}(dev, {k}) OVER {over}, 0), 0)" for k, w in enumerate(weights, 1))
+
+
+WRONG = ", ".join(f"CASE WHEN entity = 3 THEN {load_sql(w, 'lead', 'u')} WHEN entity = 5 THEN {load_sql(w, 'lag', 's')} ELSE {load_sql(w, 'lag', 'u')} END - ({load_sql(w, 'lag', 'u')}) AS {name}" for name, w in (("surface", SURFACE), ("bulk", BULK)))
+
+
+@query("q13_planted_lookahead", f"""WITH e AS {E}, n AS (SELECT *, count(*) OVER (PARTITION BY unit_id) AS n FROM e), b AS (SELECT unit_id, median(value) AS base FROM n WHERE pos <= greatest(ceil(n * 0.6), 3) GROUP BY unit_id), r AS (SELECT n.*, value - base AS dev FROM n JOIN b USING (unit_id)),
+x AS (SELECT {WRONG}, CASE WHEN entity = 5 THEN avg(value) OVER (PARTITION BY entity, context ORDER BY step ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) ELSE avg(value) OVER (PARTITION BY unit_id ORDER BY step ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END
+- avg(value) OVER (PARTITION BY unit_id ORDER BY step ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM r WINDOW u AS (PARTITION BY unit_id ORDER BY step), s AS (PARTITION BY entity, context ORDER BY step))
+SELECT 'surface' AS check, count(*) FILTER (WHERE abs(surface) > 1e-4) AS n_off FROM x UNION ALL SELECT 'bulk', count(*) FILTER (WHERE abs(bulk) > 1e-4) FROM x UNION ALL SELECT 'smooth', count(*) FILTER (WHERE abs(smooth) > 1e-4) FROM x""")
+def q13_planted(spark, d):
+    """The same where one entity's loads look ahead, and another's windows run on from unit to unit."""
+    rows = early_baseline(panel_e(spark, d), ["unit_id"], "pos", "value").withColumn("_back", -F.col("step"))
+    right, ahead, running = loads(rows.where("entity NOT IN (3, 5)")), loads(rows.where("entity = 3"), order="_back"), loads(rows.where("entity = 5"), keys=("entity", "context"))
+    return windows_off(right.unionByName(ahead).unionByName(running))
+
+
 @query("q13_monotone_burn_down", f"SELECT entity, context, true AS monotone FROM {E} GROUP BY ALL")
 def q13_burn(spark, d):
     return is_monotone(panel_e(spark, d), ["entity", "context"], ["step"], "step")

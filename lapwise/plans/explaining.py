@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lapwise.functions import exprs as X
 from lapwise.operators import estimators as A, fitting as P, recombining as R, shaping as S
+from lapwise.operators.joins import pairs
+from lapwise.operators.quantiles import grouped_median
 from lapwise.operators.windows import over
 from lapwise.plans.estimating import CURVE, UPPER
 from lapwise.plans.registration import query
@@ -222,3 +224,23 @@ def q16(spark, d):
     """Q-16: nobody is likelier to lose to the next place than to beat it."""
     found = R.scenario_order(R.propagate_se(paces(panel(spark, d)), SCENARIO, "entity", "grp"), SCENARIO, "entity")
     return found.groupBy(*SCENARIO).agg(F.count("p_beats_next").alias("n"), F.count_if(F.col("p_beats_next") < 0.5 - 1e-6).alias("below"))
+
+
+# ---- V-01: is the signal larger than what it ignores? ----------------------------------------------------------------
+
+
+@query("v01_gate", f"""WITH g AS (SELECT a.context, a.entity AS x, b.entity AS y, a.pos, a.value - b.value AS gap FROM {ROWS} a JOIN {ROWS} b ON a.grp = b.grp AND a.context = b.context AND a.step = b.step AND a.entity < b.entity),
+p AS (SELECT context, x, y, regr_slope(gap, pos) AS slope, count(*) AS n, 1 / (1 + stddev_samp(gap)) AS quality FROM g GROUP BY ALL HAVING count(*) >= 8), m AS (SELECT sum(quality * slope) / sum(quality) AS mean FROM p),
+d AS (SELECT a.slope - b.slope AS delta FROM {SENSITIVITY} a JOIN {SENSITIVITY} b ON a.compound = b.compound AND a.grp < b.grp)
+SELECT count(*) AS pairs, any_value(mean) AS mean, sqrt(sum(quality * (slope - mean) ** 2) / sum(quality)) AS sd, median(abs(slope)) AS noise, (SELECT median(abs(delta)) FROM d) AS signal, (SELECT median(abs(delta)) FROM d) / median(abs(slope)) AS snr FROM p, m""", "mean sd noise signal snr")
+def v01(spark, d):
+    """Noise: the median absolute slope of a pair's gap by age, within a group. Signal: that of the slopes' differences between groups."""
+    rows = panel(spark, d)
+    gaps = pairs(rows, ["grp", "context", "step"], "entity", ["value", "pos"], ordered=False).withColumn("gap", F.col("a_value") - F.col("b_value"))
+    slopes = settled(A.ols_slope(gaps, ["context", "a_entity", "b_entity"], "a_pos", "gap").join(gaps.groupBy("context", "a_entity", "b_entity").agg((1 / (1 + F.stddev_samp("gap"))).alias("quality")), ["context", "a_entity", "b_entity"]).where("n >= 8"), "gap-slopes")
+    fitted = parameters(rows)
+    groups = pairs(sensitivity(terms(rows, fitted), fitted).select(*GROUP, "slope"), ["compound"], "grp", ["slope"], ordered=False)
+    signal = groups.select(F.abs(F.col("a_slope") - F.col("b_slope")).alias("delta")).agg(F.median("delta").alias("signal"))  # a row per pair of groups
+    spread = slopes.crossJoin(F.broadcast(slopes.agg(A.wmean(F.col("slope"), F.col("quality")).alias("mean")))).withColumn("_s", (F.col("slope") - F.col("mean")) ** 2).withColumn("_abs", F.abs("slope"))
+    found = spread.agg(F.count(F.lit(1)).alias("pairs"), F.first("mean").alias("mean"), F.sqrt(A.wmean(F.col("_s"), F.col("quality"))).alias("sd")).crossJoin(F.broadcast(grouped_median(spread, [], "_abs", "noise"))).crossJoin(F.broadcast(signal))
+    return found.withColumn("snr", A.ratio(F.col("signal"), F.col("noise")))

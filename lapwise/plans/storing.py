@@ -90,14 +90,14 @@ def s11(spark, d):
     return S.load_incremental(panel, spark.read.parquet(path), ["period"]).groupBy("period").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s11_s12_publish", f"SELECT period, count(*) AS n, sum(value) AS total, CASE WHEN period <= 1994 THEN 1 WHEN period = 1996 THEN 3 ELSE 2 END AS version FROM {O} GROUP BY period", "total")
+@query("s11_s12_publish", f"SELECT period, count(*) AS n, sum(value) AS total, CASE WHEN period = 1999 THEN 3 WHEN period <= 1997 THEN 1 ELSE 2 END AS version FROM {O} GROUP BY period", "total")
 def s11_publish(spark, d):
     """Two runs publish, the second only what is new; one partition is forced; a run without news writes nothing."""
     path = scratch(spark)
     panel = panel_o(spark, d).select("o_orderkey", "value", "period")
-    B.publish(panel.where("period <= 1994"), path, ["period"])
+    B.publish(panel.where("period <= 1997"), path, ["period"])
     B.publish(panel, path, ["period"])
-    B.publish(panel.where("period = 1996"), path, ["period"], force=True)
+    B.publish(panel.where("period = 1999"), path, ["period"], force=True)
     B.publish(panel, path, ["period"])
     read = B.read_published(spark, path, panel.schema).groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     versions = B.visible(spark, path).select(F.get_json_object("key", "$.period").cast("long").alias("period"), F.col("version").cast("int").alias("version"))

@@ -62,13 +62,10 @@ def bootstrap_mean_gap(df: DataFrame, unit: str, flag: str, error: str, draws: i
 
 
 def rank_agreement(df: DataFrame, by: Sequence[str], entity: str, a: str, b: str) -> DataFrame:
-    """Spearman's rho (average ranks) and Kendall's tau-b of two scores per group."""
+    """Spearman's rho (average ranks) and Kendall's tau-b of two scores per group of two rows or more."""
     average = lambda c: F.rank().over(over(by, [c])) + (F.count(F.lit(1)).over(over([*by, c])) - 1) / 2
     rho = df.withColumns({"_ra": average(a), "_rb": average(b)}).groupBy(*by).agg(F.corr("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n"))
-    both = J.pairs(df, by, entity, [a, b], ordered=False)
-    sa, sb = F.signum(F.col(f"a_{a}") - F.col(f"b_{a}")), F.signum(F.col(f"a_{b}") - F.col(f"b_{b}"))
-    tau = both.groupBy(*by).agg(A.ratio(F.sum(sa * sb), F.sqrt(F.sum(F.abs(sa)) * F.sum(F.abs(sb)))).alias("tau"))
-    return rho.join(tau, list(by))
+    return rho.join(A.kendall_tau(df, by, a, b), list(by))
 
 
 MEANS = f"(SELECT context, entity, avg(value) AS mu, stddev_samp(value) / sqrt(count(*)) AS se, count(*) AS n FROM {E} GROUP BY ALL)"

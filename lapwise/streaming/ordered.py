@@ -1,6 +1,6 @@
 """Steps that arrive in any order, as payloads in order of their time: keyed state, timers, and a sink keyed by batch.
 
-Each key buffers its steps. When the watermark has passed a step's time no earlier step can come, and the key's steps up to
+Each key buffers its steps (a missing step number counts as zero). When the watermark has passed a step's time no earlier step can come, and the key's steps up to
 there are put out in order of time and step, numbered on from those before. Steps behind the watermark when they arrive are
 late: Spark leaves them out and counts them. A batch is written to a folder of its own name, which a repeated batch
 overwrites, so that stopping anywhere and running again neither loses nor repeats a step.
@@ -59,7 +59,7 @@ class InOrder(StatefulProcessor):
 
 def in_order(stream: DataFrame, key: str, time: str, step: str, fields: Sequence[str], *, late: str = "10 minutes") -> DataFrame:
     """key, n (its place among the key's steps), at, step, value (a JSON object of fields) in order, behind the watermark."""
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(time).alias("at"), F.unix_millis(time).alias("ms"), F.col(step).cast("long").alias("step"), payload(*fields).alias("value"))
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(time).alias("at"), F.unix_millis(time).alias("ms"), F.coalesce(F.col(step).cast("long"), F.lit(0)).alias("step"), payload(*fields).alias("value"))
     return rows.withWatermark("at", late).groupBy("key").transformWithStateInPandas(InOrder(), OUT, "Append", "EventTime")
 
 

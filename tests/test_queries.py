@@ -5,8 +5,6 @@ import pytest
 from lapwise.plans import registry
 from tests.oracle import SF, check
 
-SLOW = {"ml13_m43_predictions", "ml17_ml18_ablation", "ml22_grid_search"}
-
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_against_oracle(spark, name):
