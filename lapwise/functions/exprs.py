@@ -171,6 +171,24 @@ def session_seconds(x: Column | str, start: Column) -> Column:
     return (F.unix_micros(col(x).cast("timestamp")) - F.unix_micros(F.date_trunc("day", start.cast("timestamp")))) / 1e6
 
 
+#: Days (if any), hours (if any), minutes, seconds with a fraction; a sign in front.
+CLOCK = r"^\s*(-)?(?:(\d+) days?,? \+?)?(?:(\d+):)?(\d{1,2}):(\d{1,2}(?:\.\d+)?)\s*$"
+
+
+def clock_seconds(x: Column | str) -> Column:
+    """Seconds of a clock or duration as text, such as 1:02:03.5, 02:03.5 or 1 days 00:02:03; null for other text."""
+    text = col(x)
+    part = lambda k: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, CLOCK, k), F.lit("")), F.lit("999999999")), F.lit(0)).cast("double")
+    seconds = 86400 * part(2) + 3600 * part(3) + 60 * part(4) + F.regexp_extract(text, CLOCK, 5).try_cast("double")
+    return F.when(text.rlike(CLOCK), F.when(F.regexp_extract(text, CLOCK, 1) == "-", -seconds).otherwise(seconds))
+
+
+def duration_seconds(x: Column | str) -> Column:
+    """Seconds of a day-time interval."""
+    whole = lambda unit: F.extract(F.lit(unit), col(x)).cast("double")
+    return 86400 * whole("DAY") + 3600 * whole("HOUR") + 60 * whole("MINUTE") + whole("SECOND")
+
+
 def payload(*fields: str) -> Column:
     """A JSON object of the columns; nulls are left out."""
     return F.to_json(F.struct(*fields))

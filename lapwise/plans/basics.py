@@ -296,6 +296,17 @@ def p24(spark, d):
     return panel_e(spark, d).select("event_id", (X.residual_of(F.col("value"), [own]) + F.coalesce(host, F.lit(0.0))).alias("swapped"))
 
 
+CLOCKS = "CASE event_id % 4 WHEN 0 THEN concat(h, ':', lpad(CAST(m AS VARCHAR), 2, '0'), ':', lpad(CAST(s AS VARCHAR), 2, '0'), '.5') WHEN 1 THEN concat(lpad(CAST(m AS VARCHAR), 2, '0'), ':', lpad(CAST(s AS VARCHAR), 2, '0')) WHEN 2 THEN concat(d, ' days ', lpad(CAST(h AS VARCHAR), 2, '0'), ':', lpad(CAST(m AS VARCHAR), 2, '0'), ':', lpad(CAST(s AS VARCHAR), 2, '0')) ELSE 'NaT' END"
+
+
+@query("f10_clocks", "WITH p AS (SELECT event_id, event_id % 3 AS d, user_id % 24 AS h, event_id % 60 AS m, (event_id * 7) % 60 AS s FROM events) SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN 3600 * h + 60 * m + s + 0.5 WHEN 1 THEN 60 * m + s WHEN 2 THEN 86400 * d + 3600 * h + 60 * m + s END AS DOUBLE) AS text_seconds, CAST(86400 * d + 3600 * h + 60 * m + s AS DOUBLE) AS duration_seconds FROM p", "text_seconds duration_seconds")
+def f10_clocks(spark, d):
+    """Clocks as text of three forms (other text is null), and durations."""
+    parts = table(spark, d, "events").select("event_id", (F.col("event_id") % 3).alias("d"), (F.col("user_id") % 24).alias("h"), (F.col("event_id") % 60).alias("m"), (F.col("event_id") * 7 % 60).alias("s"))
+    rows = parts.select("event_id", F.expr(CLOCKS.replace("VARCHAR", "STRING")).alias("text"), F.expr("make_dt_interval(int(d), int(h), int(m), s)").alias("span"))
+    return rows.select("event_id", X.clock_seconds("text").alias("text_seconds"), X.duration_seconds("span").alias("duration_seconds"))
+
+
 @query("p13_anomaly_label", f"WITH z AS (SELECT event_id, pos, abs(value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM {E} WINDOW w AS (PARTITION BY entity, context)) SELECT event_id, CASE WHEN z > 1.6 AND pos = 1 THEN 'boundary' WHEN z > 1.6 THEN 'spike' WHEN z > 1.2 THEN 'drift' ELSE 'none' END AS anomaly, coalesce(z > 1.2, false) AS candidate, coalesce(z <= 1.6, true) AS usable FROM z")
 def p13(spark, d):
     w = over(["entity", "context"])

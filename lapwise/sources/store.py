@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lapwise.sources.scratch import settled
+
 
 def read_dataset(spark: SparkSession, root: str, name: str, schema: T.StructType, *, session: str | None = None) -> DataFrame:
     """A Hive-partitioned dataset under root; session picks a sub-partition, both pruned by the scan."""
@@ -33,11 +35,21 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], *, codec: str
     spread.write.mode(mode).option("compression", codec).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def _bytes(spark: SparkSession, path: str) -> int:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def write_single(df: DataFrame, path: str, *, max_bytes: int = 5 << 20) -> int:
-    """A small table as one file; its size, or an error where it is over the gate (the file is left for inspection)."""
-    df.coalesce(1).write.mode("overwrite").parquet(path)
-    size = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    if size > max_bytes:
+    """A small table as one file; its size, or an error where it is over the gate.
+
+    The table is first written aside by all tasks and measured, so that only one that can pass the gate goes through one task.
+    """
+    spark = df.sparkSession
+    aside = settled(df, "single")
+    if (size := _bytes(spark, aside.inputFiles()[0].rpartition("/")[0]) if aside.inputFiles() else 0) > 2 * max_bytes:
+        raise ValueError(f"{path} would have about {size} bytes, more than {max_bytes}")
+    aside.coalesce(1).write.mode("overwrite").parquet(path)
+    if (size := _bytes(spark, path)) > max_bytes:
         raise ValueError(f"{path} has {size} bytes, more than {max_bytes}")
     return size
 
@@ -57,6 +69,13 @@ def export_manifest(tables: Mapping[str, DataFrame], period: Mapping[str, str])
     return reduce(DataFrame.unionByName, rows)
 
 
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """A manifest (a row a table) as JSON lines with a version: the first 12 hex digits of a SHA-256 of all its rows by name."""
+    rows = F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(*manifest.columns)))), "\n")
+    version = manifest.agg(F.substring(F.sha2(rows, 256), 1, 12).alias("version"))
+    manifest.crossJoin(F.broadcast(version)).coalesce(1).write.mode("overwrite").json(path)
+
+
 def manifest_diff(current: DataFrame, new: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
     """Rows in one manifest only, apart from the ignored columns."""
     a, b = current.drop(*ignore), new.drop(*ignore)

@@ -85,3 +85,24 @@ def test_late_steps_are_counted(spark):
     late.coalesce(1).write.mode("append").parquet(f"{base}/in")
     assert run() == 1 and dropped == 0
     assert spark.read.parquet(f"{base}/out").where("step = 999").count() == 0
+
+
+def test_the_gate_comes_before_the_one_task(spark, monkeypatch):
+    """A table far over the gate is refused before it goes through one task, and leaves no file; a small one is one file."""
+    from lapwise.sources import store
+
+    root, big = root_of(spark), spark.range(50_000, numPartitions=4).select(F.rand(1).alias("v"))
+    with pytest.raises(ValueError, match="would have about"):
+        store.write_single(big, f"{root}/big", max_bytes=1000)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{root}/big")
+    assert 0 < store.write_single(spark.range(5), f"{root}/small") < 10_000
+    assert len(spark.read.parquet(f"{root}/small").inputFiles()) == 1
+
+
+def test_clocks(spark):
+    from lapwise.functions.exprs import clock_seconds
+
+    cases = {"1:02:03.5": 3723.5, "02:03": 123.0, "0 days 00:00:01": 1.0, "2 days, 1:00:00": 176400.0, "-0:10": -10.0, " 1:1:1 ": 3661.0, "NaT": None, "": None, "12": None, "1:2:3:4": None}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", clock_seconds("t").alias("s"))
+    assert {r["t"]: r["s"] for r in df.collect()} == cases | {None: None}
