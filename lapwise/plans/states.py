@@ -121,3 +121,42 @@ def q16(spark, d):
     seven = terms(rows, parameters(rows))
     scored = J.rolling_mad(seven, ["entity", "context"], "step", "residual", 7, floor=0.1).select("event_id", "roll_mad")
     return m24(spark, d).join(scored, "event_id").groupBy("anomaly").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("roll_mad") < 0.1).alias("below"))
+
+
+# ---- M-29: what a stop was worth -------------------------------------------------------------------------------------
+
+
+def strategy_value(rows: DataFrame, stops: DataFrame, unit: str, sequence: Sequence[str], *, pos: str, step: str, wear: str, onset: str, gap: str, near: float, costly: float = 0.5, reach: int = 10) -> DataFrame:
+    """Per unit and stop: when it should have ended, when it did, what running on cost, and a verdict.
+
+    The best step is the first costly one from the step before the onset to reach steps after it. The cost is the running
+    total of wear at the end less that at the best step. A stop (sequence, at) belongs to the unit during which it falls, or
+    right after it; a unit without one has no verdict. A stop too early is forced if a rival came near two steps before, at most.
+    """
+    own, order = W.over([unit]), W.over([unit], [pos])
+    positive = F.greatest(F.coalesce(wear, F.lit(0.0)), F.lit(0.0))
+    marked = rows.withColumns({"_onset": F.min(F.when(F.col(pos) > F.col(onset), F.col(pos))).over(own), "_total": F.sum(positive).over(order)})
+    worth = F.col(pos).between(F.greatest(F.col("_onset") - 1, F.lit(1)), F.col("_onset") + reach) & (F.col(wear) > costly)
+    best = marked.withColumn("_best", F.min(F.when(worth, F.col(pos))).over(own))
+    at_best = F.max(F.when(F.col(pos) == F.col("_best"), F.col("_total")))
+    units = best.groupBy(unit, *sequence).agg(
+        F.first("_onset").alias("onset_pos"), F.first("_best").alias("best_pos"), F.min(F.when(F.col(pos) == F.col("_best"), F.col(step))).alias("best_step"), F.max(pos).alias("length"), F.min(step).alias("_from"), F.max(step).alias("_to"), F.coalesce(F.max("_total") - at_best, F.lit(0.0)).alias("_cost"), F.min(F.when(F.col(gap) < near, F.col(step))).alias("threat_step"),
+    )
+    ended = J.interval_join(units.select(unit, *sequence, "_from", "_to"), stops, sequence, "at", "_from", "_to").select(unit, F.col("at").alias("actual_step"))
+    found = units.join(ended, unit, "left")
+    late = F.col("actual_step") - F.col("best_step")
+    forced = F.col("threat_step").isNotNull() & (F.col("actual_step") >= F.col("threat_step") - 2)
+    verdict = F.when(F.col("actual_step").isNull(), None).when(F.col("best_step").isNull(), "unknown").when(F.abs(late) <= 1, "optimal").when(late > 1, "overran").when(forced, "undercut_forced").otherwise("early")
+    sure = F.when(F.col("onset_pos").isNull(), 0.0).when(F.col("best_pos").isNull(), 0.1).otherwise(0.8)
+    return found.select(unit, *sequence, "onset_pos", "length", "best_pos", "best_step", "actual_step", late.alias("overrun"), F.when(late > 0, F.col("_cost")).otherwise(0.0).alias("cost"), sure.alias("confidence"), "threat_step", verdict.alias("verdict"))
+
+
+@query("m29_stop_value", f"""WITH e AS (SELECT * FROM {SEVEN}), o AS (SELECT *, min(CASE WHEN pos > onset THEN pos END) OVER (PARTITION BY unit_id) AS onset_pos FROM e), b AS (SELECT *, min(CASE WHEN pos BETWEEN greatest(onset_pos - 1, 1) AND onset_pos + 10 AND wear > 0.5 THEN pos END) OVER (PARTITION BY unit_id) AS best_pos FROM o),
+u AS (SELECT unit_id, entity, context, any_value(onset_pos) AS onset_pos, any_value(best_pos) AS best_pos, min(CASE WHEN pos = best_pos THEN step END) AS best_step, max(pos) AS length, min(step) AS a, max(step) AS z, coalesce(sum(CASE WHEN pos > best_pos THEN greatest(coalesce(wear, 0), 0) END), 0) AS cost, min(CASE WHEN value < 3 THEN step END) AS threat_step FROM b GROUP BY ALL),
+j AS (SELECT u.*, p.step AS actual_step FROM u LEFT JOIN (SELECT entity, context, step FROM e WHERE event_type = 'signup') p ON p.entity = u.entity AND p.context = u.context AND p.step BETWEEN a AND z + 1)
+SELECT unit_id, entity, context, onset_pos, length, best_pos, best_step, actual_step, actual_step - best_step AS overrun, CASE WHEN actual_step > best_step THEN cost ELSE 0.0 END AS cost, CASE WHEN onset_pos IS NULL THEN 0.0 WHEN best_pos IS NULL THEN 0.1 ELSE 0.8 END AS confidence, threat_step,
+CASE WHEN actual_step IS NULL THEN NULL WHEN best_step IS NULL THEN 'unknown' WHEN abs(actual_step - best_step) <= 1 THEN 'optimal' WHEN actual_step > best_step THEN 'overran' WHEN threat_step IS NOT NULL AND actual_step >= threat_step - 2 THEN 'undercut_forced' ELSE 'early' END AS verdict FROM j""", "cost confidence")
+def m29(spark, d):
+    rows = panel(spark, d)
+    stops = rows.where("event_type = 'signup'").select("entity", "context", F.col("step").alias("at"))
+    return strategy_value(terms(rows, parameters(rows)), stops, "unit_id", ["entity", "context"], pos="pos", step="step", wear="wear", onset="onset", gap="value", near=3.0)
