@@ -2,8 +2,8 @@
 
 A text that resembles good text compresses better under the dictionary built from good text. The difference of the two
 compressed sizes over the size of the text goes through a logistic calibration that is fitted on other labelled rows than
-the dictionaries. Scored texts are compressed whole; the dictionaries are trained on the first snippet_bytes of their
-texts, since the trainer wants many short samples (where it finds too few, the samples themselves are the dictionary).
+the dictionaries. Scored texts are compressed whole; the dictionaries are trained on their texts whole, cut into pieces of
+piece_bytes, since the trainer wants many short samples (where it finds too few, the samples themselves are the dictionary).
 
 Defined cases: null texts count as empty; an empty text, and every text when one class has no labelled row, gets the
 share of class 1 among the labels (0.5 without labels); a document labelled twice takes the larger label; columns of
@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 LEVEL = 3
 
@@ -74,8 +74,11 @@ def one_text(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", per_class: int = 2000, dictionary_bytes: int = 112 << 10, snippet_bytes: int = 1000) -> CompressionModel:
-    """Fit on at most per_class labelled documents of each class, those first by hash of doc_id, in one task."""
+def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", per_class: int = 2000, dictionary_bytes: int = 112 << 10, piece_bytes: int = 1000, class_bytes: int = 32 << 20) -> CompressionModel:
+    """Fit on at most per_class labelled documents of each class, those first by hash of doc_id, in one task.
+
+    Of those, as many as begin within the first class_bytes of their class's texts, so that the task's memory is bounded.
+    """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
@@ -83,13 +86,15 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", per_
         return CompressionModel(prior)
     order = F.xxhash64("doc_id")
     chosen = marked.where("y = 0").orderBy(order, "doc_id").limit(per_class).unionByName(marked.where("y = 1").orderBy(order, "doc_id").limit(per_class))
-    sample = one_text(documents, chosen).select("y", order.alias("turn"), "text")
+    sample = one_text(documents, chosen).select("y", order.alias("turn"), "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("y").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")  # per_class rows at most
+    sample = sample.withColumn("before", before).where(F.col("before") < class_bytes).select("y", "turn", "text")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((t, y, (s or "").encode()) for b in batches for y, t, s in zip(*(b.column(c).to_pylist() for c in ("y", "turn", "text")), strict=True))
         rows = [r for r in rows if r[2]]
         first = rows[::2]
-        model = CompressionModel(prior, *(_dictionary([s[:snippet_bytes] for _, y, s in first if y == k], dictionary_bytes) for k in (1, 0)))
+        model = CompressionModel(prior, *(_dictionary([s[at : at + piece_bytes] for _, y, s in first if y == k for at in range(0, len(s), piece_bytes)], dictionary_bytes) for k in (1, 0)))
         if model.good and model.bad:
             tools = _compressors(model)
             rest = rows[1::2]

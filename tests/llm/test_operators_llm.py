@@ -133,10 +133,11 @@ def test_pieces_equal_whole_texts():
 def test_token_file_reads_one_frame_and_checks_it(tmp_path):
     uri = f"file://{tmp_path}/a.lwtok"
     out = token_files.FileWriter(uri)
-    for n in range(5):
-        out.add(n, np.arange(n * 10, dtype="<u4").tobytes())
+    for n, key in enumerate(["a", None, "c", 'd"\n', "a"]):
+        out.add(key, np.arange(n * 10, dtype="<u4").tobytes())
     out.close()
     reader = token_files.FileReader(uri)
+    assert reader.find("a") == [0, 4] and reader.find(None) == [1] and reader.find('d"\n') == [3] and reader.find("x") == []
     assert len(reader) == 5 and reader.read(3) == np.arange(30, dtype="<u4").tobytes()
     raw = bytearray((tmp_path / "a.lwtok").read_bytes())
     entry = reader.entries[3]
@@ -147,6 +148,17 @@ def test_token_file_reads_one_frame_and_checks_it(tmp_path):
         token_files.FileReader(uri).read(3)
 
 
+def test_a_document_is_found_by_its_id(spark, docs):
+    """The manifest names the one shard, the shard's table the frame; every shard's keys lie within its first and last."""
+    manifest = written(token_files.write_token_files(docs, fresh_path(spark, "t"), JSON, end_id=2, shard_bytes=150), "m").collect()
+    assert len(manifest) > 3
+    tool = token_files.PieceTokenizer(JSON)
+    for doc_id, text in ((1, ROWS[0][1]), (9, ROWS[9][1]), (None, ROWS[10][1])):
+        shards = [m for m in manifest if (m["first"] is None if doc_id is None else (m["first"] is None or m["first"] <= doc_id) and m["last"] is not None and doc_id <= m["last"])]
+        found = [token_files.FileReader(m["uri"]).read(k) for m in shards for k in token_files.FileReader(m["uri"]).find(doc_id)]
+        assert [np.frombuffer(f, dtype="<u4").tolist() for f in found] == [tool.encode(*arrow_text([text]))[0].tolist() + [2]]
+
+
 def test_mixing_against_sql(spark):
     check(spark, mixing.op3_mixing, mixing.OP3_SQL)
 
@@ -186,6 +198,21 @@ def test_warc_awkward_rows(spark, version):
     assert len(records) == len(found) and all(records[r["refers_to_record"]] == r["refers_to"] for r in found if r["record_type"] == "revisit")
 
 
+def test_a_wrong_payload_header_is_refused(spark, tmp_path):
+    """A WARC whose payload is not what its header says is not read."""
+    import gzip
+
+    pages = warc.with_revisits(spark.createDataFrame([("1", "http://a", "<p>x</p>")], "page_id string, url string, html string"))
+    uri = written(warc.convert_arc(written(warc.write_arc(pages, fresh_path(spark, "a")), "a"), fresh_path(spark, "w")), "w").first()["uri"]
+    fs, path = token_files.open_at(uri)
+    raw = gzip.decompress(fs.open_input_file(path).read())
+    for old, new in ((b"X-Payload-Length: 8", b"X-Payload-Length: 9"), (b"WARC-Payload-Digest: sha1:", b"WARC-Payload-Digest: sha1:A")):
+        assert old in raw
+        (tmp_path / "bad.warc.gz").write_bytes(gzip.compress(raw.replace(old, new)))
+        with pytest.raises(Exception, match="header names"):
+            warc.read_warcs(spark.createDataFrame([(f"file://{tmp_path}/bad.warc.gz",)], "uri string")).collect()
+
+
 def test_revisits_keep_to_the_least_size_and_have_one_response(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (3, "u", "abc"), (4, "u", "abc"), (None, "u", "z"), (None, "u", "z")], "page_id long, url string, html string")
     found = warc.with_revisits(pages, min_bytes=3).collect()

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,7 +154,9 @@ def edited(rng, words, share):
 
 def test_minhash_equals_all_pairs_where_rows_are_alike(spark, monkeypatch):
     """Chains of edits, families of copies edited at many places, a passage in a third of the rows, exact copies; small tiles."""
-    monkeypatch.setattr(minhash, "TILE", 8)
+    monkeypatch.setattr(minhash, "TILE_ROWS", 8)
+    monkeypatch.setattr(minhash, "AT_ONCE", 2000)
+    monkeypatch.setattr(minhash, "BUCKETS", 16)
     rng = random.Random(7)
     words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     texts, passage = [], words(30)
@@ -173,6 +176,23 @@ def test_minhash_equals_all_pairs_where_rows_are_alike(spark, monkeypatch):
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter(plain_groups(rows))
 
 
+def test_marks_never_bound_below_what_is_common(monkeypatch):
+    """Of sets of all sizes, with marks of several lengths, small blocks and large: the room is never less than the intersection."""
+    rng = np.random.default_rng(8)
+    make = lambda n: [np.unique(np.concatenate([rng.integers(0, 900, rng.integers(0, 700)), rng.integers(0, 10**6, rng.integers(1, 500))])) for _ in range(n)]
+    a, b = make(30), make(20)
+    a[3] = a[4] = b[5]
+    for at_once in (1 << 21, 10):
+        monkeypatch.setattr(minhash, "AT_ONCE", at_once)
+        for x in a:
+            for y in b:
+                p, q = (np.frombuffer(minhash.mark_of(s), dtype=np.uint8).reshape(1, -1) for s in (x, y))
+                least = min(p.shape[1], q.shape[1])
+                found = minhash.room(minhash.fold(p, least), minhash.fold(q, least))[0, 0]
+                assert len(np.intersect1d(x, y)) <= found <= min(len(x), len(y))
+    assert minhash.mark_of(np.arange(256)) == bytes([1] * 256) and len(minhash.mark_of(np.arange(257))) == 512
+
+
 def test_min_max_values_agree_as_often_as_sets_are_similar():
     """Minima and maxima are both unbiased; agreement over many pairs of similarity 0.6 stays near 0.6."""
     rng = np.random.default_rng(1)
