@@ -221,11 +221,17 @@ def convert_arc(arcs: DataFrame, folder: str) -> DataFrame:
 
 
 def read_warcs(files: DataFrame) -> DataFrame:
-    """A row per record of the WARC files."""
+    """A row per record of the WARC files; sizes and digests of responses are those of the payloads that were read."""
 
     def row(f: dict[str, str], block: bytes) -> dict:
         page, target = f.get("X-Page-ID"), f.get("X-Refers-To-Page-ID")
-        return {"page_id": None if page is None else unquote(page), "payload_bytes": int(f["X-Payload-Length"]), "payload_digest": f["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": f["WARC-Type"], "refers_to": None if target is None else unquote(target), "record_id": f["WARC-Record-ID"], "refers_to_record": f.get("WARC-Refers-To"), "block_bytes": len(block)}
+        size, own = int(f["X-Payload-Length"]), f["WARC-Payload-Digest"].removeprefix("sha1:")
+        if f["WARC-Type"] == "response":  # a revisit's payload lies in the response it refers to
+            payload = block.partition(b"\r\n\r\n")[2]
+            if (size, own) != (len(payload), digest(payload)):
+                raise ValueError(f"record {f['WARC-Record-ID']}: the payload is not the one that its header names")
+            size, own = len(payload), digest(payload)
+        return {"page_id": None if page is None else unquote(page), "payload_bytes": size, "payload_digest": own, "record_type": f["WARC-Type"], "refers_to": None if target is None else unquote(target), "record_id": f["WARC-Record-ID"], "refers_to_record": f.get("WARC-Refers-To"), "block_bytes": len(block)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
