@@ -2,10 +2,13 @@
 
 File layout, all integers little-endian:
   a frame per document, in ascending order: a zstandard frame of the ids as unsigned 32-bit integers;
-  the seek table: per frame uint64 document number in the whole set, uint64 offset of the frame, uint32 its compressed
-  size, uint32 its number of ids, uint32 crc32 of the uncompressed ids;
-  the footer: uint64 number of frames, uint32 crc32 of the seek table, 8 bytes magic "LWTOKS01".
-A reader takes the footer, then the table, then only the frames it is asked for, and checks each against its checksum.
+  a frame of the documents' keys: a JSON list of strings, null where a document has none;
+  the seek table: per document uint64 offset of its frame, uint32 its compressed size, uint32 its number of ids, uint32 crc32
+  of the uncompressed ids;
+  the footer: uint64 number of documents, uint32 size of the frame of keys, uint32 crc32 of that frame and the seek table,
+  8 bytes magic "LWTOKS02".
+A reader takes the footer, then keys and table, then only the frames it is asked for, by place or by key, and checks each
+against its checksum. The manifest names each shard's first and last key, so the shard of a key is found without opening any.
 
 Documents are range-sorted by id, a shard being a part of a sorted partition. A shard file is written under a name of
 its own per attempt to the shared folder, and only the files that the manifest (a table) lists are ever read, so lost
@@ -18,6 +21,7 @@ is that token, as the library has it; columns beside the id and the text are not
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -36,9 +40,9 @@ from lapwise.llm.pieces import SPACES, PieceTable, gather
 from lapwise.llm.scratch import fresh_path, written
 from lapwise.llm.workers import held
 
-MAGIC = b"LWTOKS01"
-ENTRY = np.dtype([("number", "<u8"), ("offset", "<u8"), ("size", "<u4"), ("n", "<u4"), ("crc", "<u4")])
-FOOTER = struct.Struct("<QI8s")
+MAGIC = b"LWTOKS02"
+ENTRY = np.dtype([("offset", "<u8"), ("size", "<u4"), ("n", "<u4"), ("crc", "<u4")])
+FOOTER = struct.Struct("<QII8s")
 SHARD_BYTES = 32 << 20
 WORDS_KEPT = 1_000_000
 BLOCK_BYTES = 4 << 20
@@ -58,18 +62,20 @@ class FileWriter:
         self.out = fs.open_output_stream(path, compression=None)
         self.pack = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.entries: list[tuple] = []
+        self.keys: list[str | None] = []
         self.at = 0
 
-    def add(self, number: int, ids: bytes) -> None:
+    def add(self, key: object, ids: bytes) -> None:
         frame = self.pack.compress(ids)
-        self.entries.append((number, self.at, len(frame), len(ids) // 4, zlib.crc32(ids)))
+        self.keys.append(None if key is None else str(key))
+        self.entries.append((self.at, len(frame), len(ids) // 4, zlib.crc32(ids)))
         self.out.write(frame)
         self.at += len(frame)
 
     def close(self) -> None:
-        table = np.array(self.entries, dtype=ENTRY).tobytes()
-        self.out.write(table)
-        self.out.write(FOOTER.pack(len(self.entries), zlib.crc32(table), MAGIC))
+        keys, table = self.pack.compress(json.dumps(self.keys).encode()), np.array(self.entries, dtype=ENTRY).tobytes()
+        self.out.write(keys + table)
+        self.out.write(FOOTER.pack(len(self.entries), len(keys), zlib.crc32(keys + table), MAGIC))
         self.out.close()
 
 
@@ -80,18 +86,24 @@ class FileReader:
         fs, path = open_at(uri)
         self.source = fs.open_input_file(path)
         size = self.source.size()
-        n, crc, magic = FOOTER.unpack(self.source.read_at(FOOTER.size, size - FOOTER.size))
+        n, key_size, crc, magic = FOOTER.unpack(self.source.read_at(FOOTER.size, size - FOOTER.size))
         if magic != MAGIC:
             raise ValueError(f"{uri} is not a token file")
-        table = self.source.read_at(n * ENTRY.itemsize, size - FOOTER.size - n * ENTRY.itemsize)
-        if zlib.crc32(table) != crc:
+        tail = key_size + n * ENTRY.itemsize
+        both = self.source.read_at(tail, size - FOOTER.size - tail)
+        if zlib.crc32(both) != crc:
             raise ValueError(f"{uri}: the seek table's checksum is wrong")
-        self.entries = np.frombuffer(table, dtype=ENTRY)
         self.unpack = zstandard.ZstdDecompressor()
+        self.keys: list[str | None] = json.loads(self.unpack.decompress(both[:key_size]))
+        self.entries = np.frombuffer(both[key_size:], dtype=ENTRY)
 
     def __len__(self) -> int:
         return len(self.entries)
 
+    def find(self, key: object) -> list[int]:
+        """Places of the documents of that key."""
+        return [k for k, own in enumerate(self.keys) if own == (None if key is None else str(key))]
+
     def read(self, index: int) -> bytes:
         """The ids of one document; only its frame is read and decompressed."""
         entry = self.entries[index]
@@ -165,7 +177,7 @@ class PieceTokenizer:
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes docs, in ascending order of key, and returns the manifest: part, shard, uri, documents, tokens.
+    """Writes docs, in ascending order of key, and returns the manifest: part, shard, uri, documents, tokens, first and last (key).
 
     Range partitions keep equal keys together; sampling sets their bounds, so no key order passes through one task.
     """
@@ -175,14 +187,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = held(f"tokenizer {tokenizer}", lambda: PieceTokenizer(tokenizer))
-        attempt, shard, number = uuid.uuid4().hex, 0, 0
-        out, uri, tokens, ids_of, rows = None, "", 0, [], []
+        attempt, shard = uuid.uuid4().hex, 0
+        out, uri, tokens, first, rows = None, "", 0, None, []
 
         def closed() -> dict:
             out.close()
-            return {"part": part_no, "shard": shard, "uri": uri, "documents": len(ids_of), "tokens": tokens, "ids": list(ids_of)}
+            return {"part": part_no, "shard": shard, "uri": uri, "documents": len(out.entries), "tokens": tokens, "first": first, "last": doc}
 
-        part_no = 0
+        part_no, doc = 0, None
         for part, data, offsets in tb.text_blocks(batches, "text", BLOCK_BYTES):
             part_no = part.column("part")[0].as_py()
             flat, cuts = tool.encode(data, offsets)
@@ -190,35 +202,33 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
             for doc, begin, stop in zip(part.column("id").to_pylist(), cuts[:-1], cuts[1:], strict=True):
                 if out is None:
                     uri = f"{folder}/part-{part_no:06d}-{shard:05d}-{attempt}.lwtok"
-                    out, tokens, ids_of = FileWriter(uri), 0, []
-                out.add(number, raw[begin:stop] + end)
-                number += 1
+                    out, tokens, first = FileWriter(uri), 0, doc
+                out.add(doc, raw[begin:stop] + end)
                 tokens += (stop - begin) // 4 + 1
-                ids_of.append(doc)
                 if out.at >= shard_bytes:
                     rows.append(closed())
                     out, shard = None, shard + 1
         if out is not None:
             rows.append(closed())
         for row in rows:
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("uri", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("ids", pa.list_(part.schema.field("id").type))]))
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("uri", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("first", part.schema.field("id").type), ("last", part.schema.field("id").type)]))
 
-    return ordered.mapInArrow(run, f"part int, shard int, uri string, documents long, tokens long, ids array<{kind}>")
+    return ordered.mapInArrow(run, f"part int, shard int, uri string, documents long, tokens long, first {kind}, last {kind}")
 
 
 def read_token_files(manifest: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """A row per document, from the files: key, start, and its ids as bytes; each shard is read on its own."""
+    """A row per document, from the files alone: key, start, and its ids as bytes; each shard is read on its own."""
     totals = manifest.groupBy("part").agg(F.sum("tokens").alias("part_tokens"))
     parts = totals.withColumn("part_start", F.coalesce(F.sum("part_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("part_tokens")  # a row per partition
     inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = manifest.withColumn("inside", inside).join(parts, "part").select("uri", "ids", (F.col("part_start") + F.col("inside")).alias("start"))
-    kind = shards.schema["ids"].dataType.elementType.simpleString()
+    shards = manifest.withColumn("inside", inside).join(parts, "part").select("uri", (F.col("part_start") + F.col("inside")).alias("start"))
+    kind = manifest.schema["first"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 reader, start = FileReader(batch.column("uri")[i].as_py()), batch.column("start")[i].as_py()
-                docs = batch.column("ids")[i].values
+                docs = pa.array(reader.keys, pa.string())
                 for at in range(0, len(reader), 1000):
                     frames = [reader.read(k) for k in range(at, min(at + 1000, len(reader)))]
                     sizes = np.array([len(f) // 4 for f in frames], dtype=np.int64)
@@ -227,7 +237,8 @@ def read_token_files(manifest: DataFrame, *, key: str = "doc_id") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([docs.slice(at, len(frames)), pa.array(starts), pa.array(frames, pa.binary())], names=[key, "start", "ids"])
 
     spread = shards.repartition(max(1, manifest.count()), "uri")  # a number is kept: as many tasks as shards
-    return spread.mapInArrow(run, f"{key} {kind}, start long, ids binary")
+    found = spread.mapInArrow(run, f"`{key}` string, start long, ids binary")
+    return found.withColumn(key, F.col(f"`{key}`").cast(kind))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
