@@ -7,12 +7,16 @@ the maxima of ROWS permutations, so that the values of a band are independent; t
 not, but hinder each other, which only helps. Two sets of similarity 0.8 miss all BANDS bands with a probability of
 (1 - 0.8**ROWS)**BANDS, under 1e-10.
 
-Equal sets (a digest of 128 bits) are one node. Candidates are verified on the whole sets (similar_sets.similar), and only
-verified pairs link. Each node first meets one centre of each of its buckets, in STARS rounds with different centres; the
-components of the links found are formed. Then only buckets with nodes of several components are left: their nodes are
-dealt into tiles, pairs of tiles are compared in numpy by the bytes of whole signatures, and pairs of different components
-that agree in at least LEAST_AGREE of the values are verified in turn. A pair of one component cannot change the
-components, and 0.8 gives so few agreements with a probability under 1e-11, so thinning loses no link.
+Equal sets (a digest of 128 bits) are one node. Each node first meets the first node (in one order of all) of each of its
+buckets; those pairs are verified on the whole sets (similar_sets.similar), and the components of the links are formed. Then
+only buckets with nodes of several components are left. Their nodes are dealt into tiles, and a task compares the pairs of two
+tiles by sketches: how many shingles of a set fall into each of about as many places as it has shingles. The smaller counts
+of two sketches add up to at least what the sets have in common, so a pair without room for the similarity is dropped for
+good, in arithmetic, not in rows; what a sketch leaves (few pairs below 0.75) is verified on the whole sets in turn. A pair
+of one component cannot change the components, so nothing is lost by leaving it out. In ROUNDS rounds, each on a few bands, a
+tile first puts out only its best pairs that join its nodes (a spanning forest by the room they have), which after
+verification leave few components even of a large group without a centre that all are like; then all pairs of all bands
+that still lie in two components follow.
 
 Defined cases: a text of fewer words than a shingle is one shingle; one without words (null, empty, white space) has no
 shingle and links with nothing, not even its like; a null id takes part by its text but is never a component's id unless
@@ -30,14 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapwise.llm import textblocks as tb
-from lapwise.llm.components import components
+from lapwise.llm.components import components, forest
 from lapwise.llm.scratch import temporary, written
-from lapwise.llm.similar_sets import shingle_sets, similar, sketch
+from lapwise.llm.similar_sets import BUCKETS, DEN, NUM, shingle_sets, similar, sketch
 
-PERMUTATIONS, ROWS, STARS = 88, 4, 3
+PERMUTATIONS, ROWS = 88, 4
 BANDS = 2 * PERMUTATIONS // ROWS
-LEAST_AGREE = 96
-TILE, ROWS_AT_ONCE = 1024, 64
+TILE_ROWS, TILE_BYTES = 1024, 1 << 20
+PLACES, AT_ONCE, ROWS_AT_ONCE = 1 << 16, 1 << 21, 64
+ROUNDS, BANDS_A_ROUND = 2, 4
 _MAKE = np.random.default_rng(20240229)
 #: A permutation of 64-bit hashes: an exclusive-or, then a product with an odd number.
 TURNS = _MAKE.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
@@ -65,63 +70,109 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def mark_of(shingles: np.ndarray) -> bytes | None:
+    """The number of shingles at each place, a byte each: at least as many places as shingles, a power of two; null where a byte is too small."""
+    places = min(PLACES, BUCKETS << max(0, (len(shingles) - 1) // BUCKETS).bit_length())
+    counts = np.bincount(shingles & (places - 1), minlength=places)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 def signed(texts: DataFrame, words: int) -> DataFrame:
-    """row, digest, size, sketch, keys and signature bytes of every row (unique) and text."""
+    """row, digest, size, sketch, mark and band keys of every row (unique) and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.text_blocks(batches, "text"):
             sets = shingle_sets(data, offsets, words)
             full = [k for k, s in enumerate(sets) if len(s)]
-            keys, marks = [None] * len(sets), [None] * len(sets)
+            keys: list[np.ndarray | None] = [None] * len(sets)
             if full:
-                values = signatures([sets[k] for k in full])
-                low = np.concatenate([values[:, :PERMUTATIONS] >> np.uint64(8), values[:, PERMUTATIONS:] >> np.uint64(8)], axis=1).astype(np.uint8)
-                for k, own, mark in zip(full, band_keys(values), low, strict=True):
-                    keys[k], marks[k] = own, mark.tobytes()
+                for k, own in zip(full, band_keys(signatures([sets[k] for k in full])), strict=True):
+                    keys[k] = own
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                names=["row", "digest", "size", "sketch", "keys", "mark"],
+                [part.column("row"), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(map(mark_of, sets), pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["row", "digest", "size", "sketch", "mark", "keys"],
             )
 
-    return texts.select("row", "text").mapInArrow(run, "row long, digest binary, size long, sketch binary, keys array<long>, mark binary")
+    return texts.select("row", "text").mapInArrow(run, "row long, digest binary, size long, sketch binary, mark binary, keys array<long>")
 
 
-def agreeing(left: np.ndarray, right: np.ndarray, left_group: np.ndarray, right_group: np.ndarray, same: bool, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of pairs of different groups whose signature bytes agree in at least so many places."""
-    found = []
+def room(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """At least the number of elements that each set of the left and each of the right have in common, by their marks."""
+    if len(left) * len(right) * left.shape[1] <= AT_ONCE:
+        return np.minimum(left[:, None, :], right[None, :, :]).sum(axis=2, dtype=np.int64)
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
     for at in range(0, len(left), ROWS_AT_ONCE):
         part = left[at : at + ROWS_AT_ONCE]
-        agree = np.zeros((len(part), len(right)), dtype=np.uint8)
-        for k in range(part.shape[1]):
-            agree += part[:, k, None] == right[None, :, k]
-        a, b = np.nonzero((agree >= least) & (left_group[at : at + ROWS_AT_ONCE, None] != right_group[None, :]))
-        if same:
-            a, b = a[a + at < b], b[a + at < b]
-        found.append((a + at, b))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        total = np.zeros((len(part), len(right)), dtype=np.int32)
+        for k in range(left.shape[1]):
+            total += np.minimum(part[:, k, None], right[None, :, k])
+        out[at : at + ROWS_AT_ONCE] = total
+    return out
 
 
-def crossing(members: DataFrame) -> DataFrame:
-    """a, b: pairs of nodes of one bucket and different groups that agree well. members: key, row, c, mark.
+def marks_of(members: pa.StructArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of places (0: no mark): the members' indices and their marks as a matrix."""
+    marks = members.field("mark").to_pylist()
+    sizes = np.array([len(m or b"") for m in marks])
+    return {int(p): (at := np.flatnonzero(sizes == p), np.frombuffer(b"".join(marks[k] or b"" for k in at), dtype=np.uint8).reshape(len(at), p)) for p in np.unique(sizes)}
 
-    A large bucket is dealt into tiles by hash, and each pair of its tiles is a row: no task holds a bucket.
+
+def fold(marks: np.ndarray, places: int) -> np.ndarray:
+    """Marks on fewer places: each place takes those that are equal to it modulo the new number, as far as a count goes."""
+    return np.minimum(marks.reshape(len(marks), -1, places).sum(axis=1, dtype=np.int64), 65535).astype(np.uint16)
+
+
+def close_pairs(left: pa.StructArray, right: pa.StructArray | None, thin: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of different groups whose marks leave room for the similarity; thin: only the roomiest that join the same nodes."""
+    other = left if right is None else right
+    found = []
+    sizes, groups = zip(*((x.field("size").to_numpy(), x.field("c").to_numpy()) for x in (left, other)), strict=True)
+    for p, (rows, marks) in marks_of(left).items():
+        for q, (cols, other_marks) in marks_of(other).items():
+            both = sizes[0][rows][:, None] + sizes[1][cols][None, :]
+            near = groups[0][rows][:, None] != groups[1][cols][None, :]
+            near &= DEN * np.minimum(sizes[0][rows][:, None], sizes[1][cols][None, :]) >= NUM * np.maximum(sizes[0][rows][:, None], sizes[1][cols][None, :])
+            free = np.zeros(near.shape)
+            if p and q and near.any():
+                least = min(p, q)
+                bound = room(fold(marks, least) if p > least else marks, fold(other_marks, least) if q > least else other_marks)
+                near &= (NUM + DEN) * bound >= NUM * both
+                free = bound / both
+            a, b = np.nonzero(near)
+            found.append((rows[a], cols[b], free[a, b]))
+    a, b, free = (np.concatenate(x) for x in zip(*found, strict=True))
+    if right is None:
+        a, b, free = a[a < b], b[a < b], free[a < b]
+    if thin:
+        use = forest(len(left), a, b, -free)
+        a, b = a[use], b[use]
+    return left.field("row").to_numpy()[a], other.field("row").to_numpy()[b]
+
+
+def crossing(members: DataFrame, *, thin: bool = False) -> DataFrame:
+    """a, b: pairs of nodes of one bucket and different groups that can be similar enough. members: key, row, c, size, mark.
+
+    A large bucket is dealt into tiles by hash, and each pair of its tiles is a row: no task holds a bucket. thin: of each
+    tile's own pairs those that join its nodes, and none between tiles.
     """
-    sizes = written(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "bucket-sizes")
+    wanted = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum(F.coalesce(F.length("mark"), F.lit(0))) / TILE_BYTES))
+    sizes = written(members.groupBy("key").agg(wanted.cast("int").alias("tiles")), "bucket-sizes")
     placed = members.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
-    tiles = written(placed.groupBy("key", "tile").agg(F.collect_list(F.struct("row", "c", "mark")).alias("members")), "bucket-tiles")
+    tiles = written(placed.groupBy("key", "tile").agg(F.collect_list(F.struct("row", "c", "size", "mark")).alias("members")), "bucket-tiles")
     near = sizes.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("other", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)))
+    own = tiles.select(F.col("members").alias("left"), F.lit(None).cast(tiles.schema["members"].dataType).alias("right"))
     left = tiles.select("key", "tile", F.col("members").alias("left"))
     right = tiles.select("key", F.col("tile").alias("other"), F.col("members").alias("right"))
-    pairs = near.select("key", "tile", "other").join(left, ["key", "tile"]).join(right, ["key", "other"]).select((F.col("tile") == F.col("other")).alias("same"), "left", "right")
+    pairs = own if thin else own.unionByName(near.where("other > tile").select("key", "tile", "other").join(left, ["key", "tile"]).join(right, ["key", "other"]).select("left", "right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = lambda x: (x.field("row").to_numpy(), x.field("c").to_numpy(), np.frombuffer(b"".join(x.field("mark").to_pylist()), dtype=np.uint8).reshape(len(x), -1))
         for batch in batches:
-            for i, same in enumerate(batch.column("same").to_pylist()):
-                (rows, groups, marks), (other_rows, other_groups, other_marks) = side(batch.column("left")[i].values), side(batch.column("right")[i].values)
-                a, b = agreeing(marks, other_marks, groups, other_groups, same, LEAST_AGREE)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rows[a], other_rows[b])), pa.array(np.maximum(rows[a], other_rows[b]))], names=["a", "b"])
+            for i in range(batch.num_rows):
+                other = batch.column("right")[i]
+                a, b = close_pairs(batch.column("left")[i].values, other.values if other.is_valid else None, thin)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
@@ -131,20 +182,22 @@ def minhash_groups(texts: DataFrame, *, words: int = 4) -> DataFrame:
     found = written(signed(texts, words), "signatures", lasting=True)
     heads = written(found.where("size > 0").groupBy("digest").agg(F.min("row").alias("head")), "equal-sets", lasting=True)
     nodes = found.join(heads, F.col("row") == F.col("head"), "left_semi")
-    marks = nodes.select("row", F.explode("keys").alias("key"))
-    shared = marks.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("row", F.lit(k)).alias("turn"), "row")).alias(f"f{k}") for k in range(STARS)], F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = written(shared.select("key", F.array_distinct(F.array(*[F.col(f"f{k}.row") for k in range(STARS)])).alias("centres")), "bucket-centres")
+    marks = nodes.select("row", F.posexplode("keys").alias("band", "key"))
+    turn = F.struct(F.xxhash64("row").alias("turn"), "row")
+    firsts = written(marks.groupBy("key").agg(F.min(turn).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("f.row").alias("centre")), "bucket-centres")
     met = written(marks.join(firsts, "key"), "bucket-rows")
-    stars = met.select("row", F.explode("centres").alias("centre")).where("row <> centre")
-    stars = written(stars.select(F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b")).distinct(), "star-pairs")
+    stars = written(met.where("row <> centre").select(F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b")).distinct(), "star-pairs")
     sketches = found.select("row", "sketch")
-    linked = written(similar(texts, stars, sketches, words), "star-links")
-    groups = written(components(linked), "star-components")
-    placed = written(met.select("key", "row").join(groups, F.col("row") == F.col("node"), "left").select("key", "row", F.coalesce("component", "row").alias("c")), "placed-rows")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    members = placed.join(mixed, "key").join(nodes.select("row", "mark"), "row")
-    apart = written(crossing(members).join(stars, ["a", "b"], "left_anti"), "other-pairs")
-    groups = components(linked.unionByName(similar(texts, apart, sketches, words)))
+    linked, seen = written(similar(texts, stars, sketches, words), "star-links"), stars
+    for step in range(ROUNDS + 1):
+        groups = written(components(linked), "node-components")
+        bands = met if step == ROUNDS else met.where(F.col("band").between(step * BANDS_A_ROUND, (step + 1) * BANDS_A_ROUND - 1))
+        placed = written(bands.select("key", "row").join(groups, F.col("row") == F.col("node"), "left").select("key", "row", F.coalesce("component", "row").alias("c")), "placed-rows")
+        mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        members = placed.join(mixed, "key").join(nodes.select("row", "size", "mark"), "row")
+        apart = written(crossing(members, thin=step < ROUNDS).join(seen, ["a", "b"], "left_anti"), "other-pairs")
+        linked, seen = written(linked.unionByName(similar(texts, apart, sketches, words)), "links-so-far"), seen.unionByName(apart)
+    groups = components(linked)
     known = heads.join(groups, F.col("head") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "head").alias("component"))
     return found.join(known, (F.col("digest") == F.col("d")) & (F.col("size") > 0), "left").select("row", "size", F.coalesce("component", "row").alias("component"))
 

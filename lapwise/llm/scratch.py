@@ -50,3 +50,15 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
         _OPEN.paths = before
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 32) -> Iterator[None]:
+    """Arrow batches of few rows for the jobs that run inside, where a row is a block or a tile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
