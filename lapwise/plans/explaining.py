@@ -68,7 +68,7 @@ SELECT place, compound, context, greatest(5.0, least(o, 100.0)) AS onset, CASE W
 CASE source WHEN 'cell' THEN 'fitted from ' || n_units || ' units' WHEN 'pool' THEN 'only ' || n_units || ' units; used ' || pool_units || ' of the pool' ELSE 'only ' || n_units || ' units; used defaults' END AS notes FROM q)"""
 
 
-@query("m41_fitted_parameters", f"SELECT * FROM {PARAMETERS}", "onset severity gradient")
+@query("m41_fitted_parameters", f"SELECT * FROM {PARAMETERS}", "onset severity gradient", digits=4)
 def m41(spark, d):
     return parameters(panel(spark, d))
 
@@ -112,7 +112,7 @@ i AS (SELECT a.grp, a.context, n * (m - w) / (n + 5.0) AS interaction FROM (SELE
 SELECT l.*, effect, effect_se, effect_n, interaction, lft - coalesce(effect, 0) - coalesce(interaction, 0) AS residual FROM l LEFT JOIN g ON g.context = l.context AND g.grp = l.grp LEFT JOIN i ON i.context = l.context AND i.grp = l.grp)"""
 
 
-@query("m21_seven_terms", f"SELECT event_id, delta, {', '.join(TERMS)}, residual FROM {SEVEN}", " ".join(["delta", *TERMS, "residual"]))
+@query("m21_seven_terms", f"SELECT event_id, delta, {', '.join(TERMS)}, residual FROM {SEVEN}", " ".join(["delta", *TERMS, "residual"]), digits=4)
 def m21(spark, d):
     rows = panel(spark, d)
     return terms(rows, parameters(rows)).select("event_id", "delta", *TERMS, "residual")
@@ -159,7 +159,7 @@ s AS (SELECT b.*, depth / nullif(severity, 0) AS scale FROM b LEFT JOIN dp USING
 SELECT a.grp, a.compound, a.shrunk AS slope, a.post_sd AS slope_sd, a.slope AS raw_slope, a.n, hinge, s.se AS hinge_se, s.post_sd AS hinge_sd, n_post, n_deep, s.ok AS qualified, coalesce(greatest(-3.0, least(-s.shrunk * scale, 3.0)), 0.0) AS shift, CASE WHEN s.ok THEN s.se * scale END AS shift_se, coalesce(abs(s.shrunk * scale) > 3, false) AS clipped FROM a FULL JOIN s ON s.grp = a.grp AND s.compound = a.compound)"""
 
 
-@query("m30_a24_hinge_sensitivity", f"SELECT * FROM {SENSITIVITY}", "slope slope_sd raw_slope hinge hinge_se hinge_sd shift shift_se")
+@query("m30_a24_hinge_sensitivity", f"SELECT * FROM {SENSITIVITY}", "slope slope_sd raw_slope hinge hinge_se hinge_sd shift shift_se", digits=4)
 def m30(spark, d):
     rows = panel(spark, d)
     fitted = parameters(rows)
@@ -189,7 +189,7 @@ coalesce(hse, 0) AS pace_se, host_slope_sd, own_slope_sd, host_shift_se, own_shi
 PACE_COLUMNS = "actual predicted deg_interaction cliff_interaction pace_se host_slope_sd own_slope_sd host_shift_se own_shift_se severity confidence"
 
 
-@query("m38_recombined_pace", f"SELECT * FROM {PACES}", PACE_COLUMNS)
+@query("m38_recombined_pace", f"SELECT * FROM {PACES}", PACE_COLUMNS, digits=3)
 def m38(spark, d):
     return paces(panel(spark, d))
 
@@ -213,7 +213,7 @@ t AS (SELECT *, 1 / (1 + 0.2316419 * abs(x)) AS t FROM x), p AS (SELECT *, CASE
 SELECT r.context, r.host, r.entity, is_self, CAST(place AS BIGINT) AS place, CAST(actual_place AS BIGINT) AS actual_place, mu, se, n, coverage, short_run, confidence, place_sd, p_beats_next FROM r LEFT JOIN o USING (context, host, entity)"""
 
 
-@query("m39_a35_scenario_order", ORDER, "mu se coverage confidence place_sd p_beats_next")
+@query("m39_a35_scenario_order", ORDER, "mu se coverage confidence place_sd p_beats_next", digits=4)
 def m39(spark, d):
     found = R.scenario_order(R.propagate_se(paces(panel(spark, d)), SCENARIO, "entity", "grp"), SCENARIO, "entity")
     return found.select(*SCENARIO, "entity", "is_self", F.col("place").cast("long").alias("place"), F.col("actual_place").cast("long").alias("actual_place"), "mu", "se", "n", "coverage", "short_run", "confidence", "place_sd", "p_beats_next")
@@ -232,7 +232,7 @@ def q16(spark, d):
 @query("v01_gate", f"""WITH g AS (SELECT a.context, a.entity AS x, b.entity AS y, a.pos, a.value - b.value AS gap FROM {ROWS} a JOIN {ROWS} b ON a.grp = b.grp AND a.context = b.context AND a.step = b.step AND a.entity < b.entity),
 p AS (SELECT context, x, y, regr_slope(gap, pos) AS slope, count(*) AS n, 1 / (1 + stddev_samp(gap)) AS quality FROM g GROUP BY ALL HAVING count(*) >= 8), m AS (SELECT sum(quality * slope) / sum(quality) AS mean FROM p),
 d AS (SELECT a.slope - b.slope AS delta FROM {SENSITIVITY} a JOIN {SENSITIVITY} b ON a.compound = b.compound AND a.grp < b.grp)
-SELECT count(*) AS pairs, any_value(mean) AS mean, sqrt(sum(quality * (slope - mean) ** 2) / sum(quality)) AS sd, median(abs(slope)) AS noise, (SELECT median(abs(delta)) FROM d) AS signal, (SELECT median(abs(delta)) FROM d) / median(abs(slope)) AS snr FROM p, m""", "mean sd noise signal snr")
+SELECT count(*) AS pairs, any_value(mean) AS mean, sqrt(sum(quality * (slope - mean) ** 2) / sum(quality)) AS sd, median(abs(slope)) AS noise, (SELECT median(abs(delta)) FROM d) AS signal, (SELECT median(abs(delta)) FROM d) / median(abs(slope)) AS snr FROM p, m""", "mean sd noise signal snr", digits=4)
 def v01(spark, d):
     """Noise: the median absolute slope of a pair's gap by age, within a group. Signal: that of the slopes' differences between groups."""
     rows = panel(spark, d)

@@ -13,18 +13,18 @@ DIGITS = 6
 NUDGE = 1.3e-9
 
 
-def query(name: str, sql: str | None = None, doubles: str = "") -> Callable:
-    """Registers a query; doubles names its columns of floating sums, which both sides round to DIGITS for comparison."""
+def query(name: str, sql: str | None = None, doubles: str = "", digits: int = DIGITS) -> Callable:
+    """Registers a query; doubles names its columns of floating sums, which both sides round to so many digits for comparison."""
     names = doubles.split()
 
     def register(build: Callable[[SparkSession, str], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             found = build(spark, sf_dir)
-            return found.withColumns({c: F.round(F.col(c).cast("double") + F.lit(NUDGE), DIGITS) + F.lit(0.0) for c in names}) if names else found
+            return found.withColumns({c: F.round(F.col(c).cast("double") + F.lit(NUDGE), digits) + F.lit(0.0) for c in names}) if names else found
 
         QUERIES[name] = run
         if sql is not None:
-            rounded = ", ".join(f"round(CAST({c} AS DOUBLE) + {NUDGE}, {DIGITS}) + 0.0 AS {c}" for c in names)
+            rounded = ", ".join(f"round(CAST({c} AS DOUBLE) + {NUDGE}, {digits}) + 0.0 AS {c}" for c in names)
             ORACLES[name] = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if names else sql
         return build
 

@@ -58,7 +58,7 @@ t AS (SELECT entity, context, unit, third, median(gap) AS mid, bool_or(active) A
 c AS (SELECT *, CASE WHEN mid IS NULL OR mid > 2 THEN 'free_air' WHEN mid < 1 AND active THEN 'drs_train' WHEN mid < 1 AND third <> 2 THEN 'tow_zone' WHEN mid < 1.5 AND third = 2 THEN 'dirty_air' ELSE 'free_air' END AS state, CASE WHEN third = 2 AND mid < 1.5 THEN 1 / greatest(mid, 0.3) ELSE 0.0 END AS near FROM t),
 d AS (SELECT entity, context, unit, state AS dominant FROM (SELECT entity, context, unit, state, count(*) AS n FROM c GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY entity, context, unit ORDER BY n DESC, state) = 1),
 l AS (SELECT entity, context, unit, max(CASE WHEN third = 2 AND state = 'dirty_air' THEN 1.0 ELSE 0.0 END) AS dirty, sum(CASE WHEN state = 'tow_zone' THEN -0.15 ELSE 0.0 END) AS tow_benefit, max(near) AS intensity, min(mid) AS min_gap FROM c GROUP BY ALL)
-SELECT entity, context, unit, dirty, tow_benefit, intensity, min_gap, dominant, {load_sql("intensity", AIR_SURFACE)} AS surface, {load_sql("intensity", AIR_BULK)} AS bulk FROM l JOIN d USING (entity, context, unit) WINDOW w AS (PARTITION BY entity, context ORDER BY unit)""", "dirty tow_benefit intensity min_gap surface bulk")
+SELECT entity, context, unit, dirty, tow_benefit, intensity, min_gap, dominant, {load_sql("intensity", AIR_SURFACE)} AS surface, {load_sql("intensity", AIR_BULK)} AS bulk FROM l JOIN d USING (entity, context, unit) WINDOW w AS (PARTITION BY entity, context ORDER BY unit)""", "dirty tow_benefit intensity min_gap surface bulk", digits=4)
 def m12(spark, d):
     """Rows of panel E as samples of a unit, units as laps of a sequence."""
     samples = panel_e(spark, d).withColumns({"kph": 60.0 + 12 * F.col("pos"), "relative": (F.col("pos") - 1) / 20.0, "active": F.col("event_type") == "click"})
@@ -70,7 +70,7 @@ def m12(spark, d):
 
 
 @query("m13_push_loads", f"""WITH n AS (SELECT *, count(*) OVER (PARTITION BY unit_id) AS n FROM {E}), b AS (SELECT unit_id, median(value) AS base FROM n WHERE pos <= greatest(ceil(n * 0.6), 3) GROUP BY unit_id), r AS (SELECT n.*, base - value AS push FROM n JOIN b USING (unit_id))
-SELECT event_id, push, {load_sql("push", PUSH_SURFACE, positive=True)} AS surface, {load_sql("push", PUSH_BULK, positive=True)} AS bulk FROM r WINDOW w AS (PARTITION BY unit_id ORDER BY pos)""", "push surface bulk")
+SELECT event_id, push, {load_sql("push", PUSH_SURFACE, positive=True)} AS surface, {load_sql("push", PUSH_BULK, positive=True)} AS bulk FROM r WINDOW w AS (PARTITION BY unit_id ORDER BY pos)""", "push surface bulk", digits=4)
 def m13(spark, d):
     """How far each row is below its unit's early pace, and two loads of it, one that fades fast and one that fades slowly."""
     rows = W.early_baseline(panel_e(spark, d), ["unit_id"], "pos", "value").withColumn("push", -F.col("deviation"))
@@ -105,7 +105,7 @@ m AS (SELECT a.event_id, median(b.residual) AS mid FROM t a JOIN t b ON a.entity
 d AS (SELECT a.event_id, m.mid, greatest(median(abs(b.residual - m.mid)), 0.1) AS mad FROM t a JOIN m ON m.event_id = a.event_id JOIN t b ON a.entity = b.entity AND a.context = b.context AND b.step BETWEEN a.step - 6 AND a.step GROUP BY ALL),
 s AS (SELECT f.*, mid, CASE WHEN sd > 0 THEN (residual - mean) / sd ELSE 0.0 END AS z, abs(residual - mid) / mad AS mad_score, coalesce(abs(residual - mid) / mad > 3, false) AS odd, hour(ts) < 2 AS wet, coalesce(pos > onset, false) AS past FROM f JOIN d USING (event_id))
 SELECT event_id, z, mad_score, CASE WHEN stop OR before_stop THEN 'event_driven' WHEN wet THEN 'conditions' WHEN after_stop THEN 'event_driven' WHEN odd AND residual > mid AND past THEN 'clean_cliff' WHEN odd AND residual > mid THEN 'mistake' ELSE 'normal' END AS anomaly, coalesce(odd AND residual > mid AND past, false) AS cliff_candidate,
-NOT (stop OR before_stop OR wet OR pos = 1 OR pos = last OR odd) AS usable FROM s""", "z mad_score")
+NOT (stop OR before_stop OR wet OR pos = 1 OR pos = last OR odd) AS usable FROM s""", "z mad_score", digits=3)
 def m24(spark, d):
     rows = panel(spark, d)
     seven = W.adjacent(terms(rows, parameters(rows)).withColumn("stop", F.col("event_type") == "error"), ["entity", "context"], ["step"], "stop")
@@ -155,7 +155,7 @@ def strategy_value(rows: DataFrame, stops: DataFrame, unit: str, sequence: Seque
 u AS (SELECT unit_id, entity, context, any_value(onset_pos) AS onset_pos, any_value(best_pos) AS best_pos, min(CASE WHEN pos = best_pos THEN step END) AS best_step, max(pos) AS length, min(step) AS a, max(step) AS z, coalesce(sum(CASE WHEN pos > best_pos THEN greatest(coalesce(wear, 0), 0) END), 0) AS cost, min(CASE WHEN value < 3 THEN step END) AS threat_step FROM b GROUP BY ALL),
 j AS (SELECT u.*, p.step AS actual_step FROM u LEFT JOIN (SELECT entity, context, step FROM e WHERE event_type = 'signup') p ON p.entity = u.entity AND p.context = u.context AND p.step BETWEEN a AND z + 1)
 SELECT unit_id, entity, context, onset_pos, length, best_pos, best_step, actual_step, actual_step - best_step AS overrun, CASE WHEN actual_step > best_step THEN cost ELSE 0.0 END AS cost, CASE WHEN onset_pos IS NULL THEN 0.0 WHEN best_pos IS NULL THEN 0.1 ELSE 0.8 END AS confidence, threat_step,
-CASE WHEN actual_step IS NULL THEN NULL WHEN best_step IS NULL THEN 'unknown' WHEN abs(actual_step - best_step) <= 1 THEN 'optimal' WHEN actual_step > best_step THEN 'overran' WHEN threat_step IS NOT NULL AND actual_step >= threat_step - 2 THEN 'undercut_forced' ELSE 'early' END AS verdict FROM j""", "cost confidence")
+CASE WHEN actual_step IS NULL THEN NULL WHEN best_step IS NULL THEN 'unknown' WHEN abs(actual_step - best_step) <= 1 THEN 'optimal' WHEN actual_step > best_step THEN 'overran' WHEN threat_step IS NOT NULL AND actual_step >= threat_step - 2 THEN 'undercut_forced' ELSE 'early' END AS verdict FROM j""", "cost confidence", digits=4)
 def m29(spark, d):
     rows = panel(spark, d)
     stops = rows.where("event_type = 'signup'").select("entity", "context", F.col("step").alias("at"))
