@@ -62,8 +62,8 @@ def a40(spark, d):
 
 
 @query("a41_m41_fit_with_fallback", f"""WITH c AS (SELECT grp, context, compound, median(value) AS c, count(value) AS n FROM {E} GROUP BY ALL), p AS (SELECT grp, compound, median(value) AS p, count(value) AS pn FROM {E} GROUP BY ALL)
-SELECT grp, context, compound, n, greatest(40, least(coalesce(CASE WHEN n >= 120 THEN c END, CASE WHEN pn >= 640 THEN p END, CASE compound WHEN 'SOFT' THEN 45.0 WHEN 'MEDIUM' THEN 50.0 ELSE 55.0 END), 60)) AS fitted,
-CASE WHEN n >= 120 THEN 'cell' WHEN pn >= 640 THEN 'pool' ELSE 'default' END AS source FROM c JOIN p USING (grp, compound)""".replace("640", "120"), "fitted")
+SELECT grp, context, compound, n, greatest(40, least(coalesce(CASE WHEN n >= 120 THEN c END, CASE WHEN pn >= 120 THEN p END, CASE compound WHEN 'SOFT' THEN 45.0 WHEN 'MEDIUM' THEN 50.0 ELSE 55.0 END), 60)) AS fitted,
+CASE WHEN n >= 120 THEN 'cell' WHEN pn >= 120 THEN 'pool' ELSE 'default' END AS source FROM c JOIN p USING (grp, compound)""", "fitted")
 def a41(spark, d):
     return V.fit_cells(panel_e(spark, d), ["grp", "context", "compound"], ["grp", "compound"], "compound", "value", min_n=120, defaults={"SOFT": 45.0, "MEDIUM": 50.0, "HARD": 55.0}, bounds=(40.0, 60.0))
 
