@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import chain
 
@@ -39,14 +38,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapwise.llm import textblocks as tb
 from lapwise.llm.pieces import PieceTable, cut, gather
-from lapwise.llm.scratch import temporary, written
+from lapwise.llm.scratch import small_batches, temporary, written
 from lapwise.llm.token_files import PieceTokenizer
 from lapwise.llm.workers import held
 
-LONG, RANGE, BLOCK = 1 << 20, 256 << 10, 1 << 20
+LONG, RANGE, BLOCK = 1 << 20, 256 << 10, 512 << 10
 FAN = 16
-PIECES_KEPT = 400_000
-ROWS_A_BATCH = 32
+PIECES_KEPT, ITEMS = 400_000, 1 << 16
 FRAGMENT = "valid boolean, first long, prefix_a array<int>, prefix_b array<int>, suffix_a array<int>, suffix_b array<int>"
 SEAM = "struct<pos:long,text:string,pair:long>"
 
@@ -75,16 +73,28 @@ class SpaceTable(PieceTable):
         return gather(self.flat, begin, sizes), np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)]
 
 
-def proven(pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray, spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and how many each piece has; a piece that its tokens do not spell has the one id -1."""
-    stops = np.cumsum(sizes)
-    out, new = [], sizes.copy()
-    for k, (piece, a, b) in enumerate(zip(pieces, (stops - sizes).tolist(), stops.tolist(), strict=True)):
-        own = ids[a:b].tolist()
-        if b"".join([spelled[i] for i in own]) != piece:
-            own, new[k] = [-1], 1
-        out.append(own)
-    return np.fromiter(chain.from_iterable(out), dtype=np.int32), new
+class Spelling:
+    """The bytes of a tokenizer's tokens, one after another, and a check that tokens spell their pieces."""
+
+    def __init__(self, spelled: list[bytes]) -> None:
+        self.spelled, self.flat = spelled, np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        self.sizes = np.array(list(map(len, spelled)), dtype=np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+
+    def proven(self, pieces: list[bytes], ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and how many each piece has; a piece that its tokens do not spell has the one id -1."""
+        sizes = self.sizes[ids]
+        spelled = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        whole = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        if np.array_equal(spelled, np.cumsum(list(map(len, pieces)))) and np.array_equal(gather(self.flat, self.begin[ids], sizes), whole):
+            return ids, counts
+        stops, out, new = np.cumsum(counts), [], counts.copy()
+        for k, (piece, a, b) in enumerate(zip(pieces, (stops - counts).tolist(), stops.tolist(), strict=True)):
+            own = ids[a:b].tolist()
+            if b"".join([self.spelled[i] for i in own]) != piece:
+                own, new[k] = [-1], 1
+            out.append(own)
+        return np.fromiter(chain.from_iterable(out), dtype=np.int32), new
 
 
 def byte_letters() -> dict[str, int]:
@@ -102,13 +112,14 @@ class PlainTokenizer(PieceTokenizer):
         self.tool.encode_special_tokens = True
         self.added, letters = [], byte_letters()
         vocabulary = self.tool.get_vocab(with_added_tokens=True)
-        self.spelled = [b""] * (max(vocabulary.values()) + 1)
+        spelled = [b""] * (max(vocabulary.values()) + 1)
         for token, number in vocabulary.items():
-            self.spelled[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+            spelled[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        self.spelling = Spelling(spelled)
         self.table = PieceTable(self._sure, PIECES_KEPT, 16 << 20)
 
     def _sure(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return proven(pieces, *self._learn(pieces), self.spelled)
+        return self.spelling.proven(pieces, *self._learn(pieces))
 
 
 class SpacePieces:
@@ -121,7 +132,7 @@ class SpacePieces:
         names = [self.tool.id_to_piece(i) for i in range(self.tool.get_piece_size())]
         if any("▁" in name.lstrip("▁") for name in names):
             raise ValueError("a piece of this model reaches into a space, so texts cannot be cut there")
-        self.spelled = [bytes([int(name[3:5], 16)]) if self.tool.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(names)]
+        self.spelling = Spelling([bytes([int(name[3:5], 16)]) if self.tool.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(names)])
         self.space = self.tool.piece_to_id("▁")
         self.table = SpaceTable(self._sure, PIECES_KEPT, 16 << 20)
 
@@ -130,7 +141,7 @@ class SpacePieces:
         for at in range(0, len(pieces), count):
             found += self.tool.encode([p[1:].decode() for p in pieces[at : at + count]], num_threads=1)
         found = [own if len(piece) > 1 else [self.space] for piece, own in zip(pieces, found, strict=True)]
-        return proven(pieces, np.fromiter(chain.from_iterable(found), dtype=np.int32), np.array(list(map(len, found)), dtype=np.int64), self.spelled)
+        return self.spelling.proven(pieces, np.fromiter(chain.from_iterable(found), dtype=np.int32), np.array(list(map(len, found)), dtype=np.int64))
 
 
 class Aligner:
@@ -138,8 +149,8 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str) -> None:
         self.a, self.b = PlainTokenizer(path_a), SpacePieces(path_b)
-        self.length_a, self.length_b = (np.array(list(map(len, t.spelled)), dtype=np.int64) for t in (self.a, self.b))
-        decimals = [b"%d," % i for i in range(max(len(self.a.spelled), len(self.b.spelled)))]
+        self.length_a, self.length_b = self.a.spelling.sizes, self.b.spelling.sizes
+        decimals = [b"%d," % i for i in range(max(len(self.length_a), len(self.length_b)))]
         self.decimal, self.wide = np.frombuffer(b"".join(decimals), dtype=np.uint8), np.array(list(map(len, decimals)), dtype=np.int64)
         self.decimal_at = np.cumsum(self.wide) - self.wide
 
@@ -156,7 +167,7 @@ class Aligner:
         items, marks = np.empty(len(a) + len(b), dtype=np.int64), np.empty(len(a) + len(b), dtype=np.uint8)
         items[place_a], items[place_b] = a, b
         marks[place_a], marks[place_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
-        out = gather(self.decimal, self.decimal_at[items], self.wide[items])
+        out = np.concatenate([gather(self.decimal, self.decimal_at[part], self.wide[part]) for part in np.split(items, range(ITEMS, len(items), ITEMS))])  # in parts: gather's indices are large
         ends = np.cumsum(self.wide[items])
         out[ends - 1] = marks
         return out, ends[place_b[at_b]]
@@ -323,18 +334,6 @@ def folded(level: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, f"row long, node long, {FRAGMENT}, seams array<{SEAM}>")
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = ROWS_A_BATCH) -> Iterator[None]:
-    """Arrow batches of few rows for jobs that run inside: their rows are blocks."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def reduced(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of every long text: row and whether it is valid; and its seams as row, pos, text, pair."""
     top = leaves.agg(F.max("node")).first()[0] or 0
