@@ -106,3 +106,46 @@ def test_clocks(spark):
     cases = {"1:02:03.5": 3723.5, "02:03": 123.0, "0 days 00:00:01": 1.0, "2 days, 1:00:00": 176400.0, "-0:10": -10.0, " 1:1:1 ": 3661.0, "NaT": None, "": None, "12": None, "1:2:3:4": None}
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", clock_seconds("t").alias("s"))
     assert {r["t"]: r["s"] for r in df.collect()} == cases | {None: None}
+
+
+def test_a_batch_of_steps_costs_one_list_and_one_timer():
+    """A key's state is spoken to once a batch, not once a step; an earlier step moves the one timer forward."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    timers, calls = set(), []
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def exists(self):
+            return bool(self.held)
+
+        def get(self):
+            calls.append("get")
+            return self.held[0] if self.held and not isinstance(self.held[0][-1], str) else iter(self.held)
+
+        def appendList(self, rows):  # noqa: N802
+            calls.append("append")
+            self.held += rows
+
+        def put(self, rows):
+            self.held = list(rows)
+
+        def update(self, row):
+            self.held = [row]
+
+        def clear(self):
+            self.held = []
+
+    handle = SimpleNamespace(getListState=lambda *_: State(), getMapState=lambda *_: State(), getValueState=lambda *_: State(), registerTimer=timers.add, deleteTimer=timers.discard)
+    steps = ordered.InOrder()
+    steps.init(handle)
+    for base in (5_000, 1_000):
+        ms = range(base, base + 1_000)
+        list(steps.handleInputRows(("k",), iter([pd.DataFrame({"us": [m * 1000 for m in ms], "ms": list(ms), "step": 0, "value": "v", "at": pd.Timestamp(0)})]), None))
+    assert timers == {1_000} and calls.count("append") == 2 and len(calls) <= 4
+    put = pd.concat(steps.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 5_499), None))
+    assert put["n"].tolist() == list(range(1, 1_501)) and 5_500 in timers
