@@ -6,11 +6,13 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from lapwise.operators import estimators as A, mlprep as M, windows as W
 from lapwise.plans.registration import query
 from lapwise.plans.testbed import E, O, panel_e, panel_o
+from lapwise.sources.scratch import settled
 
 FEATURES = ["pos", "load", "code", "grp"]
 SPEC = M.FeatureSpec({"state": ["pos", "load"], "who": ["code", "grp"]}, leaky=frozenset({"next_jump", "remaining", "bucket"}), masks={"remaining": []})
@@ -25,6 +27,29 @@ def frame(panel: DataFrame) -> DataFrame:
     return M.encode_frame(M.encode(rows, encoder, "compound", "code"), ["load"])
 
 
+#: Rows of one task of a fit, which holds several copies of them as objects.
+FIT_ROWS, LEAST_PARTS = 200_000, 8
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows written once, for several fits, and dealt by hash to tasks of about FIT_ROWS, in order of the key.
+
+    Spark's trees cache a task's rows whole, and draw the rows for their splits by task: so its size is bounded here, and
+    its content does not depend on how the rows were made.
+    """
+    kept = settled(rows, "fit-rows")
+    return kept.repartition(max(LEAST_PARTS, -(-kept.count() // FIT_ROWS)), key).sortWithinPartitions(key)
+
+
+def fitted(model, train: DataFrame):
+    """The model fitted to rows that are held while the fit reads them again and again."""
+    held = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return model.fit(held)
+    finally:
+        held.unpersist()
+
+
 @query("ml01_split", f"SELECT CASE WHEN period = (SELECT max(period) FROM {O}) THEN 'holdout' ELSE 'train' END AS split, count(*) AS n FROM {O} GROUP BY 1")
 def ml01(spark, d):
     return M.period_split(panel_o(spark, d), "period").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
@@ -123,13 +148,13 @@ def ml13(spark, d):
 
 def jump_error(train: DataFrame, test: DataFrame, features: list[str], variant: str, **options) -> tuple[DataFrame, object]:
     """Holdout metrics of a small boosted-tree model of the next jump, and the model."""
-    model = GBTRegressor(labelCol="next_jump", seed=1, **{"maxIter": 4, "maxDepth": 3, **options}).fit(assembled(train, features))
+    model = fitted(GBTRegressor(labelCol="next_jump", seed=1, **{"maxIter": 4, "maxDepth": 3, **options}), assembled(train, features).select("next_jump", "features"))
     return M.regression_metrics(model.transform(assembled(test, features)), "next_jump", "prediction").withColumn("variant", F.lit(variant)), model
 
 
 def jump_rows(spark, d: str) -> tuple[DataFrame, DataFrame]:
     """Training and holdout rows with a next jump, read by several fits."""
-    rows = frame(panel_e(spark, d)).where("next_jump IS NOT NULL").select("event_id", "split", "next_jump", *FEATURES)
+    rows = dealt(frame(panel_e(spark, d)).where("next_jump IS NOT NULL").select("event_id", "split", "next_jump", *FEATURES), "event_id")
     return rows.where("split = 'train'"), rows.where("split = 'holdout'")
 
 
@@ -173,10 +198,10 @@ def ml19(spark, d):
 @query("ml19_leakage_model")
 def ml19_model(spark, d):
     """One row: the share of held-out rows whose period a forest finds from the features, and the majority share it must not beat by much."""
-    rows = assembled(frame(panel_e(spark, d)).where("next_jump IS NOT NULL").drop("split"), FEATURES)
+    rows = assembled(dealt(frame(panel_e(spark, d)).where("next_jump IS NOT NULL").select("event_id", "context", *FEATURES), "event_id"), FEATURES)
     classes = M.fit_encoder(rows, "context")
-    marked = M.encode(rows, classes, "context", "label").withColumn("test", M.half("event_id"))
-    forest = RandomForestClassifier(labelCol="label", numTrees=10, maxDepth=4, seed=1).fit(marked.where("NOT test"))
+    marked = M.encode(rows, F.broadcast(classes), "context", "label").withColumn("test", M.half("event_id"))
+    forest = fitted(RandomForestClassifier(labelCol="label", numTrees=10, maxDepth=4, seed=1), marked.where("NOT test").select("label", "features"))
     found = forest.transform(marked.where("test")).select("label", (F.col("prediction") == F.col("label")).cast("double").alias("hit"))
     by_class = found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
     total = by_class.agg(F.sum("n").alias("rows"), (F.sum("hits") / F.sum("n")).alias("accuracy"), (F.max("n") / F.sum("n")).alias("majority"))

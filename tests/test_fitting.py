@@ -83,3 +83,15 @@ def test_parts_of_the_variance(spark):
     assert abs(one["own_var"] - (2.0**2 + (5 / 3) / 4)) < 1e-9 and one["slope_term"] == 1.0 and one["cliff_term"] == 1.0
     assert abs(one["se"] - math.sqrt(one["own_var"] + 0.09 + 1 + 1)) < 1e-9
     assert two["n"] == 1 and two["coverage"] == 0.25 and two["short_run"] and two["mu"] == 95.0 and abs(two["confidence"] - 0.4) < 1e-12 and not two["is_self"]
+
+
+def test_a_fit_reads_bounded_tasks(spark, monkeypatch):
+    """However the rows were made, no task of a fit holds more than about FIT_ROWS of them; a rerun deals them alike."""
+    from lapwise.plans import learning
+
+    monkeypatch.setattr(learning, "FIT_ROWS", 50)
+    d = "/root/testdata/sf0.001"
+    parts = lambda: [[r["event_id"] for r in part] for part in learning.jump_rows(spark, d)[0].select("event_id").rdd.glom().collect()]
+    found = parts()
+    assert sum(map(len, found)) > 400 and max(map(len, found)) <= 100 and len(found) >= 9
+    assert parts() == found
