@@ -38,7 +38,7 @@ def period_folds(df: DataFrame, period: str, n: int) -> DataFrame:
     ranked = df.select(period).distinct().withColumn("_r", F.row_number().over(Window.orderBy(period)))  # a row per period
     last = ranked.agg(F.max("_r").alias("_m"))
     folds = ranked.crossJoin(F.broadcast(last)).where(F.col("_r") > F.col("_m") - n).select(F.col(period).alias("_p"), (F.col("_r") - F.col("_m") + n).alias("fold"))
-    return df.join(folds, F.col(period) <= F.col("_p")).withColumn("role", F.when(F.col(period) == F.col("_p"), "valid").otherwise("train")).drop("_p")
+    return df.join(F.broadcast(folds), F.col(period) <= F.col("_p")).withColumn("role", F.when(F.col(period) == F.col("_p"), "valid").otherwise("train")).drop("_p")
 
 
 def remaining_life(df: DataFrame, unit: Sequence[str], pos: str) -> DataFrame:

@@ -239,8 +239,8 @@ GRID = [{"maxDepth": depth, "stepSize": rate, "maxIter": trees, "subsamplingRate
 @query("ml22_grid_search")
 def ml22(spark, d):
     """Mean error of each parameter set over the last two weekly folds; best: the set of the least."""
-    rows = frame(panel_e(spark, d)).where("next_jump IS NOT NULL").drop("split")
-    folds, out = M.period_folds(rows.select("event_id", "context", "next_jump", *FEATURES), "context", 2), None
+    rows = dealt(frame(panel_e(spark, d)).where("next_jump IS NOT NULL").select("event_id", "context", "next_jump", *FEATURES), "event_id")
+    folds, out = M.period_folds(rows, "context", 2), None
     for options in GRID:
         for fold in (1, 2):
             part = folds.where(F.col("fold") == fold)
