@@ -129,14 +129,15 @@ def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
 @query("ml13_m43_predictions")
 def ml13(spark, d):
     """Remaining life by boosted trees, the bucket by a forest, an interval from residual quantiles, on the pinned schema."""
-    built = frame(panel_e(spark, d))
+    built = dealt(frame(panel_e(spark, d)), "event_id")
     rows = assembled(built, SPEC.features(built, "remaining"))
     train = rows.where("split = 'train' AND next_jump IS NOT NULL AND bucket IS NOT NULL")
-    life = GBTRegressor(labelCol="remaining", maxIter=8, maxDepth=3, seed=1).fit(train)
-    jump = GBTRegressor(labelCol="next_jump", predictionCol="p50", lossType="absolute", maxIter=8, maxDepth=3, seed=1).fit(train)
+    life = fitted(GBTRegressor(labelCol="remaining", maxIter=8, maxDepth=3, seed=1), train.select("remaining", "features"))
+    jump = fitted(GBTRegressor(labelCol="next_jump", predictionCol="p50", lossType="absolute", maxIter=8, maxDepth=3, seed=1), train.select("next_jump", "features"))
     classes = M.fit_encoder(train, "bucket")
-    labelled = M.encode(train, classes, "bucket", "label").join(M.class_weights(train, "bucket").select("bucket", "weight"), "bucket")
-    forest = RandomForestClassifier(labelCol="label", weightCol="weight", probabilityCol="probability", predictionCol="class", rawPredictionCol="raw", numTrees=10, maxDepth=4, seed=1).fit(labelled)
+    kinds = classes.withColumnRenamed("value", "bucket").join(M.class_weights(train, "bucket").select("bucket", "weight"), "bucket").withColumnRenamed("code", "label")
+    labelled = train.join(F.broadcast(kinds), "bucket").select("label", "weight", "features")  # a row per bucket: the rows stay where they were dealt
+    forest = fitted(RandomForestClassifier(labelCol="label", weightCol="weight", probabilityCol="probability", predictionCol="class", rawPredictionCol="raw", numTrees=10, maxDepth=4, seed=1), labelled)
     scored = jump.transform(life.transform(rows).withColumnRenamed("prediction", "life"))
     errors = scored.where("split = 'train' AND next_jump IS NOT NULL").withColumn("e", F.col("next_jump") - F.col("p50")).groupBy("compound").agg(F.percentile("e", 0.1).alias("e10"), F.percentile("e", 0.9).alias("e90"))
     scored = forest.transform(scored).withColumn("best", F.array_position(vector_to_array("probability"), F.array_max(vector_to_array("probability"))) - 1)
