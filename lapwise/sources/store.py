@@ -29,9 +29,19 @@ def empty_table(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+#: Rows and compressed bytes of one writing task, which sorts them.
+TASK_ROWS, TASK_BYTES = 1_000_000, 32 << 20
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], *, codec: str = "zstd", mode: str = "overwrite") -> None:
-    """Parquet partitioned by columns. Rows of a partition are dealt to tasks by AQE, which splits a large one."""
-    spread = df.hint("rebalance", *[F.col(b) for b in by])
+    """Parquet partitioned by columns. Rows are first written aside and measured, then dealt to tasks by range of the
+    columns and of their place, so that a partition of any size goes through as many tasks as it needs."""
+    spark = df.sparkSession
+    aside = settled(df, "aside")
+    size = _bytes(spark, aside.inputFiles()[0].rpartition("/")[0]) if aside.inputFiles() else 0
+    tasks = max(-(-aside.count() // TASK_ROWS), -(-size // TASK_BYTES), 1)
+    placed = aside.withColumn("_lapwise_place", F.monotonically_increasing_id())
+    spread = placed.repartitionByRange(tasks, *by, "_lapwise_place").drop("_lapwise_place") if tasks > 1 else aside.coalesce(1)
     spread.write.mode(mode).option("compression", codec).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
@@ -99,9 +109,9 @@ def schema_fingerprint(df: DataFrame) -> str:
 
 
 def extract_partitions(datasets: Mapping[str, DataFrame], parts: DataFrame, keys: Sequence[str], out: str) -> None:
-    """The chosen partitions of every dataset, written as partitioned Parquet below out."""
+    """The chosen partitions (parts: a row for each) of every dataset, written as partitioned Parquet below out."""
     for name, df in datasets.items():
-        write_partitioned(df.join(parts, list(keys), "left_semi"), f"{out}/{name}", keys)
+        write_partitioned(df.join(F.broadcast(parts), list(keys), "left_semi"), f"{out}/{name}", keys)
 
 
 def register_views(spark: SparkSession, paths: Mapping[str, str]) -> list[str]:

@@ -149,3 +149,17 @@ def test_a_batch_of_steps_costs_one_list_and_one_timer():
     assert timers == {1_000} and calls.count("append") == 2 and len(calls) <= 4
     put = pd.concat(steps.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 5_499), None))
     assert put["n"].tolist() == list(range(1, 1_501)) and 5_500 in timers
+
+
+def test_a_large_partition_goes_through_many_tasks(spark, monkeypatch):
+    """Of a table whose rows all but a few lie in one partition, each file holds about TASK_ROWS rows, nulls and repeats kept."""
+    from lapwise.sources import store
+
+    monkeypatch.setattr(store, "TASK_ROWS", 500, raising=False)
+    rows = spark.range(4_000, numPartitions=4).select(F.floor(F.col("id") / 2).alias("v"), F.when(F.col("id") > 20, "large").when(F.col("id") > 5, "small").alias("p"))
+    path = root_of(spark)
+    store.write_partitioned(rows, path, ["p"])
+    back = spark.read.parquet(path)
+    assert sorted(map(str, back.select("v", "p").collect())) == sorted(map(str, rows.collect()))
+    files = back.where("p = 'large'").groupBy(F.col("_metadata.file_path")).count().collect()
+    assert len(files) >= 6 and max(r["count"] for r in files) <= 1_000
