@@ -44,6 +44,14 @@ def ols(x: str, y: str) -> Column:
     return ratio(F.covar_pop(xs, ys), F.var_pop(xs))
 
 
+def r_squared(x: str, y: str) -> Column:
+    """The squared correlation over rows that have both; null without spread in either, where corr divides by zero."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    xs, ys = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
+    shared = F.covar_pop(xs, ys)
+    return ratio(shared * shared, F.var_pop(xs) * F.var_pop(ys))
+
+
 def ols_slope(df: DataFrame, keys: Sequence[str], x: str, y: str, *, cap: float | None = None, out: str = "slope") -> DataFrame:
     """Slope of each group; cap bounds it from above."""
     slope = ols(x, y)

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwise.functions import exprs as X
-from lapwise.operators.estimators import ols, ratio
+from lapwise.operators.estimators import ols, r_squared, ratio
 from lapwise.operators.survival import detect_cliff, km_median, trimmed_mean
 from lapwise.operators.windows import demean, over
 from lapwise.sources.scratch import settled
@@ -71,7 +71,7 @@ def fit_hierarchy(
     for name in levels:
         x, y = (F.when(F.col("_x") <= F.col(f"_to_{name}"), F.col(c)) for c in ("_x", "_y"))
         inner = inner.withColumns({f"_x_{name}": x, f"_y_{name}": y})
-        fits += [ols(f"_x_{name}", f"_y_{name}").alias(f"_slope_{name}"), F.pow(F.corr(f"_x_{name}", f"_y_{name}"), F.lit(2)).alias(f"_r2_{name}"), F.count(f"_y_{name}").alias(f"_n_{name}")]
+        fits += [ols(f"_x_{name}", f"_y_{name}").alias(f"_slope_{name}"), r_squared(f"_x_{name}", f"_y_{name}").alias(f"_r2_{name}"), F.count(f"_y_{name}").alias(f"_n_{name}")]
     slopes = inner.groupBy(*dict.fromkeys([*unit, *keys])).agg(*fits)
     sloped = F.explode(F.array(*[F.struct(_key(name, columns).alias("key"), F.when((F.col(f"_n_{name}") >= 3) & (F.col(f"_slope_{name}") > 0) & (F.col(f"_r2_{name}") > min_r2), F.col(f"_slope_{name}")).alias("slope")) for name, columns in levels.items()]))
     gradients = trimmed_mean(slopes.select(sloped.alias("s")).select(F.col("s.key").alias("_key"), F.col("s.slope").alias("slope")).where("slope IS NOT NULL"), ["_key"], "slope", out="gradient").drop("n")

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lapwise.operators.estimators import ols, ratio
+from lapwise.operators.estimators import ols, r_squared, ratio
 from lapwise.operators.quantiles import grouped_median, grouped_quantiles
 from lapwise.operators.windows import over
 
@@ -66,7 +66,7 @@ def cliff_severity(df: DataFrame, cliffs: DataFrame, unit: Sequence[str], by: Se
 def wear_gradient(df: DataFrame, unit: Sequence[str], by: Sequence[str], order: str, value: str, *, lo: int, hi: int, min_r2: float = 0.1) -> DataFrame:
     """Trimmed mean over units of positive slopes on a range of steps that explain min_r2 of the spread."""
     rows = df.where(F.col(order).between(lo, hi))
-    fits = rows.groupBy(*dict.fromkeys([*unit, *by])).agg(ols(order, value).alias("_slope"), F.pow(F.corr(order, value), F.lit(2)).alias("_r2")).where((F.col("_slope") > 0) & (F.col("_r2") > min_r2))
+    fits = rows.groupBy(*dict.fromkeys([*unit, *by])).agg(ols(order, value).alias("_slope"), r_squared(order, value).alias("_r2")).where((F.col("_slope") > 0) & (F.col("_r2") > min_r2))
     return trimmed_mean(fits, by, "_slope", out="gradient")
 
 

@@ -26,7 +26,8 @@ TERMS = ["fuel", "wear", "trend", "ambient", "tax", "effect", "interaction"]
 
 
 def panel(spark, d) -> DataFrame:
-    return panel_e(spark, d).withColumns({"place": F.col("entity") % 10, "weight": F.when(F.col("event_type") == "error", 0.6).otherwise(1.0)})
+    """Panel E with place and weight, written once: the chain reads it some ten times."""
+    return settled(panel_e(spark, d).withColumns({"place": F.col("entity") % 10, "weight": F.when(F.col("event_type") == "error", 0.6).otherwise(1.0)}), "panel")
 
 
 ROWS = f"(SELECT *, entity % 10 AS place, CASE WHEN event_type = 'error' THEN 0.6 ELSE 1.0 END AS weight FROM {E})"

@@ -95,3 +95,21 @@ def test_a_fit_reads_bounded_tasks(spark, monkeypatch):
     found = parts()
     assert sum(map(len, found)) > 400 and max(map(len, found)) <= 100 and len(found) >= 9
     assert parts() == found
+
+
+def test_squared_correlation_of_constant_units(spark):
+    """A unit whose values do not vary has no correlation and stops nothing; others have corr's."""
+    from lapwise.operators import estimators
+
+    rows = spark.createDataFrame([(u, float(x), y) for u, ys in ((1, (5.0, 5.0, 5.0)), (2, (1.0, 2.0, 4.0)), (3, (None, 2.0, None))) for x, y in enumerate(ys)], "u long, x double, y double")
+    found = {r["u"]: r["r2"] for r in rows.groupBy("u").agg(estimators.r_squared("x", "y").alias("r2")).collect()}
+    assert found[1] is None and found[3] is None and abs(found[2] - 0.9642857142857143) < 1e-12
+
+
+def test_the_chain_reads_its_panel_once(spark):
+    """The events are scanned when the panel is written, not again by what is built on it."""
+    from lapwise.plans import explaining, marts, testbed
+
+    d = "/root/testdata/sf0.001"
+    for rows in (explaining.panel(spark, d), marts.decomposition(testbed.panel_e(spark, d))):
+        assert rows.inputFiles() and not any("events.parquet" in f for f in rows.inputFiles())
