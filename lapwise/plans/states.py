@@ -108,7 +108,11 @@ SELECT event_id, z, mad_score, CASE WHEN stop OR before_stop THEN 'event_driven'
 NOT (stop OR before_stop OR wet OR pos = 1 OR pos = last OR odd) AS usable FROM s""", "z mad_score", digits=3)
 def m24(spark, d):
     rows = panel(spark, d)
-    seven = W.adjacent(terms(rows, parameters(rows)).withColumn("stop", F.col("event_type") == "error"), ["entity", "context"], ["step"], "stop")
+    return classed(terms(rows, parameters(rows)))
+
+
+def classed(seven: DataFrame) -> DataFrame:
+    seven = W.adjacent(seven.withColumn("stop", F.col("event_type") == "error"), ["entity", "context"], ["step"], "stop")
     edge = (F.col("pos") == 1) | (F.col("pos") == F.max("pos").over(W.over(["unit_id"])))
     found = anomaly_classes(seven.withColumn("edge", edge), ["entity", "context"], "step", "residual", clean=F.col("weight") == 1, excluded=F.col("stop"), controlled=F.col("before_stop"), conditions=F.hour("ts") < 2, local=F.col("after_stop"), past_onset=F.col("pos") > F.col("onset"), edge=F.col("edge"))
     return found.select("event_id", "z", "mad_score", "anomaly", "cliff_candidate", "usable")
@@ -120,7 +124,7 @@ def q16(spark, d):
     rows = panel(spark, d)
     seven = terms(rows, parameters(rows))
     scored = J.rolling_mad(seven, ["entity", "context"], "step", "residual", 7, floor=0.1).select("event_id", "roll_mad")
-    return m24(spark, d).join(scored, "event_id").groupBy("anomaly").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("roll_mad") < 0.1).alias("below"))
+    return classed(seven).join(scored, "event_id").groupBy("anomaly").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("roll_mad") < 0.1).alias("below"))
 
 
 # ---- M-29: what a stop was worth -------------------------------------------------------------------------------------
