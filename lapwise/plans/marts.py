@@ -9,6 +9,7 @@ from lapwise.operators import estimators as A, joins as J, shaping as S, windows
 from lapwise.plans.estimating import CELL, CURVE, FE_FIT, pair_probabilities
 from lapwise.plans.registration import query
 from lapwise.plans.testbed import E, O, panel_e, panel_o
+from lapwise.sources.scratch import settled
 
 SEQUENCE = ["entity", "context"]
 PARTS = ["fuel", "wear", "trend", "effect"]
@@ -25,11 +26,13 @@ def track_evolution(curve: DataFrame) -> DataFrame:
 
 def decomposition(panel: DataFrame) -> DataFrame:
     """delta to the field's pace, its components, and the residual that closes the sum, per row."""
-    curve = A.field_curve(panel, ["context"], "step", "value")
+    panel = settled(panel, "panel")  # read by the curve and the rows
+    curve = settled(A.field_curve(panel, ["context"], "step", "value"), "curve")
     rows = S.fuel_state(panel, SEQUENCE, "step", "value", start_kg=110.0, cost=0.03).withColumnRenamed("fuel_penalty", "fuel")
     wear, _ = X.hockey_stick(F.col("pos"), base=0.0, gradient=0.05, onset=12, severity=0.2)
     rows = rows.withColumn("wear", wear).join(curve.select("context", "step", "field_pace"), ["context", "step"], "left").withColumn("delta", F.col("value") - F.col("field_pace"))
     rows = rows.join(track_evolution(curve), ["context", "step"], "left")
+    rows = settled(rows, "deltas")  # read by each pass of the medians and by the residual
     effect = A.group_effect(rows, ["context"], "grp", "delta", min_n=1).select("context", "grp", "effect")
     rows = rows.join(effect, ["context", "grp"], "left")
     return rows.withColumn("residual", X.residual_of(F.col("delta"), [F.col(c) for c in PARTS]))
