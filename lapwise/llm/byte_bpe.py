@@ -38,12 +38,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lapwise.llm import textblocks as tb
 from lapwise.llm.pieces import PieceTable, gather
+from lapwise.llm.scratch import small_batches, written
 from lapwise.llm.workers import held
 
-BLOCK_BYTES = 1 << 20
-PIECES_KEPT = 1_000_000
+#: Two workers share an executor with a JVM: these bound what a worker holds beside its batch of rows. They change no result.
+BLOCK_BYTES = 256 << 10
+BATCH_ROWS = 256
+PIECES_KEPT = 150_000
 LONG_WORD = 200
-BYTES_AT_ONCE = 150_000
+BYTES_AT_ONCE = 50_000
 GRAM = 6
 
 #: A merged pair is the row of its right token; the row of its left token goes.
@@ -265,6 +268,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text"
             flat, cuts = tool.encode(data, offsets)
             part = _with_column(part, out, pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat)))
             yield _with_column(part, decoded, pa.array(back.decode(flat, np.diff(cuts)), pa.binary())) if back else part
+            pa.default_memory_pool().release_unused()
 
     fields = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
@@ -295,7 +299,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN, decoded="decoded")
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    with small_batches(spark, BATCH_ROWS):
+        return written(encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")), "byte-bpe")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -303,4 +308,5 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     encoded = encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded")
-    return encoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    with small_batches(spark, BATCH_ROWS):
+        return written(encoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256")), "stage-ids")

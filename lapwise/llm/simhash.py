@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapwise.llm import textblocks as tb
 from lapwise.llm.components import components, forest
-from lapwise.llm.scratch import temporary, written
+from lapwise.llm.scratch import small_batches, temporary, written
 from lapwise.llm.similar_sets import shingle_spans, similar_groups
 
 SEED = 42
 TILE = 4096
 ROWS_AT_ONCE = 128
 QUARTERS_FROM = 1_000_000
+BATCH_ROWS = 256
 
 
 def _compact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -188,7 +189,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows = written(docs.withColumn("lapwise_row", F.monotonically_increasing_id()), "near-rows")
     texts = rows.select(F.col("lapwise_row").alias("row"), "text")
-    with temporary(spark):
+    with temporary(spark), small_batches(spark, BATCH_ROWS):
         groups = written(similar_groups(texts, words=5, propose=lambda heads: close_pairs(texts, heads, words=5, radius=3)), "near-groups", lasting=True)
     ranked = rows.select("lapwise_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "lapwise_row").alias("turn")).join(groups, F.col("lapwise_row") == F.col("row"))
     kept = ranked.groupBy("component").agg(F.min("turn").alias("first")).select(F.col("first.lapwise_row").alias("kept_row"))
