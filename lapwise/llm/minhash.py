@@ -177,17 +177,27 @@ def crossing(members: DataFrame, *, thin: bool = False) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
+def near_nodes(found: DataFrame, texts: DataFrame, met: DataFrame) -> DataFrame:
+    """row, size, sketch, mark and text of the nodes that share a bucket: the only ones that later steps ask for.
+
+    Texts and marks of all rows cross a shuffle here once, however many rounds follow. The hint keeps it so at every size:
+    a small table's rows would be broadcast instead.
+    """
+    wanted = met.select("row").distinct().hint("merge")
+    return written(found.select("row", "size", "sketch", "mark").join(wanted, "row", "left_semi").join(texts.select("row", "text").hint("merge"), "row"), "near-nodes")
+
+
 def minhash_groups(texts: DataFrame, *, words: int = 4) -> DataFrame:
     """row, size (of the shingle set) and component (a row of the same component) of every row (unique) and text."""
     found = written(signed(texts, words), "signatures", lasting=True)
     heads = written(found.where("size > 0").groupBy("digest").agg(F.min("row").alias("head")), "equal-sets", lasting=True)
-    nodes = found.join(heads, F.col("row") == F.col("head"), "left_semi")
-    marks = nodes.select("row", F.posexplode("keys").alias("band", "key"))
+    marks = written(found.select("row", "keys").join(heads, F.col("row") == F.col("head"), "left_semi"), "node-keys").select("row", F.posexplode("keys").alias("band", "key"))
     turn = F.struct(F.xxhash64("row").alias("turn"), "row")
     firsts = written(marks.groupBy("key").agg(F.min(turn).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("f.row").alias("centre")), "bucket-centres")
     met = written(marks.join(firsts, "key"), "bucket-rows")
     stars = written(met.where("row <> centre").select(F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b")).distinct(), "star-pairs")
-    sketches = found.select("row", "sketch")
+    nodes = near_nodes(found, texts, met)
+    texts, sketches = nodes.select("row", "text"), nodes.select("row", "sketch")
     linked, seen = written(similar(texts, stars, sketches, words), "star-links"), stars
     for step in range(ROUNDS + 1):
         groups = written(components(linked), "node-components")

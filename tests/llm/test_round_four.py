@@ -3,7 +3,7 @@
 import numpy as np
 import public_tokenizers
 
-from lapwise.llm import byte_bpe
+from lapwise.llm import byte_bpe, minhash, similar_sets
 
 
 def test_encoder_keeps_few_pieces():
@@ -28,3 +28,19 @@ def test_stage_runs_in_small_batches(spark):
     out = byte_bpe.bpe_stage(spark, docs, "")
     assert not any(word in out._jdf.queryExecution().executedPlan().toString() for word in ("MapInArrow", "PythonMapInArrow"))
     assert spark.conf.get(name) == was and out.count() == 1000
+
+
+def test_minhash_rounds_read_only_nodes_of_shared_buckets(spark, monkeypatch):
+    """200 texts that share no bucket never reach the steps that verify pairs; the copies with a changed word do, and link."""
+    asked = []
+
+    def counted(texts, pairs, sketches, words):
+        asked.append((texts.count(), sketches.count()))
+        return similar_sets.similar(texts, pairs, sketches, words)
+
+    monkeypatch.setattr(minhash, "similar", counted)
+    near = [(k, " ".join(f"w{j}" for j in range(100)) + f" end{k}") for k in range(6)]
+    apart = [(k, " ".join(f"x{k}y{j}" for j in range(30))) for k in range(100, 300)]
+    rows = minhash.group_by_minhash(spark.createDataFrame(near + apart, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {k: 0 if k < 6 else k for k, _ in near + apart}
+    assert asked and max(max(x) for x in asked) <= 6
