@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lapwise.functions import exprs as X
 from lapwise.operators.quantiles import grouped_median
 from lapwise.operators.windows import demean, over
+from lapwise.sources.scratch import settled
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -194,9 +195,10 @@ def exact_quantile(df: DataFrame, value: str, p: float, *, accuracy: int = 10_00
     """The interpolated quantile of all rows, exactly; None without values.
 
     An approximate quantile, whose rank is off by one in accuracy at most, brackets it; only the values inside the bracket,
-    about two in a thousand, meet in one task. Nothing but counts and bounds comes to the driver.
+    about two in a thousand, meet in one task. Nothing but counts and bounds comes to the driver. The values are written once:
+    sums made anew for each pass add up in another order and differ in the last digits, so that a bound would miss its own value.
     """
-    rows = df.where(F.col(value).isNotNull())
+    rows = settled(df.select(value).where(F.col(value).isNotNull()), "quantile")
     margin = 10 / accuracy
     n, lo, hi, least, most = rows.agg(F.count(F.lit(1)), F.percentile_approx(value, max(0.0, p - margin), accuracy), F.percentile_approx(value, min(1.0, p + margin), accuracy), F.min(value), F.max(value)).first()
     if not n:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lapwise.operators.estimators import exact_quantile
 from lapwise.operators.windows import top_per_group
+from lapwise.sources.scratch import settled
 
 
 def stage(df: DataFrame, mapping: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -85,7 +86,8 @@ def symmetric_difference(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def quadrant(df: DataFrame, x: str, y: str) -> DataFrame:
-    """quadrant by the population medians of x and y."""
+    """quadrant by the population medians of x and y; a value that is a median is compared with itself as written."""
+    df = settled(df, "quadrant")
     mx, my = (F.lit(exact_quantile(df, c, 0.5)).cast("double") for c in (x, y))
     return df.withColumn("quadrant", F.concat(F.when(F.col(y) >= my, "high").otherwise("low"), F.lit("_"), F.when(F.col(x) >= mx, "right").otherwise("left")))
 
