@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
@@ -52,6 +53,12 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         _OPEN.paths = before
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Has Spark's cleaner remove the shuffle files of frames that are no longer used, which it else does at leisure."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 32) -> Iterator[None]:
     """Arrow batches of few rows for the jobs that run inside, where a row is a block or a tile."""

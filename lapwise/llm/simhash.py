@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapwise.llm import textblocks as tb
 from lapwise.llm.components import components, forest
-from lapwise.llm.scratch import small_batches, temporary, written
+from lapwise.llm.scratch import forget_shuffles, small_batches, temporary, written
 from lapwise.llm.similar_sets import shingle_spans, similar_groups
 
 SEED = 42
@@ -179,15 +179,43 @@ def close_pairs(texts: DataFrame, heads: DataFrame, *, words: int, radius: int)
     return equal.unionByName(links(distinct, radius=radius))
 
 
+def later_copies(docs: DataFrame, whole: DataFrame) -> DataFrame:
+    """gone: ids of docs whose text in whole (doc_id, text) is a near copy of that of a smaller id of docs.
+
+    An id takes part if docs and whole hold it once, and counts only if its text in whole has all words of that in docs, so
+    that the one can be what is left of the other.
+    """
+    texts = whole.select(F.col("doc_id").cast("long").alias("row"), "text")
+    left = docs.select(F.col("doc_id").cast("long").alias("row"), F.col("text").alias("left"))
+    once = lambda rows: rows.where("row IS NOT NULL").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("row")
+    ids = written(once(left).join(once(texts), "row"), "near-ids")
+    groups = written(similar_groups(texts, words=5, propose=lambda heads: close_pairs(texts, heads, words=5, radius=3), among=ids), "whole-groups")
+    crowds = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    members = written(groups.join(crowds, "component", "left_semi"), "whole-members")
+    words = lambda c: F.array_remove(F.split(F.coalesce(c, F.lit("")), r"[\x09-\x0D ]+"), "")
+    known = members.join(left, "row").join(texts, "row").where(F.size(F.array_except(words("left"), words("text"))) == 0).select("row", "component")
+    known = written(known, "whole-known")
+    first = known.groupBy("component").agg(F.min("row").alias("first"))
+    return known.join(first, "component").where("row > first").select(F.col("row").alias("gone"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies (five words, similarity 0.8), the document with the smallest id stays.
 
+    Line dedup has by then cut from a near copy all that it shares in long runs, and what is left of it is no near copy of
+    anything. So documents that have come this far are first compared by the whole texts that the input has for them
+    (later_copies), and those that remain by the texts as they are now.
+
     SimHash fingerprints and their tiles propose pairs, and every pair counts only if its shingle sets are that similar.
     No fingerprint distance of use bounds that similarity (half of the pairs at 0.8 differ in more than nine bits), so an
     exact join on the shingle sets (similar_sets) adds the pairs that the fingerprints miss. A row counts by its text, also
     where its id is null (last in order) or repeated: one row of each group stays.
     """
-    rows = written(docs.withColumn("lapwise_row", F.monotonically_increasing_id()), "near-rows")
+    with temporary(spark), small_batches(spark, BATCH_ROWS):
+        gone = written(later_copies(docs, spark.read.parquet(f"{sf_dir}/documents.parquet")), "near-gone", lasting=True).withColumnRenamed("gone", "lapwise_gone")
+    forget_shuffles(spark)
+    left = docs.join(gone, F.col("doc_id") == F.col("lapwise_gone"), "left_anti")
+    rows = written(left.withColumn("lapwise_row", F.monotonically_increasing_id()), "near-rows")
     texts = rows.select(F.col("lapwise_row").alias("row"), "text")
     with temporary(spark), small_batches(spark, BATCH_ROWS):
         groups = written(similar_groups(texts, words=5, propose=lambda heads: close_pairs(texts, heads, words=5, radius=3)), "near-groups", lasting=True)

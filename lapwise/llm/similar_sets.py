@@ -141,12 +141,13 @@ def similar(texts: DataFrame, pairs: DataFrame, sketches: DataFrame, words: int)
     return joined.where(DEN * both >= NUM * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def similar_groups(texts: DataFrame, *, words: int = 5, propose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def similar_groups(texts: DataFrame, *, words: int = 5, propose: Callable[[DataFrame], DataFrame] | None = None, among: DataFrame | None = None) -> DataFrame:
     """row and component (a row of the same component) of every row (unique) and text.
 
-    propose: more candidate pairs a, b, given head, a row of each set.
+    propose: more candidate pairs a, b, given head, a row of each set. among: the rows (row) that take part, if not all.
     """
-    found = written(prefixes(texts, words), "prefixes")
+    found = prefixes(texts, words)
+    found = written(found if among is None else found.join(among, "row", "left_semi"), "prefixes")
     sketches = found.select("row", "sketch")
     heads = written(found.groupBy("digest").agg(F.min("row").alias("head")), "equal-sets")
     marks = found.join(heads, F.col("row") == F.col("head"), "left_semi").select("row", "size", F.posexplode("prefix").alias("pos", "h"))
