@@ -9,9 +9,10 @@ it, so that a very long vector beside short ones does not round their distances
 
 Each shard measures itself: for a sample of its vectors the beam search is compared with all inner products of the shard,
 and the beam doubles until the wanted recall is reached; a shard that needs a beam of over a sixteenth of its vectors is
-searched by comparing all, which is then cheaper. Queries are files of blocks. A job is a block and a group of shards; it searches shard by shard and keeps
-the best k + 1 of each query, so what is shuffled grows with queries times groups, not with vectors. The vectors found are
-scored exactly in double precision.
+searched by comparing all, which is then cheaper. Queries are files of blocks. A job is a block and a group of shards, a task
+of its own; it searches shard by shard and keeps the best k + 1 of each query, so what is shuffled grows with queries times
+groups, not with vectors. Blocks and groups are smaller where there would be fewer jobs than the cores need, which changes the
+work's dealing only. The vectors found are scored exactly in double precision.
 
 Equal vectors are one node that knows its k + 1 smallest ids, which is all that the k nearest of any query can need; so a
 very common vector makes neither a dense knot in the graph nor a large group. Graphs and blocks are files in the shared
@@ -40,8 +41,9 @@ from lapwise.llm.token_files import open_at
 
 DEGREE, BEAM, ALPHA = 32, 96, 1.2
 SHARD_ROWS = 100_000
-BLOCK_ROWS = 20_000
+BLOCK_ROWS, LEAST_BLOCK = 20_000, 2_000
 GROUP_SHARDS = 16
+JOBS_PER_CORE = 4
 AT_ONCE = 512
 FIRST = 256
 RECALL, SAMPLE = 0.97, 64
@@ -241,7 +243,8 @@ def build_index(vectors: DataFrame, folder: str, *, k: int, shard_rows: int = SH
         _save(uri, vec=vec, graph=graph, entries=entries, ids=ids)
         return pa.table({"shard": table.column("shard")[:1], "uri": [uri], "vectors": pa.array([table.num_rows], pa.int64()), "beam": pa.array([beam], pa.int32())})
 
-    return with_shard(nodes, shards).groupBy("shard").applyInArrow(run, "shard int, uri string, vectors long, beam int")
+    dealt = with_shard(nodes, shards).repartitionByRange(4 * shards, "shard")  # a task per shard, which is minutes of work: by hash some would get two, and small ones would be put together
+    return dealt.groupBy("shard").applyInArrow(run, "shard int, uri string, vectors long, beam int")
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,10 +276,19 @@ def search_shard(shard: dict[str, np.ndarray], points: Points, beam: int, querie
     return best_of(np.where(ids >= 0, each, -np.inf), ids, keep)
 
 
+def dealing(queries: int, shards: int, cores: int, *, block_rows: int = BLOCK_ROWS, group_shards: int = GROUP_SHARDS) -> tuple[int, int]:
+    """Blocks of queries and groups of shards; where they make too few jobs for the cores, first smaller blocks, then smaller groups."""
+    blocks, groups = max(1, -(-queries // block_rows)), max(1, -(-shards // group_shards))
+    wanted = JOBS_PER_CORE * cores
+    blocks = max(blocks, min(-(-wanted // groups), -(-queries // LEAST_BLOCK)))
+    return blocks, max(groups, min(shards, -(-wanted // blocks)))
+
+
 def search(index: DataFrame, queries: DataFrame, folder: str, *, k: int, block_rows: int = BLOCK_ROWS, group_shards: int = GROUP_SHARDS) -> DataFrame:
     """vkey and hits, the best k + 1 (score, id) over all shards, for each distinct vector of queries (vec, vkey)."""
     distinct = written(queries.groupBy("vkey").agg(F.first("vec").alias("vec")), "ann-queries")
-    blocks, groups = max(1, -(-distinct.count() // block_rows)), max(1, -(-index.count() // group_shards))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    blocks, groups = dealing(distinct.count(), index.count(), cores, block_rows=block_rows, group_shards=group_shards)
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("vkey").combine_chunks()
@@ -305,7 +317,8 @@ def search(index: DataFrame, queries: DataFrame, folder: str, *, k: int, block_r
                 row, col = np.nonzero(best[1] >= 0)
                 yield pa.RecordBatch.from_pydict({"vkey": pa.array(block["vkey"][row].astype(str)), "score": pa.array(best[0][row, col]), "id": pa.array(best[1][row, col])})
 
-    hits = jobs.repartition(blocks * groups, "block", "group").select("queries", "shards").mapInArrow(run, "vkey string, score double, id long")
+    dealt = jobs.select("queries", "shards").coalesce(1).repartition(blocks * groups)  # a row per job, dealt in turn: by hash some tasks would get two
+    hits = dealt.mapInArrow(run, "vkey string, score double, id long")
     hits = hits.groupBy("vkey", "id").agg(F.max("score").alias("score"))
     best = hits.withColumn("place", F.row_number().over(Window.partitionBy("vkey").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k + 1)
     return best.groupBy("vkey").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))).alias("hits"))  # k + 1 at most
